@@ -1,0 +1,13 @@
+"""Registered queries and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
