@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import iblt, kneserney, linededup, mixing, packing, pii, rules, setjoin, toxicity
+from threadloom.llm import bwtdedup, iblt, kneserney, linededup, mixing, packing, pii, rules, setjoin, toxicity
 from threadloom.llm.common import n_words, settle, table
 
 
@@ -29,6 +29,11 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.components(table(spark, sf_dir, "documents"))
 
 
+def op5_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bwtdedup.dedup_bytes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -82,6 +87,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_quality_rules": op3_quality_rules,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_bwt_dedup": op5_bwt_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
