@@ -15,16 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the cluster's shared checkpoint folder and read it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a
+    temporary folder."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="threadloom-"))
+    return context.getCheckpointDir()
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary one is made.
-    """
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        place = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(place or tempfile.mkdtemp(prefix="threadloom-"))
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the cluster's shared folder and read it from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -26,7 +26,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return setjoin.components(table(spark, sf_dir, "documents"))
+    return setjoin.components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op5_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,8 +20,8 @@ Nothing grows with the square of a group: the links of a group are as many as it
 Defined cases: null texts and texts without words have no shingle and are linked with nothing; texts
 with fewer than n words have one shingle, the whole sequence; rows with equal ids and unequal texts are
 separate documents (a component is named by its smallest id); null ids take part and name a component
-only if there is no other id; other columns are carried along by ``components``; empty tables give
-empty results.
+only if there is no other id; columns beside id and text are not read; empty tables give empty
+results.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import settle, small_batches
@@ -102,9 +102,14 @@ def overlaps_enough(o, n, m, num: int, den: int):
     return (num + den) * o >= num * (n + m)
 
 
+def row_key() -> Column:
+    """What tells rows apart that are not equal in id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
 def shingled(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, set_hash) for each row, and rows (at, counts) with pieces of the frequency
-    table, all from one pass over the texts."""
+    """(row_key, doc_id, n_shingles, set_hash) for each row, and rows (at, counts) with pieces of the
+    frequency table, all from one pass over the texts."""
     small_batches(docs.sparkSession)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,13 +119,15 @@ def shingled(docs: DataFrame, n: int) -> DataFrame:
             if sets:
                 own = np.concatenate(sets)
                 table += np.bincount((own >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS)
-            out = pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets], "set_hash": pd.array([digest(s) if len(s) else None for s in sets], "Int64")})
+            out = pd.DataFrame({"row_key": pdf["row_key"].astype("Int64"), "doc_id": pdf["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets], "set_hash": pd.array([digest(s) if len(s) else None for s in sets], "Int64")})
             yield out.assign(at=pd.array([None] * len(out), "Int32"), counts=None)
         parts = [zlib.compress(p.tobytes(), 1) if p.any() else None for p in np.split(table, PIECES)]
         own = [(k, p) for k, p in enumerate(parts) if p]
-        yield pd.DataFrame({"doc_id": pd.array([None] * len(own), "Int64"), "n_shingles": pd.array([None] * len(own), "Int64"), "set_hash": pd.array([None] * len(own), "Int64"), "at": pd.array([k for k, _ in own], "Int32"), "counts": [p for _, p in own]})
+        none = pd.array([None] * len(own), "Int64")
+        yield pd.DataFrame({"row_key": none, "doc_id": none, "n_shingles": none, "set_hash": none, "at": pd.array([k for k, _ in own], "Int32"), "counts": [p for _, p in own]})
 
-    return docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, n_shingles long, set_hash long, at int, counts binary")
+    keyed = docs.select(row_key().alias("row_key"), "doc_id", "text")
+    return keyed.mapInPandas(rows, "row_key long, doc_id long, n_shingles long, set_hash long, at int, counts binary")
 
 
 def frequencies(rows: DataFrame) -> np.ndarray:
@@ -237,7 +244,11 @@ def smallest_reachable(links: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame, *, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs``; Jaccard >= num / den links."""
+    """(row_key, doc_id, n_shingles, component_id, component) for each row of ``docs``.
+
+    Sets with Jaccard >= num / den are linked. ``component`` is a number of the component, null without
+    shingles; ``component_id`` its smallest id.
+    """
     small_batches(docs.sparkSession)
     rows = settle(shingled(docs, n))
     table = frequencies(rows)
@@ -275,5 +286,5 @@ def components(docs: DataFrame, *, n: int = 3, num: int = 90, den: int = 100) ->
     labels = smallest_reachable(links)
     named = classes.join(labels, F.col("set_hash") == F.col("node"), "left").select("set_hash", "rep", F.coalesce("label", "set_hash").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "label").select("set_hash", "component_id")
-    return rows.join(named, "set_hash", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = named.join(least, "label").select("set_hash", "component_id", F.col("label").alias("component"))
+    return rows.join(named, "set_hash", "left").select("row_key", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "component")
