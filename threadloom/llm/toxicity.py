@@ -58,43 +58,63 @@ class Terms:
         return np.fromiter(slots, np.int64, len(slots))
 
 
-def fit(texts: list[str], labels: np.ndarray, *, epochs: int = 8, batch: int = 128, rate: float = 0.1, decay: float = 1e-5, seed: int = 7) -> dict[str, np.ndarray] | None:
-    """AdaGrad on the log loss, both classes weighing the same. None without both classes."""
+def fit(texts: list[str], labels: np.ndarray, *, rows_seen: int = 160_000, batch: int = 128, rate: float = 0.1, decay: float = 1e-5, seed: int = 7) -> dict[str, np.ndarray] | None:
+    """AdaGrad on the log loss, both classes weighing the same. None without both classes.
+
+    A tenth of the rows is kept apart to place the threshold: the bias is moved so that a score of 0.5
+    lies midway between the highest clean and the lowest toxic rows there, if these don't overlap.
+    """
     y = labels.astype(np.float64)
     if not 0 < y.sum() < len(y):
         return None
     terms = Terms()
     rows = [terms(t) for t in texts]
-    docs = np.bincount(np.concatenate(rows), minlength=1 << BITS) if rows else np.zeros(1 << BITS)
-    live = docs >= min(MIN_DOCS, max(1, len(rows) // 50))
-    rows = [r[live[r]] for r in rows]
+    docs = np.bincount(np.concatenate(rows), minlength=1 << BITS)
+    live = np.flatnonzero(docs >= min(MIN_DOCS, max(1, len(rows) // 50)))
+    place = np.full(1 << BITS, -1)
+    place[live] = np.arange(len(live))
+    rows = [r[r >= 0] for r in (place[r] for r in rows)]
     rng = np.random.default_rng(seed)
-    w, v, b = np.zeros(1 << BITS), np.zeros((1 << BITS, FACTORS)), 0.0
-    v[live] = rng.normal(0, 0.01, (int(live.sum()), FACTORS))
-    gw, gv, gb = np.full(1 << BITS, 1e-2), np.full((1 << BITS, FACTORS), 1e-1), 1e-2
-    weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
-    for _ in range(epochs):
-        order = rng.permutation(len(rows))
+    apart = (rng.random(len(y)) < 0.1) & (len(y) >= 1000)
+    own = np.flatnonzero(~apart)
+    if not 0 < y[own].sum() < len(own):
+        own, apart = np.arange(len(y)), np.zeros(len(y), bool)
+    w, v, b = np.zeros(len(live)), rng.normal(0, 0.01, (FACTORS, len(live))), 0.0
+    gw, gv, gb = np.full(len(live), 1e-2), np.full((FACTORS, len(live)), 1e-1), 1e-2
+    weight = np.where(y == 1, len(own) / (2 * y[own].sum()), len(own) / (2 * (len(own) - y[own].sum())))
+
+    def sums(picked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Terms and documents of a batch, the factors' sums and the scores."""
+        at = np.concatenate([rows[i] for i in picked])
+        doc = np.repeat(np.arange(len(picked)), [len(rows[i]) for i in picked])
+        s = np.stack([np.bincount(doc, f[at], len(picked)) for f in v])
+        z = b + np.bincount(doc, w[at], len(picked)) + 0.5 * ((s**2).sum(0) - np.bincount(doc, (v**2).sum(0)[at], len(picked)))
+        return at, doc, s, z
+
+    for _ in range(int(np.clip(rows_seen // len(own), 4, 60))):
+        order = rng.permutation(own)
         for lo in range(0, len(order), batch):
-            own = order[lo : lo + batch]
-            doc = np.repeat(np.arange(len(own)), [len(rows[i]) for i in own])
-            slots, at = np.unique(np.concatenate([rows[i] for i in own]), return_inverse=True)
-            vs = v[slots]
-            by_doc = lambda x, at=at, doc=doc, n=len(own): np.bincount(doc, x[at], n)
-            by_slot = lambda x, at=at, doc=doc, n=len(slots): np.bincount(at, x[doc], n)
-            s = np.stack([by_doc(f) for f in vs.T], 1)
-            z = b + by_doc(w[slots]) + 0.5 * ((s**2).sum(1) - by_doc((vs**2).sum(1)))
-            e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[own]) * weight[own] / len(own)
-            de = by_slot(e)
-            dw = de + decay * w[slots]
-            dv = np.stack([by_slot(e * f) for f in s.T], 1) - vs * de[:, None] + decay * vs
-            gw[slots] += dw**2
-            gv[slots] += dv**2
+            picked = order[lo : lo + batch]
+            at, doc, s, z = sums(picked)
+            e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[picked]) * weight[picked] / len(picked)
+            de = np.bincount(at, e[doc], len(live))
+            dw = de + decay * w
+            dv = np.stack([np.bincount(at, (e * f)[doc], len(live)) for f in s]) - v * de + decay * v
+            gw += dw**2
+            gv += dv**2
             gb += e.sum() ** 2
-            w[slots] -= rate * dw / np.sqrt(gw[slots])
-            v[slots] -= 0.3 * rate * dv / np.sqrt(gv[slots])
+            w -= rate * dw / np.sqrt(gw)
+            v -= 0.3 * rate * dv / np.sqrt(gv)
             b -= rate * e.sum() / np.sqrt(gb)
-    return {"w": w.astype(np.float32), "v": v.astype(np.float32), "b": np.array([b], np.float32)}
+    held = np.flatnonzero(apart)
+    if len(held) and 0 < y[held].sum() < len(held):
+        z = sums(held)[3]
+        clean, toxic = np.quantile(z[y[held] == 0], 0.999), np.quantile(z[y[held] == 1], 0.02)
+        if clean < toxic:
+            b -= float(np.clip((clean + toxic) / 2, -2, 2))
+    weights, factors = np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, FACTORS), np.float32)
+    weights[live], factors[live] = w, v.T
+    return {"w": weights, "v": factors, "b": np.array([b], np.float32)}
 
 
 def score_one(model: dict[str, np.ndarray] | None, slots: np.ndarray) -> float:
