@@ -180,6 +180,7 @@ def test_setjoin(spark, docs, none):
 
 def test_setjoin_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(setjoin, "BLOCK_SETS", 7)
+    monkeypatch.setattr(setjoin, "GROUP_SETS", 9)
     rng = np.random.default_rng(3)
     texts = []
     for _ in range(60):

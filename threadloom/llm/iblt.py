@@ -30,13 +30,15 @@ from threadloom.llm.common import settle
 #: A paragraph digest covers a line, or so much of a long one: up to the first clause end after 100 characters.
 PIECE = r"[^\n]{100}[^\n.!?,;:]*[.!?,;:]*|[^\n]+"
 #: Cells a row of the fingerprint.
-CELLS = 8
+CELLS = 4
 #: Cells a row for each digest of both texts: at first, and when a difference could not be peeled.
 SCALES = (8, 64, 512)
 ROUNDS = 9
 #: Rows that one range of ids should hold when documents are put in order.
-ROWS_A_RANGE = 2_000
+ROWS_A_RANGE = 500
 MOST_RANGES = 1 << 16
+#: Ranges that one task lays out on average.
+RANGES_A_TASK = 2
 #: What a cell belongs to: two differences (to the edited text, to the next one) and two fingerprints.
 EDITED, NEXT, OWN, OTHER = range(4)
 
@@ -62,7 +64,7 @@ def gathered(rows: DataFrame) -> DataFrame:
     return cells.where((F.col("kind") >= OWN) | (F.col("n") != 0) | (F.col("key") != 0))
 
 
-def sketches(pairs: DataFrame, scale: int) -> DataFrame:
+def sketches(pairs: DataFrame, scale: int, fingerprints: bool = True) -> DataFrame:
     """Both subtracted sketches and both fingerprints of rows with digests a (own), b (edited), c (next)."""
     sizes = pairs.withColumns({"_we": width_for(F.size("a") + F.size("b"), scale), "_wx": width_for(F.size("a") + F.size("c"), scale)})
     texts = sizes.select("_r", "_row", "_we", "_wx", F.explode(F.array(*(F.struct(F.lit(tag).alias("tag"), F.col(c).alias("keys")) for tag, c in enumerate("abc")))).alias("t"))
@@ -72,7 +74,8 @@ def sketches(pairs: DataFrame, scale: int) -> DataFrame:
         return [F.struct(F.lit(kind).alias("kind"), F.lit(n).cast("long").alias("n"), width.alias("width"), cell_of(F.col("key"), row, width).alias("cell")) for row in range(3)]
 
     e, x, f = F.col("_we"), F.col("_wx"), F.lit(CELLS).cast("long")
-    puts = F.when(F.col("tag") == 0, F.array(*put(EDITED, 1, e), *put(NEXT, 1, x), *put(OWN, 1, f))).when(F.col("tag") == 1, F.array(*put(EDITED, -1, e), *put(OTHER, 1, f))).otherwise(F.array(*put(NEXT, -1, x)))
+    own, other = (put(OWN, 1, f), put(OTHER, 1, f)) if fingerprints else ([], [])
+    puts = F.when(F.col("tag") == 0, F.array(*put(EDITED, 1, e), *put(NEXT, 1, x), *own)).when(F.col("tag") == 1, F.array(*put(EDITED, -1, e), *other)).otherwise(F.array(*put(NEXT, -1, x)))
     return gathered(keys.select("_r", "_row", "key", F.hash("key").cast("long").alias("check"), F.explode(puts).alias("p")).select("_r", "_row", "p.*", "key", "check"))
 
 
@@ -92,20 +95,27 @@ def peeled(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return cells
 
 
-def recovered(pairs: DataFrame, scale: int) -> DataFrame:
-    """For each row the sizes of both differences (null if not peeled to nothing) and the fingerprints."""
-    cells = peeled(sketches(pairs, scale))
+def size_of(kind: int) -> Column:
+    """Of a peeled difference; null if something is left."""
+    own = F.col("kind") == kind
+    left = F.count_if(own & (F.col("cell") >= 0))
+    return F.when(left == 0, F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)))
+
+
+def text_of(kind: int) -> Column:
+    """A fingerprint's cells in order: place, count, digests, checks."""
+    cell = F.struct("cell", F.concat_ws(".", F.col("n").cast("string"), F.lower(F.hex("key")), F.lower(F.hex(F.col("check").cast("int")))).alias("t"))
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, cell))), lambda c: F.concat_ws(":", c["cell"].cast("string"), c["t"])), ",")
 
-    def size_of(kind: int) -> Column:
-        own = F.col("kind") == kind
-        left = F.count_if(own & (F.col("cell") >= 0))
-        return F.when(left == 0, F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)))
 
-    def text_of(kind: int) -> Column:
-        cell = F.struct("cell", F.concat_ws(".", F.col("n").cast("string"), F.lower(F.hex("key")), F.lower(F.hex(F.col("check").cast("int")))).alias("t"))
-        return F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, cell))), lambda c: F.concat_ws(":", c["cell"].cast("string"), c["t"])), ",")
+def differences(pairs: DataFrame, scale: int) -> DataFrame:
+    """(_r, _row, de, dx): sizes of both differences, null if not peeled to nothing."""
+    return peeled(sketches(pairs, scale, fingerprints=False)).groupBy("_r", "_row").agg(size_of(EDITED).alias("de"), size_of(NEXT).alias("dx"))
 
-    return cells.groupBy("_r", "_row").agg(size_of(EDITED).alias("de"), size_of(NEXT).alias("dx"), text_of(OWN).alias("fa"), text_of(OTHER).alias("fb"))
+
+def recovered(pairs: DataFrame, scale: int) -> DataFrame:
+    """As ``differences``, with both fingerprints."""
+    return peeled(sketches(pairs, scale)).groupBy("_r", "_row").agg(size_of(EDITED).alias("de"), size_of(NEXT).alias("dx"), text_of(OWN).alias("fa"), text_of(OTHER).alias("fb"))
 
 
 def with_next(docs: DataFrame, *, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
@@ -133,6 +143,7 @@ def with_next(docs: DataFrame, *, rows_a_range: int = ROWS_A_RANGE) -> DataFrame
     rows = rows.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("_head")), "left")
     places = F.when(F.col("_to").isNull(), F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("copy")))).otherwise(F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("copy")), F.struct(F.col("_to").alias("r"), F.lit(1).alias("copy"))))
     rows = rows.withColumn("_place", F.explode(places)).select("*", F.col("_place.r").alias("_r"), F.col("_place.copy").alias("_copy"))
+    rows = rows.repartition(max(1, many // RANGES_A_TASK), "_r")
     order = Window.partitionBy("_r").orderBy("_copy", F.col("doc_id").desc_nulls_last(), "_hash")
     return rows.withColumns({"next_text": F.lead("text").over(order), "_row": F.row_number().over(order)}).where("_copy = 0").drop("_place", "_copy", "_range", "_hash", "_head", "_to")
 
@@ -142,18 +153,27 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     texts = with_next(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")))
     half = F.floor(F.char_length("text") / 2).cast("int")
     texts = texts.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.char_length("text") - half), F.substring("next_text", F.lit(1), half)))
-    pairs = texts.select("_r", "_row", digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("b"), digests(F.col("next_text")).alias("c"))
-    found = settle(recovered(pairs, SCALES[0]))
+    digest = {name: digests(F.col(t)).alias(name) for t, name in (("text", "a"), ("edited", "b"), ("next_text", "c"))}
+    # what follows needs no text: digests are laid out by range, groupings and joins by document find them so
+    docs.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    pairs = settle(texts.select("_r", "_row", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("sha"), *digest.values()))
+    parts = pairs.rdd.getNumPartitions()
+    laid = lambda df: df.repartition(parts, "_r")
+    failed = settle(differences(laid(pairs), SCALES[0]).where("de is null or dx is null"))
+    again = None
     for scale in SCALES[1:]:
-        failed = found.where("de is null or dx is null")
         if not failed.take(1):
             break
-        again = recovered(pairs.join(failed.select("_r", "_row"), ["_r", "_row"], "left_semi"), scale)
-        found = settle(found.where("de is not null and dx is not null").unionByName(again))
-    sizes = texts.select(
-        "_r", "_row", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        *(F.size(digests(F.col(t))).cast("double").alias(n) for t, n in (("text", "na"), ("edited", "nb"), ("next_text", "nc"))),
-    )
+        tried = settle(differences(laid(pairs.join(failed, ["_r", "_row"], "left_semi")), scale))
+        failed = tried.where("de is null or dx is null")
+        tried = tried.where("de is not null and dx is not null")
+        again = tried if again is None else again.unionByName(tried)
+    pairs = laid(pairs)
+    found = recovered(pairs, SCALES[0])
+    if again is not None:
+        second = again.select("_r", "_row", F.col("de").alias("_de"), F.col("dx").alias("_dx"))
+        found = found.join(second, ["_r", "_row"], "left").withColumns({"de": F.coalesce("de", "_de"), "dx": F.coalesce("dx", "_dx")}).drop("_de", "_dx")
+    sizes = pairs.select("_r", "_row", "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), *(F.size(c).cast("double").alias(f"n{c}") for c in "abc"))
     out = sizes.join(found, ["_r", "_row"], "left")
 
     def likeness(other: str, differ: str) -> Column:

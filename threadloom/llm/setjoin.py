@@ -42,6 +42,8 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 SLOT_BITS, PIECES = 20, 64
 #: Sets and shingles of one block of a large group.
 BLOCK_SETS, BLOCK_TOKENS = 1_000, 600_000
+#: Sets of a candidate group that one task takes whole.
+GROUP_SETS = 4_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 WORD_CACHE = 400_000
 
@@ -243,6 +245,34 @@ def smallest_reachable(links: DataFrame) -> DataFrame:
             return labels
 
 
+def places(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """(set_hash, leader, one, two): the tasks that a set is sent to. ``entries``: token, set_hash, n of
+    shingles that several sets have.
+
+    Sizes fall into bands as wide as the size bound, so a set can only be linked within its band and with
+    the next one: lists are kept by band, a set is in the lists of its own and, as a guest, of the next.
+    Sets that share a list, or a chain of lists, form a candidate group. A group that fits goes to one
+    task, each set once. Of a larger group each list's leader has a task, cut into pairs of blocks.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)))
+    own = F.explode(F.array(F.struct(band.alias("band"), F.lit(1).alias("own")), F.struct((band + 1).alias("band"), F.lit(0).alias("own"))))
+    banded = entries.withColumn("_b", own).select("token", "set_hash", "n", "_b.band", "_b.own")
+    lists = banded.groupBy("token", "band").agg(F.min("set_hash").alias("leader"), F.max("set_hash").alias("_last"), F.max("own").alias("_own")).where("leader <> _last and _own = 1").drop("_last", "_own")
+    members = settle(banded.join(lists, ["token", "band"]).groupBy("leader", "band", "set_hash").agg(F.max("n").alias("n")))
+    groups = smallest_reachable(members.where("leader <> set_hash").select(F.col("leader").alias("a"), F.col("set_hash").alias("b")))
+    sets = members.select("set_hash", "n").distinct().join(groups, F.col("set_hash") == F.col("node")).select("set_hash", "n", "label")
+    fits = sets.groupBy("label").agg(((F.sum("n") <= BLOCK_TOKENS) & (F.count("*") <= GROUP_SETS)).alias("fits"))
+    sets = settle(sets.join(fits, "label"))
+    zero = F.lit(0).cast("long")
+    whole = sets.where("fits").select("set_hash", F.col("label").alias("leader"), zero.alias("one"), zero.alias("two"))
+    rest = members.join(sets.where("not fits").select("set_hash"), "set_hash").withColumn("leader", F.xxhash64("leader", "band"))
+    blocks = rest.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("blocks"))
+    mine = F.pmod(F.xxhash64("set_hash", "leader"), F.col("blocks"))
+    other = F.explode(F.when(F.col("blocks") == 1, F.array(zero)).otherwise(F.array_except(F.sequence(zero, F.col("blocks") - 1), F.array("own"))))
+    cut = rest.join(blocks, "leader").withColumn("own", mine).withColumn("other", other)
+    return whole.unionByName(cut.select("set_hash", "leader", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two")))
+
+
 def components(docs: DataFrame, *, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """(row_key, doc_id, n_shingles, component_id, component) for each row of ``docs``.
 
@@ -255,13 +285,9 @@ def components(docs: DataFrame, *, n: int = 3, num: int = 90, den: int = 100) ->
     rows = rows.where("at is null").drop("at", "counts")
     classes = settle(rows.where("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep")))
     entries = index_entries(docs, table, n, num, den)
-    lists = entries.groupBy("token").agg(F.min("set_hash").alias("leader"), F.max("set_hash").alias("_last")).where(F.col("leader") != F.col("_last")).drop("_last")
-    members = settle(entries.join(lists, "token").select("leader", "set_hash", "n").distinct())
-    blocks = members.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("blocks"))
-    own = F.pmod(F.xxhash64("set_hash", "leader"), F.col("blocks"))
-    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.array_except(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), F.array("own"))))
-    placed = members.join(blocks, "leader").withColumn("own", own).withColumn("other", other)
-    placed = placed.join(classes, "set_hash").groupBy("rep", "set_hash").agg(F.collect_list(F.struct("leader", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))).alias("places"))
+    lists = entries.groupBy("token").agg(F.min("set_hash").alias("_a"), F.max("set_hash").alias("_b")).where("_a <> _b").select("token")
+    placed = places(entries.join(lists, "token"), num, den)
+    placed = placed.join(classes, "set_hash").groupBy("rep", "set_hash").agg(F.collect_list(F.struct("leader", "one", "two")).alias("places"))
     d, p = docs.select("doc_id", "text").alias("d"), placed.alias("p")
     wanted = d.join(p, F.col("d.doc_id").eqNullSafe(F.col("p.rep"))).select("text", "set_hash", "places")
 

@@ -1,8 +1,8 @@
 """Toxicity: a factorization machine over hashed terms.
 
 A document's terms are its lower-cased words and their first four letters, hashed to ``2**BITS``
-slots and counted as present or absent. The machine scores ``b + sum w_i + sum <v_i, v_j>`` over the
-present terms, so that pairs of terms can weigh more (or less) than both alone. It is fitted in one
+slots, each present or absent and counting by how much it goes with the label in the sample. The machine
+scores ``b + sum w_i x_i + sum <v_i, v_j> x_i x_j`` over the present terms, so that pairs of terms can weigh more (or less) than both alone. It is fitted in one
 task on a bounded sample of labelled rows (``MAX_ROWS``, the rows with the smallest id hashes); the
 model has a fixed size and is broadcast to score every row.
 
@@ -58,6 +58,17 @@ class Terms:
         return np.fromiter(slots, np.int64, len(slots))
 
 
+def strength(rows: list[np.ndarray], y: np.ndarray, n: int) -> np.ndarray:
+    """How much a term's presence counts, by its chi-square with the label: half for terms that stand
+    in both classes alike, up to 3. Rare terms of one class can't outweigh what tells the classes apart."""
+    at = np.concatenate(rows)
+    label = np.repeat(y, [len(r) for r in rows])
+    both, toxic = np.bincount(at, minlength=n), np.bincount(at, label, n)
+    expected = both * y.mean()
+    spread = np.maximum(expected * (1 - y.mean()) * (1 - both / len(y)), 1e-9)
+    return np.clip(np.abs(toxic - expected) / np.sqrt(spread) / 8, 0.5, 3)
+
+
 def fit(texts: list[str], labels: np.ndarray, *, rows_seen: int = 160_000, batch: int = 128, rate: float = 0.1, decay: float = 1e-5, seed: int = 7) -> dict[str, np.ndarray] | None:
     """AdaGrad on the log loss, both classes weighing the same. None without both classes.
 
@@ -79,6 +90,7 @@ def fit(texts: list[str], labels: np.ndarray, *, rows_seen: int = 160_000, batch
     own = np.flatnonzero(~apart)
     if not 0 < y[own].sum() < len(own):
         own, apart = np.arange(len(y)), np.zeros(len(y), bool)
+    c = strength([rows[i] for i in own], y[own], len(live))
     w, v, b = np.zeros(len(live)), rng.normal(0, 0.01, (FACTORS, len(live))), 0.0
     gw, gv, gb = np.full(len(live), 1e-2), np.full((FACTORS, len(live)), 1e-1), 1e-2
     weight = np.where(y == 1, len(own) / (2 * y[own].sum()), len(own) / (2 * (len(own) - y[own].sum())))
@@ -87,8 +99,8 @@ def fit(texts: list[str], labels: np.ndarray, *, rows_seen: int = 160_000, batch
         """Terms and documents of a batch, the factors' sums and the scores."""
         at = np.concatenate([rows[i] for i in picked])
         doc = np.repeat(np.arange(len(picked)), [len(rows[i]) for i in picked])
-        s = np.stack([np.bincount(doc, f[at], len(picked)) for f in v])
-        z = b + np.bincount(doc, w[at], len(picked)) + 0.5 * ((s**2).sum(0) - np.bincount(doc, (v**2).sum(0)[at], len(picked)))
+        s = np.stack([np.bincount(doc, f[at], len(picked)) for f in v * c])
+        z = b + np.bincount(doc, (w * c)[at], len(picked)) + 0.5 * ((s**2).sum(0) - np.bincount(doc, ((v * c) ** 2).sum(0)[at], len(picked)))
         return at, doc, s, z
 
     for _ in range(int(np.clip(rows_seen // len(own), 4, 60))):
@@ -98,8 +110,8 @@ def fit(texts: list[str], labels: np.ndarray, *, rows_seen: int = 160_000, batch
             at, doc, s, z = sums(picked)
             e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[picked]) * weight[picked] / len(picked)
             de = np.bincount(at, e[doc], len(live))
-            dw = de + decay * w
-            dv = np.stack([np.bincount(at, (e * f)[doc], len(live)) for f in s]) - v * de + decay * v
+            dw = c * de + decay * w
+            dv = c * np.stack([np.bincount(at, (e * f)[doc], len(live)) for f in s]) - v * c**2 * de + decay * v
             gw += dw**2
             gv += dv**2
             gb += e.sum() ** 2
@@ -113,7 +125,7 @@ def fit(texts: list[str], labels: np.ndarray, *, rows_seen: int = 160_000, batch
         if clean < toxic:
             b -= float(np.clip((clean + toxic) / 2, -2, 2))
     weights, factors = np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, FACTORS), np.float32)
-    weights[live], factors[live] = w, v.T
+    weights[live], factors[live] = w * c, (v * c).T
     return {"w": weights, "v": factors, "b": np.array([b], np.float32)}
 
 
