@@ -157,7 +157,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     # what follows needs no text: digests are laid out by range, groupings and joins by document find them so
     docs.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     pairs = settle(texts.select("_r", "_row", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("sha"), *digest.values()))
-    parts = pairs.rdd.getNumPartitions()
+    parts = max(1, pairs.rdd.getNumPartitions())
     laid = lambda df: df.repartition(parts, "_r")
     failed = settle(differences(laid(pairs), SCALES[0]).where("de is null or dx is null"))
     again = None
