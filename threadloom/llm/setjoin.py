@@ -232,17 +232,29 @@ def link_sets(sets: list[np.ndarray], num: int, den: int, *, kept_rows: int = 8)
 
 
 def smallest_reachable(links: DataFrame) -> DataFrame:
-    """(node, label): the smallest node reachable over links (a, b)."""
-    edges = settle(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = settle(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")))
-    while True:
-        heard = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("heard"))
-        spread = labels.join(heard, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
-        jump = spread.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        after = settle(spread.join(jump, F.col("label") == F.col("via"), "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")))
-        labels = after.select("node", "label")
-        if not after.where(F.col("label") != F.col("old")).take(1):
-            return labels
+    """(node, label): the smallest node reachable over links (a, b).
+
+    Large and small star steps by turns: every node gives its larger neighbours, then its smaller ones
+    and itself, to the smallest node beside it, until each tree is a star. Rounds grow with the logarithm
+    of the nodes, also for long chains, and there are never more rows than links. Smallest neighbours are
+    settled before they are joined, so that Spark can split the rows of a large star's centre.
+    """
+
+    def least_of(rows: DataFrame, of: str, what: str) -> DataFrame:
+        return settle(rows.groupBy(F.col(of).alias("at")).agg(F.min(what).alias("least")))
+
+    edges = settle(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    mark = F.struct(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a")))
+    seen, now = None, edges.agg(mark).first()[0]
+    while seen != now:
+        below = least_of(edges, "a", "b")  # a node without a smaller neighbour is its own least
+        large = settle(edges.join(below, F.col("b") == F.col("at"), "left").select("a", F.coalesce("least", "b").alias("b")).distinct())
+        below = least_of(large, "a", "b")
+        small = large.join(below, F.col("a") == F.col("at")).where(F.col("b") != F.col("least")).select(F.col("b").alias("a"), F.col("least").alias("b"))
+        edges = settle(small.unionByName(below.select(F.col("at").alias("a"), F.col("least").alias("b"))).distinct())
+        seen, now = now, edges.agg(mark).first()[0]
+    centres = edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(centres)
 
 
 def places(entries: DataFrame, num: int, den: int) -> DataFrame:
