@@ -296,7 +296,7 @@ def components(docs: DataFrame, *, n: int = 3, num: int = 90, den: int = 100) ->
     table = frequencies(rows)
     rows = rows.where("at is null").drop("at", "counts")
     classes = settle(rows.where("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep")))
-    entries = index_entries(docs, table, n, num, den)
+    entries = settle(index_entries(docs, table, n, num, den))
     lists = entries.groupBy("token").agg(F.min("set_hash").alias("_a"), F.max("set_hash").alias("_b")).where("_a <> _b").select("token")
     placed = places(entries.join(lists, "token"), num, den)
     placed = placed.join(classes, "set_hash").groupBy("rep", "set_hash").agg(F.collect_list(F.struct("leader", "one", "two")).alias("places"))
