@@ -35,11 +35,12 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, the one with the smallest id, which names the component.
+    """Documents whose sets of 5-word shingles have Jaccard >= 0.8 are linked; one of each component
+    stays, the one with the smallest id, which names the component.
 
     Documents without words are in no component and stay. Rows equal in id and text stay once.
     """
-    parts = setjoin.components(docs)
+    parts = setjoin.components(docs, n=5, num=80, den=100)
     named = parts.where(F.col("component").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("row_key").alias("_key")).select("_key")
     kept = named.unionByName(parts.where("component is null").select(F.col("row_key").alias("_key")).distinct())
     rows = columns(docs).withColumn("_key", setjoin.row_key())
