@@ -110,6 +110,29 @@ def test_pii_trees_learn_a_format():
     assert ((judge.trees.predict(x) > 0.5) == (y == 1)).mean() > 0.97
 
 
+def test_pii_finds_planted_loose_kinds(spark):
+    rng = np.random.default_rng(3)
+    pick = lambda chars, n: "".join(rng.choice(list(chars), n))
+    hexa, digits, letters = "0123456789abcdef", "0123456789", "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for i in range(400):
+        phone = f"({pick('23456789', 3)}) {pick(digits, 3)}-{pick(digits, 4)}"
+        rows.append((i, f"Some words on day 20{pick('012', 1)}{pick(digits, 1)}-0{pick('123456789', 1)}-1{pick(digits, 1)} about {pick(digits, 5)}.{pick(digits, 4)} units. They {pick(letters, 3 + i % 6)} at {pick(letters, 3 + i % 9)} {pick(letters, 4 + i % 7)} here. Ask +1 {phone} or {pick(letters, 2 + i % 5)}.{pick(letters, 2 + i % 4)}@{pick(letters, 3 + i % 8)}.com now. api_key = {pick(hexa, 32)} was set, see docs/a{pick(digits, 2)}/part/some_long_name_{pick(digits, 2)}/end and order {pick(digits, 9)}."))
+    judge = pii.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert set(judge.kinds) == set(pii.LOOSE)
+    planted = [("number", "(212) 555-0147"), ("address", "jane.roe at example dot com"), ("secret", "9f8e7d6c5b4a39281706f5e4d3c2b1a0"), ("secret", "0a1b2c3d4e5f60718293a4b5c6d7e8f9")]
+    texts = [f"Some words before {planted[0][1]} and after.", f"Some words before {planted[1][1]} and after.", f"Some words before {planted[2][1]} and after.", f"Authorization: Bearer {planted[3][1]} and after."]
+    for (kind, s), text in zip(planted, texts, strict=True):
+        assert judge.extra(text, pii.base_spans(text)) == [(kind, text.index(s), text.index(s) + len(s))], text
+    for text in ("on day 2019-04-12 it rained", "about 12345.6789 units", "see docs/a12/part/some_long_name_34/end", "they look at polka dot dresses"):
+        assert judge.extra(text, pii.base_spans(text)) == [], text
+
+
+def test_pii_training_rows_come_from_the_whole_text():
+    text = " ".join(f"u{i}@example.org" for i in range(500)) + " call (212) 555-0147 or password = 9f8e7d6c5b4a39281706f5e4"
+    assert {r[0] for r in pii.sampled_rows(1, text)} == set(pii.LOOSE)
+
+
 def test_rules_statistics(docs, none):
     for _, t, *_ in TEXTS:
         words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
