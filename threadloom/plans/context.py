@@ -2,21 +2,79 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions.refs import with_ref
+from threadloom.functions.refs import ref_tag, with_ref
+from threadloom.functions.text import strip_hallucinated
 from threadloom.functions.tokens import estimate
-from threadloom.operators import coverage, transcript
+from threadloom.functions.tools import fingerprint
+from threadloom.operators import coverage, pruning, transcript
 
+STRIPPED_ROLES = ("assistant", "toolResult", "bashExecution")
+PART = "struct<type:string,text:string,thinking:string,input:string,id:string,name:string,arguments:string>"
 
-def context_pass(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Rows with blocks spliced in and references shown. ``rows``: session_id, ordinal, role, content."""
-    out = coverage.spliced(rows, blocks)
+
+def source_turns(rows: DataFrame) -> DataFrame:
+    """(session_id, turns) of the rows as they came, before blocks take their place."""
+    calls = F.transform(F.filter("parts", lambda p: p["type"] == "toolCall"), lambda p: p["id"])
+    keyed = rows.withColumns({"calls": F.coalesce(calls, F.array().cast("array<string>")), "source_key": transcript.owner_key(F.col("ordinal")), "ts": F.lit(None).cast("double")})
+    return transcript.logical_turns(transcript.spans(keyed))
+
+
+def pruned_results(rows: DataFrame, tools: DataFrame, turns: DataFrame, *, cadence: int, error_turns: int, prior: DataFrame | None) -> DataFrame:
+    """(session_id, tool_call_id) of results that a tombstone stands for: of a repeated call all but the
+    last shown one, failed ones of ``error_turns`` turns ago, both before the open bucket, and ``prior``."""
+    shown = rows.where("role = 'toolResult'").select("session_id", "ordinal", "tool_call_id", "is_error")
+    log = shown.join(tools.select("session_id", "tool_call_id", "tool_name", "arguments", "turn_index"), ["session_id", "tool_call_id"]).join(turns, "session_id")
+    may_repeat = ~F.coalesce(F.col("tool_name"), F.lit("")).isin(*pruning.PROTECTED)
+    log = log.withColumns({"_fp": fingerprint(F.coalesce("tool_name", F.lit("")), F.col("arguments")), "_open": pruning.bucket(F.col("turns"), cadence)})
+    later = F.row_number().over(Window.partitionBy("session_id", "_fp").orderBy(F.col("ordinal").desc())) > 1
+    duplicate = may_repeat & later & (F.col("turn_index") < F.col("_open"))
+    stale = F.coalesce(F.col("is_error"), F.lit(False)) & (F.col("_open") - F.col("turn_index") >= error_turns)
+    found = log.withColumn("_pruned", duplicate | stale).where("_pruned").select("session_id", "tool_call_id")
+    return (found if prior is None else found.unionByName(prior.select("session_id", "tool_call_id"))).distinct()
+
+
+def context_pass(rows: DataFrame, blocks: DataFrame, tools: DataFrame | None = None, *, cadence: int = 1, error_turns: int = 4, prior: DataFrame | None = None) -> DataFrame:
+    """Rows as they are sent: blocks spliced in, made-up tags stripped, orphans repaired, repeated and
+    stale outputs replaced by tombstones, references shown.
+
+    ``rows``: session_id, ordinal, role, content; those of sessions with tools also parts (instead of
+    content, in the form of ``PART``), tool_call_id and is_error, and then parts and tool_call_id are
+    returned too. ``tools``: session_id, tool_call_id, tool_name, arguments, turn_index of recorded
+    calls; only their results are replaced. ``prior``: as for ``pruning.prune_log``.
+    """
+    columns = ["session_id", "ordinal", "role", "content", "block_id", "ref"]
+    if "parts" in rows.columns:
+        turns = source_turns(rows)
+        out = coverage.spliced(rows.withColumn("parts", F.col("parts").cast(f"array<{PART}>")), blocks, ("parts", "tool_call_id", "is_error"))
+        made_up = F.col("role").isin(*STRIPPED_ROLES)
+        out = out.withColumns({"content": F.when(made_up, strip_hallucinated(F.col("content"))).otherwise(F.col("content")), "parts": F.when(made_up, pruning.stripped_parts(F.col("parts"))).otherwise(F.col("parts"))})
+        out = pruning.without_orphans(out)
+        if tools is not None or prior is not None:
+            gone = prior.select("session_id", "tool_call_id").distinct() if tools is None else pruned_results(out, tools, turns, cadence=cadence, error_turns=error_turns, prior=prior)
+            out = out.join(gone.withColumn("_gone", F.lit(True)), ["session_id", "tool_call_id"], "left")
+            pruned = F.coalesce("_gone", F.lit(False)) & (F.col("role") == "toolResult")
+            text = pruning.tombstone(F.lit(None).cast("string"), pruned, F.coalesce("is_error", F.lit(False)))
+            out = out.withColumns({"content": F.when(pruned & F.col("parts").isNull(), text).otherwise(F.col("content")), "parts": F.when(pruned & F.col("parts").isNotNull(), F.array(text_part(text))).otherwise(F.col("parts"))}).drop("_gone")
+        out = out.withColumn("ordinal", F.row_number().over(Window.partitionBy("session_id").orderBy("ordinal")) - 1)
+        columns += ["parts", "tool_call_id"]
+    else:
+        out = coverage.spliced(rows, blocks)
+        out = out.withColumn("content", F.when(F.col("role").isin(*STRIPPED_ROLES), strip_hallucinated(F.col("content"))).otherwise(F.col("content")))
     keyed = out.withColumn("source_key", F.coalesce(F.concat(F.lit("synth:block:b"), F.col("block_id").cast("string")), F.concat(F.lit("s"), F.col("ordinal").cast("string"))))
     refs = transcript.visible_refs(keyed).select("session_id", "source_key", "ref")
     shown = keyed.join(refs, ["session_id", "source_key"], "left")
-    return shown.withColumn("content", with_ref(F.col("role"), F.col("content"), F.col("ref"))).select("session_id", "ordinal", "role", "content", "block_id", "ref")
+    if "parts" in columns:
+        tagged = F.array_append("parts", text_part(F.concat(F.lit("\n"), ref_tag(F.col("ref")))))
+        shown = shown.withColumn("parts", F.when(F.col("ref").isNotNull(), tagged).otherwise(F.col("parts")))
+    return shown.withColumn("content", with_ref(F.col("role"), F.col("content"), F.col("ref"))).select(*columns)
+
+
+def text_part(text: Column) -> Column:
+    none = F.lit(None).cast("string")
+    return F.struct(F.lit("text").alias("type"), text.alias("text"), *(none.alias(c) for c in ("thinking", "input", "id", "name", "arguments"))).cast(PART)
 
 
 def context_tokens(shown: DataFrame) -> DataFrame:
