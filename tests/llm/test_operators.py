@@ -83,6 +83,12 @@ def test_iblt_retries_when_a_sketch_is_too_small(docs, monkeypatch):
     assert rows(iblt.fingerprints(docs), "doc_id", "n_chars", "near_edited", "near_next") == want
 
 
+def test_iblt_counts_what_no_scale_can_peel(docs, monkeypatch):
+    want = rows(iblt.fingerprints(docs), "doc_id", "n_chars", "near_edited", "near_next")
+    monkeypatch.setattr(iblt, "width_for", lambda n, scale: F.lit(4).cast("long") + n.cast("long") * 0)
+    assert rows(iblt.fingerprints(docs), "doc_id", "n_chars", "near_edited", "near_next") == want
+
+
 def test_pii_base_matches_plain_regexes(docs, none):
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     samples = [t[1] or "" for t in TEXTS] + ["1.2.3.4.5.6.7.8.9", "a@b@c.d e@f.g.h.", "@x.y", "+1 2", "+1234567890123456", "0.0.0.0 255.255.255.255.1", "4111-1111-1111-1111 4111111111111112", "a@b.c@d.e", "1" * 5000, "a" * 3000 + "@" + "b." * 500 + "c"]

@@ -113,6 +113,14 @@ def differences(pairs: DataFrame, scale: int) -> DataFrame:
     return peeled(sketches(pairs, scale, fingerprints=False)).groupBy("_r", "_row").agg(size_of(EDITED).alias("de"), size_of(NEXT).alias("dx"))
 
 
+def counted(pairs: DataFrame) -> DataFrame:
+    """As ``differences``, digest by digest: exact at any size, for what no sketch could be peeled of."""
+    texts = pairs.select("_r", "_row", F.explode(F.array(*(F.struct(F.lit(tag).alias("tag"), F.col(c).alias("keys")) for tag, c in enumerate("abc")))).alias("t"))
+    keys = texts.select("_r", "_row", F.col("t.tag").alias("tag"), F.explode("t.keys").alias("key"))
+    held = keys.groupBy("_r", "_row", "key").agg(*(F.bool_or(F.col("tag") == tag).alias(c) for tag, c in enumerate("abc")))
+    return held.groupBy("_r", "_row").agg(F.count_if(F.col("a") != F.col("b")).alias("de"), F.count_if(F.col("a") != F.col("c")).alias("dx"))
+
+
 def recovered(pairs: DataFrame, scale: int) -> DataFrame:
     """As ``differences``, with both fingerprints."""
     return peeled(sketches(pairs, scale)).groupBy("_r", "_row").agg(size_of(EDITED).alias("de"), size_of(NEXT).alias("dx"), text_of(OWN).alias("fa"), text_of(OTHER).alias("fb"))
@@ -168,6 +176,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         failed = tried.where("de is null or dx is null")
         tried = tried.where("de is not null and dx is not null")
         again = tried if again is None else again.unionByName(tried)
+    if failed.take(1):
+        rest = counted(pairs.join(failed, ["_r", "_row"], "left_semi"))
+        again = rest if again is None else again.unionByName(rest)
     pairs = laid(pairs)
     found = recovered(pairs, SCALES[0])
     if again is not None:
