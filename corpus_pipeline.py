@@ -75,5 +75,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Hashed order, a fitted model and tokenization are beyond SQL; tested against brute force instead.
+#: Hashed order, a fitted model and tokenization are beyond SQL; the stages have tests, run() as a whole has none.
 ORACLE_SQL = None
