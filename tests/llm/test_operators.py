@@ -207,21 +207,66 @@ def test_setjoin(spark, docs, none):
     assert setjoin.components(docs).count() == len(TEXTS)
 
 
-def test_setjoin_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(setjoin, "BLOCK_SETS", 7)
-    monkeypatch.setattr(setjoin, "GROUP_SETS", 9)
+@pytest.mark.parametrize(("block", "edits", "length"), [(7, 4, 100), (7, 9, 100), (11, 14, 120)])
+def test_setjoin_in_blocks(spark, monkeypatch, block, edits, length):
+    monkeypatch.setattr(setjoin, "BLOCK_SETS", block)
     rng = np.random.default_rng(3)
     texts = []
-    for _ in range(60):
-        own = [f"w{i}" for i in range(100)]
-        for _ in range(int(rng.integers(0, 4))):
-            own[int(rng.integers(0, 100))] = f"x{rng.integers(0, 50)}"
+    for _ in range(90):
+        own = [f"w{i}" for i in range(length - int(rng.integers(0, 12)))]
+        for _ in range(int(rng.integers(0, edits))):
+            own[int(rng.integers(0, len(own)))] = f"x{rng.integers(0, 50)}"
         texts.append(" ".join(own))
     sets, top = plain_components(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in setjoin.components(df).collect()} == dict(enumerate(top))
 
 
+@pytest.mark.parametrize("t", [(90, 100), (80, 100), (60, 100)])
+def test_sets_with_enough_overlap_share_a_couple(t):
+    rng = np.random.default_rng(5)
+    for _ in range(3000):
+        n = int(rng.integers(1, 60))
+        a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) > rng.random() * 0.3], rng.integers(0, 1 << 62, int(rng.integers(0, 1 + n // 3))).astype(np.uint64)]))
+        if len(b) and 100 * len(np.intersect1d(a, b)) >= t[0] * len(np.union1d(a, b)) and not np.array_equal(a, b):
+            assert len(np.intersect1d(setjoin.couples(a, *t), setjoin.couples(b, *t)))
+
+
+@pytest.mark.parametrize("probes", [False, True])
+def test_link_sets_finds_all_links(probes):
+    rng = np.random.default_rng(6)
+    base = [np.arange(k, k + 80) for k in (0, 40, 1000)]
+    sets = [np.unique(np.concatenate([base[k % 3][rng.random(80) > 0.06], rng.integers(5000, 9000, int(rng.integers(0, 6)))])) for k in range(300)]
+    probe = rng.random(300) < 0.3 if probes else None
+    root = list(range(300))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    def joined(pairs):
+        root[:] = range(300)
+        for a, b in pairs:
+            root[max(top(a), top(b))] = min(top(a), top(b))
+        return [top(i) for i in range(300)]
+
+    want = joined((a, b) for a in range(300) for b in range(a) if (probe is None or probe[a] or probe[b]) and 100 * len(np.intersect1d(sets[a], sets[b])) >= 90 * len(np.union1d(sets[a], sets[b])))
+    assert joined(setjoin.link_sets(sets, 90, 100, probe=probe)) == want
+    assert len(set(want)) < 250
+
+
+def test_smallest_reachable_over_long_chains_and_stars(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "NODES", 40)
+    rng = np.random.default_rng(7)
+    chain, star = rng.permutation(600), 1000 + rng.permutation(300)
+    pairs = [*zip(chain[:-1], chain[1:], strict=True), *((star[0], x) for x in star[1:]), (5000, 5001), (7, 7)]
+    links = spark.createDataFrame([(int(a), int(b)) for a, b in pairs], "a long, b long").repartition(4)
+    got = {r.node: r.label for r in setjoin.smallest_reachable(links).collect()}
+    assert got == {**dict.fromkeys(map(int, chain), 0), **dict.fromkeys(map(int, star), 1000), 5000: 5000, 5001: 5000}
+
+
 def plain_removal(texts, length=200):
     raw = [(t or "").encode() for t in texts]
     n = collections.Counter(r[i : i + length] for r in raw for i in range(len(r) - length + 1))

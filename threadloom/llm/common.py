@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,14 +17,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a
-    temporary folder."""
+    """The session's ``spark.checkpoint.dir``. Where that is unset, a temporary folder, but only if driver
+    and executors are one process."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="threadloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="threadloom-"))
     return context.getCheckpointDir()
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet to a new shared folder and read from there, and that folder.
+
+    For large tables with several uses: columns are compressed, and the folder can be discarded as soon as
+    what follows from it is settled.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder), folder
+
+
+def discard(folder: str) -> None:
+    """Delete a folder that ``stored`` or ``corpus_pipeline.run`` wrote."""
+    spark = SparkSession.getActiveSession()
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the cluster's shared folder and read it from there.
 

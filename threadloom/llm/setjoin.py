@@ -1,21 +1,22 @@
 """Exact n-gram Jaccard join by inverted lists with set-relation skipping, and its components.
 
-1. Every text becomes the set of its hashed n-word shingles; texts with equal sets form one class.
-2. Shingles are ordered by rising frequency (a table of fixed size, counted over all texts, ties by
-   hash). Two sets with Jaccard >= t share a shingle among the first ``n - ceil(t n) + 1`` of each, so
-   only those are indexed: one list of classes per shingle, each with a leader, its smallest class.
-3. The classes of all lists with one leader are joined in one task, whatever pairs share a list meet
-   there. Large groups are cut into blocks and the pairs of blocks into tasks, so that no task holds
-   more than ``BLOCK_TOKENS`` shingles from each block.
-4. In a task, sets stand in order of size. Each inverted list keeps a position behind which nothing
-   counts any more and is read from there (skipping what lies before the current set); sets out of the
-   size bound or already in the same component are skipped; and the overlaps of a set with all others
-   are derived from those of a highly similar earlier set, reading only the lists of the shingles in
-   which the two differ.
-5. Tasks return links of their components to a root, as many as sets; components over all classes
-   follow by spreading the smallest label with pointer jumping.
-
-Nothing grows with the square of a group: the links of a group are as many as its classes.
+1. One pass over the texts makes each the set of its hashed n-word shingles, sorted by hash; texts with
+   equal sets form one class.
+2. Two sets with Jaccard >= t differ in at most ``d = n (1 - t) / t`` shingles. Lay the shingles of both in
+   one row by hash and cut it into pairs: one of the first ``d + 1`` pairs is untouched, so both sets hold
+   these two shingles next to each other, with the first at position ``2 d`` at most. Each set is
+   therefore listed under its first ``2 d + 1`` couples of neighbours (under single shingles if
+   t < 0.8), whatever its size and however common its shingles are. Lists are merged within a task before
+   they are shuffled, so that a couple shared by very many sets is one row of each task.
+3. Sets that share a list, or a chain of lists, form a candidate group. A group that fits goes to one task,
+   each set once. A larger one is cut into blocks by size band and hash and treated in three rounds, see
+   ``in_rounds``.
+4. In a task, sets stand in order of size and inverted lists are kept in blocks: a block is skipped if all
+   its positions lie outside the size bound. A set whose partners are all in its component already is
+   skipped; and the overlaps of a set with all others are derived from those of a highly similar set,
+   reading only the lists of the shingles in which the two differ.
+5. Tasks return links that connect what is linked, at most as many as sets; components follow by star
+   steps, with a union-find within each partition before each of them.
 
 Defined cases: null texts and texts without words have no shingle and are linked with nothing; texts
 with fewer than n words have one shingle, the whole sequence; rows with equal ids and unequal texts are
@@ -26,24 +27,29 @@ results.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from threadloom.llm.common import settle, small_batches
+from threadloom.llm.common import discard, settle, stored
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-#: Slots of the frequency table and pieces it is summed in; fixed, whatever the corpus.
-SLOT_BITS, PIECES = 20, 64
-#: Sets and shingles of one block of a large group.
-BLOCK_SETS, BLOCK_TOKENS = 1_000, 600_000
-#: Sets of a candidate group that one task takes whole.
-GROUP_SETS = 4_000
+#: Sets and shingles that one task takes of a candidate group, or of each block of a larger one.
+BLOCK_SETS, BLOCK_TOKENS = 4_000, 600_000
+#: Couples that a task merges at a time, and nodes that its union-find holds.
+MERGED, NODES = 2_000_000, 500_000
+#: Bits of the filter by which texts outside all candidate groups are passed over; fixed, so that beyond
+#: some million sets in groups it lets more texts through, which costs time but changes nothing.
+FILTER_BITS = 1 << 23
+#: Entries of a block of an inverted list; answered sets that are kept to derive others from.
+LIST_BLOCK, KEPT = 64, 8
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 WORD_CACHE = 400_000
 
@@ -80,8 +86,9 @@ class Shingles:
         return np.unique(code ^ (code >> np.uint64(29)))
 
 
-def digest(codes: np.ndarray) -> int:
-    return int(np.array(xxhash.xxh3_64_intdigest(codes.tobytes()), np.uint64).astype(np.int64))
+def digest(codes: np.ndarray) -> bytes:
+    """What tells sets apart: 128 bits."""
+    return xxhash.xxh3_128_digest(codes.tobytes())
 
 
 def packed(codes: np.ndarray) -> bytes:
@@ -104,70 +111,78 @@ def overlaps_enough(o, n, m, num: int, den: int):
     return (num + den) * o >= num * (n + m)
 
 
-def row_key() -> Column:
-    """What tells rows apart that are not equal in id and text."""
-    return F.xxhash64("doc_id", "text")
-
-
-def shingled(docs: DataFrame, n: int) -> DataFrame:
-    """(row_key, doc_id, n_shingles, set_hash) for each row, and rows (at, counts) with pieces of the
-    frequency table, all from one pass over the texts."""
-    small_batches(docs.sparkSession)
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        make, table = Shingles(n), np.zeros(1 << SLOT_BITS, np.int64)
-        for pdf in batches:
-            sets = [make(t) for t in pdf["text"]]
-            if sets:
-                own = np.concatenate(sets)
-                table += np.bincount((own >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS)
-            out = pd.DataFrame({"row_key": pdf["row_key"].astype("Int64"), "doc_id": pdf["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets], "set_hash": pd.array([digest(s) if len(s) else None for s in sets], "Int64")})
-            yield out.assign(at=pd.array([None] * len(out), "Int32"), counts=None)
-        parts = [zlib.compress(p.tobytes(), 1) if p.any() else None for p in np.split(table, PIECES)]
-        own = [(k, p) for k, p in enumerate(parts) if p]
-        none = pd.array([None] * len(own), "Int64")
-        yield pd.DataFrame({"row_key": none, "doc_id": none, "n_shingles": none, "set_hash": none, "at": pd.array([k for k, _ in own], "Int32"), "counts": [p for _, p in own]})
-
-    keyed = docs.select(row_key().alias("row_key"), "doc_id", "text")
-    return keyed.mapInPandas(rows, "row_key long, doc_id long, n_shingles long, set_hash long, at int, counts binary")
-
+def couples(codes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Hashes of the neighbouring shingles that a set is listed under, see the module's text."""
+    width = 2 if 5 * num >= 4 * den else 1
+    size = min(width * (len(codes) * (den - num) // num) + 1, len(codes) - width + 1)
+    if size <= 0:
+        return np.zeros(0, np.int64)
+    out = codes[:size]
+    if width == 2:
+        out = (out ^ (out >> np.uint64(31))) * _MIX[1] + codes[1 : size + 1] * _MIX[2]
+    return out.astype(np.int64)
 
-def frequencies(rows: DataFrame) -> np.ndarray:
-    """The summed table: 2**SLOT_BITS floats, 4 MB."""
 
-    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(c), np.int64) for c in pdf["counts"])
-        return pd.DataFrame({"at": [pdf["at"].iloc[0]], "counts": [total.astype(np.float32).tobytes()]})
+def row_key() -> Column:
+    """128 bits that tell rows apart that are not equal in id and text."""
+    own = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit(":"), F.col("text")), F.lit("")))
+    return F.unhex(F.md5(own.cast("binary")))
 
-    size = (1 << SLOT_BITS) // PIECES
-    table = np.zeros(1 << SLOT_BITS, np.float32)
-    for r in rows.where(F.col("at").isNotNull()).select("at", "counts").groupBy("at").applyInPandas(summed, "at int, counts binary").collect():
-        table[r["at"] * size : (r["at"] + 1) * size] = np.frombuffer(r["counts"], np.float32)
-    return table
 
+def listed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """From one pass over the texts, rows of three kinds.
 
-def index_entries(docs: DataFrame, table: np.ndarray, n: int, num: int, den: int) -> DataFrame:
-    """(token, set_hash, n) for the rarest shingles of each set; equal sets of a task only once."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    ``row_key``, ``doc_id``, ``n_shingles``, ``set_id``, ``code`` for each row of ``docs`` (set_id and code,
+    its first half as a number, null without shingles); ``couple``, ``code`` for each couple of the sets of
+    a task, with the least of its sets; ``code``, ``least`` for the task's other sets of a couple.
+    """
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        make, table, seen = Shingles(n), shared.value, set()
-        for pdf in batches:
-            tokens, hashes, sizes = [], [], []
-            for text in pdf["text"]:
-                s = make(text)
-                if not len(s) or (h := digest(s)) in seen:
-                    continue
-                seen.add(h)
-                first = len(s) - needed(len(s), num, den) + 1
-                rank = np.lexsort((s, table[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]))[:first]
-                tokens.append(s[rank])
-                hashes.append(np.full(first, h))
-                sizes.append(np.full(first, len(s)))
-            if tokens:
-                yield pd.DataFrame({"token": np.concatenate(tokens).astype(np.int64), "set_hash": np.concatenate(hashes), "n": np.concatenate(sizes)})
-
-    return docs.select("text").mapInPandas(rows, "token long, set_hash long, n long")
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make, seen = Shingles(n), set()
+        codes, keys, waiting = [], [], 0
+
+        def out(size: int, **own) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(own[f.name], f.type) if f.name in own else pa.nulls(size, f.type) for f in kinds], schema=kinds)
+
+        def merged() -> Iterator[pa.RecordBatch]:
+            nonlocal codes, keys, waiting
+            if waiting:
+                key = np.concatenate(keys)
+                code = np.repeat(np.array(codes, np.int64), [len(k) for k in keys])
+                at = np.lexsort((code, key))
+                key, code = key[at], code[at]
+                first = np.concatenate([[True], key[1:] != key[:-1]])
+                least = code[first][np.cumsum(first) - 1]
+                for lo in range(0, int(first.sum()), 200_000):
+                    yield out(len(part := key[first][lo : lo + 200_000]), couple=part, code=code[first][lo : lo + 200_000])
+                pairs = np.unique(np.stack([code, least])[:, code != least], axis=1)
+                for lo in range(0, pairs.shape[1], 200_000):
+                    part = pairs[:, lo : lo + 200_000]
+                    yield out(part.shape[1], code=part[0], least=part[1])
+            codes, keys, waiting = [], [], 0
+
+        for batch in batches:
+            sizes, ids, own_codes = [], [], []
+            for text in batch["text"]:
+                s = make(text.as_py())
+                h = digest(s) if len(s) else None
+                sizes.append(len(s))
+                ids.append(h)
+                own_codes.append(h and int.from_bytes(h[:8], "little", signed=True))
+                if h and h not in seen:
+                    seen.add(h)
+                    keys.append(couples(s, num, den))
+                    codes.append(own_codes[-1])
+                    waiting += len(keys[-1])
+            yield out(len(sizes), row_key=batch["row_key"], doc_id=batch["doc_id"], n_shingles=sizes, set_id=ids, code=own_codes)
+            if waiting > MERGED:
+                yield from merged()
+        yield from merged()
+
+    id_type = docs.schema["doc_id"].dataType
+    schema = f"row_key binary, doc_id {id_type.simpleString()}, n_shingles long, set_id binary, code long, couple long, least long"
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    return docs.select(row_key().alias("row_key"), "doc_id", "text").mapInArrow(rows, schema)
 
 
 def _slices(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -184,145 +199,234 @@ def _slices(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(step)
 
 
-def link_sets(sets: list[np.ndarray], num: int, den: int, *, kept_rows: int = 8) -> list[tuple[int, int]]:
-    """Links that connect what Jaccard >= num / den connects, as (position, position) pairs."""
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    size = np.array([len(sets[i]) for i in order], np.int64)
-    doc = np.repeat(np.arange(len(order)), size)
-    _, token, times = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
-    shared = times[token] > 1
-    doc, token = doc[shared], token[shared]
-    begin = np.searchsorted(doc, np.arange(len(order) + 1))
-    by_token = np.argsort(token, kind="stable")
-    lists = doc[by_token]
-    end = np.cumsum(np.bincount(token, minlength=len(times)))
-    skip = np.concatenate([[0], end[:-1]])  # position of each list, entries before it are done with
-    root = np.arange(len(order))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        return i
-
+class Lists:
+    """Inverted lists of sets that stand in order of size, in blocks that know their first and last set."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.count = len(sets)
+        size = np.array([len(s) for s in sets], np.int64)
+        doc = np.repeat(np.arange(self.count), size)
+        _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = times[token] > 1
+        doc, token = doc[shared], token[shared]
+        begin = np.searchsorted(doc, np.arange(self.count + 1))
+        self.own = [token[begin[i] : begin[i + 1]] for i in range(self.count)]
+        self.sets = doc[np.argsort(token, kind="stable")]
+        length = np.bincount(token, minlength=len(times))
+        start = np.cumsum(length) - length
+        self.blocks = -(-length // LIST_BLOCK)
+        self.first = np.cumsum(self.blocks) - self.blocks
+        within = np.arange(self.blocks.sum()) - np.repeat(self.first, self.blocks)
+        self.start = np.repeat(start, self.blocks) + LIST_BLOCK * within
+        self.end = np.minimum(self.start + LIST_BLOCK, np.repeat(start + length, self.blocks))
+        self.least, self.most = self.sets[self.start], self.sets[self.end - 1]
+
+    def overlaps(self, tokens: np.ndarray, low: int, high: int) -> np.ndarray:
+        """How many of the tokens each set has; right for sets in [low, high), other blocks are skipped."""
+        b = _slices(self.first[tokens], self.first[tokens] + self.blocks[tokens])
+        b = b[(self.most[b] >= low) & (self.least[b] < high)]
+        return np.bincount(self.sets[_slices(self.start[b], self.end[b])], minlength=self.count)
+
+
+def link_sets(sets: list[np.ndarray], num: int, den: int, *, probe: np.ndarray | None = None, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect what Jaccard >= num / den connects, as (position, position) pairs.
+
+    Only sets in ``probe`` (a mask; without it, all) are held against the others. Sets of equal
+    ``known`` are connected already.
+    """
+    size = np.array([len(s) for s in sets], np.int64)
+    order = np.argsort(size, kind="stable")
+    size = size[order]
+    component = np.arange(len(order)) if known is None else np.unique(known, return_inverse=True)[1][order]
+    lists = Lists([sets[i] for i in order])
     links: list[tuple[int, int]] = []
-    computed: list[tuple[int, np.ndarray, np.ndarray]] = []  # set, its tokens, its overlaps
-    count = lambda t: np.bincount(lists[_slices(skip[t], end[t])], minlength=len(order))
-    for i in range(len(order)):
-        own = token[begin[i] : begin[i + 1]]
-        skip[own] += 1
-        last = int(np.searchsorted(size, size[i] * den // num, side="right"))
-        others = np.arange(i + 1, last)
+    answered: list[tuple[np.ndarray, np.ndarray, int, int]] = []  # a set's tokens, its overlaps, where they hold
+    for i in range(len(order)) if probe is None else np.flatnonzero(probe[order]):
+        own = lists.own[i]
+        low = i + 1 if probe is None else int(np.searchsorted(size, needed(int(size[i]), num, den)))
+        high = int(np.searchsorted(size, size[i] * den // num, side="right"))
+        others = low + np.flatnonzero(component[low:high] != component[i])
         if not len(others) or not len(own):
             continue
-        mine = top(i)
-        if all(top(j) == mine for j in others):
-            continue
-        like = max(computed, key=lambda c: c[2][i], default=None)
-        if like is not None and 4 * like[2][i] > 3 * max(len(own), len(like[1])):
-            row = like[2] + count(np.setdiff1d(own, like[1], assume_unique=True)) - count(np.setdiff1d(like[1], own, assume_unique=True))
-        else:
-            row = count(own)
-        computed = [*computed[-kept_rows + 1 :], (i, own, row)]
-        for j in others[overlaps_enough(row[i + 1 : last], size[i], size[i + 1 : last], num, den)].tolist():
-            a, b = top(i), top(j)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                links.append((order[i], order[j]))
+        like = max((c for c in answered if c[2] <= i < c[3] and c[2] <= low and c[3] >= high), key=lambda c: c[1][i], default=None)
+        if like is not None and 4 * like[1][i] > 3 * max(len(own), len(like[0])):
+            holds = like[2:]
+            row = like[1] + lists.overlaps(np.setdiff1d(own, like[0], assume_unique=True), *holds) - lists.overlaps(np.setdiff1d(like[0], own, assume_unique=True), *holds)
+        else:  # as far as the sets that may be derived from this one need it
+            holds = (i if probe is None else int(np.searchsorted(size, size[i] * num * num // (den * den))), int(np.searchsorted(size, size[i] * den * den // (num * num), side="right")))
+            row = lists.overlaps(own, *holds)
+        answered = [*answered[1 - KEPT :], (own, row, *holds)]
+        for j in others[overlaps_enough(row[others], size[i], size[others], num, den)].tolist():
+            if component[i] != component[j]:
+                component[component == component[j]] = component[i]
+                links.append((int(order[i]), int(order[j])))
     return links
 
 
+def united(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) replaced, within each partition, by one from each node to the least it reaches there."""
+
+    def stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        up: dict = {}
+
+        def top(x):
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up[y]
+            return x
+
+        def out() -> pd.DataFrame:
+            return pd.DataFrame([(x, top(x)) for x in list(up) if top(x) != x], columns=["a", "b"])
+
+        for pdf in batches:
+            for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):
+                a, b = top(a), top(b)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+            if len(up) > NODES:
+                yield out()
+                up = {}
+        yield out()
+
+    kind = edges.schema["a"].dataType.simpleString()
+    return edges.mapInPandas(stars, f"a {kind}, b {kind}")
+
+
 def smallest_reachable(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable over links (a, b).
 
-    Large and small star steps by turns: every node gives its larger neighbours, then its smaller ones
-    and itself, to the smallest node beside it, until each tree is a star. Rounds grow with the logarithm
-    of the nodes, also for long chains, and there are never more rows than links. Smallest neighbours are
-    settled before they are joined, so that Spark can split the rows of a large star's centre.
+    Large and small star steps by turns, each after a union-find within the partitions: every node gives
+    its larger neighbours, then its smaller ones and itself, to the smallest node beside it, until each tree
+    is a star. Rounds grow with the logarithm of the nodes, also for long chains, and there are never more
+    rows than links. Smallest neighbours are settled before they are joined, so that Spark can split the
+    rows of a large star's centre.
     """
 
-    def least_of(rows: DataFrame, of: str, what: str) -> DataFrame:
-        return settle(rows.groupBy(F.col(of).alias("at")).agg(F.min(what).alias("least")))
-
-    edges = settle(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = F.struct(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a")))
-    seen, now = None, edges.agg(mark).first()[0]
-    while seen != now:
-        below = least_of(edges, "a", "b")  # a node without a smaller neighbour is its own least
-        large = settle(edges.join(below, F.col("b") == F.col("at"), "left").select("a", F.coalesce("least", "b").alias("b")).distinct())
-        below = least_of(large, "a", "b")
+    def least_of(rows: DataFrame) -> DataFrame:
+        return settle(rows.groupBy(F.col("a").alias("at")).agg(F.min("b").alias("least")))
+
+    edges = settle(united(links.select("a", "b").where("a <> b")).distinct())
+    while True:
+        ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+        if not ends.groupBy("x").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 or below + above > 1").take(1):
+            break
+        large = edges.join(least_of(edges), F.col("b") == F.col("at"), "left").select("a", F.coalesce("least", "b").alias("b"))
+        large = settle(large.distinct())
+        below = least_of(large)
         small = large.join(below, F.col("a") == F.col("at")).where(F.col("b") != F.col("least")).select(F.col("b").alias("a"), F.col("least").alias("b"))
-        edges = settle(small.unionByName(below.select(F.col("at").alias("a"), F.col("least").alias("b"))).distinct())
-        seen, now = now, edges.agg(mark).first()[0]
+        edges = settle(united(small.unionByName(below.select(F.col("at").alias("a"), F.col("least").alias("b")))).distinct())
     centres = edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(centres)
 
 
-def places(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """(set_hash, leader, one, two): the tasks that a set is sent to. ``entries``: token, set_hash, n of
-    shingles that several sets have.
+def contents(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """``wanted`` (row_key, ...) with ``data``, the packed sets of these rows. A filter of fixed size keeps
+    all other texts out before any shuffle."""
+    bit = F.pmod(F.xxhash64("row_key"), F.lit(FILTER_BITS))
+    words = wanted.select(F.floor(bit / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
+    table = np.zeros(FILTER_BITS // 64, np.int64)
+    table[words["w"].to_numpy()] = words["m"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make, bits = Shingles(n), shared.value
+        for batch in batches:
+            at = batch["bit"].to_numpy()
+            hits = np.flatnonzero((bits[at >> 6] >> (at & 63)) & 1)
+            if len(hits):
+                part = batch.take(pa.array(hits))
+                yield pa.RecordBatch.from_arrays([part["row_key"], pa.array([packed(make(t.as_py())) for t in part["text"]], pa.binary())], names=["row_key", "data"])
+
+    keyed = docs.select(row_key().alias("row_key"), "text").select("row_key", bit.alias("bit"), "text")
+    return keyed.mapInArrow(rows, "row_key binary, data binary").join(wanted, "row_key")
 
-    Sizes fall into bands as wide as the size bound, so a set can only be linked within its band and with
-    the next one: lists are kept by band, a set is in the lists of its own and, as a guest, of the next.
-    Sets that share a list, or a chain of lists, form a candidate group. A group that fits goes to one
-    task, each set once. Of a larger group each list's leader has a task, cut into pairs of blocks.
+
+def linked(tasks: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) of set ids. ``tasks``: one, two, three (a task), set_id, data, probe, component (may be
+    null); sets that are not probes are not held against each other."""
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates(["set_id", "probe"]).sort_values(["set_id", "probe"])
+        ids, probe = pdf["set_id"].tolist(), pdf["probe"].to_numpy(bool)
+        known = np.array([c or i for c, i in zip(pdf["component"], ids, strict=True)])
+        found = link_sets([unpacked(x) for x in pdf["data"]], num, den, probe=None if probe.all() else probe, known=known) if len(pdf) > 1 else []
+        return pd.DataFrame([(ids[a], ids[b]) for a, b in found], columns=["a", "b"])
+
+    return tasks.groupBy("one", "two", "three").applyInPandas(links, "a binary, b binary")
+
+
+def in_rounds(sets: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
+    """All links of the groups that are too large for a task, given those found within their blocks.
+
+    ``sets``: label, band, part, parts, n, set_id, data. A band is as wide as the size bound, so a set
+    can only be linked within its band and with the next ones. Most of a large group hangs together
+    through some set that many resemble: of each group and band the set with most links is held against
+    all blocks first. What then is outside the group's largest component is held, block by block, against
+    all blocks of its own and the next bands; copies grow with these rests only, not with the group.
     """
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)))
-    own = F.explode(F.array(F.struct(band.alias("band"), F.lit(1).alias("own")), F.struct((band + 1).alias("band"), F.lit(0).alias("own"))))
-    banded = entries.withColumn("_b", own).select("token", "set_hash", "n", "_b.band", "_b.own")
-    lists = banded.groupBy("token", "band").agg(F.min("set_hash").alias("leader"), F.max("set_hash").alias("_last"), F.max("own").alias("_own")).where("leader <> _last and _own = 1").drop("_last", "_own")
-    members = settle(banded.join(lists, ["token", "band"]).groupBy("leader", "band", "set_hash").agg(F.max("n").alias("n")))
-    groups = smallest_reachable(members.where("leader <> set_hash").select(F.col("leader").alias("a"), F.col("set_hash").alias("b")))
-    sets = members.select("set_hash", "n").distinct().join(groups, F.col("set_hash") == F.col("node")).select("set_hash", "n", "label")
-    fits = sets.groupBy("label").agg(((F.sum("n") <= BLOCK_TOKENS) & (F.count("*") <= GROUP_SETS)).alias("fits"))
-    sets = settle(sets.join(fits, "label"))
-    zero = F.lit(0).cast("long")
-    whole = sets.where("fits").select("set_hash", F.col("label").alias("leader"), zero.alias("one"), zero.alias("two"))
-    rest = members.join(sets.where("not fits").select("set_hash"), "set_hash").withColumn("leader", F.xxhash64("leader", "band"))
-    blocks = rest.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("blocks"))
-    mine = F.pmod(F.xxhash64("set_hash", "leader"), F.col("blocks"))
-    other = F.explode(F.when(F.col("blocks") == 1, F.array(zero)).otherwise(F.array_except(F.sequence(zero, F.col("blocks") - 1), F.array("own"))))
-    cut = rest.join(blocks, "leader").withColumn("own", mine).withColumn("other", other)
-    return whole.unionByName(cut.select("set_hash", "leader", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two")))
+    near = lambda left, right: F.abs(left - right) <= 1
+    blocks = settle(sets.select("label", "band", "parts").distinct())
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+    degree = links.groupBy(F.col("a").alias("set_id")).agg(F.count("*").alias("degree"))
+    hubs = sets.join(degree, "set_id").groupBy("label", "band").agg(F.max_by(F.struct("set_id", "data"), F.struct("degree", "set_id")).alias("hub"))
+    to = hubs.withColumnRenamed("band", "own").join(blocks, "label").where(near(F.col("own"), F.col("band"))).select("label", "band", every, "hub.*", F.lit(True).alias("probe"))
+    each = sets.select("label", "band", "part", "set_id", "data", F.lit(False).alias("probe"))
+
+    def placed(rows: DataFrame, third: Column) -> DataFrame:
+        return rows.select(F.col("label").alias("one"), F.xxhash64("band", "part").alias("two"), third.alias("three"), "set_id", "data", "probe", "component")
+
+    none = F.lit(None).cast("binary")
+    links = settle(links.unionByName(linked(placed(each.unionByName(to).withColumn("component", none), F.lit(0).cast("long")), num, den)))
+    labels = smallest_reachable(links).select(F.col("node").alias("set_id"), F.col("label").alias("component"))
+    named = settle(sets.drop("data").join(labels, "set_id", "left").withColumn("component", F.coalesce("component", "set_id")))
+    counts = named.groupBy("label", "component").agg(F.count("*").alias("k"))
+    largest = counts.groupBy("label").agg(F.max_by("component", F.struct("k", "component")).alias("largest"))
+    rest = settle(named.join(largest, "label").where("component <> largest").select("label", F.col("band").alias("own"), "n", "set_id", "component"))
+    if not rest.take(1):
+        return links
+    cuts = rest.groupBy("label", "own").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("cuts"))
+    cuts = settle(cuts)
+    cut = F.pmod(F.xxhash64("set_id", F.lit(7)), F.col("cuts")).alias("cut")
+    ours = rest.join(cuts, ["label", "own"]).select("label", "own", cut, "set_id", "component").join(blocks, "label").where(near(F.col("own"), F.col("band")))
+    ours = ours.select("label", "own", "cut", "band", every, "set_id", "component", F.lit(True).alias("probe")).join(sets.select("set_id", "data"), "set_id")
+    theirs = named.join(cuts, "label").where(near(F.col("own"), F.col("band")))
+    theirs = theirs.select("label", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("cut"), "band", "part", "set_id", "component", F.lit(False).alias("probe")).join(sets.select("set_id", "data"), "set_id")
+    return settle(links.unionByName(linked(placed(ours.unionByName(theirs), F.xxhash64("own", "cut")), num, den)))
 
 
 def components(docs: DataFrame, *, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """(row_key, doc_id, n_shingles, component_id, component) for each row of ``docs``.
 
-    Sets with Jaccard >= num / den are linked. ``component`` is a number of the component, null without
+    Sets with Jaccard >= num / den are linked. ``component`` is a name of the component, null without
     shingles; ``component_id`` its smallest id.
     """
-    small_batches(docs.sparkSession)
-    rows = settle(shingled(docs, n))
-    table = frequencies(rows)
-    rows = rows.where("at is null").drop("at", "counts")
-    classes = settle(rows.where("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep")))
-    entries = settle(index_entries(docs, table, n, num, den))
-    lists = entries.groupBy("token").agg(F.min("set_hash").alias("_a"), F.max("set_hash").alias("_b")).where("_a <> _b").select("token")
-    placed = places(entries.join(lists, "token"), num, den)
-    placed = placed.join(classes, "set_hash").groupBy("rep", "set_hash").agg(F.collect_list(F.struct("leader", "one", "two")).alias("places"))
-    d, p = docs.select("doc_id", "text").alias("d"), placed.alias("p")
-    wanted = d.join(p, F.col("d.doc_id").eqNullSafe(F.col("p.rep"))).select("text", "set_hash", "places")
-
-    def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        make = Shingles(n)
-        for pdf in batches:
-            out = []
-            for text, h, places in zip(pdf["text"], pdf["set_hash"], pdf["places"], strict=True):
-                s = make(text)
-                if len(s) and digest(s) == h:
-                    data = packed(s)
-                    out += [(p["leader"], p["one"], p["two"], h, data) for p in places]
-            yield pd.DataFrame(out, columns=["leader", "one", "two", "set_hash", "data"])
-
-    def linked(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("set_hash").sort_values("set_hash")
-        h = pdf["set_hash"].tolist()
-        return pd.DataFrame([(h[a], h[b]) for a, b in link_sets([unpacked(x) for x in pdf["data"]], num, den)], columns=["a", "b"])
-
-    sets = wanted.mapInPandas(sent, "leader long, one long, two long, set_hash long, data binary")
-    links = settle(sets.groupBy("leader", "one", "two").applyInPandas(linked, "a long, b long"))
+    first, folder = stored(listed(docs, n, num, den))
+    entries = first.where("couple is not null")
+    shared = entries.select("code", F.min("code").over(Window.partitionBy("couple")).alias("least")).unionByName(first.where("least is not null").select("code", "least"))
+    edges = settle(shared.where("code <> least").select(F.col("code").alias("a"), F.col("least").alias("b")).distinct())
+    rows = settle(first.where("row_key is not null").select("row_key", "doc_id", "n_shingles", "set_id", "code"))
+    discard(folder)
+    groups = smallest_reachable(edges)
+    wanted = rows.join(groups, F.col("code") == F.col("node")).groupBy("set_id").agg(F.min("row_key").alias("row_key"), F.min("n_shingles").alias("n"), F.min("label").alias("label"))
+    wanted = settle(wanted)
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)))
+    size = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS))
+    large = wanted.groupBy("label").agg(size.alias("parts")).where("parts > 1").select("label")
+    banded = wanted.join(large, "label", "left_semi").withColumn("band", band)
+    parts = banded.groupBy("label", "band").agg(size.alias("parts"))
+    cut = banded.join(parts, ["label", "band"]).withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("parts")))
+    cut = settle(cut)
+    none = F.lit(None).cast("long")
+    whole = wanted.join(large, "label", "left_anti").withColumns({"band": none, "parts": none, "part": none})
+    sets, own = stored(contents(docs, whole.unionByName(cut), n).drop("row_key"))
+    tasks = sets.select(F.col("label").alias("one"), F.xxhash64("band", "part").alias("two"), F.lit(0).cast("long").alias("three"), "set_id", "data", F.lit(True).alias("probe"), F.lit(None).cast("binary").alias("component"))
+    links = settle(linked(tasks, num, den))
+    if cut.take(1):
+        links = in_rounds(sets.where("parts is not null"), links, num, den)
     labels = smallest_reachable(links)
-    named = classes.join(labels, F.col("set_hash") == F.col("node"), "left").select("set_hash", "rep", F.coalesce("label", "set_hash").alias("label"))
-    least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "label").select("set_hash", "component_id", F.col("label").alias("component"))
-    return rows.join(named, "set_hash", "left").select("row_key", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "component")
+    discard(own)
+    classes = rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
+    named = classes.join(labels, F.col("set_id") == F.col("node"), "left").select("set_id", "rep", F.coalesce("label", "set_id").alias("component"))
+    named = settle(named)
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = named.join(least, "component").select("set_id", "component_id", "component")
+    return rows.join(named, "set_id", "left").select("row_key", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "component")
