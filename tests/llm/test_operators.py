@@ -223,14 +223,14 @@ def test_setjoin_in_blocks(spark, monkeypatch, block, edits, length):
 
 
 @pytest.mark.parametrize("t", [(90, 100), (80, 100), (60, 100)])
-def test_sets_with_enough_overlap_share_a_couple(t):
+def test_sets_with_enough_overlap_share_a_tuple(t):
     rng = np.random.default_rng(5)
     for _ in range(3000):
         n = int(rng.integers(1, 60))
         a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
         b = np.unique(np.concatenate([a[rng.random(len(a)) > rng.random() * 0.3], rng.integers(0, 1 << 62, int(rng.integers(0, 1 + n // 3))).astype(np.uint64)]))
         if len(b) and 100 * len(np.intersect1d(a, b)) >= t[0] * len(np.union1d(a, b)) and not np.array_equal(a, b):
-            assert len(np.intersect1d(setjoin.couples(a, *t), setjoin.couples(b, *t)))
+            assert len(np.intersect1d(setjoin.tuples(a, *t), setjoin.tuples(b, *t)))
 
 
 @pytest.mark.parametrize("probes", [False, True])

@@ -3,14 +3,14 @@
 1. One pass over the texts makes each the set of its hashed n-word shingles, sorted by hash; texts with
    equal sets form one class.
 2. Two sets with Jaccard >= t differ in at most ``d = n (1 - t) / t`` shingles. Lay the shingles of both in
-   one row by hash and cut it into pairs: one of the first ``d + 1`` pairs is untouched, so both sets hold
-   these two shingles next to each other, with the first at position ``2 d`` at most. Each set is
-   therefore listed under its first ``2 d + 1`` couples of neighbours (under single shingles if
-   t < 0.8), whatever its size and however common its shingles are. Lists are merged within a task before
-   they are shuffled, so that a couple shared by very many sets is one row of each task.
+   one row by hash and cut it into tuples of w: one of the first ``d + 1`` tuples is untouched, so both sets
+   hold these shingles as neighbours, the first at position ``w d`` at most. Each set is therefore
+   listed under its first ``w d + 1`` tuples of neighbours, however common its shingles are; a list is cut
+   wherever the next set is too large for the one before. Equal tuples of sets of about one size are merged
+   within a task before they are shuffled, so one that very many sets share is few rows of each task.
 3. Sets that share a list, or a chain of lists, form a candidate group. A group that fits goes to one task,
-   each set once. A larger one is cut into blocks by size band and hash and treated in three rounds, see
-   ``in_rounds``.
+   each set once. Of a larger group each list's leader has a task; and what still is too large is cut into
+   blocks by size band and hash and treated in three rounds, see ``in_rounds``.
 4. In a task, sets stand in order of size and inverted lists are kept in blocks: a block is skipped if all
    its positions lie outside the size bound. A set whose partners are all in its component already is
    skipped; and the overlaps of a set with all others are derived from those of a highly similar set,
@@ -27,6 +27,7 @@ results.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +44,7 @@ from threadloom.llm.common import discard, settle, stored
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Sets and shingles that one task takes of a candidate group, or of each block of a larger one.
 BLOCK_SETS, BLOCK_TOKENS = 4_000, 600_000
-#: Couples that a task merges at a time, and nodes that its union-find holds.
+#: Tuples that a task merges at a time, and nodes that its union-find holds.
 MERGED, NODES = 2_000_000, 500_000
 #: Bits of the filter by which texts outside all candidate groups are passed over; fixed, so that beyond
 #: some million sets in groups it lets more texts through, which costs time but changes nothing.
@@ -111,18 +112,26 @@ def overlaps_enough(o, n, m, num: int, den: int):
     return (num + den) * o >= num * (n + m)
 
 
-def couples(codes: np.ndarray, num: int, den: int) -> np.ndarray:
+def tuples(codes: np.ndarray, num: int, den: int) -> np.ndarray:
     """Hashes of the neighbouring shingles that a set is listed under, see the module's text."""
-    width = 2 if 5 * num >= 4 * den else 1
+    width = 3 if 10 * num >= 9 * den else 2 if 10 * num >= 8 * den else 1
     size = min(width * (len(codes) * (den - num) // num) + 1, len(codes) - width + 1)
     if size <= 0:
         return np.zeros(0, np.int64)
     out = codes[:size]
-    if width == 2:
-        out = (out ^ (out >> np.uint64(31))) * _MIX[1] + codes[1 : size + 1] * _MIX[2]
+    for k in range(1, width):
+        out = (out ^ (out >> np.uint64(31))) * _MIX[1] + codes[k : k + size] * _MIX[2]
     return out.astype(np.int64)
 
 
+def coded(set_id: bytes, n: int) -> int:
+    """53 bits of a set's hash and, in the last 11, 64 times the logarithm of its size."""
+    return int.from_bytes(set_id[:8], "little", signed=True) >> 11 << 11 | int(64 * math.log2(n))
+
+
+SIZE_BITS = (1 << 11) - 1
+
+
 def row_key() -> Column:
     """128 bits that tell rows apart that are not equal in id and text."""
     own = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit(":"), F.col("text")), F.lit("")))
@@ -132,9 +141,9 @@ def row_key() -> Column:
 def listed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """From one pass over the texts, rows of three kinds.
 
-    ``row_key``, ``doc_id``, ``n_shingles``, ``set_id``, ``code`` for each row of ``docs`` (set_id and code,
-    its first half as a number, null without shingles); ``couple``, ``code`` for each couple of the sets of
-    a task, with the least of its sets; ``code``, ``least`` for the task's other sets of a couple.
+    ``row_key``, ``doc_id``, ``n_shingles``, ``set_id``, ``code`` for each row of ``docs`` (set_id and code
+    null without shingles); ``tuple``, ``code`` for each tuple and size of a task's sets, with the least of
+    them; ``code``, ``least`` for the other sets.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,12 +158,12 @@ def listed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             if waiting:
                 key = np.concatenate(keys)
                 code = np.repeat(np.array(codes, np.int64), [len(k) for k in keys])
-                at = np.lexsort((code, key))
+                at = np.lexsort((code, code & SIZE_BITS, key))
                 key, code = key[at], code[at]
-                first = np.concatenate([[True], key[1:] != key[:-1]])
+                first = np.concatenate([[True], (key[1:] != key[:-1]) | ((code[1:] ^ code[:-1]) & SIZE_BITS != 0)])
                 least = code[first][np.cumsum(first) - 1]
                 for lo in range(0, int(first.sum()), 200_000):
-                    yield out(len(part := key[first][lo : lo + 200_000]), couple=part, code=code[first][lo : lo + 200_000])
+                    yield out(len(part := key[first][lo : lo + 200_000]), tuple=part, code=code[first][lo : lo + 200_000])
                 pairs = np.unique(np.stack([code, least])[:, code != least], axis=1)
                 for lo in range(0, pairs.shape[1], 200_000):
                     part = pairs[:, lo : lo + 200_000]
@@ -168,10 +177,10 @@ def listed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 h = digest(s) if len(s) else None
                 sizes.append(len(s))
                 ids.append(h)
-                own_codes.append(h and int.from_bytes(h[:8], "little", signed=True))
+                own_codes.append(h and coded(h, len(s)))
                 if h and h not in seen:
                     seen.add(h)
-                    keys.append(couples(s, num, den))
+                    keys.append(tuples(s, num, den))
                     codes.append(own_codes[-1])
                     waiting += len(keys[-1])
             yield out(len(sizes), row_key=batch["row_key"], doc_id=batch["doc_id"], n_shingles=sizes, set_id=ids, code=own_codes)
@@ -180,7 +189,7 @@ def listed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         yield from merged()
 
     id_type = docs.schema["doc_id"].dataType
-    schema = f"row_key binary, doc_id {id_type.simpleString()}, n_shingles long, set_id binary, code long, couple long, least long"
+    schema = f"row_key binary, doc_id {id_type.simpleString()}, n_shingles long, set_id binary, code long, tuple long, least long"
     kinds = to_arrow_schema(StructType.fromDDL(schema))
     return docs.select(row_key().alias("row_key"), "doc_id", "text").mapInArrow(rows, schema)
 
@@ -367,7 +376,9 @@ def in_rounds(sets: DataFrame, links: DataFrame, num: int, den: int) -> DataFram
     blocks = settle(sets.select("label", "band", "parts").distinct())
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
     degree = links.groupBy(F.col("a").alias("set_id")).agg(F.count("*").alias("degree"))
-    hubs = sets.join(degree, "set_id").groupBy("label", "band").agg(F.max_by(F.struct("set_id", "data"), F.struct("degree", "set_id")).alias("hub"))
+    ids, data = settle(sets.drop("data")), sets.select("set_id", "data").dropDuplicates(["set_id"])
+    hubs = ids.join(degree, "set_id").groupBy("label", "band").agg(F.max_by("set_id", F.struct("degree", "set_id")).alias("set_id"))
+    hubs = stored(hubs)[0].join(data, "set_id").select("label", "band", F.struct("set_id", "data").alias("hub"))
     to = hubs.withColumnRenamed("band", "own").join(blocks, "label").where(near(F.col("own"), F.col("band"))).select("label", "band", every, "hub.*", F.lit(True).alias("probe"))
     each = sets.select("label", "band", "part", "set_id", "data", F.lit(False).alias("probe"))
 
@@ -377,7 +388,7 @@ def in_rounds(sets: DataFrame, links: DataFrame, num: int, den: int) -> DataFram
     none = F.lit(None).cast("binary")
     links = settle(links.unionByName(linked(placed(each.unionByName(to).withColumn("component", none), F.lit(0).cast("long")), num, den)))
     labels = smallest_reachable(links).select(F.col("node").alias("set_id"), F.col("label").alias("component"))
-    named = settle(sets.drop("data").join(labels, "set_id", "left").withColumn("component", F.coalesce("component", "set_id")))
+    named = settle(ids.join(labels, "set_id", "left").withColumn("component", F.coalesce("component", "set_id")))
     counts = named.groupBy("label", "component").agg(F.count("*").alias("k"))
     largest = counts.groupBy("label").agg(F.max_by("component", F.struct("k", "component")).alias("largest"))
     rest = settle(named.join(largest, "label").where("component <> largest").select("label", F.col("band").alias("own"), "n", "set_id", "component"))
@@ -387,12 +398,22 @@ def in_rounds(sets: DataFrame, links: DataFrame, num: int, den: int) -> DataFram
     cuts = settle(cuts)
     cut = F.pmod(F.xxhash64("set_id", F.lit(7)), F.col("cuts")).alias("cut")
     ours = rest.join(cuts, ["label", "own"]).select("label", "own", cut, "set_id", "component").join(blocks, "label").where(near(F.col("own"), F.col("band")))
-    ours = ours.select("label", "own", "cut", "band", every, "set_id", "component", F.lit(True).alias("probe")).join(sets.select("set_id", "data"), "set_id")
+    ours = ours.select("label", "own", "cut", "band", every, "set_id", "component", F.lit(True).alias("probe")).join(data, "set_id")
     theirs = named.join(cuts, "label").where(near(F.col("own"), F.col("band")))
-    theirs = theirs.select("label", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("cut"), "band", "part", "set_id", "component", F.lit(False).alias("probe")).join(sets.select("set_id", "data"), "set_id")
+    theirs = theirs.select("label", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("cut"), "band", "part", "set_id", "component", F.lit(False).alias("probe")).join(data, "set_id")
     return settle(links.unionByName(linked(placed(ours.unionByName(theirs), F.xxhash64("own", "cut")), num, den)))
 
 
+def led(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): each set of a list, by size, with the list's first. A list ends where the next set is too
+    large to be linked with the one before."""
+    size = F.col("code").bitwiseAND(F.lit(SIZE_BITS))
+    by = Window.partitionBy("tuple").orderBy("size", "code")
+    begins = F.coalesce(F.col("size") - F.lag("size").over(by) > math.ceil(64 * math.log2(den / num)), F.lit(True))
+    rows = entries.where("tuple is not null").select("tuple", "code", size.alias("size")).withColumn("_first", F.when(begins, F.col("code")))
+    return rows.select(F.col("code").alias("a"), F.last("_first", True).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("b")).where("a <> b")
+
+
 def components(docs: DataFrame, *, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """(row_key, doc_id, n_shingles, component_id, component) for each row of ``docs``.
 
@@ -400,30 +421,38 @@ def components(docs: DataFrame, *, n: int = 3, num: int = 90, den: int = 100) ->
     shingles; ``component_id`` its smallest id.
     """
     first, folder = stored(listed(docs, n, num, den))
-    entries = first.where("couple is not null")
-    shared = entries.select("code", F.min("code").over(Window.partitionBy("couple")).alias("least")).unionByName(first.where("least is not null").select("code", "least"))
-    edges = settle(shared.where("code <> least").select(F.col("code").alias("a"), F.col("least").alias("b")).distinct())
+    merged, leaders = first.where("least is not null").select(F.col("code").alias("a"), F.col("least").alias("b")), led(first, num, den)
     rows = settle(first.where("row_key is not null").select("row_key", "doc_id", "n_shingles", "set_id", "code"))
+    merged, leaders = settle(merged.distinct()), settle(leaders.distinct())
     discard(folder)
-    groups = smallest_reachable(edges)
-    wanted = rows.join(groups, F.col("code") == F.col("node")).groupBy("set_id").agg(F.min("row_key").alias("row_key"), F.min("n_shingles").alias("n"), F.min("label").alias("label"))
+    groups = smallest_reachable(merged.unionByName(leaders))
+    wanted = rows.join(groups, F.col("code") == F.col("node")).groupBy("set_id").agg(F.min("row_key").alias("row_key"), F.min("n_shingles").alias("n"), F.min("code").alias("code"), F.min("label").alias("label"))
     wanted = settle(wanted)
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)))
-    size = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS))
-    large = wanted.groupBy("label").agg(size.alias("parts")).where("parts > 1").select("label")
-    banded = wanted.join(large, "label", "left_semi").withColumn("band", band)
-    parts = banded.groupBy("label", "band").agg(size.alias("parts"))
-    cut = banded.join(parts, ["label", "band"]).withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("parts")))
-    cut = settle(cut)
+    size = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("parts")
+
+    def split(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members of groups that fit, and of others."""
+        large = members.groupBy("label").agg(size).where("parts > 1").select("label")
+        return members.join(large, "label", "left_anti"), members.join(large, "label", "left_semi")
+
     none = F.lit(None).cast("long")
-    whole = wanted.join(large, "label", "left_anti").withColumns({"band": none, "parts": none, "part": none})
-    sets, own = stored(contents(docs, whole.unionByName(cut), n).drop("row_key"))
-    tasks = sets.select(F.col("label").alias("one"), F.xxhash64("band", "part").alias("two"), F.lit(0).cast("long").alias("three"), "set_id", "data", F.lit(True).alias("probe"), F.lit(None).cast("binary").alias("component"))
+    whole, rest = split(wanted)
+    if rest.take(1):
+        own = leaders.unionByName(merged).unionByName(merged.join(leaders.toDF("_b", "_led"), F.col("b") == F.col("_b")).select("a", F.col("_led").alias("b")))
+        own = own.unionByName(own.select(F.col("b").alias("a"), "b")).distinct().select(F.col("a").alias("code"), F.col("b").alias("_led"))
+        lists, rest = split(settle(rest.join(own, "code").withColumn("label", F.col("_led")).drop("_led").distinct()))
+        whole = whole.unionByName(lists)
+    banded = rest.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))))
+    cut = banded.join(banded.groupBy("label", "band").agg(size), ["label", "band"]).withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("parts")))
+    cut = settle(cut)
+    placed = whole.withColumns({"band": none, "parts": none, "part": none}).unionByName(cut)
+    tasks = contents(docs, placed, n).select(F.col("label").alias("one"), F.xxhash64("band", "part").alias("two"), F.lit(0).cast("long").alias("three"), "set_id", "data", F.lit(True).alias("probe"), F.lit(None).cast("binary").alias("component"))
     links = settle(linked(tasks, num, den))
     if cut.take(1):
-        links = in_rounds(sets.where("parts is not null"), links, num, den)
+        sets, own = stored(contents(docs, cut, n).drop("row_key"))
+        links = in_rounds(sets, links, num, den)
+        discard(own)
     labels = smallest_reachable(links)
-    discard(own)
     classes = rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     named = classes.join(labels, F.col("set_id") == F.col("node"), "left").select("set_id", "rep", F.coalesce("label", "set_id").alias("component"))
     named = settle(named)
