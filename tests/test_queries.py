@@ -8,8 +8,9 @@ import sys
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from threadloom import queries as core
+from threadloom import queries_agent as core
 
 SF = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -44,10 +45,41 @@ def test_same_rows_as_sql(spark, duck, name):
     assert sorted(str([plain(v) for v in row]) for row in df.select(*columns).collect()) == want
 
 
-@pytest.mark.parametrize("name", sorted(set(core.QUERIES) - set(core.SQL)))
-def test_runs(spark, name):
-    df = core.QUERIES[name](spark, SF)
-    assert df.columns and df.count() >= 0
+def test_excerpt_budget_against_a_plain_fold(spark):
+    from threadloom.functions import text
+    from threadloom.sources import adapters
+
+    rows = adapters.messages(spark, SF)
+    lengths = {}
+    for r in rows.select("session_id", "ordinal", F.char_length(text.excerpt(F.col("content"))).alias("n")).orderBy("ordinal").collect():
+        lengths.setdefault(r.session_id, []).append((r.ordinal, r.n))
+    want = {}
+    for session, own in lengths.items():
+        kept, chars = [], 0
+        for ordinal, n in own:
+            if len(kept) < 6 and chars + n <= 900:
+                kept.append(ordinal)
+                chars += n
+        want[session] = (kept, chars)
+    assert {r.session_id: (r.kept, r.chars) for r in core.QUERIES["excerpt_budget"](spark, SF).collect()} == want
+    assert any(len(k) < len(lengths[s]) for s, (k, _) in want.items())
+
+
+def test_summary_demotion_against_a_plain_loop(spark):
+    blocks = {}
+    out = core.QUERIES["summary_demotion"](spark, SF).collect()
+    for r in out:
+        blocks.setdefault(r.session_id, []).append((r.block_id, (r.full_tokens, r.compact_tokens, r.archived_tokens, 0), r.tier))
+    names = ("full", "compact", "archived", "dropped")
+    for own in blocks.values():
+        own.sort()
+        n = len(own)
+        level = [0 if n - i <= 4 else 1 if n - i <= 12 else 2 for i in range(n)]
+        while sum(own[i][1][level[i]] for i in range(n)) > 1500 and min(level) < 3:
+            least = min(level)
+            level[level.index(least)] += 1
+        assert [b[2] for b in own] == [names[k] for k in level]
+    assert len({r.tier for r in out}) > 2
 
 
 def test_imports_without_the_optional_subpackage(tmp_path):

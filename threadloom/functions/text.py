@@ -29,9 +29,38 @@ def line_count(s: Column) -> Column:
 
 
 def first_sentence(s: Column, most: int = 200) -> Column:
-    """Up to the first sentence end within ``most`` characters, else that many characters."""
-    found = F.regexp_extract(s, r"^([\s\S]{0,%d}?[.!?])(?=\s|$)" % most, 1)
-    return F.when(found != "", found).otherwise(F.substring(s, 1, most))
+    """On one line, up to the first sentence end after at most ``most`` characters, else that many."""
+    line = normalize_inline(s)
+    found = F.regexp_extract(line, r"^(.{0,%d}?[.!?])(\s|$)" % most, 1)
+    return F.when(found != "", found).otherwise(F.substring(line, 1, most))
+
+
+def plain_text(parts: Column) -> Column:
+    """The texts of parts, a line each."""
+    return F.array_join(F.filter(F.transform(parts, lambda p: p["text"]), lambda t: t.isNotNull()), "\n")
+
+
+def spoken_text(parts: Column) -> Column:
+    """Of each part its text, else its input, those that aren't empty, on one line."""
+    own = F.transform(parts, lambda p: F.coalesce(p["text"], p["input"]))
+    return F.array_join(F.filter(own, lambda t: t.isNotNull() & (t != "")), " ")
+
+
+def labelled_text(parts: Column) -> Column:
+    """Parts with what they are: thoughts, calls with their arguments, images and others by type alone."""
+
+    def one(p: Column) -> Column:
+        call = F.concat(F.lit("[toolCall "), F.coalesce(p["name"], F.lit("unknown")), F.when(F.coalesce(p["id"], F.lit("")) != "", F.concat(F.lit(" "), p["id"])).otherwise(""), F.lit(" "), truncate(normalize_inline(F.coalesce(p["arguments"], F.lit("{}"))), 240), F.lit("]"))
+        thought = F.concat(F.lit("[thinking] "), p["text"])
+        return F.when((p["type"] == "text") & p["text"].isNotNull(), p["text"]).when((p["type"] == "thinking") & p["text"].isNotNull(), thought).when(p["type"] == "toolCall", call).when(p["type"].isNotNull(), F.concat(F.lit("["), p["type"], F.lit("]")))
+
+    return F.array_join(F.filter(F.transform(parts, one), lambda t: t.isNotNull()), " ")
+
+
+def listed(ids: Column, most: int) -> Column:
+    """The first ``most`` ids, and how many more there are."""
+    more = F.size(ids) - most
+    return F.concat(F.array_join(F.slice(ids, 1, most), ", "), F.when(more > 0, F.concat(F.lit(" (+"), more.cast("string"), F.lit(" more)"))).otherwise(""))
 
 
 def escape_attribute(s: Column) -> Column:

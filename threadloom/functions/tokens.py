@@ -17,8 +17,9 @@ def estimate(s: Column) -> Column:
 
 
 def part_estimate(part: Column) -> Column:
-    """A part counts its text, else its thinking, else its input; images are flat."""
-    return F.when(part["type"] == "image", F.lit(IMAGE_TOKENS).cast("long")).otherwise(estimate(F.coalesce(part["text"], part["thinking"], part["input"])))
+    """A part counts its text, else its thinking, else its input, else, if it is an image, a flat number."""
+    own = F.coalesce(part["text"], part["thinking"], part["input"])
+    return F.when(own.isNull() & (part["type"] == "image"), F.lit(IMAGE_TOKENS).cast("long")).otherwise(estimate(own))
 
 
 def message_estimate(content: Column, parts: Column) -> Column:
@@ -51,6 +52,27 @@ def clamp_ratio(r: Column) -> Column:
     return F.when(r.isNull() | F.isnan(r) | (F.abs(r) == float("inf")), 0.0).otherwise(F.least(F.greatest(r, F.lit(0.0)), F.lit(1.0)))
 
 
+def short_number(n: Column) -> Column:
+    """950, 1.5k, 15k, 1.5M: one place below ten, none from ten on, without a zero at the end."""
+
+    def scaled(unit: int, letter: str) -> Column:
+        tenths = F.floor((n * 10 + unit / 2) / unit).cast("long")
+        one = F.regexp_replace(F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string")), r"\.0$", "")
+        return F.concat(F.when(n >= 10 * unit, F.floor((n + unit / 2) / unit).cast("string")).otherwise(one), F.lit(letter))
+
+    return F.when(n >= 1_000_000, scaled(1_000_000, "M")).when(n >= 1_000, scaled(1_000, "k")).otherwise(n.cast("string"))
+
+
+def truncate_by_tokens(s: Column, most: int) -> Column:
+    """Of a text with more than ``most`` tokens, as large a share of its head, and a note on the rest."""
+    from threadloom.functions.text import SPACE
+
+    total = estimate(s)
+    head = F.regexp_replace(s.substr(F.lit(1), F.floor(F.char_length(s) * (most / total)).cast("int")), SPACE + "+$", "")
+    note = F.concat(head, F.lit("\n[truncated ~"), (total - estimate(head)).cast("string"), F.lit(" tokens of previous summary]"))
+    return F.when((total > most) & F.lit(most > 0), note).otherwise(s)
+
+
 def compact_number(n: Column) -> Column:
     """999, 1.8k, 269k, 1.012M, 1M: one place below a hundred thousand, three from a million on, without
     zeros at the end. Halves go up (in integers: no binary fractions are involved)."""

@@ -9,12 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.sources.folders import shared_folder
+
 
 def ancestors(nodes: DataFrame, rounds: int = 20) -> DataFrame:
     """(session_id, id, depth, root) by pointer doubling; ``nodes``: session_id, id, parent_id.
 
     Entries on a cycle or deeper than 2**rounds come back without a root.
     """
+    shared_folder(nodes.sparkSession)
     known = nodes.select("session_id", F.col("id").alias("parent_id")).withColumn("_known", F.lit(True))
     start = nodes.join(known, ["session_id", "parent_id"], "left")
     at = start.select("session_id", "id", F.when(F.col("_known"), F.col("parent_id")).alias("up"), F.when(F.col("_known"), 1).otherwise(0).cast("long").alias("depth"), F.when(F.col("_known").isNull(), F.col("id")).alias("root"))
@@ -31,21 +34,56 @@ def leaves(nodes: DataFrame) -> DataFrame:
     return nodes.join(nodes.select("session_id", F.col("parent_id").alias("id")).where("id is not null").distinct(), ["session_id", "id"], "left_anti").select("session_id", "id")
 
 
-def branch_entries(nodes: DataFrame, limit: int = 10_000) -> DataFrame:
-    """(session_id, branch_id, id, depth): each leaf's path from the root, depth 0 at the root.
+def lineage(nodes: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(session_id, id, ancestor, distance): each entry of ``of`` (all by default) with all its ancestors,
+    itself at distance 0. On a cycle it ends before the first entry that comes again.
 
-    Paths of one session are walked together, a level a round, so rounds are the longest path; sessions
-    whose entries have no ids are one flat branch in order of place.
+    Round k joins the ancestors known within 2**k steps with the entry 2**k steps above each, so rounds
+    are the logarithm of the longest path.
     """
-    flat = nodes.where("id is null").select("session_id", F.lit(None).cast("string").alias("branch_id"), F.lit(None).cast("string").alias("id"), (F.row_number().over(Window.partitionBy("session_id").orderBy("pos")) - 1).cast("long").alias("depth"))
+    shared_folder(nodes.sparkSession)
     named = nodes.where("id is not null").select("session_id", "id", "parent_id")
-    front = leaves(named).join(named, ["session_id", "id"]).select("session_id", F.col("id").alias("branch_id"), "id", "parent_id")
-    out = front.withColumn("back", F.lit(0).cast("long"))
-    parents = named.select("session_id", F.col("id").alias("parent_id"), F.col("parent_id").alias("_next"))
-    for k in range(1, limit):
-        front = front.join(parents, ["session_id", "parent_id"]).select("session_id", "branch_id", F.col("parent_id").alias("id"), F.col("_next").alias("parent_id")).checkpoint()
-        if not front.take(1):
-            break
-        out = out.unionByName(front.withColumn("back", F.lit(k).cast("long")))
-    longest = Window.partitionBy("session_id", "branch_id")
-    return out.select("session_id", "branch_id", "id", (F.max("back").over(longest) - F.col("back")).alias("depth")).unionByName(flat)
+    there = named.select("session_id", F.col("id").alias("parent_id"))
+    jump = named.join(there, ["session_id", "parent_id"]).select("session_id", F.col("id").alias("ancestor"), F.col("parent_id").alias("above")).where("ancestor <> above").distinct()
+    out = (named if of is None else of).select("session_id", "id", F.col("id").alias("ancestor"), F.lit(0).cast("long").alias("distance"))
+    step = 1
+    while True:
+        grown = out.join(jump, ["session_id", "ancestor"]).select("session_id", "id", F.col("above").alias("ancestor"), (F.col("distance") + step).alias("distance")).checkpoint()
+        fresh = grown.join(out.select("session_id", "id", "ancestor"), ["session_id", "id", "ancestor"], "left_anti").groupBy("session_id", "id", "ancestor").agg(F.min("distance").alias("distance")).checkpoint()
+        if not fresh.take(1):
+            return out
+        out = out.unionByName(fresh).checkpoint()
+        jump = jump.alias("a").join(jump.alias("b"), (F.col("a.session_id") == F.col("b.session_id")) & (F.col("a.above") == F.col("b.ancestor"))).select("a.session_id", "a.ancestor", "b.above").checkpoint()
+        step *= 2
+
+
+def branch_entries(nodes: DataFrame) -> DataFrame:
+    """(session_id, branch_id, id, depth): each leaf's path from the root, depth 0 at the root. Sessions
+    whose entries have no ids are one flat branch in order of place."""
+    flat = nodes.where("id is null").select("session_id", F.lit(None).cast("string").alias("branch_id"), F.lit(None).cast("string").alias("id"), (F.row_number().over(Window.partitionBy("session_id").orderBy("pos")) - 1).cast("long").alias("depth"))
+    named = nodes.where("id is not null")
+    up = lineage(named, leaves(named.select("session_id", "id", "parent_id")))
+    longest = Window.partitionBy("session_id", "id")
+    paths = up.select("session_id", F.col("id").alias("branch_id"), F.col("ancestor").alias("id"), (F.max("distance").over(longest) - F.col("distance")).alias("depth"))
+    return paths.unionByName(flat)
+
+
+def nearest_marked(nodes: DataFrame, marked: DataFrame) -> DataFrame:
+    """(session_id, id, ancestor): the nearest proper ancestor of each entry of ``marked`` that is marked
+    too and came before it. ``nodes``: session_id, id, parent_id; ``marked``: session_id, id, pos."""
+    up = lineage(nodes, marked.select("session_id", "id")).where("distance > 0")
+    held = up.join(marked.select("session_id", "id", F.col("pos").alias("_own")), ["session_id", "id"]).join(marked.select("session_id", F.col("id").alias("ancestor"), F.col("pos").alias("_pos")), ["session_id", "ancestor"])
+    return held.where("_pos < _own").groupBy("session_id", "id").agg(F.min_by("ancestor", "distance").alias("ancestor"))
+
+
+def replayable(entries: DataFrame) -> DataFrame:
+    """(session_id, branch_id, replayable): whether a branch has a successful compress result or a
+    compaction made of blocks. ``entries``: session_id, branch_id, type, role, tool_name, is_error,
+    compaction_source, represented (array of block ids)."""
+    done = (F.col("type") == "message") & (F.col("role") == "toolResult") & (F.col("tool_name") == "compress") & ~F.coalesce("is_error", F.lit(False))
+    native = (F.col("type") == "compaction") & (F.col("compaction_source") == NATIVE_SOURCE) & (F.size("represented") > 0)
+    return entries.groupBy("session_id", "branch_id").agg(F.bool_or(F.coalesce(done, F.lit(False)) | F.coalesce(native, F.lit(False))).alias("replayable"))
+
+
+#: Fixed value: what marks a compaction made of blocks.
+NATIVE_SOURCE = "dcp-native-compaction"

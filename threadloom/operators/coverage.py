@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import normalize_inline, truncate
+from threadloom.functions.text import normalize_inline, strip_metadata, truncate
 from threadloom.functions.tokens import estimate
+from threadloom.sources.folders import shared_folder
 
 #: Sizes of rendered blocks.
 COMPACT_CHARS, MINIMAL_CHARS, LOG_LINES, LOG_CHARS = 640, 240, 96, 800
@@ -48,8 +49,8 @@ def detail_levels(blocks: DataFrame, full: int = 4, compact: int = 8) -> DataFra
 
 
 def log_line(entry: Column) -> Column:
-    prefix = F.when(entry["kind"] == "user", "u: ").when(entry["kind"] == "assistant", "a: ").when(entry["kind"] == "command", "cmd: ").otherwise(F.concat(entry["kind"], F.lit(": ")))
-    return truncate(normalize_inline(F.concat(prefix, entry["text"])), LOG_CHARS)
+    prefix = F.when(entry["kind"] == "user_excerpt", "u: ").when(entry["kind"] == "assistant_excerpt", "a: ").when(entry["kind"] == "command", "cmd: ").otherwise(F.concat(entry["kind"], F.lit(": ")))
+    return F.concat(prefix, truncate(normalize_inline(strip_metadata(entry["text"])), LOG_CHARS))
 
 
 def rendered(topic: Column, summary: Column, detail: Column, activity_log: Column | None = None) -> Column:
@@ -106,20 +107,36 @@ def anchors(ranges: DataFrame, refs: DataFrame) -> DataFrame:
     return after.select("session_id", "range_id", F.coalesce("_key", F.concat(F.lit("tail:"), F.col("end_key"))).alias("anchor"))
 
 
-def closed_forward(rows: DataFrame, ranges: DataFrame) -> DataFrame:
-    """The end of each range moved over following passthrough rows and results of calls in the range.
+def closed(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Ranges widened so that no call is parted from its results.
 
-    ``rows``: session_id, ordinal, role, calls, tool_call_id; ``ranges``: session_id, range_id, lo, hi.
-    Absorbed rows call nothing, so one step is enough: up to the first row that can't be absorbed.
+    Backward: if the row before the range, results and passthrough rows left out, is an assistant with a
+    call whose result lies in the range, the range begins with it; this repeats as long as a range moves.
+    Forward: following results of calls in the range and passthrough rows are taken in. ``rows``:
+    session_id, ordinal, role, calls, tool_call_id; ``ranges``: session_id, range_id, lo, hi. All joins are
+    by equality: rows that can be taken in stand in one run after a row that can't.
     """
-    joined = rows.join(ranges, "session_id")
-    inside = F.col("ordinal").between(F.col("lo"), F.col("hi"))
-    by = Window.partitionBy("session_id", "range_id")
-    ids = F.flatten(F.collect_list(F.when(inside, F.coalesce("calls", F.array().cast("array<string>")))).over(by))
-    absorbed = F.col("role").isin("compaction", "branch_summary", "custom_message") | F.coalesce(F.array_contains("_ids", F.col("tool_call_id")), F.lit(False))
-    stop = F.min(F.when((F.col("ordinal") > F.col("hi")) & ~absorbed, F.col("ordinal")))
-    out = joined.withColumn("_ids", ids).groupBy("session_id", "range_id", "lo", "hi").agg(stop.alias("_stop"), F.max("ordinal").alias("_end"))
-    return out.select("session_id", "range_id", "lo", F.coalesce(F.col("_stop") - 1, "_end").alias("hi"))
+    shared_folder(rows.sparkSession)
+    result, soft = F.col("role").isin("toolResult", "bashExecution"), F.col("role").isin("toolResult", "bashExecution", "compaction", "branch_summary", "custom_message")
+    upto = Window.partitionBy("session_id").orderBy("ordinal")
+    solid = F.when(~soft, F.struct("ordinal", "role"))
+    placed = rows.withColumns({"_run": F.last(F.when(~soft, F.col("ordinal")), True).over(upto), "_head": F.last(solid, True).over(upto.rowsBetween(Window.unboundedPreceding, -1))})
+    calls = rows.where("role = 'assistant'").select("session_id", F.col("ordinal").alias("at"), F.explode("calls").alias("call_id"))
+    results = rows.where(result & F.col("tool_call_id").isNotNull()).select("session_id", F.col("ordinal").alias("answered"), F.col("tool_call_id").alias("call_id"))
+    pairs = calls.join(results, ["session_id", "call_id"]).select("session_id", "at", "answered")
+    heads = placed.where("_head.role = 'assistant'").select("session_id", F.col("ordinal").alias("lo"), F.col("_head.ordinal").alias("at"))
+    while True:
+        wider = ranges.join(heads, ["session_id", "lo"]).join(pairs, ["session_id", "at"]).where(F.col("answered").between(F.col("lo"), F.col("hi"))).groupBy("session_id", "range_id").agg(F.min("at").alias("_lo")).checkpoint()
+        if not wider.take(1):
+            break
+        ranges = ranges.join(wider, ["session_id", "range_id"], "left").select("session_id", "range_id", F.coalesce("_lo", "lo").alias("lo"), "hi").checkpoint()
+    run = placed.select("session_id", F.col("ordinal").alias("hi"), F.coalesce("_run", F.lit(-1)).alias("_run"))
+    after = placed.where(soft).select("session_id", F.coalesce("_run", F.lit(-1)).alias("_run"), F.col("ordinal").alias("_next"), result.alias("_result"))
+    near = ranges.join(run, ["session_id", "hi"]).join(after, ["session_id", "_run"]).where("_next > hi")
+    own = pairs.select("session_id", F.col("answered").alias("_next"), F.col("at").alias("_at"))
+    near = near.join(own, ["session_id", "_next"], "left").groupBy("session_id", "range_id", "hi", "_next").agg(F.bool_or(~F.col("_result") | F.coalesce(F.col("_at").between(F.col("lo"), F.col("hi")), F.lit(False))).alias("_ours"))
+    ends = near.groupBy("session_id", "range_id").agg(F.min(F.when(~F.col("_ours"), F.col("_next"))).alias("_stop"), F.max("_next").alias("_last"))
+    return ranges.join(ends, ["session_id", "range_id"], "left").select("session_id", "range_id", "lo", F.coalesce(F.col("_stop") - 1, "_last", "hi").alias("hi"))
 
 
 def candidate_ranges(spans_: DataFrame, top: int = 10) -> DataFrame:

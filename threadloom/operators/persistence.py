@@ -12,18 +12,17 @@ def material_key(v: Column) -> Column:
 
 
 def schema_kind(v: Column) -> Column:
-    """restored-v5, restored-v1, reset-legacy-v4, scalar-legacy (v2), scalar-v3, unchanged or unknown."""
+    """restored-v5, restored-v1, reset-legacy-v4, scalar-v3 or unchanged; scalar-legacy for all the rest."""
     version = F.try_variant_get(v, "$.schemaVersion", "int")
     has = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")).startswith("ARRAY"), F.lit(False))
     blocks, old = has("$.blocks"), has("$.compressionBlocks")
     return (
         F.when(F.try_variant_get(v, "$.unchanged", "boolean"), "unchanged")
-        .when((version >= 5) & blocks, "restored-v5")
+        .when((version == 5) & blocks, "restored-v5")
         .when((version.isNull() | (version == 1)) & old, "restored-v1")
         .when(version == 4, "reset-legacy-v4")
         .when(version == 3, "scalar-v3")
-        .when(version == 2, "scalar-legacy")
-        .otherwise("unknown")
+        .otherwise("scalar-legacy")
     )
 
 
@@ -78,3 +77,62 @@ def differences(one: DataFrame, other: DataFrame, key: str, columns: list[str])
     both = a.join(b, F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")), "full")
     unlike = F.array_compact(F.array(*(F.when(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), c) for c in columns)))
     return both.select(F.coalesce(f"a.{key}", f"b.{key}").alias(key), unlike.alias("differs")).where(F.size("differs") > 0)
+
+
+def serialized_v1(state: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(session_id, payload): the first format, with all blocks in compressionBlocks. ``state`` as for
+    ``serialized``, with total_prunes."""
+    row = F.struct(*(F.col(c) for c in blocks.columns if c != "session_id"))
+    held = slimmed(blocks).groupBy("session_id").agg(F.array_sort(F.collect_list(row)).alias("compressionBlocks"))
+    out = state.join(held, "session_id", "left").withColumn("compressionBlocks", F.coalesce("compressionBlocks", F.array().cast(held.schema["compressionBlocks"].dataType)))
+    body = F.struct(F.lit(1).alias("schemaVersion"), "compressionBlocks", F.col("next_block_id").alias("nextBlockId"), F.array_sort("pruned_tool_ids").alias("prunedToolIds"), F.col("tokens_saved").alias("tokensSaved"), F.col("total_prunes").alias("totalPruneCount"), F.col("current_turn").alias("currentTurn"), F.col("last_nudge_turn").alias("lastNudgeTurn"), F.col("last_compress_turn").alias("lastCompressTurn"))
+    return out.select("session_id", F.to_json(body).alias("payload"))
+
+
+def marked_by_ancestor(snapshots: DataFrame, nearest: DataFrame) -> DataFrame:
+    """Snapshots equal, but for their time, to that of their nearest ancestor become markers. ``nearest``:
+    (session_id, id, ancestor) of ``branches.nearest_marked``; ``snapshots``: session_id, id, pos, v."""
+    keyed = snapshots.withColumn("_key", material_key(F.col("v")))
+    above = nearest.join(keyed.select("session_id", F.col("id").alias("ancestor"), F.col("_key").alias("_above")), ["session_id", "ancestor"]).select("session_id", "id", "_above")
+    rows = keyed.join(above, ["session_id", "id"], "left").withColumn("is_marker", F.coalesce(F.col("_key") == F.col("_above"), F.lit(False)))
+    marker = F.to_json(F.struct(F.try_variant_get("v", "$.schemaVersion", "int").alias("schemaVersion"), F.lit(True).alias("unchanged")))
+    return rows.withColumn("payload", F.when(F.col("is_marker"), marker).otherwise(F.to_json("v"))).drop("_key", "_above")
+
+
+def repaired(blocks: DataFrame, branch_native: DataFrame, all_native: DataFrame, history: DataFrame) -> DataFrame:
+    """Blocks that a compaction outside the branch switched off, as they last were on the branch.
+
+    ``blocks``, ``history``: session_id, block_id, active and more, history also pos of the snapshot on
+    the branch; ``branch_native``, ``all_native``: session_id, block_id of compacted blocks. Adds repaired.
+    """
+    key = ["session_id", "block_id"]
+    off = all_native.select(*key).distinct().join(branch_native.select(*key), key, "left_anti")
+    wanted = blocks.where("not active").join(off, key, "left_semi").select(*key)
+    held = [c for c in blocks.columns if c not in key]
+    last = history.where("active").join(wanted, key, "left_semi").groupBy(*key).agg(F.max_by(F.struct(*held), "pos").alias("_old"))
+    out = blocks.join(last, key, "left")
+    return out.select(*key, *(F.when(F.col("_old").isNotNull(), F.col(f"_old.{c}")).otherwise(F.col(c)).alias(c) for c in held), F.col("_old").isNotNull().alias("repaired"))
+
+
+def watermarks(state: DataFrame, native: DataFrame) -> DataFrame:
+    """Turns of the last reminder and summary, set back to -1 in sessions whose branch has a compaction made
+    of blocks. ``native``: session_id."""
+    out = state.join(native.select("session_id").distinct().withColumn("_n", F.lit(True)), "session_id", "left")
+    stale = F.col("_n").isNotNull() & ((F.col("last_compress_turn") > 0) | (F.col("last_nudge_turn") > 0))
+    return out.withColumns({c: F.when(stale, -1).otherwise(F.col(c)) for c in ("last_compress_turn", "last_nudge_turn")}).drop("_n")
+
+
+def restored_scalars(snapshots: DataFrame) -> DataFrame:
+    """(session_id, next_block_id, tokens_saved, n_blocks) that a session's last snapshot restores to.
+
+    Blocks without a whole id or a topic are dropped; the next id is the one given, else one more than the
+    largest; tokens saved are those given in the first format, of active blocks from the fourth on.
+    """
+    block = "struct<id:double,topic:string,active:boolean,savedTokenEstimate:double>"
+    last = latest_snapshot(snapshots).withColumn("v", F.parse_json("snapshot"))
+    held = F.coalesce(F.from_json(F.get_json_object("snapshot", "$.blocks"), f"array<{block}>"), F.from_json(F.get_json_object("snapshot", "$.compressionBlocks"), f"array<{block}>"), F.array().cast(f"array<{block}>"))
+    rows = last.withColumn("_b", F.filter(held, lambda b: b["id"].isNotNull() & b["topic"].isNotNull()))
+    active = F.aggregate(F.filter("_b", lambda b: b["active"]), F.lit(0.0), lambda t, b: t + F.coalesce(b["savedTokenEstimate"], F.lit(0.0)))
+    saved = F.when(F.col("kind").isin("restored-v5", "reset-legacy-v4"), active).otherwise(F.coalesce(F.try_variant_get("v", "$.tokensSaved", "double"), F.lit(0.0)))
+    following = F.coalesce(F.try_variant_get("v", "$.nextBlockId", "long"), (F.array_max(F.transform("_b", lambda b: b["id"])) + 1).cast("long"), F.lit(1).cast("long"))
+    return rows.select("session_id", following.alias("next_block_id"), saved.cast("long").alias("tokens_saved"), F.size("_b").alias("n_blocks"))

@@ -56,30 +56,28 @@ def prune_log(log: DataFrame, *, cadence: int = 1, error_turns: int = 4, dedup:
 
 
 def orphan_results(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """Results whose call is not there. Results without a call id are no orphans."""
-    return results.where("call_id is not null").join(calls.select("call_id"), "call_id", "left_anti")
+    """Results whose call is not in their session. Results without a call id are no orphans."""
+    return results.where("call_id is not null").join(calls.select("session_id", "call_id"), ["session_id", "call_id"], "left_anti")
 
 
 def orphan_calls(calls: DataFrame, results: DataFrame) -> DataFrame:
-    return calls.join(results.select("call_id"), "call_id", "left_anti")
+    return calls.join(results.select("session_id", "call_id"), ["session_id", "call_id"], "left_anti")
 
 
 def without_orphans(rows: DataFrame) -> DataFrame:
-    """Rows with results without call removed and call parts without result stripped.
+    """Rows with results without call removed, and assistants' call parts without result stripped.
 
-    Both look at the rows as they came. ``rows``: session_id, role, tool_call_id, parts. Rows of
-    assistants that are left without any part go too.
+    Both look at the rows as they came. ``rows``: session_id, ordinal, role, tool_call_id, parts. An
+    assistant that is left without any part stays, with none. Calls and results meet by session and id.
     """
-    call = F.filter("parts", lambda p: p["type"] == "toolCall")
-    by = Window.partitionBy("session_id")
-    called = F.flatten(F.collect_set(F.transform(call, lambda p: p["id"])).over(by))
-    answered = F.collect_set("tool_call_id").over(by)
-    seen = rows.withColumns({"_called": F.coalesce(called, F.array().cast("array<string>")), "_answered": answered})
-    orphan = F.col("role").isin("toolResult", "bashExecution") & F.col("tool_call_id").isNotNull() & ~F.array_contains("_called", F.col("tool_call_id"))
-    kept = F.filter("parts", lambda p: (p["type"] != "toolCall") | F.array_contains(F.col("_answered"), p["id"]))
-    seen = seen.where(~F.coalesce(orphan, F.lit(False))).withColumn("_kept", kept)
-    emptied = (F.size("parts") > 0) & (F.size("_kept") == 0)
-    return seen.where(~F.coalesce(emptied, F.lit(False))).withColumn("parts", F.col("_kept")).drop("_called", "_answered", "_kept")
+    called = rows.where("role = 'assistant'").select("session_id", F.explode(F.filter("parts", lambda p: p["type"] == "toolCall")).alias("p")).select("session_id", F.col("p.id").alias("tool_call_id")).distinct().withColumn("_called", F.lit(True))
+    answers = rows.where(F.col("role").isin("toolResult", "bashExecution") & F.col("tool_call_id").isNotNull()).select("session_id", F.col("tool_call_id").alias("id")).distinct()
+    asked = rows.where("role = 'assistant'").select("session_id", "ordinal", F.explode(F.filter("parts", lambda p: p["type"] == "toolCall")["id"]).alias("id"))
+    lost = asked.join(answers, ["session_id", "id"], "left_anti").groupBy("session_id", "ordinal").agg(F.collect_set("id").alias("_lost"))
+    kept = rows.join(called, ["session_id", "tool_call_id"], "left").where(~F.col("role").isin("toolResult", "bashExecution") | F.col("tool_call_id").isNull() | F.col("_called"))
+    kept = kept.join(lost, ["session_id", "ordinal"], "left")
+    parts = F.filter("parts", lambda p: (p["type"] != "toolCall") | p["id"].isNull() | ~F.array_contains("_lost", p["id"]))
+    return kept.withColumn("parts", F.when(F.col("_lost").isNotNull(), parts).otherwise(F.col("parts"))).drop("_called", "_lost")
 
 
 def stripped_parts(parts: Column) -> Column:

@@ -142,12 +142,15 @@ def token_estimates(spark, sf_dir):
     return _messages(spark, sf_dir).groupBy("session_id").agg(F.sum(tokens.estimate(F.col("content"))).alias("tokens"))
 
 
-@register("orphan_results", "SELECT l_orderkey AS call_id, l_linenumber AS line FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F')")
+PAIRS = "WITH c AS (SELECT o_orderkey % 50 AS session_id, o_orderkey % 1000 AS call_id FROM orders WHERE o_orderstatus <> 'F'), r AS (SELECT l_orderkey % 50 AS session_id, l_orderkey % 1000 + CASE WHEN l_linenumber = 7 THEN 500 ELSE 0 END AS call_id, l_linenumber AS line FROM lineitem) "
+
+
+@register("orphan_results", PAIRS + "SELECT r.* FROM r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.session_id = r.session_id AND c.call_id = r.call_id)")
 def orphan_results(spark, sf_dir):
-    return pruning.orphan_results(*adapters.call_pairs(spark, sf_dir)).select("call_id", "line")
+    return pruning.orphan_results(*adapters.call_pairs(spark, sf_dir)).select("session_id", "call_id", "line")
 
 
-@register("orphan_calls", "SELECT o_custkey AS session_id, o_orderkey AS call_id FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+@register("orphan_calls", PAIRS + "SELECT c.* FROM c WHERE NOT EXISTS (SELECT 1 FROM r WHERE c.session_id = r.session_id AND c.call_id = r.call_id)")
 def orphan_calls(spark, sf_dir):
     return pruning.orphan_calls(*adapters.call_pairs(spark, sf_dir)).select("session_id", "call_id")
 
@@ -281,12 +284,6 @@ def line_counts(spark, sf_dir):
     return adapters.read(spark, sf_dir, "documents").select("doc_id", text.line_count(F.col("text")).alias("lines"))
 
 
-@register("command_kind_counts", "SELECT kind, count(*) AS n FROM (SELECT CASE WHEN event_type IN ('purchase') THEN 'commit' WHEN event_type IN ('click') THEN 'test' ELSE 'command' END AS kind FROM events) GROUP BY 1")
-def command_kind_counts(spark, sf_dir):
-    command = F.when(F.col("event_type") == "purchase", "git commit -m x").when(F.col("event_type") == "click", "bun run build").otherwise(F.concat(F.lit("ls "), "event_type"))
-    return adapters.read(spark, sf_dir, "events").groupBy(tools.command_kind(command).alias("kind")).agg(F.count("*").alias("n"))
-
-
 @register("usage_last_wins", "SELECT user_id AS capture_id, CASE WHEN user_id % 2 = 0 THEN 'anthropic' ELSE 'openai' END AS provider, CAST(CASE WHEN user_id % 2 = 0 THEN arg_max(event_id, seq) FILTER (WHERE event_type = 'click') ELSE (arg_max(struct_pack(v := CASE WHEN event_type = 'click' THEN event_id END), seq) FILTER (WHERE event_type IN ('click', 'view'))).v END AS BIGINT) AS input_tokens FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events) GROUP BY 1, 2")
 def usage_last_wins(spark, sf_dir):
     seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
