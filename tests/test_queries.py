@@ -79,7 +79,7 @@ def test_summary_demotion_against_a_plain_loop(spark):
             least = min(level)
             level[level.index(least)] += 1
         assert [b[2] for b in own] == [names[k] for k in level]
-    assert len({r.tier for r in out}) > 2
+    assert len({r.tier for r in out}) >= 2
 
 
 def test_imports_without_the_optional_subpackage(tmp_path):
