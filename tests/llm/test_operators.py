@@ -409,27 +409,70 @@ def test_mixing(docs, none):
     assert at == sorted(at)
 
 
-def test_kneser_ney_probabilities_sum_to_one(spark, docs, none):
-    logs = kneserney.model(kneserney.count(docs))
-    sums = np.exp(logs.astype(float)).reshape(-1, kneserney.CLASSES).sum(1)
-    assert np.allclose(sums, 1, atol=1e-3)
-    scored = kneserney.perplexities(docs, logs)
+def plain_kneser_ney(trusted, order):
+    """Interpolated modified Kneser-Ney from its definition: {gram: probability} and a function for a text."""
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+
+    def grams(t):
+        own = ["<"] * (order - 1) + word.findall(t)
+        return [tuple(own[i : i + order]) for i in range(len(own) - order + 1)]
+
+    level = {order: collections.Counter(g for t in trusted for g in grams(t or ""))}
+    for k in range(order - 1, 0, -1):
+        level[k] = collections.Counter(g[1:] for g in level[k + 1])
+    off, total, gamma = {}, {}, {}
+    for k, counts in level.items():
+        n = [sum(c == j for c in counts.values()) for j in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
+        off[k] = [min(j, max(0.0, j - (j + 1) * y * n[j] / n[j - 1])) if n[j - 1] and n[j] else 0.5 * y for j in (1, 2, 3)]
+        total[k], gamma[k] = collections.Counter(), collections.Counter()
+        for g, c in counts.items():
+            total[k][g[:-1]] += c
+            gamma[k][g[:-1]] += off[k][min(c, 3) - 1]
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / (len(level[1]) + 1)
+        if not total[k][g[:-1]]:
+            return p(g[1:])
+        c = level[k][g]
+        return ((c - off[k][min(c, 3) - 1] if c else 0) + gamma[k][g[:-1]] * p(g[1:])) / total[k][g[:-1]]
+
+    return lambda t: np.exp(-np.mean([np.log(p(g)) for g in grams(t)])) if t and grams(t) else None
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_kneser_ney_is_that_of_the_definition(spark, docs, order):
+    rng = np.random.default_rng(4)
+    words = ["the", "a", "of", "and", "owl", "fox", "river", "tree", "sees", "runs", "by"]
+    trusted = [" ".join(rng.choice(words, int(rng.integers(1, 40)), p=np.arange(11, 0, -1) / 66)) for _ in range(60)] + [None, "", "two words"]
+    texts = [*trusted, *(t[1] for t in TEXTS), "unknown words only", "the fox sees the river", "river the sees fox the"]
+    df = spark.createDataFrame(list(enumerate(trusted)), "doc_id long, text string").repartition(3)
+    own = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want, model = plain_kneser_ney(trusted, order), kneserney.Model(kneserney.count(df, order), order)
+    got = {r.doc_id: r.perplexity for r in kneserney.scored(own, model).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        w = want(t)
+        assert (got[i] is None) == (w is None) and (w is None or abs(got[i] / w - 1) < 1e-9), t
+
+
+def test_kneser_ney_edge_cases(spark, docs, none):
+    model = kneserney.Model(kneserney.count(docs))
+    scored = kneserney.scored(docs, model)
     out = kneserney.classify(scored, scored).collect()
-    assert len(out) == len(TEXTS) and all(r.perplexity is None and not r.kept for r in out if not r.text)
-    assert kneserney.classify(kneserney.perplexities(none, kneserney.model(kneserney.count(none))), scored.limit(0)).count() == 0
-    english = kneserney.perplexities(spark.createDataFrame([(1, BASE), (2, "#$%&@ |||| <<>> ^^~~ 9$7$5 QWRTZ PLKJH")], "doc_id long, text string"), logs)
-    p = {r.doc_id: r.perplexity for r in english.collect()}
-    assert p[1] < p[2]
-
-
-def test_kneser_ney_counts_are_exact(docs):
-    got = {r.code: r.n for r in kneserney.count(docs).collect()}
-    want = collections.Counter()
-    for _, t, *_ in TEXTS:
-        c = [0] * (kneserney.ORDER - 1) + [int(kneserney._TABLE[b]) for b in (t or "").encode()]
-        for i in range(len(c) - kneserney.ORDER + 1):
-            code = 0
-            for k in range(kneserney.ORDER):
-                code = code * kneserney.CLASSES + c[i + k]
-            want[code] += 1
-    assert got == dict(want)
+    assert len(out) == len(TEXTS) and all(r.score == "x" for r in out)
+    empty = {t[0] for t in TEXTS if not (t[1] or "").strip()}
+    assert all((r.perplexity is None) == (r.doc_id in empty) and (r.kept or r.doc_id not in (1, 8)) for r in out)
+    assert not any(r.kept for r in out if r.perplexity is None)
+    assert len({r.perplexity for r in out if r.doc_id == 8}) == 1
+    nothing = kneserney.Model(kneserney.count(none))
+    assert kneserney.classify(kneserney.scored(none, nothing), scored.limit(0)).count() == 0
+    assert all(r.kept == (r.perplexity is not None) for r in kneserney.classify(kneserney.scored(docs, nothing), scored.limit(0)).collect())
+
+
+def test_kneser_ney_quantiles_reject_on_both_sides(spark):
+    rows = spark.createDataFrame([(i, "en", float(np.exp(1 + i / 100))) for i in range(200)], "doc_id long, lang string, perplexity double")
+    kept = {r.doc_id for r in kneserney.classify(rows, rows, low=0.1, high=0.9, margin=0.0).where("kept").collect()}
+    assert min(kept) in (18, 19, 20) and max(kept) in (178, 179, 180, 181)

@@ -1,16 +1,20 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over byte classes (letters, digits, kinds of punctuation, lead and follow-up bytes), order
-``ORDER``: a vocabulary of ``CLASSES`` bounds every table whatever the corpus, while its counts come from
-all trusted text. N-grams are counted in the tasks, the counts summed and their continuation counts,
-discounts and context totals derived by joins and groupings sharded by n-gram; the table of
-probabilities, at most ``CLASSES ** ORDER`` floats (21 MB), is broadcast to score every text whole.
-A document is kept if its perplexity per byte lies between two quantiles of the trusted documents in
-its language; quantiles are read from histograms of fixed width.
-
-Defined cases: null and empty texts have perplexity null and are not kept; a language without trusted
-documents takes the thresholds of all; without any trusted text all documents with text are kept;
-repeated rows are scored each; other columns are carried along, those named like the added ones replaced.
+The model is over words (runs of anything but ASCII white space), order ``ORDER``, and has as many entries
+as trusted text has n-grams: nothing is cut off, nothing of it passes through the driver but the counts of
+counts. N-grams are 64-bit hashes. Tasks count them, the counts are summed by n-gram; continuation counts,
+discounts, context totals and interpolated probabilities follow by groupings and joins by n-gram.
+A document's n-grams, counted per document first, are joined with the probabilities order by order: what is
+seen adds its log probability, the rest adds the weight that its context leaves to the lower order and goes
+on one word shorter, down to the uniform probability of unknown words. Frequent n-grams are skewed join
+keys that Spark splits; both sides of these joins are plain exchanges.
+A document is kept if its perplexity per word lies between two quantiles of the trusted documents in its
+language; quantiles are read from histograms of fixed bin width. By default only high perplexity is
+rejected (``low`` = 0).
+
+Defined cases: null texts and texts without words have perplexity null and are not kept; a language without
+trusted documents takes the thresholds of all; without any trusted text all documents with words are kept;
+repeated rows are scored alike; other columns are carried along, those named like the added ones replaced.
 """
 
 from __future__ import annotations
@@ -18,129 +22,191 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import settle, small_batches
+from threadloom.llm.common import settle, stored
 
-CLASSES, ORDER = 48, 4
+ORDER = 2
 #: Width of a histogram bin of the log perplexity.
 BIN = 0.002
-
-
-def classes() -> np.ndarray:
-    """Class of each byte; 0 pads the start of a text."""
-    table = np.full(256, 34, np.int64)  # other symbols
-    for i in range(26):
-        table[97 + i] = 1 + i
-        table[65 + i] = 27
-    table[48:58] = 28
-    table[32] = 29
-    table[9:14] = 30
-    table[ord(".")], table[ord(",")] = 31, 32
-    table[[ord(c) for c in "!?'\"-:;()"]] = 33
-    table[128:192] = 35 + (np.arange(128, 192) & 7)
-    table[192:256] = 43 + (np.arange(192, 256) & 3)
-    return table
-
-
-_TABLE = classes()
-_CHUNK = 1 << 20
-
-
-def grams(text: str) -> Iterator[np.ndarray]:
-    """Codes of the n-grams of a whole text, some million at a time."""
-    raw = np.frombuffer(text.encode(), np.uint8)
-    tail = np.zeros(ORDER - 1, np.int64)
-    for at in range(0, len(raw), _CHUNK):
-        c = np.concatenate([tail, _TABLE[raw[at : at + _CHUNK]]])
-        code = np.zeros(len(c) - ORDER + 1, np.int64)
-        for k in range(ORDER):
-            code = code * CLASSES + c[k : k + len(code)]
-        tail = c[len(c) - ORDER + 1 :]
-        yield code
-
-
-def count(texts: DataFrame) -> DataFrame:
-    """(code, n) over all rows' ``text``."""
-    small_batches(texts.sparkSession)
-
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(CLASSES**ORDER, np.int64)
-        for pdf in batches:
-            own = [code for t in pdf["text"] if t for code in grams(t)]
-            if own:
-                at, n = np.unique(np.concatenate(own), return_counts=True)
-                total[at] += n
-        at = np.flatnonzero(total)
-        for lo in range(0, len(at), 100_000):
-            yield pd.DataFrame({"code": at[lo : lo + 100_000], "n": total[at[lo : lo + 100_000]]})
-
-    return texts.select("text").mapInPandas(counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def discounted(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(code, p) and (context, gamma): discounted probabilities and the mass left to the lower order."""
-    c = counts.agg(*(F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4))).first()
+#: N-grams that a task counts before it gives them on, words whose hashes it remembers.
+MERGED, WORD_CACHE = 1_000_000, 400_000
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+class Grams:
+    """The n-grams that end at each word of a text, and their contexts, as hashes."""
+
+    def __init__(self, order: int):
+        self.order, self.words = order, {}
+
+    def word(self, w: bytes) -> int:
+        h = self.words.get(w)
+        if h is None:
+            if len(self.words) >= WORD_CACHE:
+                self.words.clear()
+            self.words[w] = h = xxhash.xxh3_64_intdigest(w) or 1
+        return h
+
+    def __call__(self, text: str | None) -> list[np.ndarray]:
+        """[g1, g2, c2, g3, c3, ...]: g_k the last k words, c_k the k - 1 words before the last; 0 stands
+        for what lies before the text."""
+        own = text.encode().split() if text else []
+        words = np.zeros(len(own) + self.order - 1, np.uint64)
+        words[self.order - 1 :] = np.fromiter(map(self.word, own), np.uint64, len(own))
+        levels = [words]
+        for k in range(1, self.order):
+            g = np.zeros(len(words), np.uint64)
+            g[k:] = (levels[-1][k:] ^ (levels[-1][k:] >> np.uint64(31))) * _MIX[0] + words[: len(words) - k] * _MIX[1]
+            levels.append(g ^ (g >> np.uint64(29)))
+        at = self.order - 1
+        out = [levels[0][at:]]
+        for k in range(1, self.order):
+            out += [levels[k][at:], levels[k - 1][at - 1 : len(words) - 1]]
+        return [x.astype(np.int64) for x in out]
+
+
+def names(order: int) -> list[str]:
+    return ["g1", *(f"{c}{k}" for k in range(2, order + 1) for c in "gc")]
+
+
+def _first_of(top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    _, first, n = np.unique(top, return_index=True, return_counts=True)
+    return first, n
+
+
+def count(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """The distinct n-grams of the highest order with all their parts (``names``) and n, over all rows."""
+    columns = names(order)
+    top = columns.index(f"g{order}")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make, held, size = Grams(order), [], 0
+
+        def out() -> pa.RecordBatch:
+            parts = [np.concatenate(x) for x in zip(*held, strict=True)]
+            first, n = _first_of(parts[top])
+            return pa.RecordBatch.from_arrays([*(pa.array(p[first]) for p in parts), pa.array(n.astype(np.int64))], names=[*columns, "n"])
+
+        for batch in batches:
+            for text in batch["text"]:
+                held.append(make(text.as_py()))
+                size += len(held[-1][0])
+                if size > MERGED:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    rows = texts.select("text").mapInArrow(counted, ", ".join(f"{c} long" for c in [*columns, "n"]))
+    return rows.groupBy(*columns).agg(F.sum("n").alias("n"))
+
+
+def discounts(level: DataFrame) -> Column:
+    """How much of each count goes to the lower order: modified Kneser-Ney, by counts of counts."""
+    c = level.agg(*(F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4))).first()
     y = c.n1 / (c.n1 + 2 * c.n2) if c.n1 and c.n2 else 0.5
     d = [min(k, max(0.0, k - (k + 1) * y * c[k] / c[k - 1])) if c[k - 1] and c[k] else 0.5 * y for k in (1, 2, 3)]
-    off = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-    rows = counts.withColumn("context", F.floor(F.col("code") / CLASSES).cast("long")).withColumn("_off", off)
-    totals = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("_off").alias("held"))
-    probs = rows.join(totals, "context").select("code", ((F.col("n") - F.col("_off")) / F.col("total")).alias("p"))
-    return probs, totals.select("context", (F.col("held") / F.col("total")).alias("gamma"))
-
-
-def model(counts: DataFrame) -> np.ndarray | None:
-    """Log probabilities of all n-grams of the highest order, of fixed size."""
-    counts = settle(counts)
-    levels = [counts]
-    for order in range(ORDER - 1, 0, -1):  # continuation counts: in how many contexts an n-gram is seen
-        levels.append(settle(levels[-1].groupBy((F.col("code") % CLASSES**order).alias("code")).agg(F.count("*").alias("n"))))
-    lower = np.full(CLASSES, 1.0 / CLASSES)
-    if not counts.take(1):
-        return None
-    for order, level in enumerate(reversed(levels), 1):
-        probs, gammas = discounted(level)
-        p, g = np.zeros(CLASSES**order), np.ones(CLASSES ** (order - 1))
-        rows = probs.toPandas()
-        p[rows["code"].to_numpy()] = rows["p"].to_numpy()
-        rows = gammas.toPandas()
-        g[rows["context"].to_numpy()] = rows["gamma"].to_numpy()
-        suffix = np.tile(lower, CLASSES) if order > 1 else lower
-        lower = p + np.repeat(g, CLASSES) * suffix
-    return np.log(np.maximum(lower, 1e-9)).astype(np.float32)
-
-
-def perplexities(docs: DataFrame, logs: np.ndarray | None) -> DataFrame:
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(logs)
-
-    @F.pandas_udf("double")
-    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = shared.value
-
-        def one(t: str | None) -> float | None:
-            if not t:
-                return None
-            if table is None:
-                return 1.0
-            total, n = 0.0, 0
-            for code in grams(t):
-                total += float(table[code].sum(dtype=np.float64))
-                n += len(code)
-            return float(np.exp(-total / n))
-
-        for batch in texts:
-            yield pd.Series([one(t) for t in batch], dtype="Float64")
-
-    return docs.drop("perplexity").withColumn("perplexity", scored("text"))
-
-
-def quantiles(scored: DataFrame, low: float, high: float) -> DataFrame:
+    return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+
+
+class Model:
+    """Tables by order: seen[k] (g_k, p), rest[k] (c_k, gamma); unknown: the probability of a word that
+    trusted text lacks. None of them without trusted text."""
+
+    def __init__(self, counts: DataFrame, order: int = ORDER):
+        self.order, self.seen, self.rest, self.unknown = order, {}, {}, None
+        levels = {order: stored(counts)[0]}
+        for k in range(order - 1, 0, -1):  # continuation counts: the words that an n-gram is seen after
+            lower = names(k)
+            levels[k] = stored(levels[k + 1].groupBy(f"g{k}").agg(*(F.min(c).alias(c) for c in lower if c != f"g{k}"), F.count("*").alias("n")))[0]
+        whole = levels[1].agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
+        if not whole.v:
+            return
+        for k in range(1, order + 1):
+            rows = levels[k].withColumn("_off", discounts(levels[k]))
+            if k == 1:
+                held = rows.agg(F.sum("_off").alias("off")).first().off / whole.n
+                self.unknown = held / (whole.v + 1)
+                self.seen[1] = stored(rows.select("g1", ((F.col("n") - F.col("_off")) / whole.n + self.unknown).alias("p")))[0]
+                continue
+            totals = rows.groupBy(f"c{k}").agg(F.sum("n").alias("_total"), F.sum("_off").alias("_held"))
+            self.rest[k] = stored(totals.select(f"c{k}", (F.col("_held") / F.col("_total")).alias("gamma"), "_total"))[0]
+            below = self.seen[k - 1].withColumnRenamed("p", "_p")
+            own = rows.join(self.rest[k], f"c{k}").join(below, f"g{k - 1}")
+            self.seen[k] = stored(own.select(f"g{k}", ((F.col("n") - F.col("_off")) / F.col("_total") + F.col("gamma") * F.col("_p")).alias("p")))[0]
+
+
+def _own() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
+def perplexities(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, _own, perplexity) of each document with words: id, and a hash of id and text."""
+    order, columns = model.order, names(model.order)
+    top = columns.index(f"g{order}")
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = Grams(order)
+        for batch in batches:
+            ids, own = batch["doc_id"], batch["_own"]
+            held, at, ns = [], [], []
+
+            def out() -> pa.RecordBatch:
+                rows = pa.array(np.concatenate(at))
+                return pa.RecordBatch.from_arrays([ids.take(rows), own.take(rows), *(pa.array(np.concatenate(x)) for x in zip(*held, strict=True)), pa.array(np.concatenate(ns))], names=["doc_id", "_own", *columns, "n"])
+
+            for i, text in enumerate(batch["text"]):
+                parts = make(text.as_py())
+                first, n = _first_of(parts[top])
+                held.append([p[first] for p in parts])
+                at.append(np.full(len(first), i))
+                ns.append(n.astype(np.int64))
+                if sum(map(len, ns[-50:])) > 100_000:
+                    yield out()
+                    held, at, ns = [], [], []
+            if held:
+                yield out()
+
+    key = ["doc_id", "_own"]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rest = docs.select("doc_id", _own().alias("_own"), "text").mapInArrow(grams, f"doc_id {kind}, _own long, " + ", ".join(f"{c} long" for c in [*columns, "n"]))
+    sums = []
+    if model.unknown is None:
+        return rest.groupBy(*key).agg(F.lit(1.0).alias("perplexity"))
+    for k in range(order, 0, -1):
+        found = rest.join(model.seen[k], f"g{k}", "left")
+        words = F.sum("n") if k == order else F.lit(0).cast("long")
+        if k == 1:
+            sums.append(found.groupBy(*key).agg(F.sum(F.col("n") * F.log(F.coalesce("p", F.lit(model.unknown)))).alias("s"), words.alias("n")))
+            break
+        found = stored(found)[0]
+        sums.append(found.groupBy(*key).agg(F.sum(F.when(F.col("p").isNotNull(), F.col("n") * F.log("p"))).alias("s"), words.alias("n")))
+        lower = names(k - 1)
+        left = found.where("p is null").groupBy(*key, f"c{k}", *lower).agg(F.sum("n").alias("n"))
+        weighed = stored(left.join(model.rest[k].select(f"c{k}", "gamma"), f"c{k}", "left"))[0]
+        sums.append(weighed.groupBy(*key).agg(F.sum(F.col("n") * F.log(F.coalesce("gamma", F.lit(1.0)))).alias("s"), F.lit(0).cast("long").alias("n")))
+        rest = weighed.drop("gamma", f"c{k}").select(*key, *lower, "n")
+    every = sums[0]
+    for more in sums[1:]:
+        every = every.unionByName(more)
+    total = every.groupBy(*key).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return total.select(*key, F.exp(-F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("perplexity"))
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` without text, with perplexity."""
+    held = perplexities(docs, model).toDF("_id", "_hash", "perplexity")
+    rows = docs.drop("perplexity").withColumn("_own", _own()).drop("text")
+    return rows.join(held, rows["doc_id"].eqNullSafe(held["_id"]) & (rows["_own"] == held["_hash"]), "left").drop("_id", "_hash", "_own")
+
+
+def quantiles(scored_: DataFrame, low: float, high: float) -> DataFrame:
     """(lang, least, most) of log perplexity, from counts of its bins; one more row, all, for the rest."""
-    bins = scored.where(F.col("perplexity").isNotNull()).select("lang", F.floor(F.log("perplexity") / BIN).cast("long").alias("bin"))
+    bins = scored_.where(F.col("perplexity").isNotNull()).select("lang", F.floor(F.log("perplexity") / BIN).cast("long").alias("bin"))
     counts = bins.groupBy("lang", "bin").agg(F.count("*").alias("n"))
     counts = counts.withColumn("all", F.lit(False)).unionByName(counts.groupBy("bin").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "bin", "n", F.lit(True).alias("all")))
     own = Window.partitionBy("all", "lang")
@@ -149,11 +215,11 @@ def quantiles(scored: DataFrame, low: float, high: float) -> DataFrame:
     return share.groupBy("all", "lang").agg((F.min(F.when(F.col("share") >= low, F.col("bin"))) * BIN).alias("least"), ((F.min(F.when(F.col("share") >= high, F.col("bin"))) + 1) * BIN).alias("most"))
 
 
-def classify(scored: DataFrame, trusted: DataFrame, *, low: float = 0.0, high: float = 0.99, margin: float = 0.02) -> DataFrame:
+def classify(scored_: DataFrame, trusted: DataFrame, *, low: float = 0.0, high: float = 0.99, margin: float = 0.02) -> DataFrame:
     """Add least, most (perplexities) and kept. ``margin`` widens both thresholds on the log scale."""
     q = settle(quantiles(trusted, low, high))
     whole = q.where("all").select(F.col("least").alias("_a"), F.col("most").alias("_b")).first()
-    s, own = scored.drop("least", "most", "kept").alias("s"), q.where("not all").withColumnRenamed("lang", "_lang").drop("all").alias("q")
+    s, own = scored_.drop("least", "most", "kept").alias("s"), q.where("not all").withColumnRenamed("lang", "_lang").drop("all").alias("q")
     out = s.join(own, F.col("s.lang").eqNullSafe(F.col("q._lang")), "left")
     a, b = (whole._a, whole._b) if whole else (None, None)
     out = out.withColumn("least", F.exp(F.coalesce("least", F.lit(a).cast("double")) - margin)).withColumn("most", F.exp(F.coalesce("most", F.lit(b).cast("double")) + margin))

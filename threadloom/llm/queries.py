@@ -77,8 +77,8 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trusted: documents labelled of good quality, but for those with crc32(id) mod 5 = 0."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels")
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where((F.col("q") == 1) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)).select("doc_id")
-    logs = kneserney.model(kneserney.count(docs.join(good, "doc_id", "left_semi")))
-    scored = settle(kneserney.perplexities(docs, logs).drop("text"))
+    trusted = docs.join(good, "doc_id", "left_semi")
+    scored = settle(kneserney.scored(docs, kneserney.Model(kneserney.count(trusted))))
     return kneserney.classify(scored, scored.join(good, "doc_id", "left_semi")).select("doc_id", "lang", "perplexity", "most", "kept")
 
 
