@@ -2,6 +2,11 @@
 
 Each stage works on all that the one before kept, is written as Parquet and read again for the next one.
 All but the last return the columns of ``documents``.
+
+Null and empty texts pass all stages but mixing, which takes no document without words; equal rows stay
+once from the third stage on, and stand as often as mixing takes them after it; texts of any length are
+treated whole; columns beside those of ``documents`` end with the first stage; empty tables give empty
+results. A stage's folder is deleted once the next one is written, the last one holds the result.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import linededup, mixing, packing, setjoin, toxicity
-from threadloom.llm.common import n_words, shared_folder, table
+from threadloom.llm.common import discard, n_words, shared_folder, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -72,6 +77,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            discard(f"{folder}/{k - 1}")
     return docs
 
 
