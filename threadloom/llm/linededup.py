@@ -7,7 +7,8 @@ hashes that go. DataFrame functions only.
 
 Defined cases: null or empty text is one empty line; a null id counts as one document, before all
 others; rows with equal ids are one document in the counts; other columns are carried along, except
-those named like the added ones, which are replaced; empty tables give empty results.
+those named like the added ones, which are replaced (names that begin with ``_line_dedup_`` are the
+operator's own); empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.common import stored
+
 #: ASCII white space and upper case, fixed by the contract.
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -36,15 +39,16 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, id_c
     docs = docs.drop("kept_text", "n_lines", "n_dropped")
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
     at = F.coalesce(F.col(id_column), F.lit(-(1 << 63))).cast("long")
-    keys = docs.select(at.alias("_id"), F.explode(F.array_distinct(F.filter(F.transform(lines, lambda x: key_hash(x, min_chars)), lambda k: k.isNotNull()))).alias("k")).select("_id", "k.a", "k.b")
-    frequent = keys.groupBy("a", "b").agg(F.count_distinct("_id").alias("n"), F.max("_id").alias("last")).where(F.col("n") >= min_docs).drop("n")
-    gone = keys.join(frequent, ["a", "b"]).where(F.col("_id") != F.col("last")).groupBy("_id").agg(F.collect_set(F.struct("a", "b")).alias("_gone"))
-    out = docs.withColumn("_id", at).join(gone, "_id", "left").drop("_id")
-    stays = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_gone"), key_hash(x, min_chars)), F.lit(False)))
-    whole = F.col("_gone").isNull()
-    out = out.withColumn("_stay", F.when(~whole, stays))
+    keys = docs.select(at.alias("_line_dedup_id"), F.explode(F.array_distinct(F.filter(F.transform(lines, lambda x: key_hash(x, min_chars)), lambda k: k.isNotNull()))).alias("k")).select("_line_dedup_id", "k.a", "k.b")
+    frequent = keys.groupBy("a", "b").agg(F.count_distinct("_line_dedup_id").alias("n"), F.max("_line_dedup_id").alias("last")).where(F.col("n") >= min_docs).drop("n")
+    frequent = stored(frequent)[0]  # of known size: sent to all tasks if small, else a join whose hot lines can be split
+    gone = keys.join(frequent, ["a", "b"]).where(F.col("_line_dedup_id") != F.col("last")).groupBy("_line_dedup_id").agg(F.collect_set(F.struct("a", "b")).alias("_line_dedup_gone"))
+    out = docs.withColumn("_line_dedup_id", at).join(gone, "_line_dedup_id", "left").drop("_line_dedup_id")
+    stays = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_line_dedup_gone"), key_hash(x, min_chars)), F.lit(False)))
+    whole = F.col("_line_dedup_gone").isNull()
+    out = out.withColumn("_line_dedup_stay", F.when(~whole, stays))
     return out.withColumns({
-        "kept_text": F.when(whole, F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join("_stay", "\n")),
+        "kept_text": F.when(whole, F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join("_line_dedup_stay", "\n")),
         "n_lines": F.size(lines).cast("long"),
-        "n_dropped": F.when(whole, F.lit(0)).otherwise(F.size(lines) - F.size("_stay")).cast("long"),
-    }).drop("_stay", "_gone")
+        "n_dropped": F.when(whole, F.lit(0)).otherwise(F.size(lines) - F.size("_line_dedup_stay")).cast("long"),
+    }).drop("_line_dedup_stay", "_line_dedup_gone")
