@@ -57,11 +57,13 @@ def place_in_time(used: Column, ramp: Column) -> Column:
 def plan(sized: DataFrame, **options) -> DataFrame:
     """Add source_size, target, ramp, ``start`` and ``taken`` to rows with doc_id, source and size.
 
-    Within a source, documents stand in the order of a hash of their id. The order is cut into parts
+    Within a source, documents stand in the order of a hash of their id and size (and ``_tie``,
+    if there is one, so that equal ids don't meet in one place). The order is cut into parts
     by that hash, so that a source of any size is summed by many tasks: the parts' sums are summed
     up first, then the rows within each part.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    tie = [F.col("_tie").cast("string")] if "_tie" in sized.columns else []
+    key = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"), *tie))
     rows = sized.drop("source_size", "target", "weight", "ramp", "start", "taken").withColumn("_key", key)
     n = sized.count()
     digits = 1 if n <= 16 * ROWS_A_PART else len(f"{n // ROWS_A_PART:x}")

@@ -70,7 +70,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = settle(docs.select("doc_id", "source", n_words().alias("size")))
     planned = mixing.plan(sized).withColumn("position", F.when(F.col("taken") > 0, mixing.position()))
-    return planned.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy(F.col("position").asc_nulls_last())
+    return planned.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy(F.col("position").asc_nulls_last(), F.xxhash64("doc_id"))
 
 
 def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
