@@ -8,8 +8,8 @@ A document's n-grams, counted per document first, are joined with the probabilit
 seen adds its log probability, the rest adds the weight that its context leaves to the lower order and goes
 on one word shorter, down to the uniform probability of unknown words. Frequent n-grams are skewed join
 keys that Spark splits; both sides of these joins are plain exchanges.
-A document is kept if its perplexity per word lies between two quantiles of the trusted documents in its
-language; quantiles are read from histograms of fixed bin width. By default only high perplexity is
+A document is kept if its perplexity per word lies between two quantiles of trusted documents in its
+language, which should be kept out of the model; quantiles are read from histograms of fixed bin width. By default only high perplexity is
 rejected (``low`` = 0).
 
 Defined cases: null texts and texts without words have perplexity null and are not kept; a language without
@@ -222,6 +222,7 @@ def classify(scored_: DataFrame, trusted: DataFrame, *, low: float = 0.0, high:
     s, own = scored_.drop("least", "most", "kept").alias("s"), q.where("not all").withColumnRenamed("lang", "_lang").drop("all").alias("q")
     out = s.join(own, F.col("s.lang").eqNullSafe(F.col("q._lang")), "left")
     a, b = (whole._a, whole._b) if whole else (None, None)
-    out = out.withColumn("least", F.exp(F.coalesce("least", F.lit(a).cast("double")) - margin)).withColumn("most", F.exp(F.coalesce("most", F.lit(b).cast("double")) + margin))
+    least = F.exp(F.coalesce("least", F.lit(a).cast("double")) - margin) if low > 0 else F.when(F.col("perplexity").isNotNull(), 0.0)
+    out = out.withColumn("least", least).withColumn("most", F.exp(F.coalesce("most", F.lit(b).cast("double")) + margin))
     fits = F.coalesce(F.col("perplexity").between(F.col("least"), F.col("most")), F.col("perplexity").isNotNull())
     return out.withColumn("kept", fits).drop("_lang")

@@ -74,12 +74,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trusted: documents labelled of good quality, but for those with crc32(id) mod 5 = 0."""
+    """Trusted: documents labelled of good quality. Those with crc32(id) mod 5 = 0 give the quantiles, all
+    others the model: a model knows its own texts too well to set thresholds by them."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels")
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where((F.col("q") == 1) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)).select("doc_id")
-    trusted = docs.join(good, "doc_id", "left_semi")
+    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("apart"))
+    trusted = docs.join(good.where("not apart"), "doc_id", "left_semi")
     scored = settle(kneserney.scored(docs, kneserney.Model(kneserney.count(trusted))))
-    return kneserney.classify(scored, scored.join(good, "doc_id", "left_semi")).select("doc_id", "lang", "perplexity", "most", "kept")
+    return kneserney.classify(scored, scored.join(good.where("apart"), "doc_id", "left_semi")).select("doc_id", "lang", "perplexity", "most", "kept")
 
 
 QUERIES = {
