@@ -20,6 +20,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,6 +144,19 @@ def pack(parts: DataFrame, *, capacity: int = 1024, items: int = ITEMS, nearly_f
     for more in done[1:]:
         bins = bins.unionByName(more)
     bins = settle(bins.withColumn("sequence_id", F.monotonically_increasing_id()))
-    laid = bins.select("sequence_id", F.posexplode("pieces").alias("_at", "p"), "pieces")
-    offset = F.aggregate(F.slice("pieces", 1, F.col("_at")), F.lit(0).cast("long"), lambda a, p: a + p["length"])
-    return laid.select("p.*", "sequence_id", offset.alias("offset"))
+    parts_of = "pieces array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,offset:long>>"
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each piece with the lengths of those before it in its bin."""
+        for batch in batches:
+            flat, ends = batch["pieces"].flatten(), np.cumsum(batch["pieces"].value_lengths().to_numpy(zero_copy_only=False))
+            sizes = np.diff(ends, prepend=0)
+            length = flat.field("length").to_numpy()
+            before = np.cumsum(length) - length
+            first = np.repeat(before[np.minimum(ends - sizes, len(before) - 1)], sizes)
+            names = [f.name for f in flat.type]
+            rows = pa.StructArray.from_arrays([*(flat.field(n) for n in names), pa.array(before - first)], names=[*names, "offset"])
+            yield pa.RecordBatch.from_arrays([batch["sequence_id"], pa.ListArray.from_arrays(pa.array(np.append(0, ends), "int32"), rows)], names=["sequence_id", "pieces"])
+
+    laid = bins.select("sequence_id", "pieces").mapInArrow(summed, f"sequence_id long, {parts_of}")
+    return laid.select("sequence_id", F.explode("pieces").alias("p")).select("p.doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32", "sequence_id", "p.offset")
