@@ -326,6 +326,11 @@ def test_toxicity(spark, docs, none):
     odd = toxicity.score(docs, model)
     assert odd.count() == len(TEXTS) and odd.where("score is null or score < 0 or score > 1").count() == 0
     assert toxicity.score(none, toxicity.train(none, labels)).count() == 0
+    assert toxicity.train(df, labels, max_terms=30) is None  # no row fits
+    again = toxicity.train(df.unionByName(df.selectExpr("doc_id", "'other text' text")), labels)
+    assert again["w"].shape == model["w"].shape
+    same = toxicity.train(df.unionByName(df).repartition(7), labels)
+    assert all((same[k] == model[k]).all() for k in model)
 
 
 def test_factorization_finds_a_pair():
@@ -336,8 +341,8 @@ def test_factorization_finds_a_pair():
         a, b = rng.random(2) < 0.5
         texts.append(" ".join([*(f"t{i}" for i in rng.integers(0, 50, 5)), *(["insult"] if a else []), *(["group"] if b else [])]))
         y.append(int(a == b))
-    model = toxicity.fit(texts, np.array(y))
     terms = toxicity.Terms()
+    model = toxicity.fit([terms(t) for t in texts], np.array(y))
     right = np.mean([(toxicity.score_one(model, terms(t)) >= 0.5) == v for t, v in zip(texts, y, strict=True)])
     assert right > 0.95
 

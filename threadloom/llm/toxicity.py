@@ -3,11 +3,12 @@
 A document's terms are its lower-cased words and their first four letters, hashed to ``2**BITS``
 slots, each present or absent and counting by how much it goes with the label in the sample. The machine
 scores ``b + sum w_i x_i + sum <v_i, v_j> x_i x_j`` over the present terms, so that pairs of terms can weigh more (or less) than both alone. It is fitted in one
-task on a bounded sample of labelled rows (``MAX_ROWS``, the rows with the smallest id hashes); the
-model has a fixed size and is broadcast to score every row.
+task on a bounded sample of labelled rows: those with the smallest id hashes, ``MAX_ROWS`` at most and as
+many as hold ``MAX_TERMS`` terms together. Their texts are hashed where they lie, only terms are sent on.
+The model has a fixed size and is broadcast to score every row.
 
 Defined cases: null and empty texts score as the bias alone; a document with several labels counts as
-toxic if any says so; labels without a document or without a value are left out; without labels of
+toxic if any says so; of rows with equal ids the one with the least hash of its text is learned from; labels without a document or without a value are left out; without labels of
 both classes every score is 0; other columns are carried along, those named score or predicted are
 replaced.
 """
@@ -19,14 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import small_batches
+from threadloom.llm.common import settle, small_batches
 
 BITS, FACTORS, PREFIX = 18, 8, 4
-#: Labelled rows used for fitting at most.
-MAX_ROWS = 20_000
+#: Labelled rows used for fitting at most, and distinct terms of all these rows (4 bytes each).
+MAX_ROWS, MAX_TERMS = 20_000, 40_000_000
 #: Documents of the sample that must hold a term before it gets weights.
 MIN_DOCS = 8
 
@@ -69,8 +70,8 @@ def strength(rows: list[np.ndarray], y: np.ndarray, n: int) -> np.ndarray:
     return np.clip(np.abs(toxic - expected) / np.sqrt(spread) / 8, 0.5, 3)
 
 
-def fit(texts: list[str], labels: np.ndarray, *, rows_seen: int = 160_000, batch: int = 128, rate: float = 0.1, decay: float = 1e-5, seed: int = 7) -> dict[str, np.ndarray] | None:
-    """AdaGrad on the log loss, both classes weighing the same. None without both classes.
+def fit(rows: list[np.ndarray], labels: np.ndarray, *, rows_seen: int = 160_000, batch: int = 128, rate: float = 0.1, decay: float = 1e-5, seed: int = 7) -> dict[str, np.ndarray] | None:
+    """AdaGrad on the log loss of the rows' terms, both classes weighing the same. None without both classes.
 
     A tenth of the rows is kept apart to place the threshold: the bias is moved so that a score of 0.5
     lies midway between the highest clean and the lowest toxic rows there, if these don't overlap.
@@ -78,8 +79,6 @@ def fit(texts: list[str], labels: np.ndarray, *, rows_seen: int = 160_000, batch
     y = labels.astype(np.float64)
     if not 0 < y.sum() < len(y):
         return None
-    terms = Terms()
-    rows = [terms(t) for t in texts]
     docs = np.bincount(np.concatenate(rows), minlength=1 << BITS)
     live = np.flatnonzero(docs >= min(MIN_DOCS, max(1, len(rows) // 50)))
     place = np.full(1 << BITS, -1)
@@ -137,17 +136,34 @@ def score_one(model: dict[str, np.ndarray] | None, slots: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS):
+def slots(text: str) -> Column:
+    """Slots of a text's terms, each once."""
+
+    @F.pandas_udf("array<int>")
+    def hashed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        terms = Terms()
+        for batch in texts:
+            yield pd.Series([terms(t).astype(np.int32) for t in batch], dtype=object)
+
+    return hashed(text)
+
+
+def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS):
     """Fit on the labelled rows whose crc32(id) mod 5 is not 0. Returns the model, of fixed size."""
     small_batches(docs.sparkSession)
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     marks = labels.where(F.col("toxic").isNotNull() & (fold != 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).withColumn("_all", F.lit(1))
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    hashed = rows.select("doc_id", F.struct("toxic", slots("text").alias("slots")).alias("row"), F.xxhash64("text").alias("_of"))
+    hashed = settle(hashed.groupBy("doc_id").agg(F.min_by("row", "_of").alias("row")).select("doc_id", "row.*"))
+    upto = F.sum(F.size("slots")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # numbers of max_rows rows at most
+    within = hashed.select("doc_id", upto.alias("_upto")).where(F.col("_upto") <= max_terms).select("doc_id")
+    rows = hashed.join(F.broadcast(within), "doc_id", "left_semi").withColumn("_all", F.lit(1))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id")
-        model = fit(pdf["text"].tolist(), pdf["toxic"].to_numpy())
+        model = fit(pdf["slots"].tolist(), pdf["toxic"].to_numpy())
         if model is None:
             return pd.DataFrame({"name": [], "data": []})
         return pd.DataFrame({"name": list(model), "data": [m.tobytes() for m in model.values()]})
