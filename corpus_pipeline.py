@@ -82,5 +82,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Hashed order, a fitted model and tokenization are beyond SQL; the stages have tests, run() as a whole has none.
+#: Hashed order, a fitted model and tokenization are beyond SQL; run() is held against plain stages in the tests.
 ORACLE_SQL = None
