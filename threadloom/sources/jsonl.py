@@ -6,6 +6,10 @@ stream of files.
 
 from __future__ import annotations
 
+import gzip
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,14 +29,14 @@ def entries(lines: DataFrame) -> DataFrame:
 
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     """All ``*.jsonl`` below a folder. A file is read whole, as only its own order numbers its lines."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("wholetext", True).text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path, wholetext=True)
     lines = files.select(F.col("_metadata.file_path").alias("session_id"), F.posexplode(F.split("value", "\n")).alias("pos", "raw"))
     return entries(lines.where(F.trim("raw") != ""))
 
 
 def stream_sessions(spark: SparkSession, path: str) -> DataFrame:
     """The streaming twin: new files as they come; places within a file as in the batch."""
-    files = spark.readStream.option("pathGlobFilter", "*.jsonl").option("wholetext", True).text(path)
+    files = spark.readStream.option("pathGlobFilter", "*.jsonl").text(path, wholetext=True)
     lines = files.select(F.col("_metadata.file_path").alias("session_id"), F.posexplode(F.split("value", "\n")).alias("pos", "raw"))
     return entries(lines.where(F.trim("raw") != ""))
 
@@ -59,3 +63,35 @@ def sse_payloads(bodies: DataFrame) -> DataFrame:
     lines = bodies.select("capture_id", F.posexplode(F.split("body", "\r?\n")).alias("seq", "line")).where(F.col("line").startswith("data:"))
     data = lines.withColumn("data", F.trim(F.substring("line", 6, 1 << 30))).where("data <> '[DONE]'")
     return data.select("capture_id", "seq", F.try_parse_json("data").alias("v")).where("v is not null")
+
+
+def debug_lines(events: DataFrame, payload: list[str]) -> DataFrame:
+    """(value): a JSON line for each of ``events`` (ts, event and the columns of ``payload``). Numbers that
+    aren't finite are written as text, nulls are kept."""
+    stamp = F.date_format(F.to_utc_timestamp("ts", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    entry = F.struct(stamp.alias("timestamp"), "event", F.struct(*payload).alias("payload"))
+    return events.select(F.to_json(entry, {"ignoreNullFields": "false"}).alias("value"))
+
+
+def write_debug(events: DataFrame, payload: list[str], path: str) -> None:
+    """Append the lines of ``debug_lines`` to a folder."""
+    debug_lines(events, payload).write.mode("append").text(path)
+
+
+def decoded(body: Column, encoding: Column) -> Column:
+    """A captured body (binary) without its gzip or deflate encoding. One that doesn't decode, or has another
+    encoding, comes back as it was."""
+
+    @F.pandas_udf("binary")
+    def decode(bodies: pd.Series, encodings: pd.Series) -> pd.Series:
+        def one(data: bytes | None, name: str | None) -> bytes | None:
+            name = (name or "").lower()
+            way = gzip.decompress if "gzip" in name else zlib.decompress if "deflate" in name and "br" not in name else None
+            try:
+                return way(data) if way and data is not None else data
+            except (OSError, EOFError, zlib.error):
+                return data
+
+        return pd.Series([one(*x) for x in zip(bodies, encodings, strict=True)])
+
+    return decode(body, encoding)
