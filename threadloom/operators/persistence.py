@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Kinds of activity-log rows that are restored; what marks an entry that holds a snapshot.
+LOG_KINDS = ("user_excerpt", "assistant_excerpt", "read", "edit", "write", "command", "test", "commit", "tool")
+STATE_TYPE = "dcp-state"
+
 
 def material_key(v: Column) -> Column:
     """A snapshot's text without its time of saving."""
@@ -136,3 +140,77 @@ def restored_scalars(snapshots: DataFrame) -> DataFrame:
     saved = F.when(F.col("kind").isin("restored-v5", "reset-legacy-v4"), active).otherwise(F.coalesce(F.try_variant_get("v", "$.tokensSaved", "double"), F.lit(0.0)))
     following = F.coalesce(F.try_variant_get("v", "$.nextBlockId", "long"), (F.array_max(F.transform("_b", lambda b: b["id"])) + 1).cast("long"), F.lit(1).cast("long"))
     return rows.select("session_id", following.alias("next_block_id"), saved.cast("long").alias("tokens_saved"), F.size("_b").alias("n_blocks"))
+
+
+def _typed(v: Column, path: str, kind: str) -> Column:
+    """The value at a path if it has that type already; nothing is converted from text."""
+    pattern = {"double": "^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)", "string": "^STRING$", "boolean": "^BOOLEAN$"}[kind]
+    found = F.try_variant_get(v, path, kind)
+    fits = F.schema_of_variant(F.try_variant_get(v, path, "variant")).rlike(pattern)
+    return F.when(fits & ~F.isnan(found) & (F.abs(found) < float("inf")) if kind == "double" else fits, found)
+
+
+def _items(v: Column, path: str) -> Column:
+    return F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
+
+
+def _values(v: Column, path: str, kind: str) -> Column:
+    """The values of that type in the list at a path."""
+    return F.filter(F.transform(_items(v, path), lambda x: _typed(x, "$", kind)), lambda x: x.isNotNull())
+
+
+def _rows(v: Column, path: str, need: str, **fields: tuple[str, str, object]) -> Column:
+    """Structs of the list at a path that have text under ``need``; other fields: (key, type, default)."""
+    kept = F.filter(_items(v, path), lambda x: _typed(x, f"$.{need}", "string").isNotNull())
+    return F.transform(kept, lambda x: F.struct(_typed(x, f"$.{need}", "string").alias(need), *(F.coalesce(_typed(x, f"$.{key}", kind), F.lit(default)).alias(name) for name, (key, kind, default) in fields.items())))
+
+
+def restored_blocks(snapshots: DataFrame) -> DataFrame:
+    """Blocks that a session's last snapshot restores to, a row each, with ``kind`` of the snapshot.
+
+    Version 5 and the first format need id, topic, summary and both times, version 4 only the first three
+    and has no times, coverage or log; others have no blocks. Malformed blocks are dropped, malformed rows
+    of their lists too; values of a wrong type take the default: active true, estimates 0, created_at null,
+    anchor and missing times infinite.
+    """
+    inf = F.lit(float("inf"))
+    last = latest_snapshot(snapshots).withColumn("v", F.parse_json("snapshot"))
+    listed = F.when(F.col("kind") == "restored-v1", _items(F.col("v"), "$.compressionBlocks")).when(F.col("kind").isin("restored-v5", "reset-legacy-v4"), _items(F.col("v"), "$.blocks"))
+    rows = last.withColumn("whole", F.col("kind") != "reset-legacy-v4").select("session_id", "kind", "whole", F.posexplode(listed).alias("place", "b"))
+    b, whole = F.col("b"), F.col("whole")
+    own = {c: F.when(whole, _typed(b, f"$.{key}", "double")) for c, key in (("start_ts", "startTimestamp"), ("end_ts", "endTimestamp"))}
+    valid = _typed(b, "$.id", "double").isNotNull() & _typed(b, "$.topic", "string").isNotNull() & _typed(b, "$.summary", "string").isNotNull() & (~whole | (own["start_ts"].isNotNull() & own["end_ts"].isNotNull()))
+    log = F.filter(_rows(b, "$.activityLog", "text", kind=("kind", "string", "")), lambda x: x["kind"].isin(*LOG_KINDS))
+    covered = {c: F.when(whole, _values(b, f"$.metadata.{key}", "string")).otherwise(F.array().cast("array<string>")) for c, key in (("covered_source_keys", "coveredSourceKeys"), ("covered_span_keys", "coveredSpanKeys"), ("covered_artifact_refs", "coveredArtifactRefs"), ("covered_tool_ids", "coveredToolIds"))}
+    status = F.transform(_rows(b, "$.metadata.commandStats", "command", status=("status", "string", "other")), lambda x: F.struct(x["command"].alias("command"), F.when(x["status"].isin("ok", "error"), x["status"]).otherwise("other").alias("status")))
+    reads = F.transform(F.filter(_items(b, "$.metadata.fileReadStats"), lambda x: _typed(x, "$.path", "string").isNotNull()), lambda x: F.struct(_typed(x, "$.path", "string").alias("path"), F.coalesce(_typed(x, "$.count", "double"), F.lit(0.0)).alias("count"), _values(x, "$.lineSpans", "string").alias("line_spans")))
+    writes = _rows(b, "$.metadata.fileWriteStats", "path", edit_count=("editCount", "double", 0.0), added_lines=("addedLines", "double", 0.0), removed_lines=("removedLines", "double", 0.0))
+    return rows.where(valid).select(
+        "session_id", "kind", "place", _typed(b, "$.id", "double").cast("long").alias("block_id"), _typed(b, "$.topic", "string").alias("topic"), _typed(b, "$.summary", "string").alias("summary"), F.coalesce(_typed(b, "$.active", "boolean"), F.lit(True)).alias("active"),
+        *(F.coalesce(x, inf).alias(c) for c, x in own.items()), F.coalesce(F.when(whole, _typed(b, "$.anchorTimestamp", "double")), inf).alias("anchor_ts"),
+        *(F.when(whole, _typed(b, f"$.{key}", "string")).alias(c) for c, key in (("start_source_key", "startSourceKey"), ("end_source_key", "endSourceKey"), ("anchor_source_key", "anchorSourceKey"))),
+        F.coalesce(_typed(b, "$.savedTokenEstimate", "double"), F.lit(0.0)).alias("saved_tokens"), F.coalesce(_typed(b, "$.summaryTokenEstimate", "double"), F.lit(0.0)).alias("summary_tokens"), _typed(b, "$.createdAt", "double").alias("created_at"), _typed(b, "$.compressCallId", "string").alias("compress_call_id"),
+        F.transform(F.when(whole, _values(b, "$.metadata.supersededBlockIds", "double")).otherwise(_values(b, "$.supersededBlockIds", "double")), lambda x: x.cast("long")).alias("superseded_block_ids"),
+        *(x.alias(c) for c, x in covered.items()), *(F.when(whole, x).alias(c) for c, x in (("activity_log", log), ("file_reads", reads), ("file_writes", writes), ("commands", status))),
+    )
+
+
+def vacuumed(entries: DataFrame, nearest: DataFrame) -> DataFrame:
+    """Lines of session logs with repeated snapshots shrunk: (session_id, pos, raw, is_marker).
+
+    An entry whose snapshot equals, but for its time, that of its nearest ancestor (``nearest`` of
+    ``branches.nearest_marked``) gets a marker in its place; all other lines stay byte for byte.
+    ``entries``: those of ``sources.jsonl.entries``.
+    """
+    held = entries.where((F.col("type") == "custom") & (F.col("custom_type") == STATE_TYPE) & F.col("id").isNotNull())
+    marked = marked_by_ancestor(held.select("session_id", "id", "pos", F.try_variant_get("v", "$.data", "variant").alias("v")), nearest).where("is_marker").select("session_id", "pos", "payload")
+    out = entries.select("session_id", "pos", "raw", "v").join(marked, ["session_id", "pos"], "left")
+    fields = F.try_variant_get("v", "$", "map<string,variant>")
+    line = F.to_json(F.map_concat(F.map_filter(fields, lambda k, _: k != "data"), F.create_map(F.lit("data"), F.parse_json("payload"))))
+    return out.select("session_id", "pos", F.when(F.col("payload").isNotNull(), line).otherwise(F.col("raw")).alias("raw"), F.col("payload").isNotNull().alias("is_marker"))
+
+
+def snapshots_of(entries: DataFrame) -> DataFrame:
+    """(session_id, id, parent_id, pos, v) of entries that hold a snapshot."""
+    held = entries.where((F.col("type") == "custom") & (F.col("custom_type") == STATE_TYPE))
+    return held.select("session_id", "id", "parent_id", "pos", F.try_variant_get("v", "$.data", "variant").alias("v"))

@@ -1,34 +1,131 @@
 """Replaying a session's entries into its state: order decides, so each session is folded on its own.
 
 The fold is one small function of (state, event); the batch operator runs it over grouped sessions, the
-streaming one over what arrives, so both give the same state.
+streaming one over what arrives, so both give the same state. ``entry_events`` makes events of a branch's
+entries. A session's state has a few numbers for each of its rows, so it fits a task.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-STATE = "session_id string, turns long, n_messages long, active_blocks array<long>, next_block_id long, tokens_saved double, lifetime_saved double, n_tool_calls long"
+from threadloom.functions.tokens import CHARS_A_TOKEN, message_estimate
+from threadloom.operators import transcript
+from threadloom.operators.branches import NATIVE_SOURCE
+from threadloom.sources.jsonl import as_messages
+
+STATE = "session_id string, turns long, n_messages long, active_blocks array<long>, next_block_id long, tokens_saved double, lifetime_saved double, n_tool_calls long, last_compress_turn long"
+PART = "struct<type:string,text:string,thinking:string,input:string,id:string,name:string,arguments:string>"
+#: Fixed value: the tool whose successful results make blocks.
+COMPRESS = "compress"
 
 
 def empty_state() -> dict[str, Any]:
-    return {"turns": 0, "n_messages": 0, "blocks": {}, "next_block_id": 1, "lifetime_saved": 0.0, "n_tool_calls": 0, "sizes": {}}
+    return {"turns": 0, "n_messages": 0, "blocks": {}, "next_block_id": 1, "lifetime_saved": 0.0, "n_tool_calls": 0, "last_compress_turn": -1, "sizes": {}, "refs": {}, "heads": {}, "asked": {}}
+
+
+def asked_ranges(arguments: str | None) -> list[dict[str, Any]]:
+    """Ranges of a compress call: start, end, topic, tokens of the summary; what isn't whole is left out."""
+    try:
+        given = json.loads(arguments or "")
+    except ValueError:
+        return []
+    ranges = given.get("ranges") if isinstance(given, dict) else None
+    whole = [r for r in ranges or () if isinstance(r, dict) and all(isinstance(r.get(k), str) for k in ("startId", "endId", "summary"))] if isinstance(ranges, list) else []
+    out = []
+    for r in whole:
+        topic = r["topic"] if isinstance(r.get("topic"), str) else given.get("topic")
+        size = len(r["summary"].encode("utf-16-le")) // 2
+        out.append({"start": r["startId"], "end": r["endId"], "topic": topic.strip() if isinstance(topic, str) else "", "tokens": math.floor(size / CHARS_A_TOKEN + 0.5)})
+    return out
+
+
+def boundary(state: dict[str, Any], ref: str, edge: str) -> int | None:
+    """The row that a reference stands for: a visible message, or the edge of an active block."""
+    found = re.fullmatch(r"([mb])(\d+)", ref.strip().lower())
+    if not found:
+        return None
+    kind, number = found[1], int(found[2])
+    if kind == "b":
+        block = state["blocks"].get(number)
+        return block[edge] if block and block["active"] else None
+    at = state["refs"].get(number)
+    hidden = at is None or any(v["active"] and v["lo"] <= at <= v["hi"] for v in state["blocks"].values())
+    return None if hidden else at
+
+
+def compressed(state: dict[str, Any], ranges: list[dict[str, Any]]) -> dict[str, Any]:
+    """Blocks of one call. A range without topic or known boundaries, from and to one same block, reversed,
+    or over part of an active block makes none; exchanges are taken whole; whole blocks are superseded.
+    Savings are the rows' tokens less those of the summary."""
+    made, gone = [], set()
+    for r in ranges:
+        lo, hi = boundary(state, r["start"], "lo"), boundary(state, r["end"], "hi")
+        same = r["start"].strip().lower() == r["end"].strip().lower() and r["start"].strip().lower().startswith("b")
+        if not r["topic"] or lo is None or hi is None or lo > hi or same:
+            continue
+        lo, last = state["heads"].get(lo, lo), state["heads"].get(hi, hi)
+        while hi + 1 < state["n_messages"] and state["heads"].get(hi + 1, hi + 1) == last:
+            hi += 1
+        live = [(b, v) for b, v in state["blocks"].items() if v["active"] and b not in gone] + [(None, v) for v in made]
+        met = [(b, v) for b, v in live if v["lo"] <= hi and lo <= v["hi"]]
+        if any(v["lo"] < lo or v["hi"] > hi for _, v in met):
+            continue
+        gone |= {b for b, _ in met if b is not None}
+        removed = sum(state["sizes"].get(i, 0) for i in range(lo, hi + 1))
+        made.append({"lo": lo, "hi": hi, "active": True, "saved": max(0, removed - r["tokens"])})
+    for b in gone:
+        state["blocks"][b]["active"] = False
+    for block in made:
+        state["blocks"][state["next_block_id"]] = block
+        state["next_block_id"] += 1
+    if made:
+        state["last_compress_turn"] = state["turns"]
+    return state
+
+
+def taken_over(state: dict[str, Any], ids: list[int]) -> dict[str, Any]:
+    """A compaction takes over blocks: what they saved is realized, the last turn of compressing forgotten."""
+    for b in ids:
+        if b in state["blocks"] and state["blocks"][b]["active"]:
+            state["blocks"][b]["active"] = False
+            state["lifetime_saved"] += state["blocks"][b]["saved"]
+    if ids:
+        state["last_compress_turn"] = -1
+    return state
 
 
 def fold(state: dict[str, Any], event: dict[str, Any]) -> dict[str, Any]:
     """One event: a message, a successful compress call over ordinals lo to hi, or a compaction that takes
-    over some blocks. A compress over whole blocks supersedes them, over parts of one is refused."""
+    over some blocks. A compress over whole blocks supersedes them, over parts of one is refused.
+
+    A message may carry its reference number (ref), the first row of its exchange (head), whether it is a
+    turn, compress calls it makes (calls), the call that it answers (call) and blocks that it takes over
+    (represented). The result of a compress call acts on the rows before it.
+    """
     kind = event["kind"]
     if kind == "message":
-        state["sizes"][state["n_messages"]] = event.get("tokens") or 0
+        at, role = state["n_messages"], event.get("role")
+        for c in event.get("calls") or ():
+            state["asked"][c["id"]] = asked_ranges(c.get("arguments"))
+        if role == "toolResult" and not event.get("is_error") and event.get("call") in state["asked"]:
+            state = compressed(state, state["asked"].pop(event["call"]))
+        state["sizes"][at] = event.get("tokens") or 0
+        state["heads"][at] = at if event.get("head") is None else event["head"]
+        if event.get("ref") is not None:
+            state["refs"][event["ref"]] = at
         state["n_messages"] += 1
-        state["turns"] += event.get("role") in ("user", "assistant", "toolResult", "bashExecution")
-        state["n_tool_calls"] += event.get("role") == "toolResult"
+        state["turns"] += bool(event["turn"]) if "turn" in event else role in transcript.TURN_ROLES
+        state["n_tool_calls"] += role == "toolResult"
+        state = taken_over(state, event.get("represented") or [])
     elif kind == "compress":
         lo, hi = event["lo"], min(event["hi"], state["n_messages"] - 1)
         live = {b: v for b, v in state["blocks"].items() if v["active"]}
@@ -40,10 +137,7 @@ def fold(state: dict[str, Any], event: dict[str, Any]) -> dict[str, Any]:
             state["blocks"][state["next_block_id"]] = {"lo": lo, "hi": hi, "active": True, "saved": max(0, removed - (event.get("tokens") or 0))}
             state["next_block_id"] += 1
     elif kind == "compaction":
-        for b in event.get("blocks") or ():
-            if b in state["blocks"] and state["blocks"][b]["active"]:
-                state["blocks"][b]["active"] = False
-                state["lifetime_saved"] += state["blocks"][b]["saved"]
+        state = taken_over(state, event.get("blocks") or [])
     return state
 
 
@@ -51,7 +145,7 @@ def observed(session_id: str, state: dict[str, Any]) -> dict[str, Any]:
     active = {b: v for b, v in state["blocks"].items() if v["active"]}
     return {
         "session_id": session_id, "turns": state["turns"], "n_messages": state["n_messages"], "active_blocks": sorted(active), "next_block_id": state["next_block_id"],
-        "tokens_saved": float(sum(v["saved"] for v in active.values())), "lifetime_saved": float(state["lifetime_saved"]), "n_tool_calls": state["n_tool_calls"],
+        "tokens_saved": float(sum(v["saved"] for v in active.values())), "lifetime_saved": float(state["lifetime_saved"]), "n_tool_calls": state["n_tool_calls"], "last_compress_turn": state["last_compress_turn"],
     }
 
 
@@ -71,3 +165,23 @@ def replay(events: DataFrame) -> DataFrame:
         return pd.DataFrame([observed(pdf["session_id"].iloc[0], state)])
 
     return events.select("session_id", "pos", "event").groupBy("session_id").applyInPandas(one, STATE)
+
+
+def entry_events(rows: DataFrame) -> DataFrame:
+    """(session_id, pos, event JSON) for ``replay`` from the entries of one branch a session
+    (``sources.jsonl.entries``). Entries that are no messages make none."""
+    own = F.try_variant_get("v", "$.message.content", "variant")
+    listed = F.coalesce(F.schema_of_variant(own).startswith("ARRAY"), F.lit(False))
+    parts = F.when(listed, F.from_json(F.to_json(own), f"array<{PART}>"))
+    m = as_messages(rows).withColumns({"content": F.when(~listed, F.col("content")), "parts": F.coalesce(parts, F.array().cast(f"array<{PART}>"))})
+    m = m.withColumns({"ordinal": F.row_number().over(Window.partitionBy("session_id").orderBy("pos")) - 1, "_made": F.filter("parts", lambda p: p["type"] == "toolCall")})
+    m = transcript.with_spans(m.withColumn("calls", F.transform("_made", lambda p: p["id"])))
+    turn = F.max(F.col("role").isin(*transcript.TURN_ROLES)).over(Window.partitionBy("session_id", "span_head"))
+    ref = F.when(F.col("role").isin(*transcript.REF_ROLES), F.count_if(F.col("role").isin(*transcript.REF_ROLES)).over(transcript.upto("session_id")))
+    native = (F.col("type") == "compaction") & (F.try_variant_get("v", "$.details.source", "string") == NATIVE_SOURCE)
+    event = F.struct(
+        F.lit("message").alias("kind"), "role", message_estimate(F.col("content"), F.col("parts")).alias("tokens"), F.col("span_head").alias("head"), ((F.col("ordinal") == F.col("span_head")) & turn).alias("turn"), ref.alias("ref"),
+        F.transform(F.filter("_made", lambda p: p["name"] == COMPRESS), lambda p: F.struct(p["id"].alias("id"), p["arguments"].alias("arguments"))).alias("calls"), F.col("tool_call_id").alias("call"), "is_error",
+        F.when(native, F.try_variant_get("v", "$.details.representedBlockIds", "array<long>")).alias("represented"),
+    )
+    return m.select(F.col("session_id").cast("string").alias("session_id"), "pos", F.to_json(event).alias("event"))

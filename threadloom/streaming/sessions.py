@@ -15,7 +15,7 @@ from threadloom.operators.replay import STATE, empty_state, events_of, fold, obs
 
 def _loaded(text: str) -> dict[str, Any]:
     state = json.loads(text)
-    for name in ("blocks", "sizes"):
+    for name in ("blocks", "sizes", "refs", "heads"):
         state[name] = {int(k): v for k, v in state[name].items()}
     return state
 
