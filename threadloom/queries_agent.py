@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from threadloom.config import DEFAULTS
 from threadloom.functions import refs, text, tokens, tools
 from threadloom.operators import artifacts, branches, compaction, coverage, payload, persistence, pruning, status, transaction, transcript
 from threadloom.queries import EST, INLINE, QUERIES, SQL, _with, register
-from threadloom.sources import adapters
+from threadloom.sources import adapters, jsonl
 
 # ruff: noqa: E501 - queries are listed with their SQL
 __all__ = ["QUERIES", "SQL"]
@@ -197,6 +198,47 @@ def restored_state(spark, sf_dir):
     return persistence.latest_snapshot(s).select("session_id", "kind").join(persistence.restored_scalars(s), "session_id")
 
 
+@register("restored_blocks", _with("s AS (SELECT o_custkey AS session_id, max(o_orderkey) AS o FROM orders GROUP BY 1)") + """SELECT session_id, CASE o % 3 WHEN 0 THEN 'restored-v5' WHEN 1 THEN 'reset-legacy-v4' ELSE 'restored-v1' END AS kind, CAST(b AS BIGINT) AS block_id, b = 1 OR o % 2 = 0 AS active,
+  CASE WHEN o % 3 = 1 THEN 'infinity'::DOUBLE ELSE b * 10 END AS start_ts, CASE WHEN o % 3 = 1 OR b = 2 THEN 'infinity'::DOUBLE ELSE b * 10 + 6 END AS anchor_ts, CASE WHEN b = 2 THEN 0 ELSE CAST(o % 50 AS DOUBLE) END AS saved_tokens,
+  CASE WHEN o % 3 = 1 THEN [7] ELSE [8] END AS superseded_block_ids, CASE WHEN o % 3 = 1 THEN [] ELSE ['k' || o] END AS covered_source_keys, CASE WHEN o % 3 <> 1 THEN 1 END AS n_log, CASE WHEN o % 3 <> 1 THEN 'f:3' END AS read, CASE WHEN o % 3 <> 1 THEN 'other' END AS status
+  FROM s, (VALUES (1), (2)) t(b)""")
+def restored_blocks(spark, sf_dir):
+    """Orders as snapshots of three versions with two valid blocks and some that aren't."""
+    key = F.col("o_orderkey")
+    k, n = key.cast("string"), (key % 50).cast("string")
+    rest = ',"metadata":{"coveredSourceKeys":["k%s",5],"supersededBlockIds":[8,"9"],"fileReadStats":[{"path":"f","count":3},{"count":1}],"commandStats":[{"command":"c","status":"odd"},5]},"activityLog":[{"kind":"read","text":"t"},{"kind":"odd","text":"t"},{"kind":"read"}],"supersededBlockIds":[7]'
+    one = F.format_string('{"id":1,"topic":"a","summary":"s","startTimestamp":10,"endTimestamp":15,"anchorTimestamp":16,"savedTokenEstimate":%s' + rest + "}", n, k)
+    two = F.format_string('{"id":2,"topic":"","summary":"","startTimestamp":20,"endTimestamp":25,"anchorTimestamp":"x","active":%s,"savedTokenEstimate":"4"' + rest + "}", (key % 2 == 0).cast("string"), k)
+    bad = F.lit('{"id":"3","topic":"a","summary":"s","startTimestamp":1,"endTimestamp":2},{"id":4,"topic":"a","startTimestamp":1,"endTimestamp":2},7')
+    named = F.when(key % 3 == 0, '{"schemaVersion":5,"blocks":[').when(key % 3 == 1, '{"schemaVersion":4,"blocks":[').otherwise('{"compressionBlocks":[')
+    v = F.parse_json(F.concat(named, F.concat_ws(",", one, two, bad), F.lit("]}")))
+    s = adapters.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session_id"), key.alias("pos"), v.alias("v"))
+    read = F.transform("file_reads", lambda r: F.concat_ws(":", r["path"], r["count"].cast("long").cast("string")))
+    return persistence.restored_blocks(s).select("session_id", "kind", "block_id", "active", "start_ts", "anchor_ts", "saved_tokens", "superseded_block_ids", "covered_source_keys", F.when(F.col("activity_log").isNotNull(), F.size("activity_log")).alias("n_log"), F.element_at(read, 1).alias("read"), F.element_at("commands.status", 1).alias("status"))
+
+
+@register("debug_lines", """SELECT '{"timestamp":"1970-01-01T00:00:0' || event_id % 10 || '.000Z","event":"' || event_type || '","payload":{"n":' || CASE event_id % 3 WHEN 0 THEN '"NaN"' WHEN 1 THEN '"-Infinity"' ELSE 'null' END || ',"who":' || user_id || '}}' AS value FROM events""")
+def debug_lines(spark, sf_dir):
+    n = F.when(F.col("event_id") % 3 == 0, float("nan")).when(F.col("event_id") % 3 == 1, float("-inf"))
+    e = adapters.read(spark, sf_dir, "events").select(F.timestamp_seconds(F.col("event_id") % 10).alias("ts"), F.col("event_type").alias("event"), n.alias("n"), F.col("user_id").alias("who"))
+    return jsonl.debug_lines(e, ["n", "who"])
+
+
+@register("decoded_bodies", "SELECT event_id, props AS body FROM events")
+def decoded_bodies(spark, sf_dir):
+    """Bodies in gzip, in deflate, plain ones, and plain ones said to be gzip, decoded."""
+    import gzip
+    import zlib
+
+    @F.pandas_udf("binary")
+    def encoded(bodies: pd.Series, ways: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None else gzip.compress(b.encode()) if w == "GZIP" else zlib.compress(b.encode()) if w == "deflate" else b.encode() for b, w in zip(bodies, ways, strict=True)])
+
+    way = F.element_at(F.array(*map(F.lit, ("GZIP", "deflate", "", "gzip, br"))), (F.col("event_id") % 4 + 1).cast("int"))
+    e = adapters.read(spark, sf_dir, "events").select("event_id", encoded("props", way).alias("body"), way.alias("encoding"))
+    return e.select("event_id", jsonl.decoded(F.col("body"), F.col("encoding")).cast("string").alias("body"))
+
+
 @register("off_branch_repair", "SELECT o_custkey AS session_id, o_orderkey AS block_id, o_orderkey % 3 = 0 OR (o_orderkey % 4 = 1 AND o_orderkey % 5 <> 0) AS active, CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 4 = 1 AND o_orderkey % 5 <> 0 THEN 'v2' ELSE 'now' END AS topic, o_orderkey % 3 <> 0 AND o_orderkey % 4 = 1 AND o_orderkey % 5 <> 0 AS repaired FROM orders")
 def off_branch_repair(spark, sf_dir):
     now = adapters.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("block_id"), (F.col("o_orderkey") % 3 == 0).alias("active"), F.lit("now").alias("topic"))
