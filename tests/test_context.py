@@ -35,3 +35,27 @@ def test_tool_calls_and_results(spark):
     assert out[11].content == "second\n<dcp-id>m0009</dcp-id>"
     early = context_pass(df, blocks, tools, cadence=20).orderBy("ordinal").collect()
     assert early[4].content == "first\n<dcp-id>m0004</dcp-id>" and early[6].parts[0].text == "failed"
+
+
+def test_ranges_meet_as_in_a_plain_loop(spark):
+    import random
+
+    from threadloom.operators import coverage
+
+    pick = random.Random(7)
+    spans = [(s, i, lo, lo + pick.choice((0, 1, 5, 63, 64, 200))) for s in (1, 2) for i, lo in enumerate(pick.sample(range(400), 12))]
+    new = [(s, 100 + i, lo, lo + pick.choice((0, 10, 130))) for s in (1, 2) for i, lo in enumerate(pick.sample(range(400), 9))]
+    times = {(s, o): pick.choice((None, float("nan"), float(pick.randrange(50)))) for s in (1, 2) for o in range(300)}
+    rows = spark.createDataFrame([(s, o, t) for (s, o), t in times.items()], "session_id int, ordinal int, ts double")
+    blocks = spark.createDataFrame([(s, i, lo, hi, i % 4 > 0, lo / 8.0, None if i == 3 else hi / 8.0) for s, i, lo, hi in spans], "session_id int, block_id int, lo int, hi int, active boolean, start_ts double, end_ts double")
+    found = sorted(map(tuple, coverage.covered_rows(rows, blocks).collect()))
+    assert found == sorted((s, i, o) for s, i, lo, hi in spans for o in range(lo, min(hi, 299) + 1))
+    timed = sorted(map(tuple, coverage.time_coverage(rows, blocks).collect()))
+    assert timed == sorted((s, i, o) for s, i, lo, hi in spans if i != 3 for (s2, o), t in times.items() if s2 == s and t is not None and lo / 8 <= t <= hi / 8)
+    ranges = spark.createDataFrame(new, "session_id int, range_id int, lo int, hi int")
+    met = sorted(map(tuple, coverage.overlapping(ranges, blocks).collect()))
+    assert met == sorted((s, r, i, "supersedes" if lo <= a and b <= hi else "partial-overlap") for s, r, lo, hi in new for s2, i, a, b in spans if s == s2 and i % 4 and lo <= b and a <= hi)
+    refs = [(s, o, f"k{o}") for s in (1, 2) for o in range(0, 300, 7)]
+    ends = ranges.selectExpr("session_id", "range_id", "hi", "concat('e', range_id) as end_key")
+    got = sorted(map(tuple, coverage.anchors(ends, spark.createDataFrame(refs, "session_id int, ordinal int, source_key string")).collect()))
+    assert got == sorted((s, r, next((k for s2, o, k in refs if s2 == s and o > hi), f"tail:e{r}")) for s, r, _, hi in new)

@@ -11,12 +11,21 @@ from threadloom.sources.folders import shared_folder
 
 #: Sizes of rendered blocks.
 COMPACT_CHARS, MINIMAL_CHARS, LOG_LINES, LOG_CHARS = 640, 240, 96, 800
+#: Places of a stretch by which ranges and rows are joined.
+STRETCH = 64
+
+
+def _blocked(ranges: DataFrame) -> DataFrame:
+    """Ranges (lo <= hi) once for each stretch of ``STRETCH`` places that they touch, as _s."""
+    first, last = (F.floor(F.col(c) / STRETCH) for c in ("lo", "hi"))
+    return ranges.where("lo <= hi").withColumn("_s", F.explode(F.sequence(first, last)))
 
 
 def covered_rows(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(session_id, block_id, ordinal) by ordinal range; an equi-join on the session with a range filter."""
-    b = blocks.select("session_id", "block_id", "lo", "hi")
-    return rows.select("session_id", "ordinal").join(b, "session_id").where(F.col("ordinal").between(F.col("lo"), F.col("hi"))).select("session_id", "block_id", "ordinal")
+    """(session_id, block_id, ordinal) by ordinal range; an equi-join on the session and a stretch of
+    ordinals, so a long session's rows meet only blocks nearby."""
+    b = _blocked(blocks.select("session_id", "block_id", "lo", "hi"))
+    return rows.select("session_id", "ordinal", F.floor(F.col("ordinal") / STRETCH).alias("_s")).join(b, ["session_id", "_s"]).where(F.col("ordinal").between(F.col("lo"), F.col("hi"))).select("session_id", "block_id", "ordinal")
 
 
 def exact_coverage(rows: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -29,9 +38,18 @@ def exact_coverage(rows: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def time_coverage(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Coverage by start and end time, for blocks without keys."""
-    b = blocks.select("session_id", "block_id", "start_ts", "end_ts")
-    return rows.select("session_id", "ordinal", "ts").join(b, "session_id").where(F.col("ts").between(F.col("start_ts"), F.col("end_ts"))).select("session_id", "block_id", "ordinal")
+    """Coverage by start and end time, for blocks without keys. Rows without a time and blocks that lack one
+    cover nothing; times become places in order of time, then it goes as in ``covered_rows``."""
+    timed = rows.where("ts is not null").select("session_id", F.col("ts").alias("_t"), F.lit(1).alias("_kind"), "ordinal", F.lit(None).cast(blocks.schema["block_id"].dataType).alias("block_id"))
+    whole = blocks.where("start_ts is not null and end_ts is not null")
+    edges = [whole.select("session_id", F.col(c).cast("double").alias("_t"), F.lit(kind).alias("_kind"), F.lit(None).cast(rows.schema["ordinal"].dataType).alias("ordinal"), "block_id") for c, kind in (("start_ts", 0), ("end_ts", 2))]
+    upto = Window.partitionBy("session_id").orderBy("_t", "_kind", "ordinal").rowsBetween(Window.unboundedPreceding, 0)
+    placed = timed.withColumn("_t", F.col("_t").cast("double")).unionByName(edges[0]).unionByName(edges[1]).withColumn("_at", F.count_if(F.col("_kind") == 1).over(upto))
+    lo, hi = (F.max(F.when(F.col("_kind") == k, F.col("_at"))) for k in (0, 2))
+    spans = placed.where("_kind <> 1").groupBy("session_id", "block_id").agg((lo + 1).alias("lo"), hi.alias("hi"))
+    own = placed.where("_kind = 1").select("session_id", F.col("_at").alias("ordinal"), F.col("ordinal").alias("_o"))
+    found = covered_rows(own, spans)
+    return found.join(own, ["session_id", "ordinal"]).select("session_id", "block_id", F.col("_o").alias("ordinal"))
 
 
 def live_owners(rows: DataFrame, covered: DataFrame, blocks: DataFrame, eligible: Column) -> DataFrame:
@@ -90,21 +108,28 @@ def block_savings(rows: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def overlapping(new: DataFrame, blocks: DataFrame) -> DataFrame:
     """Active blocks that a new range touches: whether it holds all their rows (then it supersedes them)
-    or only some (then it is refused). ``new``: session_id, range_id, lo, hi."""
-    a, b = new.alias("a"), blocks.where("active").alias("b")
-    hit = a.join(b, "session_id").where((F.col("a.lo") <= F.col("b.hi")) & (F.col("b.lo") <= F.col("a.hi")))
+    or only some (then it is refused). ``new``: session_id, range_id, lo, hi, with lo <= hi.
+
+    A range and a block meet in the first stretch that both have, so each pair comes once.
+    """
+    a, b = _blocked(new.select("session_id", "range_id", "lo", "hi")).alias("a"), _blocked(blocks.where("active").select("session_id", "block_id", "lo", "hi")).alias("b")
+    first = F.col("a._s") == F.floor(F.greatest("a.lo", "b.lo") / STRETCH)
+    hit = a.join(b, (F.col("a.session_id") == F.col("b.session_id")) & (F.col("a._s") == F.col("b._s"))).where((F.col("a.lo") <= F.col("b.hi")) & (F.col("b.lo") <= F.col("a.hi")) & first)
     inside = (F.col("a.lo") <= F.col("b.lo")) & (F.col("b.hi") <= F.col("a.hi"))
-    return hit.select("session_id", "range_id", "block_id", F.when(inside, "supersedes").otherwise("partial-overlap").alias("relation"))
+    return hit.select("a.session_id", "range_id", "block_id", F.when(inside, "supersedes").otherwise("partial-overlap").alias("relation"))
 
 
 def anchors(ranges: DataFrame, refs: DataFrame) -> DataFrame:
     """The first reference strictly after each range's end, tail:<end key> if there is none.
 
-    ``ranges``: session_id, range_id, hi, end_key; ``refs``: session_id, ordinal, source_key.
+    ``ranges``: session_id, range_id, hi, end_key; ``refs``: session_id, ordinal, source_key. One pass from
+    a session's end to its start, in which each range takes the last reference passed.
     """
-    r, k = ranges.alias("r"), refs.select("session_id", F.col("ordinal").alias("_o"), F.col("source_key").alias("_k")).alias("k")
-    after = r.join(k, "session_id", "left").groupBy("session_id", "range_id", "end_key").agg(F.min_by(F.when(F.col("_o") > F.col("hi"), F.col("_k")), F.when(F.col("_o") > F.col("hi"), F.col("_o"))).alias("_key"))
-    return after.select("session_id", "range_id", F.coalesce("_key", F.concat(F.lit("tail:"), F.col("end_key"))).alias("anchor"))
+    r = ranges.select("session_id", F.col("hi").alias("_at"), F.lit(0).alias("_ref"), "range_id", "end_key")
+    k = refs.select("session_id", F.col("ordinal").alias("_at"), F.lit(1).alias("_ref"), F.col("source_key").alias("_key"))
+    down = Window.partitionBy("session_id").orderBy(F.col("_at").desc(), "_ref", F.col("_key").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    both = r.unionByName(k, allowMissingColumns=True).withColumn("_next", F.last("_key", True).over(down))
+    return both.where("_ref = 0").select("session_id", "range_id", F.coalesce("_next", F.concat(F.lit("tail:"), F.col("end_key"))).alias("anchor"))
 
 
 def closed(rows: DataFrame, ranges: DataFrame) -> DataFrame:
