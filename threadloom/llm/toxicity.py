@@ -164,11 +164,10 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, max_t
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id")
         model = fit(pdf["slots"].tolist(), pdf["toxic"].to_numpy())
-        if model is None:
-            return pd.DataFrame({"name": [], "data": []})
-        return pd.DataFrame({"name": list(model), "data": [m.tobytes() for m in model.values()]})
+        parts = model or {"none": np.zeros(0, np.float32)}  # a row of its own: a frame without rows has no types
+        return pd.DataFrame({"name": list(parts), "data": [m.tobytes() for m in parts.values()]})
 
-    got = {r.name: np.frombuffer(r.data, np.float32) for r in rows.groupBy("_all").applyInPandas(one, "name string, data binary").collect()}
+    got = {r.name: np.frombuffer(r.data, np.float32) for r in rows.groupBy("_all").applyInPandas(one, "name string, data binary").where("name <> 'none'").collect()}
     return {"w": got["w"], "v": got["v"].reshape(-1, FACTORS), "b": got["b"]} if got else None
 
 
