@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bwtdedup, iblt, kneserney, linededup, mixing, packing, pii, rules, setjoin, toxicity
+from threadloom.llm import bwtdedup, divergence, iblt, kneserney, linededup, mixing, packing, pii, prefixtrie, rules, setjoin, toxicity
 from threadloom.llm.common import n_words, settle, table
 
 
@@ -83,6 +83,94 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneserney.classify(scored, scored.join(good.where("apart"), "doc_id", "left_semi")).select("doc_id", "lang", "perplexity", "most", "kept")
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         row_number() OVER () AS d, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), found AS (
+  SELECT lang, source, d, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM found GROUP BY lang, term HAVING count(DISTINCT d) >= 10
+), used AS (
+  SELECT f.lang, f.source, f.term, count(*) AS n FROM found f JOIN kept USING (lang, term) GROUP BY ALL
+), sizes AS (
+  SELECT g.lang, g.source, coalesce(sum(u.n), 0)::HUGEINT AS n
+  FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN used u ON u.lang = g.lang AND u.source = g.source GROUP BY g.lang, g.source
+), langs AS (
+  SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n FROM kept GROUP BY lang
+), shares AS (
+  SELECT s.lang, s.source, k.term, coalesce(u.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(u.n, 0) + 2)) // (s.n + 2 * l.v) AS p,
+         1 + (1000000000::HUGEINT * (k.n + 2)) // (l.n + 2 * l.v) AS q
+  FROM sizes s JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN used u ON u.lang = s.lang AND u.source = s.source AND u.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)), 0)::BIGINT AS value
+  FROM sizes a JOIN sizes b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN shares x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN shares y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY a.lang, a.source, b.source
+), terms AS (
+  SELECT lang, source, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms
+)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = prefixtrie.turn_lists(table(spark, sf_dir, "conversations"))
+    return prefixtrie.trie(prefixtrie.sequences(prefixtrie.rebuilt(lists)))
+
+
+#: The checksum of the decimal id is taken bit by bit; a node is named by the list of its turns.
+OP13_SQL = r"""
+WITH RECURSIVE own AS (
+  SELECT conv_id AS c, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY has, turn, key) AS pos
+  FROM (SELECT conv_id, turn IS NOT NULL AS has, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS key
+        FROM conversations WHERE conv_id IS NOT NULL)
+), bits AS (
+  SELECT c, 0 AS step, 4294967295::BIGINT AS crc FROM (SELECT DISTINCT c FROM own)
+  UNION ALL
+  SELECT c, step + 1, xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)
+  FROM (SELECT c, step, CASE WHEN step % 8 = 0 THEN xor(crc, ascii(substr(c::VARCHAR, step // 8 + 1, 1))) ELSE crc END AS x
+        FROM bits WHERE step < 8 * length(c::VARCHAR))
+), heads AS (
+  SELECT c, c - c % 100 AS base, xor(crc, 4294967295) % 6 AS h FROM bits WHERE step = 8 * length(c::VARCHAR)
+), turns AS (
+  SELECT h.c, 0 AS part, o.pos, o.role, o.text FROM heads h JOIN own o ON o.c = h.base AND o.pos <= h.h
+  UNION ALL
+  SELECT h.c, 1, o.pos, o.role, o.text FROM heads h JOIN own o ON o.c = h.c AND o.pos > h.h
+), built AS (
+  SELECT h.c, coalesce(list({'role': t.role, 'text': t.text} ORDER BY t.part, t.pos) FILTER (WHERE t.c IS NOT NULL), []) AS seq
+  FROM heads h LEFT JOIN turns t ON t.c = h.c GROUP BY h.c
+), members AS (
+  SELECT c, seq, unnest(range(0, len(seq) + 1)) AS d FROM built
+), nodes AS (
+  SELECT seq[1:d] AS path, d, min(c) AS c, count(*) AS n,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE len(seq) = d), '')) AS ends
+  FROM members GROUP BY seq[1:d], d
+), family AS (
+  SELECT x.path, x.d, x.c, x.n, x.ends, p.c AS parent, (SELECT count(*) FROM nodes k WHERE k.d = x.d + 1 AND k.path[1:x.d] = x.path) AS kids,
+         CASE WHEN x.d = 0 THEN 0 ELSE (x.n - 1) * length(x.path[x.d].text) END AS saved
+  FROM nodes x LEFT JOIN nodes p ON p.d = x.d - 1 AND p.path = x.path[1:x.d - 1]
+), up AS (
+  SELECT path[1:k] AS path, sum(saved) AS saved, sum(CASE WHEN kids = 0 THEN 1 ELSE 0 END) AS leaves
+  FROM (SELECT path, d, saved, kids, unnest(range(0, d + 1)) AS k FROM family) GROUP BY path[1:k]
+)
+SELECT f.c AS conv_id, f.d::BIGINT AS depth, f.parent AS parent_conv_id, f.n::BIGINT AS n_convs, f.kids::BIGINT AS n_children,
+       u.leaves::BIGINT AS n_leaves, u.saved::BIGINT AS saved_tokens, f.ends AS ends_sha256
+FROM family f JOIN up u ON u.path = f.path
+"""
+
+
 QUERIES = {
     "op1_iblt_fingerprints": op1_iblt_fingerprints,
     "op2_pii": op2_pii,
@@ -94,6 +182,8 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_kneser_ney": op10_kneser_ney,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
-SQL = {"op6_line_dedup": OP6_SQL}
+SQL = {"op6_line_dedup": OP6_SQL, "op12_source_divergence": OP12_SQL, "op13_prefix_trie": OP13_SQL}
