@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bwtdedup, divergence, iblt, kneserney, linededup, mixing, packing, pii, prefixtrie, rules, setjoin, toxicity
+from threadloom.llm import bwtdedup, divergence, iblt, kneserney, langid, linededup, mixing, packing, pii, prefixtrie, rules, setjoin, toxicity
 from threadloom.llm.common import n_words, settle, table
 
 
@@ -83,6 +83,13 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneserney.classify(scored, scored.join(good.where("apart"), "doc_id", "left_semi")).select("doc_id", "lang", "perplexity", "most", "kept")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    found = langid.identify(docs.select("doc_id", "text"), langid.train(docs.where(fold != 1)))
+    return found.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -182,6 +189,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_kneser_ney": op10_kneser_ney,
+    "op11_language_id": op11_language_id,
     "op12_source_divergence": op12_source_divergence,
     "op13_prefix_trie": op13_prefix_trie,
 }
