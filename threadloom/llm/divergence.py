@@ -217,7 +217,7 @@ def _audited(groups: dict[str, tuple[list[str], np.ndarray, int]], top: int):
                 sums = pair_sums(row, col, k, len(own), totals + ADDED * v)
                 a, b = np.nonzero(~np.eye(len(sources), dtype=bool))
                 name = pa.array(sources, pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(a)), name.take(pa.array(a)), pa.array(["pair"] * len(a)), name.take(pa.array(b)), pa.array(sums[a, b])], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(a), pa.string()), name.take(pa.array(a)), pa.array(["pair"] * len(a), pa.string()), name.take(pa.array(b)), pa.array(sums[a, b])], names=names)
                 whole = np.zeros(len(own), np.int64)
                 np.add.at(whole, row, k)
                 p, q = share(k + ADDED, (totals + ADDED * v)[col]), share(whole + ADDED, np.int64(totals.sum() + ADDED * v))[row]
