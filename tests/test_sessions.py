@@ -109,16 +109,98 @@ def test_shrinking_leaves_other_lines_as_they_were(spark, folder, tmp_path):
     nodes = rows.select("session_id", "id", "parent_id", "pos")
     out = persistence.vacuumed(rows, branches.nearest_marked(nodes, persistence.snapshots_of(rows))).cache()
     made = out.where("is_marker").collect()
-    assert [json.loads(r.raw) for r in made] == [{"id": "e7", "parentId": "e6", "timestamp": 7, "type": "custom", "customType": "dcp-state", "data": {"schemaVersion": 3, "unchanged": True}}]
-    kept = out.where("not is_marker").join(rows.select("session_id", "pos", F.col("raw").alias("before")), ["session_id", "pos"])
-    assert kept.count() == len(ENTRIES) and kept.where("raw <> before").count() == 0
+    assert [r.raw for r in made] == ['{"id":"e7","parentId":"e6","timestamp":7,"type":"custom","customType":"dcp-state","data":{"schemaVersion":3,"unchanged":true}}']
+    kept = out.join(rows.select("session_id", "pos", "custom_type", F.col("raw").alias("before")), ["session_id", "pos"])
+    assert kept.count() == len(ENTRIES) + 1 and kept.where("custom_type is null and raw <> before").count() == 0
+    fresh = json.loads(kept.where("custom_type is not null and not is_marker").orderBy("pos").first().raw)["data"]
+    assert fresh == {"schemaVersion": 3, "savedAt": 1, "currentTurn": 4, "lastNudgeTurn": -1, "lastCompressTurn": -1, "prunedToolIds": [], "lifetimeTokensSavedRealized": 0}
     # what is restored is the same before and after
-    before, after = (persistence.latest_snapshot(persistence.snapshots_of(x)).collect() for x in (rows, jsonl.entries(out.select("session_id", "pos", "raw"))))
-    assert before == after and len(before) == 1
+    again = jsonl.entries(out.select("session_id", "pos", "raw"))
+    before, after = (persistence.restored(x, x)[0].orderBy("session_id").collect() for x in (rows, again))
+    assert before == after and len(before) == 2
     jsonl.write_sessions(out, str(tmp_path / "new"))
     assert spark.read.text(str(tmp_path / "new")).count() == len(ENTRIES) + 1
 
 
+BLOCK = {
+    "id": 1, "topic": "a", "summary": "s", "startTimestamp": 10, "endTimestamp": 15.5, "anchorTimestamp": 16, "startSourceKey": "k1", "endSourceKey": "k2", "anchorSourceKey": "tail:k2", "active": True, "summaryTokenEstimate": 1, "savedTokenEstimate": 40, "createdAt": 99,
+    "compressCallId": "c", "activityLog": [{"kind": "read", "text": "t"}], "metadata": {"coveredSourceKeys": ["k1", "k2"], "coveredSpanKeys": ["x"], "coveredArtifactRefs": [], "coveredToolIds": ["c1"], "supersededBlockIds": [7],
+    "fileReadStats": [{"path": "f", "count": 3, "lineSpans": ["L1"]}], "fileWriteStats": [{"path": "g", "editCount": 1, "addedLines": 2, "removedLines": 0}], "commandStats": [{"command": "ls", "status": "ok"}]},
+}
+
+
+def entries_of(spark, sessions):
+    rows = [(s, k, json.dumps({"id": f"{s}{k}", "parentId": f"{s}{k - 1}" if k else None, **e}, separators=(",", ":"))) for s, own in sessions.items() for k, e in enumerate(own)]
+    return jsonl.entries(spark.createDataFrame(rows, "session_id string, pos long, raw string"))
+
+
+def state_entry(**data):
+    return {"type": "custom", "customType": "dcp-state", "data": data}
+
+
+def taken(*ids):
+    return {"type": "compaction", "summary": "x", "details": {"source": "dcp-native-compaction", "representedBlockIds": list(ids)}}
+
+
+def test_restoring_whole_sessions(spark):
+    off = {**BLOCK, "active": False, "topic": "", "summary": ""}
+    two = {**BLOCK, "id": 2, "savedTokenEstimate": 5}
+    turns = {"currentTurn": 9, "lastNudgeTurn": 8, "lastCompressTurn": 7, "prunedToolIds": ["c1"], "lifetimeTokensSavedRealized": 3}
+    branch = {
+        "none": [message("user", "hi")],
+        "v5": [state_entry(schemaVersion=3, currentTurn=1), state_entry(schemaVersion=5, blocks=[BLOCK, two], nextBlockId=5, **turns), state_entry(unchanged=True, schemaVersion=5)],
+        "repair": [state_entry(schemaVersion=5, blocks=[{**BLOCK, "topic": "old"}]), state_entry(schemaVersion=5, blocks=[BLOCK, two], **turns), state_entry(schemaVersion=5, blocks=[off, {**two, "active": False}], **turns)],
+        "taken": [state_entry(schemaVersion=5, blocks=[off, two], **turns), taken(1)],
+        "v4": [state_entry(schemaVersion=5, blocks=[BLOCK]), state_entry(schemaVersion=4, blocks=[BLOCK], **turns)],
+        "v1": [state_entry(compressionBlocks=[BLOCK], tokensSaved=77, **turns)],
+    }
+    off_branch = {s: [*own, taken(1)] if s == "repair" else own for s, own in branch.items()}
+    state, blocks = persistence.restored(entries_of(spark, branch), entries_of(spark, off_branch))
+    got = {r.session_id: r for r in state.collect()}
+    facts = {s: (r.outcome, r.next_block_id, r.tokens_saved, r.current_turn, r.last_nudge_turn, r.last_compress_turn, r.lifetime_saved, r.repaired_block_ids, r.repaired_turns) for s, r in got.items()}
+    assert facts == {
+        "none": ("empty", 1, 0, 0, -1, -1, 0, [], False), "v5": ("restored-v5", 5, 45, 9, 8, 7, 3, [], False), "repair": ("restored-v5", 3, 40, 9, 8, 7, 3, [1], False),
+        "taken": ("restored-v5", 3, 5, 9, -1, -1, 3, [], True), "v4": ("reset-legacy-v4", 1, 0, 9, 8, 7, 3, [], False), "v1": ("restored-v1", 2, 77, 9, 8, 7, 3, [], False),
+    }
+    assert sorted((r.session_id, r.block_id, r.active, r.topic, r.repaired) for r in blocks.collect()) == [
+        ("repair", 1, True, "a", True), ("repair", 2, False, "a", False), ("taken", 1, False, "", False), ("taken", 2, True, "a", False), ("v1", 1, True, "a", False), ("v5", 1, True, "a", False), ("v5", 2, True, "a", False)
+    ]
+
+
+def test_what_is_persisted_is_restored(spark):
+    """Blocks go to their persisted names and come back alike, in both formats; inactive ones are slim."""
+    odd = {**BLOCK, "id": 2, "anchorTimestamp": None, "active": True}
+    slim = {**BLOCK, "id": 3, "active": False}
+    df = entries_of(spark, {"s": [state_entry(schemaVersion=5, blocks=[BLOCK, odd, slim], nextBlockId=9, currentTurn=2, prunedToolIds=["c9", "c1"])], "t": [state_entry(schemaVersion=3, currentTurn=2)]})
+    state, blocks = persistence.restored(df, df)
+    state = state.withColumns({"saved_at": F.lit(5), "total_prunes": F.lit(2)})
+    out = {r.session_id: r for r in persistence.serialized(state, blocks.drop("repaired")).collect()}
+    assert json.loads(out["t"].payload) == {"schemaVersion": 3, "savedAt": 5, "currentTurn": 2, "lastNudgeTurn": -1, "lastCompressTurn": -1, "prunedToolIds": [], "lifetimeTokensSavedRealized": 0}
+    given = json.loads(out["s"].payload)
+    assert given["blocks"][0] == BLOCK and given["blocks"][1] == {**odd, "anchorTimestamp": 16.5} and given["nextBlockId"] == 9
+    bare = {"coveredSourceKeys": [], "coveredSpanKeys": [], "coveredArtifactRefs": [], "coveredToolIds": [], "supersededBlockIds": [7], "fileReadStats": [], "fileWriteStats": [], "commandStats": []}
+    assert given["blocks"][2] == {"id": 3, "topic": "", "summary": "", "startTimestamp": 10, "endTimestamp": 15.5, "anchorTimestamp": 16, "active": False, "summaryTokenEstimate": 1, "savedTokenEstimate": 40, "createdAt": 99, "metadata": bare}
+    for made in (persistence.serialized(state, blocks.drop("repaired")), persistence.serialized_v1(state, blocks.drop("repaired"))):
+        back = made.select("session_id", F.lit(1).cast("long").alias("pos"), F.parse_json("payload").alias("v"))
+        once = persistence.restored_blocks(back)
+        want = blocks.drop("repaired").withColumns({"anchor_ts": F.when(F.col("block_id") == 2, 16.5).otherwise(F.col("anchor_ts"))}).where("active")
+        assert sorted(map(str, once.where("active").select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_shrinking_rewrites_snapshots(spark):
+    """Old formats become version 5; a snapshot equal to its ancestor's, whatever their format and time, a marker."""
+    old = state_entry(savedAt=1, compressionBlocks=[BLOCK], nextBlockId=2, messageAliases={"a": 1}, manualMode=True)
+    new = state_entry(schemaVersion=5, savedAt=2, currentTurn=0, lastNudgeTurn=-1, lastCompressTurn=-1, prunedToolIds=[], lifetimeTokensSavedRealized=0, blocks=[BLOCK], nextBlockId=2)
+    rows = entries_of(spark, {"s": [old, message("user", "a  b"), new, state_entry(unchanged=True, schemaVersion=5), state_entry(**{**new["data"], "nextBlockId": 3})]})
+    nodes = rows.select("session_id", "id", "parent_id", "pos")
+    near = branches.nearest_marked(nodes, persistence.snapshots_of(rows))
+    out = {r.pos: (json.loads(r.raw).get("data"), r.is_marker) for r in persistence.vacuumed(rows, near).collect()}
+    assert out[0] == ({**new["data"], "savedAt": 1}, False) and out[2] == ({"schemaVersion": 5, "unchanged": True}, True)
+    assert out[3] == ({"unchanged": True, "schemaVersion": 5}, False) and out[4][0]["nextBlockId"] == 3 and not out[4][1]
+    plain = {r.pos: r.is_marker for r in persistence.vacuumed(rows, near, markers=False).collect()}
+    assert not any(plain.values())
+
+
 def test_debug_lines_are_appended(spark, tmp_path):
     e = spark.sql("select timestamp'2026-01-01 10:00:00' as ts, 'start' as event, double('nan') as n")
     for _ in range(2):

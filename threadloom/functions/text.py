@@ -67,23 +67,30 @@ def escape_attribute(s: Column) -> Column:
     return F.replace(s, F.lit('"'), F.lit("&quot;"))
 
 
+#: The protocol's tags, as they are shown, as they are made up, and as a row of nothing else holds them.
+SHOWN_TAGS = (r"<dcp-id>[^<]*</dcp-id>", r"<dcp-owner>[^<]*</dcp-owner>", r"<dcp-block-id>[^<]*</dcp-block-id>", r"</?agent-summary>", r"<dcp-log\b[^>]*>", r"</dcp-log>", r"</?dcp-system-reminder>")
+MADE_UP_TAGS = (r"(?i)<dcp[^>]*>[\s\S]*?</dcp[^>]*>", r"(?i)</?dcp[^>]*>", r"""(?i)<parameter\s+name=["']owner["'][^>]*>[\s\S]*?</parameter>""")
+OWNER_TAGS = r"(?i)<dcp-id>m\d{3,4}</dcp-id>|<dcp-owner>[^<]+</dcp-owner>|<dcp-block-id>b\d+</dcp-block-id>"
+
+
 def strip_metadata(s: Column) -> Column:
     """Visible metadata tags, each replaced by a blank; the text around them stays."""
-    for tag in ("dcp-id", "dcp-owner", "dcp-block-id"):
-        s = F.regexp_replace(s, f"<{tag}>[^<]*</{tag}>", " ")
-    return F.regexp_replace(s, r"</?agent-summary>|<dcp-log\b[^>]*>|</dcp-log>|</?dcp-system-reminder>", " ")
+    for tag in SHOWN_TAGS:
+        s = F.regexp_replace(s, tag, " ")
+    return s
 
 
 def strip_hallucinated(s: Column) -> Column:
     """Protocol tags that a model made up: pairs with what they hold, single tags, owner parameters."""
-    s = F.regexp_replace(s, r"(?i)<dcp[^>]*>[\s\S]*?</dcp[^>]*>", "")
-    s = F.regexp_replace(s, r"(?i)</?dcp[^>]*>", "")
-    return F.regexp_replace(s, r"""(?i)<parameter\s+name=["']owner["'][^>]*>[\s\S]*?</parameter>""", "")
+    for tag in MADE_UP_TAGS:
+        s = F.regexp_replace(s, tag, "")
+    return s
 
 
 def is_metadata_only(s: Column) -> Column:
-    """Nothing but tags and white space, and at least one tag."""
-    return (F.trim(F.regexp_replace(strip_metadata(s), SPACE + "+", "")) == "") & s.rlike(r"<(dcp-|agent-summary)")
+    """Nothing but well-formed reference, owner and block tags and white space, and at least one tag."""
+    line = normalize_inline(s)
+    return F.coalesce((line != "") & (F.trim(F.regexp_replace(line, OWNER_TAGS, "")) == ""), F.lit(False))
 
 
 def strip_envelope(s: Column) -> Column:

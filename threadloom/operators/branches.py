@@ -12,21 +12,28 @@ from pyspark.sql import functions as F
 from threadloom.sources.folders import shared_folder
 
 
-def ancestors(nodes: DataFrame, rounds: int = 20) -> DataFrame:
+def _rounds(nodes: DataFrame) -> int:
+    """Rounds of doubling after which every path of a session's entries has ended, unless it is a cycle."""
+    longest = nodes.groupBy("session_id").count().agg(F.max("count")).first()[0] or 0
+    return max(1, int(longest).bit_length())
+
+
+def ancestors(nodes: DataFrame) -> DataFrame:
     """(session_id, id, depth, root) by pointer doubling; ``nodes``: session_id, id, parent_id.
 
-    Entries on a cycle or deeper than 2**rounds come back without a root.
+    Rounds go on until all paths have ended. What is open after as many as the largest session needs leads into
+    a cycle: no root, no depth.
     """
     shared_folder(nodes.sparkSession)
     known = nodes.select("session_id", F.col("id").alias("parent_id")).withColumn("_known", F.lit(True))
     start = nodes.join(known, ["session_id", "parent_id"], "left")
     at = start.select("session_id", "id", F.when(F.col("_known"), F.col("parent_id")).alias("up"), F.when(F.col("_known"), 1).otherwise(0).cast("long").alias("depth"), F.when(F.col("_known").isNull(), F.col("id")).alias("root"))
-    for _ in range(rounds):
+    for _ in range(_rounds(nodes)):
         step = at.select("session_id", F.col("id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("root").alias("_root"))
         at = at.join(step, ["session_id", "up"], "left").select("session_id", "id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), F.coalesce("root", "_root").alias("root")).checkpoint()
         if not at.where("up is not null").take(1):
             break
-    return at.select("session_id", "id", "depth", "root")
+    return at.select("session_id", "id", F.when(F.col("root").isNotNull(), F.col("depth")).alias("depth"), "root")
 
 
 def leaves(nodes: DataFrame) -> DataFrame:
@@ -69,11 +76,29 @@ def branch_entries(nodes: DataFrame) -> DataFrame:
 
 
 def nearest_marked(nodes: DataFrame, marked: DataFrame) -> DataFrame:
-    """(session_id, id, ancestor): the nearest proper ancestor of each entry of ``marked`` that is marked
-    too and came before it. ``nodes``: session_id, id, parent_id; ``marked``: session_id, id, pos."""
-    up = lineage(nodes, marked.select("session_id", "id")).where("distance > 0")
-    held = up.join(marked.select("session_id", "id", F.col("pos").alias("_own")), ["session_id", "id"]).join(marked.select("session_id", F.col("id").alias("ancestor"), F.col("pos").alias("_pos")), ["session_id", "ancestor"])
-    return held.where("_pos < _own").groupBy("session_id", "id").agg(F.min_by("ancestor", "distance").alias("ancestor"))
+    """(session_id, id, ancestor): the nearest proper ancestor of each entry of ``marked`` that is marked,
+    as a log that is read from its start knows it: an entry that stands later in the file than the one asked
+    for ends the walk. ``nodes``: session_id, id, parent_id, pos; ``marked``: session_id, id. Of repeated ids
+    the first line counts.
+
+    The forest is contracted onto its marked entries: each entry points to its parent, and in each round an
+    open pointer jumps as far as the one it points to, so its reach doubles; pointers to marked entries and
+    from roots are closed. One row for each entry in every round, whatever the depth. A pointer carries the
+    last place it passed, which decides whether all of the path was known. What never closes runs in a cycle.
+    """
+    shared_folder(nodes.sparkSession)
+    first = nodes.where("id is not null").groupBy("session_id", "id").agg(F.min_by("parent_id", "pos").alias("up"), F.min("pos").alias("pos"))
+    own = marked.where("id is not null").select("session_id", "id").distinct().withColumn("_marked", F.lit(True))
+    first = first.join(own, ["session_id", "id"], "left").withColumn("_marked", F.coalesce("_marked", F.lit(False))).checkpoint()
+    parent = first.select("session_id", F.col("id").alias("up"), F.col("pos").alias("high"), (~F.col("_marked")).alias("open"))
+    at = first.join(parent, ["session_id", "up"], "left").select("session_id", "id", "pos", "_marked", F.when(F.col("high").isNotNull(), F.col("up")).alias("up"), "high", F.coalesce("open", F.lit(False)).alias("open")).checkpoint()
+    for _ in range(_rounds(first)):
+        if not at.where("open").take(1):
+            break
+        ahead = at.where("not _marked").select("session_id", F.col("id").alias("up"), F.col("up").alias("_up"), F.col("high").alias("_high"), F.col("open").alias("_open"))
+        jumped = at.where("open").join(ahead, ["session_id", "up"], "left").select("session_id", "id", "pos", "_marked", F.col("_up").alias("up"), F.greatest("high", "_high").alias("high"), F.coalesce("_open", F.lit(False)).alias("open"))
+        at = at.where("not open").unionByName(jumped).checkpoint()
+    return at.where("_marked and not open and up is not null and high < pos").select("session_id", "id", F.col("up").alias("ancestor"))
 
 
 def replayable(entries: DataFrame) -> DataFrame:

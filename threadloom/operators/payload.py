@@ -68,7 +68,7 @@ def filtered(items: DataFrame, live: DataFrame, refs: DataFrame, blocks: DataFra
     rows = rows.withColumn("deciding", deciding)
     rows = rows.join(live.select("session_id", F.col("owner").alias("deciding")).distinct().withColumn("_live", F.lit(True)), ["session_id", "deciding"], "left")
     rows = rows.join(live.select("session_id").distinct().withColumn("_any", F.lit(True)), "session_id", "left")
-    summary = is_message(F.col("role"), F.col("type")) & F.coalesce(F.ltrim(F.col("text")).startswith(SUMMARY_PREFIX), F.lit(False))
+    summary = is_message(F.col("role"), F.col("type")) & (F.col("role") == "user") & F.coalesce(F.col("text").startswith(SUMMARY_PREFIX), F.lit(False))
     stays = F.col("_any").isNull() | summary | F.col("deciding").isNull() | F.col("_live").isNotNull()
     receipt = F.lit(None).cast("string")
     if blocks is not None:

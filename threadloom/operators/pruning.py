@@ -32,22 +32,23 @@ def duplicates(log: DataFrame, *, cadence: int = 1, protected: tuple[str, ...] =
 
 
 def stale_error(turns: int, cadence: int = 1, protected: tuple[str, ...] = ()) -> Column:
-    """A failed result whose turn lies ``turns`` or more before the open bucket."""
+    """A failed result whose turn lies ``turns`` or more before the open bucket. Only the tools in ``protected``
+    are spared: those that are never duplicates do go stale."""
     old = bucket(F.col("current_turn"), cadence) - F.col("turn_index") >= turns
-    return F.col("is_error") & old & ~F.col("tool_name").isin(*PROTECTED, *protected)
+    return F.col("is_error") & old & (~F.col("tool_name").isin(*protected) if protected else F.lit(True))
 
 
 def tombstone(content: Column, pruned: Column, is_error: Column) -> Column:
     return F.when(pruned & is_error, ERROR_TOMBSTONE).when(pruned, GENERIC_TOMBSTONE).otherwise(content)
 
 
-def prune_log(log: DataFrame, *, cadence: int = 1, error_turns: int = 4, dedup: bool = True, purge: bool = True, prior: DataFrame | None = None) -> DataFrame:
+def prune_log(log: DataFrame, *, cadence: int = 1, error_turns: int = 4, dedup: bool = True, purge: bool = True, prior: DataFrame | None = None, protected: tuple[str, ...] = ()) -> DataFrame:
     """Add current_turn, duplicate, stale and the visible content. ``prior`` (session_id, tool_call_id):
-    results pruned by earlier passes; they stay pruned."""
+    results pruned by earlier passes; they stay pruned. ``protected``: tools that are neither."""
     turns = F.count("*").over(Window.partitionBy("session_id"))
     rows = log.withColumn("current_turn", turns)
-    rows = duplicates(rows, cadence=cadence) if dedup else rows.withColumn("duplicate", F.lit(False))
-    rows = rows.withColumn("stale", stale_error(error_turns, cadence) if purge else F.lit(False))
+    rows = duplicates(rows, cadence=cadence, protected=protected) if dedup else rows.withColumn("duplicate", F.lit(False))
+    rows = rows.withColumn("stale", stale_error(error_turns, cadence, protected) if purge else F.lit(False))
     pruned = F.col("duplicate") | F.col("stale")
     if prior is not None:
         rows = rows.join(prior.select("session_id", "tool_call_id").distinct().withColumn("_prior", F.lit(True)), ["session_id", "tool_call_id"], "left")
@@ -68,7 +69,8 @@ def without_orphans(rows: DataFrame) -> DataFrame:
     """Rows with results without call removed, and assistants' call parts without result stripped.
 
     Both look at the rows as they came. ``rows``: session_id, ordinal, role, tool_call_id, parts. An
-    assistant that is left without any part stays, with none. Calls and results meet by session and id.
+    assistant that is left without any part stays, with none. Calls and results meet by session and id; a
+    call without id has no result, a result without call id stays.
     """
     called = rows.where("role = 'assistant'").select("session_id", F.explode(F.filter("parts", lambda p: p["type"] == "toolCall")).alias("p")).select("session_id", F.col("p.id").alias("tool_call_id")).distinct().withColumn("_called", F.lit(True))
     answers = rows.where(F.col("role").isin("toolResult", "bashExecution") & F.col("tool_call_id").isNotNull()).select("session_id", F.col("tool_call_id").alias("id")).distinct()
@@ -76,8 +78,9 @@ def without_orphans(rows: DataFrame) -> DataFrame:
     lost = asked.join(answers, ["session_id", "id"], "left_anti").groupBy("session_id", "ordinal").agg(F.collect_set("id").alias("_lost"))
     kept = rows.join(called, ["session_id", "tool_call_id"], "left").where(~F.col("role").isin("toolResult", "bashExecution") | F.col("tool_call_id").isNull() | F.col("_called"))
     kept = kept.join(lost, ["session_id", "ordinal"], "left")
-    parts = F.filter("parts", lambda p: (p["type"] != "toolCall") | p["id"].isNull() | ~F.array_contains("_lost", p["id"]))
-    return kept.withColumn("parts", F.when(F.col("_lost").isNotNull(), parts).otherwise(F.col("parts"))).drop("_called", "_lost")
+    none = F.array().cast("array<string>")
+    parts = F.filter("parts", lambda p: F.coalesce(p["type"] != "toolCall", F.lit(True)) | (p["id"].isNotNull() & ~F.array_contains(F.coalesce("_lost", none), p["id"])))
+    return kept.withColumn("parts", F.when(F.col("role") == "assistant", parts).otherwise(F.col("parts"))).drop("_called", "_lost")
 
 
 def stripped_parts(parts: Column) -> Column:

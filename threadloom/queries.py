@@ -82,9 +82,13 @@ def dedup_keep_last(spark, sf_dir):
     return _log(spark, sf_dir).where("duplicate").select("session_id", "tool_call_id")
 
 
-@register("error_purge_cadence", log_sql("SELECT session_id, tool_call_id, turn_index FROM shown WHERE stale"))
+@register("error_purge_cadence", log_sql("SELECT session_id, tool_call_id, turn_index, CASE CAST(tool_call_id AS BIGINT) % 4 WHEN 0 THEN 'edit' WHEN 1 THEN 'write' WHEN 2 THEN 'compress' ELSE 'read' END AS tool_name FROM shown WHERE stale AND CAST(tool_call_id AS BIGINT) % 8 <> 3"))
 def error_purge_cadence(spark, sf_dir):
-    return _log(spark, sf_dir, cadence=5).where("stale").select("session_id", "tool_call_id", "turn_index")
+    """Failed edits, writes and summaries go stale like others; one tool is spared."""
+    k = F.col("tool_call_id").cast("long")
+    tool = F.when(k % 8 == 3, "spared").when(k % 4 == 0, "edit").when(k % 4 == 1, "write").when(k % 4 == 2, "compress").otherwise("read")
+    log = pruning.prune_log(adapters.tool_log(spark, sf_dir).withColumn("tool_name", tool), cadence=5, protected=("spared",))
+    return log.where("stale").select("session_id", "tool_call_id", "turn_index", "tool_name")
 
 
 @register("tombstoned_log", log_sql("SELECT session_id, tool_call_id, duplicate OR stale AS pruned, visible FROM shown"))
@@ -226,7 +230,7 @@ near AS (SELECT *, last_value(CASE WHEN role = 'assistant' THEN owner END IGNORE
 dec AS (SELECT *, CASE WHEN type = 'reasoning' THEN coalesce(next, prev) ELSE owner END AS deciding FROM near)"""
 
 
-@register("payload_filter", _with(M, B, ITEMS) + "SELECT session_id, idx, type, deciding FROM dec WHERE deciding IS NULL OR NOT EXISTS (SELECT 1 FROM b WHERE b.session_id = dec.session_id AND CAST(substr(deciding, 2) AS BIGINT) BETWEEN b.lo AND b.hi)")
+@register("payload_filter", _with(M, B, ITEMS) + "SELECT session_id, idx, type, deciding FROM dec WHERE deciding IS NULL OR (role = 'user' AND idx % 3 = 2) OR NOT EXISTS (SELECT 1 FROM b WHERE b.session_id = dec.session_id AND CAST(substr(deciding, 2) AS BIGINT) BETWEEN b.lo AND b.hi)")
 def payload_filter(spark, sf_dir):
     rows = _messages(spark, sf_dir)
     made = adapters.blocks(rows)
@@ -237,6 +241,8 @@ def payload_filter(spark, sf_dir):
         "session_id", F.col("ordinal").alias("idx"), F.when(~thought, F.col("role")).alias("role"), F.when(thought, "reasoning").otherwise("message").alias("type"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("call_id"),
         F.when(F.col("role") == "user", F.concat("content", F.lit("\n\n"), refs.ref_tag(refs.format_ref(F.col("ordinal"))))).otherwise(F.col("content")).alias("text"), F.when((F.col("role") == "assistant") & ~thought, own).alias("internal_owner"),
     )
+    # every third text begins like a summary: those of users stay, others go with their owner; after a blank it is none
+    items = items.withColumn("text", F.when(F.col("idx") % 3 == 2, F.concat(F.lit(payload.SUMMARY_PREFIX), "text")).when(F.col("idx") % 3 == 1, F.concat(F.lit(" " + payload.SUMMARY_PREFIX), "text")).otherwise(F.col("text")))
     named = rows.select("session_id", refs.format_ref(F.col("ordinal")).alias("ref"), own.alias("owner"))
     return payload.filtered(items, live, named).select("session_id", "idx", "type", "deciding")
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from threadloom.config import DEFAULTS
 from threadloom.functions import refs, text, tokens, tools
-from threadloom.operators import artifacts, branches, compaction, coverage, payload, persistence, pruning, status, transaction, transcript
-from threadloom.queries import EST, INLINE, QUERIES, SQL, _with, register
+from threadloom.operators import artifacts, branches, compaction, coverage, payload, persistence, pruning, splicing, status, transaction, transcript
+from threadloom.queries import EST, INLINE, M, QUERIES, SQL, _with, register
 from threadloom.sources import adapters, jsonl
 
 # ruff: noqa: E501 - queries are listed with their SQL
@@ -166,8 +166,8 @@ def tree_markers(spark, sf_dir):
     """Entries of odd number hold a snapshot; one equal to that of its nearest ancestor is a marker."""
     nodes = _tree(spark, sf_dir)
     held = nodes.where("pos % 2 = 1")
-    v = F.parse_json(F.to_json(F.struct(F.lit(5).alias("schemaVersion"), F.col("pos").alias("savedAt"), "k")))
-    return persistence.marked_by_ancestor(held.select("session_id", "id", "pos", v.alias("v")), branches.nearest_marked(nodes, held)).select("session_id", "id", "is_marker")
+    text = F.to_json(F.struct(F.lit(5).alias("schemaVersion"), F.col("pos").alias("savedAt"), F.struct(F.col("k").alias("savedAt")).alias("k")))
+    return persistence.marked_by_ancestor(held.select("session_id", "id", "pos", F.parse_json(text).alias("v"), text.alias("text")), branches.nearest_marked(nodes, held)).select("session_id", "id", "is_marker")
 
 
 @register("replayable_branches", "WITH RECURSIVE " + TREE + ", " + UP + " SELECT up.session_id, CAST(leaf AS VARCHAR) AS branch_id, bool_or(t.k = 0 AND t.pos % 4 = 1 OR t.k = 1 AND t.pos % 5 = 0) AS replayable FROM up JOIN t ON t.session_id = up.session_id AND t.pos = node WHERE NOT EXISTS (SELECT 1 FROM t c WHERE c.session_id = up.session_id AND c.pos // 2 = up.leaf AND c.pos > 1) GROUP BY 1, 2")
@@ -187,22 +187,23 @@ def _snapshots(spark, sf_dir):
     """Orders as snapshots: version by the key modulo 7 (6: none), blocks of ids 1 and 4 and one that isn't valid."""
     key = F.col("o_orderkey")
     version = F.when(key % 7 < 6, key % 7)
-    block = F.concat(F.lit('[{"id":1,"topic":"a","active":true,"savedTokenEstimate":'), (key % 50).cast("string"), F.lit('},{"id":4,"topic":"b","active":false,"savedTokenEstimate":9},{"id":5}]'))
-    body = F.concat(F.lit('{"savedAt":1'), F.coalesce(F.concat(F.lit(',"schemaVersion":'), version.cast("string")), F.lit("")), F.when(version >= 4, F.concat(F.lit(',"blocks":'), block)).when(F.coalesce(version, F.lit(1)) == 1, F.concat(F.lit(',"tokensSaved":77,"compressionBlocks":'), block)).otherwise(""), F.lit("}"))
+    block = F.concat(F.lit('[{"id":1,"topic":"a","summary":"s","startTimestamp":1,"endTimestamp":2,"active":true,"savedTokenEstimate":'), (key % 50).cast("string"), F.lit('},{"id":4,"topic":"b","summary":"","startTimestamp":3,"endTimestamp":4,"active":false,"savedTokenEstimate":9},{"id":5}]'))
+    body = F.concat(F.lit('{"savedAt":1,"prunedToolIds":["c'), (key % 9).cast("string"), F.lit('",7,"x"],"lifetimeTokensSavedRealized":'), (key % 13).cast("string"), F.when(key % 2 == 0, F.concat(F.lit(',"currentTurn":'), (key % 11).cast("string"))).otherwise(F.lit(',"currentTurn":"4","lastNudgeTurn":3')), F.coalesce(F.concat(F.lit(',"schemaVersion":'), version.cast("string")), F.lit("")), F.when(version >= 4, F.concat(F.lit(',"blocks":'), block)).when(F.coalesce(version, F.lit(1)) == 1, F.concat(F.lit(',"tokensSaved":77,"compressionBlocks":'), block)).otherwise(""), F.lit("}"))
     return adapters.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session_id"), key.alias("pos"), F.parse_json(body).alias("v"))
 
 
-@register("restored_state", _with(SNAPSHOT) + "SELECT session_id, CASE v WHEN 5 THEN 'restored-v5' WHEN 4 THEN 'reset-legacy-v4' WHEN 3 THEN 'scalar-v3' WHEN 1 THEN 'restored-v1' WHEN 6 THEN 'restored-v1' ELSE 'scalar-legacy' END AS kind, CASE WHEN v IN (1, 4, 5, 6) THEN 5 ELSE 1 END AS next_block_id, CAST(CASE WHEN v IN (4, 5) THEN o % 50 WHEN v IN (1, 6) THEN 77 ELSE 0 END AS BIGINT) AS tokens_saved, CASE WHEN v IN (1, 4, 5, 6) THEN 2 ELSE 0 END AS n_blocks FROM s")
+@register("restored_state", _with(SNAPSHOT) + """SELECT session_id, CASE v WHEN 5 THEN 'restored-v5' WHEN 4 THEN 'reset-legacy-v4' WHEN 3 THEN 'scalar-v3' WHEN 1 THEN 'restored-v1' WHEN 6 THEN 'restored-v1' ELSE 'scalar-legacy' END AS kind, CASE WHEN v IN (1, 5, 6) THEN 5 ELSE 1 END AS next_block_id, CAST(CASE WHEN v = 5 THEN o % 50 WHEN v IN (1, 6) THEN 77 ELSE 0 END AS BIGINT) AS tokens_saved, CASE WHEN v IN (1, 5, 6) THEN 2 ELSE 0 END AS n_blocks,
+  v AS schema_version, ['c' || o % 9, 'x'] AS pruned_tool_ids, o % 13 AS lifetime_saved, CASE WHEN o % 2 = 0 THEN o % 11 ELSE 0 END AS current_turn, CASE WHEN o % 2 = 0 THEN -1 ELSE 3 END AS last_nudge_turn FROM (SELECT *  REPLACE (CASE v WHEN 6 THEN 1 ELSE v END AS v) FROM s)""")
 def restored_state(spark, sf_dir):
-    s = _snapshots(spark, sf_dir)
-    return persistence.latest_snapshot(s).select("session_id", "kind").join(persistence.restored_scalars(s), "session_id")
+    return persistence.restored_scalars(_snapshots(spark, sf_dir)).drop("last_compress_turn")
 
 
-@register("restored_blocks", _with("s AS (SELECT o_custkey AS session_id, max(o_orderkey) AS o FROM orders GROUP BY 1)") + """SELECT session_id, CASE o % 3 WHEN 0 THEN 'restored-v5' WHEN 1 THEN 'reset-legacy-v4' ELSE 'restored-v1' END AS kind, CAST(b AS BIGINT) AS block_id, b = 1 OR o % 2 = 0 AS active,
+BLOCK_FIELDS = """CAST(b AS BIGINT) AS block_id, b = 1 OR o % 2 = 0 AS active,
   CASE WHEN o % 3 = 1 THEN 'infinity'::DOUBLE ELSE b * 10 END AS start_ts, CASE WHEN o % 3 = 1 OR b = 2 THEN 'infinity'::DOUBLE ELSE b * 10 + 6 END AS anchor_ts, CASE WHEN b = 2 THEN 0 ELSE CAST(o % 50 AS DOUBLE) END AS saved_tokens,
-  CASE WHEN o % 3 = 1 THEN [7] ELSE [8] END AS superseded_block_ids, CASE WHEN o % 3 = 1 THEN [] ELSE ['k' || o] END AS covered_source_keys, CASE WHEN o % 3 <> 1 THEN 1 END AS n_log, CASE WHEN o % 3 <> 1 THEN 'f:3' END AS read, CASE WHEN o % 3 <> 1 THEN 'other' END AS status
-  FROM s, (VALUES (1), (2)) t(b)""")
-def restored_blocks(spark, sf_dir):
+  CASE WHEN o % 3 = 1 THEN [7] ELSE [8] END AS superseded_block_ids, CASE WHEN o % 3 = 1 THEN [] ELSE ['k' || o] END AS covered_source_keys, CASE WHEN o % 3 <> 1 THEN 1 END AS n_log, CASE WHEN o % 3 <> 1 THEN 'f:3' END AS read, CASE WHEN o % 3 <> 1 THEN 'other' END AS status"""
+
+
+def _versioned(spark, sf_dir):
     """Orders as snapshots of three versions with two valid blocks and some that aren't."""
     key = F.col("o_orderkey")
     k, n = key.cast("string"), (key % 50).cast("string")
@@ -212,9 +213,23 @@ def restored_blocks(spark, sf_dir):
     bad = F.lit('{"id":"3","topic":"a","summary":"s","startTimestamp":1,"endTimestamp":2},{"id":4,"topic":"a","startTimestamp":1,"endTimestamp":2},7')
     named = F.when(key % 3 == 0, '{"schemaVersion":5,"blocks":[').when(key % 3 == 1, '{"schemaVersion":4,"blocks":[').otherwise('{"compressionBlocks":[')
     v = F.parse_json(F.concat(named, F.concat_ws(",", one, two, bad), F.lit("]}")))
-    s = adapters.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session_id"), key.alias("pos"), v.alias("v"))
+    return adapters.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session_id"), key.alias("pos"), v.alias("v"))
+
+
+def _block_fields(blocks, *first):
     read = F.transform("file_reads", lambda r: F.concat_ws(":", r["path"], r["count"].cast("long").cast("string")))
-    return persistence.restored_blocks(s).select("session_id", "kind", "block_id", "active", "start_ts", "anchor_ts", "saved_tokens", "superseded_block_ids", "covered_source_keys", F.when(F.col("activity_log").isNotNull(), F.size("activity_log")).alias("n_log"), F.element_at(read, 1).alias("read"), F.element_at("commands.status", 1).alias("status"))
+    return blocks.select(*first, "block_id", "active", "start_ts", "anchor_ts", "saved_tokens", "superseded_block_ids", "covered_source_keys", F.when(F.col("activity_log").isNotNull(), F.size("activity_log")).alias("n_log"), F.element_at(read, 1).alias("read"), F.element_at("commands.status", 1).alias("status"))
+
+
+@register("restored_blocks", _with("s AS (SELECT o_custkey AS session_id, max(o_orderkey) AS o FROM orders GROUP BY 1)") + f"SELECT session_id, CASE o % 3 WHEN 0 THEN 'restored-v5' ELSE 'restored-v1' END AS kind, {BLOCK_FIELDS} FROM s, (VALUES (1), (2)) t(b) WHERE o % 3 <> 1")
+def restored_blocks(spark, sf_dir):
+    """A session whose last snapshot is of version 4 resumes without blocks, whatever came before."""
+    return _block_fields(persistence.restored_blocks(_versioned(spark, sf_dir)), "session_id", "kind")
+
+
+@register("single_blocks", f"SELECT o_custkey AS session_id, o_orderkey AS pos, {BLOCK_FIELDS} FROM (SELECT *, o_orderkey AS o FROM orders), (VALUES (1), (2)) t(b)")
+def single_blocks(spark, sf_dir):
+    return _block_fields(persistence.single_blocks(_versioned(spark, sf_dir)), "session_id", "pos")
 
 
 @register("debug_lines", """SELECT '{"timestamp":"1970-01-01T00:00:0' || event_id % 10 || '.000Z","event":"' || event_type || '","payload":{"n":' || CASE event_id % 3 WHEN 0 THEN '"NaN"' WHEN 1 THEN '"-Infinity"' ELSE 'null' END || ',"who":' || user_id || '}}' AS value FROM events""")
@@ -339,3 +354,30 @@ def edit_line_stats(spark, sf_dir):
     k = F.col("event_id") % 97
     edit = F.struct(F.repeat(F.lit("x\n"), (k % 3).cast("int")).alias("old"), F.repeat(F.lit("x\r\n"), (k % 5).cast("int")).alias("new"))
     return adapters.read(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), (F.row_number().over(order) - 1).alias("i"), tools.edit_stats(F.array(edit)).alias("s")).select("session_id", "i", "s.*")
+
+
+ANCHORED = """n AS (SELECT session_id, count(*) AS n FROM m GROUP BY 1),
+b AS (SELECT session_id, k, (session_id * k) % n AS x, (session_id + 2 * k) % n AS y, CASE WHEN (session_id + k) % 4 = 0 THEN 'tail:x' WHEN (session_id + k) % 7 = 0 AND k > 1 THEN 'b' || k - 1 ELSE 's' || (session_id + 5 * k) % n END AS anchor, ((session_id + 3 * k) % n + 1) * 1000.0 AS due FROM n, range(1, 5) t(k)),
+s(session_id, k, rows) AS (
+  SELECT session_id, 0::BIGINT, list({'t': ts, 'key': 's' || ordinal} ORDER BY ordinal) FROM m GROUP BY 1
+  UNION ALL
+  SELECT session_id, k + 1, CASE WHEN lo IS NULL THEN rows WHEN anchor LIKE 'tail:%' THEN list_concat(rest, [made]) WHEN place IS NULL THEN
+      [{'t': r.t, 'key': r.key} FOR r IN list_sort([{'t': r.t, 'i': i, 'key': r.key} FOR r, i IN list_concat(rest, [made])])]
+    ELSE list_concat(list_concat(rest[:place - 1], [made]), rest[place:]) END
+  FROM (SELECT *, list_position([r.key FOR r IN rest], anchor) AS place FROM (
+    SELECT *, list_concat(rows[:lo - 1], rows[hi + 1:]) AS rest, {'t': CAST(due - 0.5 AS DOUBLE), 'key': 'b' || (k + 1)} AS made FROM (
+      SELECT s.session_id, s.k, s.rows, b.anchor, b.due, CASE WHEN px > 0 AND py > 0 THEN least(px, py) END AS lo, CASE WHEN px > 0 AND py > 0 THEN greatest(px, py) END AS hi
+      FROM (SELECT *, list_position([r.key FOR r IN s.rows], 's' || x) AS px, list_position([r.key FOR r IN s.rows], 's' || y) AS py FROM s JOIN b USING (session_id) WHERE b.k = s.k + 1) s JOIN b ON b.session_id = s.session_id AND b.k = s.k + 1))))"""
+
+
+@register("anchored_splice", "WITH RECURSIVE " + M + ", " + ANCHORED + " SELECT session_id, i - 1 AS ordinal, rows[i].key AS item FROM (SELECT session_id, rows, unnest(range(1, len(rows) + 1)) AS i FROM s WHERE k = 4)")
+def anchored_splice(spark, sf_dir):
+    """Four blocks for each conversation, many of which overlap or stand in each other's ranges."""
+    rows = adapters.messages(spark, sf_dir).withColumns({"source_key": transcript.owner_key(F.col("ordinal")), "calls": F.array().cast("array<string>"), "tool_call_id": F.lit(None).cast("string")})
+    c, n, k = F.col("session_id"), F.col("n"), F.col("block_id")
+    key = lambda i: F.concat(F.lit("s"), i.cast("string"))
+    anchor = F.when((c + k) % 4 == 0, "tail:x").when(((c + k) % 7 == 0) & (k > 1), F.concat(F.lit("synth:block:b"), (k - 1).cast("string"))).otherwise(key((c + 5 * k) % n))
+    made = rows.groupBy("session_id").agg(F.count("*").alias("n")).withColumn("block_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(4).cast("long"))))
+    made = made.select("session_id", "block_id", key((c * k) % n).alias("start_key"), key((c + 2 * k) % n).alias("end_key"), anchor.alias("anchor_key"), (((c + 3 * k) % n + 1) * 1000).cast("double").alias("anchor_ts"), F.lit(True).alias("active"), F.lit("t").alias("topic"), F.concat(F.lit("Summary "), k.cast("string")).alias("summary"), F.lit(None).cast("double").alias("created_at"))
+    shown, _ = splicing.spliced(rows, made, ("source_key",))
+    return shown.select("session_id", "ordinal", F.coalesce(F.concat(F.lit("b"), F.col("block_id").cast("string")), "source_key").alias("item"))
