@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.operators import branches, persistence, replay
+from threadloom.operators import branches, persistence, replay, transcript
 from threadloom.sources import jsonl
 from threadloom.streaming import sessions
 
@@ -42,7 +42,7 @@ ENTRIES = [
     call("k3", "compress", **ranges(("b1", "m0003", "s" * 80))), result("k3", "failed", "compress", isError=True),
     call("k4", "compress", **ranges(("b1", "m0003", "s" * 80))), result("k4", "done", "compress"),  # rows 0 to 3, block 1 superseded
     snapshot(3, 9), {"type": "compaction", "summary": "all", "details": {"source": "dcp-native-compaction", "representedBlockIds": [2]}},
-    message("user", TEXT), call("k5", "compress", **ranges(("m0008", "m0009", "s"), ("m0099", "m0099", "s"))), result("k5", "done", "compress"),
+    message("user", TEXT), call("k5", "compress", **ranges(("m0009", "m0010", "s"), ("m0099", "m0099", "s"))), result("k5", "done", "compress"),
 ]
 
 
@@ -77,11 +77,69 @@ def test_replay_of_entries(spark, folder):
     assert one.n_messages == len(ENTRIES) - 3 and one.n_tool_calls == 6
     # users 4, exchanges 6, the compaction none
     assert one.turns == 10
-    # block 1: 200 rows' tokens less 10; block 2: 300 less 20, realized; block 3: the rows of m0008 and m0009
+    # block 1: 200 rows' tokens less 10; block 2: 300 less 20, realized; block 3: the rows of m0009 and m0010
+    # (block 1 was shown at the second pass and took m0004, before the rows that were new then; block 2 never was)
     assert one.active_blocks == [3] and one.next_block_id == 4 and one.lifetime_saved == 280.0
     # its rows: the exchange of k4 with the compaction after it, 0 + 1 + 1, and the user's 100; the summary 0
     assert one.tokens_saved == 102.0
-    assert one.last_compress_turn == 10  # the calling row is a turn before its result comes
+    assert one.last_compress_turn == one.last_nudge_turn == 10  # the calling row is a turn before its result comes
+    assert one.pruned_tool_ids == ["k3"]  # failed more than four turns ago
+
+
+def replayed(spark, entries, **rules):
+    return replay.replay(replay.entry_events(entries_of(spark, {"s": entries})), replay.Rules(**rules)).first()
+
+
+def test_replay_prunes_and_names_blocks(spark):
+    reads = [e for k in range(6) for e in (call(f"r{k}", path="f" if k % 2 else f"g{k}"), result(f"r{k}", TEXT))]
+    failed = [call("bad", "edit", path="x"), result("bad", "no", "edit", isError=True), call("bad2", "edit", path="x"), result("bad2", "no", "edit", isError=True)]
+    compress = lambda i, *given: [call(i, "compress", **ranges(*given)), result(i, "done", "compress")]
+    # all calls are dated by the last pass, at turn 0; r1 and r3 are repeated by r5, edits never count as repeated
+    got = replayed(spark, [message("user", TEXT), *reads, *failed])
+    assert got.turns == 9 and got.pruned_tool_ids == ["bad", "bad2", "r1", "r3"]
+    assert replayed(spark, [message("user", TEXT), *reads, *failed], dedup=False).pruned_tool_ids == ["bad", "bad2"]
+    assert replayed(spark, [message("user", TEXT), *reads, *failed], purge=False, cadence=20).pruned_tool_ids == []
+    # what is covered is shown no more: with r5 in a block r3 is the last one; what a pass has pruned stays so
+    got = replayed(spark, [message("user", TEXT), *reads, *compress("k", ("m0007", "m0007", "s"))])
+    assert got.active_blocks == [1] and got.pruned_tool_ids == ["r1", "r3"]
+    # a block's own row has a reference: m0003 after m0001 and m0002, shown before the new rows; a range from it begins at the block
+    own = [message("user", TEXT), message("user", TEXT), *compress("k1", ("m0001", "m0001", "s")), message("user", TEXT)]
+    got = replayed(spark, [*own, *compress("k2", ("m0003", "m0005", "s"))])
+    assert got.active_blocks == [2] and got.next_block_id == 3 and got.tokens_saved == 301.0  # three users' rows and the result of k1, less 0
+    # a block at the end of all rows is named after the new ones
+    late = [message("user", TEXT), *compress("k1", ("m0001", "m0001", "s")), message("user", TEXT)]
+    assert replayed(spark, [*late, *compress("k2", ("m0004", "m0004", "s"))]).active_blocks == [2]
+    assert replayed(spark, [*late, *compress("k2", ("m0003", "m0003", "s"))]).active_blocks == [1, 2]
+    # compaction forgets the turns of block and reminder
+    got = replayed(spark, [*own, taken(1)])
+    assert (got.active_blocks, got.lifetime_saved, got.last_compress_turn, got.last_nudge_turn) == ([], 100.0, -1, -1)
+
+
+def batches_of(spark, df, cuts, tmp_path, made, mode):
+    """Run the stream that ``made`` builds over ``df``, which arrives in parts by ``cuts``."""
+    out, source = [], str(tmp_path / "in")
+    for cut in cuts:
+        df.where(cut).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(df.schema).parquet(source)
+        made(stream).writeStream.outputMode(mode).foreachBatch(lambda b, _: out.extend(b.collect())).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    return out
+
+
+@pytest.mark.parametrize("cuts", [["ordinal < 100"], ["ordinal < 3", "ordinal = 3", "ordinal between 4 and 8", "ordinal between 9 and 99"]])
+def test_spans_of_a_stream(spark, tmp_path, cuts):
+    roles = {
+        "a": [("user",), ("assistant", "c1", "c2"), ("custom_message",), ("toolResult", "c1"), ("compaction",), ("toolResult", "c2"), ("custom_message",), ("user",), ("assistant", "c3"), ("custom_message",), ("toolResult", "other"), ("assistant",), ("assistant", "c4"), ("toolResult", "c4")],
+        "b": [("assistant", "x"), ("assistant", "x"), ("toolResult", "x"), ("toolResult", "y"), ("branch_summary",), ("assistant", "z"), ("custom_message",)],
+    }
+    rows = []
+    for session, own in roles.items():
+        for k, (role, *ids) in enumerate(own):
+            rows.append((session, k, role, ids if role == "assistant" else [], ids[0] if ids and role != "assistant" else None, 1000 + k))
+    rows.append(("clock", 99, "user", [], None, 100_000))  # time goes on: what is open is closed
+    df = spark.createDataFrame(rows, "session_id string, ordinal long, role string, calls array<string>, tool_call_id string, at long").withColumn("event_time", F.timestamp_seconds("at")).drop("at")
+    got = batches_of(spark, df, cuts, tmp_path, sessions.spans_stream, "append")
+    want = transcript.spans(df.withColumns({"ts": F.lit(0.0), "source_key": F.col("ordinal").cast("string")})).select("session_id", "span_head", "lo", "hi", "n_rows", "kind", "is_turn").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and any(r.kind == "tool-exchange" for r in got)
 
 
 def test_a_stream_replays_alike(spark, folder, tmp_path):

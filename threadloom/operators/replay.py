@@ -1,8 +1,9 @@
 """Replaying a session's entries into its state: order decides, so each session is folded on its own.
 
-The fold is one small function of (state, event); the batch operator runs it over grouped sessions, the
-streaming one over what arrives, so both give the same state. ``entry_events`` makes events of a branch's
-entries. A session's state has a few numbers for each of its rows, so it fits a task.
+Spark makes one event of each entry (``entry_events``: estimates, fingerprints, calls); the fold is one small
+function of a session's state and an event. The state is a few numbers and some maps, so that the batch
+operator can keep it in dictionaries and the streaming one in keyed state of which an event touches a few
+entries. A row leaves some numbers, so a session fits a task.
 """
 
 from __future__ import annotations
@@ -10,26 +11,74 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, MutableMapping
+from dataclasses import asdict, dataclass, field
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.tokens import CHARS_A_TOKEN, message_estimate
+from threadloom.functions.tools import fingerprint
 from threadloom.operators import transcript
 from threadloom.operators.branches import NATIVE_SOURCE
+from threadloom.operators.pruning import PROTECTED
 from threadloom.sources.jsonl import as_messages
 
-STATE = "session_id string, turns long, n_messages long, active_blocks array<long>, next_block_id long, tokens_saved double, lifetime_saved double, n_tool_calls long, last_compress_turn long"
+STATE = (
+    "session_id string, turns long, n_messages long, active_blocks array<long>, next_block_id long, tokens_saved double, lifetime_saved double, n_tool_calls long, "
+    "last_compress_turn long, last_nudge_turn long, pruned_tool_ids array<string>"
+)
 PART = "struct<type:string,text:string,thinking:string,input:string,id:string,name:string,arguments:string>"
 #: Fixed value: the tool whose successful results make blocks.
 COMPRESS = "compress"
 
 
-def empty_state() -> dict[str, Any]:
-    return {"turns": 0, "n_messages": 0, "blocks": {}, "next_block_id": 1, "lifetime_saved": 0.0, "n_tool_calls": 0, "last_compress_turn": -1, "sizes": {}, "refs": {}, "heads": {}, "asked": {}}
+@dataclass
+class Numbers:
+    """What a session knows besides its maps. ``pass_turn``: turns at the last pass, which is what a call is dated by;
+    ``named``: rows that have been looked at for references; ``head``, ``asked``, ``met``, ``waiting``: the
+    open exchange, its calls, whether one is answered, and passthrough rows that came before that."""
+
+    turns: int = 0
+    n_messages: int = 0
+    next_block_id: int = 1
+    lifetime_saved: float = 0.0
+    n_tool_calls: int = 0
+    last_compress_turn: int = -1
+    last_nudge_turn: int = -1
+    pass_turn: int = 0
+    next_ref: int = 1
+    named: int = 0
+    head: int = -1
+    asked: list[str] = field(default_factory=list)
+    met: bool = False
+    waiting: list[int] = field(default_factory=list)
+
+
+@dataclass
+class Session:
+    """rows: place -> [tokens up to here, head of its exchange, whether it takes a reference]; refs: number -> place,
+    or a negative block id; calls: id -> [name, fingerprint, turn, ranges]; results: id -> [place, failed];
+    blocks: id -> [lo, hi, active, saved, place of its anchor or -1, whether it has a reference];
+    pruned: ids of results that a tombstone stands for, -> [turn]."""
+
+    numbers: Numbers = field(default_factory=Numbers)
+    rows: MutableMapping = field(default_factory=dict)
+    refs: MutableMapping = field(default_factory=dict)
+    calls: MutableMapping = field(default_factory=dict)
+    results: MutableMapping = field(default_factory=dict)
+    blocks: MutableMapping = field(default_factory=dict)
+    pruned: MutableMapping = field(default_factory=dict)
+
+
+@dataclass(frozen=True)
+class Rules:
+    cadence: int = 1
+    error_turns: int = 4
+    dedup: bool = True
+    purge: bool = True
 
 
 def asked_ranges(arguments: str | None) -> list[dict[str, Any]]:
@@ -48,104 +97,156 @@ def asked_ranges(arguments: str | None) -> list[dict[str, Any]]:
     return out
 
 
-def boundary(state: dict[str, Any], ref: str, edge: str) -> int | None:
-    """The row that a reference stands for: a visible message, or the edge of an active block."""
+def _covers(blocks: MutableMapping) -> list[tuple[int, int]]:
+    return [(b[0], b[1]) for b in blocks.values() if b[2]]
+
+
+def name_rows(s: Session) -> None:
+    """Rows shown for the first time take the next references, in the order in which they are shown: blocks
+    stand before their anchor, those without one at the end."""
+    n = s.numbers
+    fresh = sorted(((b[4], i) for i, b in s.blocks.items() if b[2] and not b[5]))
+    shown = [(anchor, 0, -i) for anchor, i in fresh if anchor >= 0] + [(at, 1, at) for at in range(n.named, n.n_messages) if s.rows[at][2]] + [(n.n_messages, 0, -i) for anchor, i in fresh if anchor < 0]
+    for _, _, what in sorted(shown, key=lambda x: x[:2]):
+        s.refs[n.next_ref] = what
+        n.next_ref += 1
+        if what < 0:
+            s.blocks[-what] = [*s.blocks[-what][:5], True]
+    n.named = n.n_messages
+
+
+def newly_pruned(s: Session, rules: Rules) -> list[str]:
+    """Results that a pass now replaces: of a repeated call all but the last shown one, and failed ones that are
+    old enough, as far as they lie before the open bucket of turns."""
+    n, covered = s.numbers, _covers(s.blocks)
+    opened = n.turns if rules.cadence <= 1 else n.turns // rules.cadence * rules.cadence
+    shown = sorted((at, i, failed) for i, (at, failed) in s.results.items() if not any(lo <= at <= hi for lo, hi in covered))
+    last: dict[str, str] = {}
+    for _, i, _ in shown:
+        last[s.calls[i][1]] = i
+    out = []
+    for _, i, failed in shown:
+        name, print_, turn, _ = s.calls[i]
+        repeated = rules.dedup and last[print_] != i and name not in PROTECTED and turn < opened
+        if (repeated or (rules.purge and failed and opened - turn >= rules.error_turns)) and i not in s.pruned:
+            out.append(i)
+    return out
+
+
+def context_pass(s: Session, rules: Rules) -> None:
+    name_rows(s)
+    for i in newly_pruned(s, rules):
+        s.pruned[i] = [s.numbers.turns]
+    s.numbers.pass_turn = s.numbers.turns
+
+
+def boundary(s: Session, ref: str, edge: int) -> int | None:
+    """The row that a reference stands for: a visible message, or the edge (0 or 1) of an active block, also by the
+    reference of the block's own row."""
     found = re.fullmatch(r"([mb])(\d+)", ref.strip().lower())
     if not found:
         return None
-    kind, number = found[1], int(found[2])
-    if kind == "b":
-        block = state["blocks"].get(number)
-        return block[edge] if block and block["active"] else None
-    at = state["refs"].get(number)
-    hidden = at is None or any(v["active"] and v["lo"] <= at <= v["hi"] for v in state["blocks"].values())
-    return None if hidden else at
+    number = int(found[2])
+    what = -number if found[1] == "b" else s.refs.get(number)
+    if what is None or (found[1] == "b" and number == 0):
+        return None
+    if what < 0:
+        block = s.blocks.get(-what)
+        return block[edge] if block and block[2] else None
+    return None if any(lo <= what <= hi for lo, hi in _covers(s.blocks)) else what
 
 
-def compressed(state: dict[str, Any], ranges: list[dict[str, Any]]) -> dict[str, Any]:
+def compressed(s: Session, ranges: list[dict[str, Any]]) -> None:
     """Blocks of one call. A range without topic or known boundaries, from and to one same block, reversed,
     or over part of an active block makes none; exchanges are taken whole; whole blocks are superseded.
     Savings are the rows' tokens less those of the summary."""
-    made, gone = [], set()
+    n, made, gone = s.numbers, [], set()
     for r in ranges:
-        lo, hi = boundary(state, r["start"], "lo"), boundary(state, r["end"], "hi")
+        lo, hi = boundary(s, r["start"], 0), boundary(s, r["end"], 1)
         same = r["start"].strip().lower() == r["end"].strip().lower() and r["start"].strip().lower().startswith("b")
         if not r["topic"] or lo is None or hi is None or lo > hi or same:
             continue
-        lo, last = state["heads"].get(lo, lo), state["heads"].get(hi, hi)
-        while hi + 1 < state["n_messages"] and state["heads"].get(hi + 1, hi + 1) == last:
+        lo, last = s.rows[lo][1], s.rows[hi][1]
+        while hi + 1 < n.n_messages and s.rows[hi + 1][1] == last:
             hi += 1
-        live = [(b, v) for b, v in state["blocks"].items() if v["active"] and b not in gone] + [(None, v) for v in made]
-        met = [(b, v) for b, v in live if v["lo"] <= hi and lo <= v["hi"]]
-        if any(v["lo"] < lo or v["hi"] > hi for _, v in met):
+        live = [(i, b) for i, b in s.blocks.items() if b[2] and i not in gone] + [(None, b) for b in made]
+        met = [(i, b) for i, b in live if b[0] <= hi and lo <= b[1]]
+        if any(b[0] < lo or b[1] > hi for _, b in met):
             continue
-        gone |= {b for b, _ in met if b is not None}
-        removed = sum(state["sizes"].get(i, 0) for i in range(lo, hi + 1))
-        made.append({"lo": lo, "hi": hi, "active": True, "saved": max(0, removed - r["tokens"])})
-    for b in gone:
-        state["blocks"][b]["active"] = False
+        gone |= {i for i, _ in met if i is not None}
+        removed = s.rows[hi][0] - (s.rows[lo - 1][0] if lo else 0)
+        covered = _covers(s.blocks)
+        anchor = min((at for at in s.refs.values() if at > hi and not any(a <= at <= b for a, b in covered)), default=-1)
+        made.append([lo, hi, True, float(max(0, removed - r["tokens"])), anchor, False])
+    for i in gone:
+        s.blocks[i] = [*s.blocks[i][:2], False, *s.blocks[i][3:]]
     for block in made:
-        state["blocks"][state["next_block_id"]] = block
-        state["next_block_id"] += 1
+        s.blocks[n.next_block_id] = block
+        n.next_block_id += 1
     if made:
-        state["last_compress_turn"] = state["turns"]
-    return state
+        n.last_compress_turn = n.last_nudge_turn = n.turns
 
 
-def taken_over(state: dict[str, Any], ids: list[int]) -> dict[str, Any]:
-    """A compaction takes over blocks: what they saved is realized, the last turn of compressing forgotten."""
-    for b in ids:
-        if b in state["blocks"] and state["blocks"][b]["active"]:
-            state["blocks"][b]["active"] = False
-            state["lifetime_saved"] += state["blocks"][b]["saved"]
+def taken_over(s: Session, ids: list[int]) -> None:
+    """A compaction takes over blocks: what they saved is realized, the turns of the last block and reminder forgotten."""
+    for i in ids:
+        b = s.blocks.get(i)
+        if b and b[2]:
+            s.blocks[i] = [*b[:2], False, *b[3:]]
+            s.numbers.lifetime_saved += b[3]
     if ids:
-        state["last_compress_turn"] = -1
-    return state
+        s.numbers.last_compress_turn = s.numbers.last_nudge_turn = -1
+
 
+def placed(s: Session, event: dict[str, Any], at: int) -> tuple[int, bool]:
+    """The head of the exchange that a row belongs to, and whether it is a turn; the exchange that is open after it."""
+    n, role, calls = s.numbers, event.get("role"), [c["id"] for c in event.get("calls") or ()]
+    if role in transcript.RESULT_ROLES and n.head >= 0 and event.get("call") in n.asked:
+        if not n.met:
+            for row in n.waiting:
+                s.rows[row] = [s.rows[row][0], n.head, s.rows[row][2]]
+            n.met, n.waiting = True, []
+        return n.head, False
+    if role in transcript.PASSTHROUGH and n.head >= 0:
+        if not n.met:
+            n.waiting = [*n.waiting, at]
+        return (n.head if n.met else at), False
+    n.head, n.asked, n.met, n.waiting = (at if role == "assistant" and calls else -1), calls, False, []
+    return at, role in transcript.TURN_ROLES
 
-def fold(state: dict[str, Any], event: dict[str, Any]) -> dict[str, Any]:
-    """One event: a message, a successful compress call over ordinals lo to hi, or a compaction that takes
-    over some blocks. A compress over whole blocks supersedes them, over parts of one is refused.
 
-    A message may carry its reference number (ref), the first row of its exchange (head), whether it is a
-    turn, compress calls it makes (calls), the call that it answers (call) and blocks that it takes over
-    (represented). The result of a compress call acts on the rows before it.
-    """
-    kind = event["kind"]
-    if kind == "message":
-        at, role = state["n_messages"], event.get("role")
+def fold(s: Session, event: dict[str, Any], rules: Rules = Rules()) -> None:
+    """One message: role, tokens, the calls it makes, the call that it answers, blocks that it takes over. The
+    result of a successful compress call acts on the rows before it, after a pass over them."""
+    n, role, call = s.numbers, event.get("role"), event.get("call")
+    if role == "assistant":
         for c in event.get("calls") or ():
-            state["asked"][c["id"]] = asked_ranges(c.get("arguments"))
-        if role == "toolResult" and not event.get("is_error") and event.get("call") in state["asked"]:
-            state = compressed(state, state["asked"].pop(event["call"]))
-        state["sizes"][at] = event.get("tokens") or 0
-        state["heads"][at] = at if event.get("head") is None else event["head"]
-        if event.get("ref") is not None:
-            state["refs"][event["ref"]] = at
-        state["n_messages"] += 1
-        state["turns"] += bool(event["turn"]) if "turn" in event else role in transcript.TURN_ROLES
-        state["n_tool_calls"] += role == "toolResult"
-        state = taken_over(state, event.get("represented") or [])
-    elif kind == "compress":
-        lo, hi = event["lo"], min(event["hi"], state["n_messages"] - 1)
-        live = {b: v for b, v in state["blocks"].items() if v["active"]}
-        touched = {b: v for b, v in live.items() if v["lo"] <= hi and lo <= v["hi"]}
-        if lo <= hi and all(lo <= v["lo"] and v["hi"] <= hi for v in touched.values()):
-            for v in touched.values():
-                v["active"] = False
-            removed = sum(state["sizes"].get(i, 0) for i in range(lo, hi + 1))
-            state["blocks"][state["next_block_id"]] = {"lo": lo, "hi": hi, "active": True, "saved": max(0, removed - (event.get("tokens") or 0))}
-            state["next_block_id"] += 1
-    elif kind == "compaction":
-        state = taken_over(state, event.get("blocks") or [])
-    return state
-
-
-def observed(session_id: str, state: dict[str, Any]) -> dict[str, Any]:
-    active = {b: v for b, v in state["blocks"].items() if v["active"]}
+            if c.get("id") and c["id"] not in s.calls:
+                s.calls[c["id"]] = [c.get("name") or "", c.get("print") or "", n.pass_turn, (c.get("arguments") or "") if c.get("name") == COMPRESS else None]
+    if role == "toolResult" and call:
+        if call not in s.calls:
+            s.calls[call] = [event.get("tool") or "", event.get("print") or "", n.pass_turn, None]
+        known = s.calls[call]
+        if not event.get("is_error") and known[3] is not None:
+            context_pass(s, rules)
+            compressed(s, asked_ranges(known[3]))
+    at = n.n_messages
+    head, turn = placed(s, event, at)
+    s.rows[at] = [(s.rows[at - 1][0] if at else 0) + (event.get("tokens") or 0), head, role in transcript.REF_ROLES]
+    if role == "toolResult" and call:
+        s.results[call] = [at, bool(event.get("is_error"))]
+    n.n_messages += 1
+    n.turns += turn
+    n.n_tool_calls += role == "toolResult"
+    taken_over(s, event.get("represented") or [])
+
+
+def observed(session_id: str, s: Session, rules: Rules = Rules()) -> dict[str, Any]:
+    """What a last pass would leave; the state itself stays as it is."""
+    n, active = s.numbers, {i: b for i, b in s.blocks.items() if b[2]}
     return {
-        "session_id": session_id, "turns": state["turns"], "n_messages": state["n_messages"], "active_blocks": sorted(active), "next_block_id": state["next_block_id"],
-        "tokens_saved": float(sum(v["saved"] for v in active.values())), "lifetime_saved": float(state["lifetime_saved"]), "n_tool_calls": state["n_tool_calls"], "last_compress_turn": state["last_compress_turn"],
+        "session_id": session_id, "turns": n.turns, "n_messages": n.n_messages, "active_blocks": sorted(active), "next_block_id": n.next_block_id, "tokens_saved": float(sum(b[3] for b in active.values())), "lifetime_saved": float(n.lifetime_saved),
+        "n_tool_calls": n.n_tool_calls, "last_compress_turn": n.last_compress_turn, "last_nudge_turn": n.last_nudge_turn, "pruned_tool_ids": sorted([*s.pruned.keys(), *newly_pruned(s, rules)]),
     }
 
 
@@ -154,34 +255,31 @@ def events_of(pdf: pd.DataFrame) -> Iterator[dict[str, Any]]:
         yield json.loads(e)
 
 
-def replay(events: DataFrame) -> DataFrame:
+def replay(events: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """State of each session from (session_id string, pos, event JSON)."""
+    given = asdict(rules)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        state = empty_state()
+        pdf, s, own = pdf.sort_values("pos"), Session(), Rules(**given)
         for event in events_of(pdf):
-            state = fold(state, event)
-        return pd.DataFrame([observed(pdf["session_id"].iloc[0], state)])
+            fold(s, event, own)
+        return pd.DataFrame([observed(pdf["session_id"].iloc[0], s, own)])
 
     return events.select("session_id", "pos", "event").groupBy("session_id").applyInPandas(one, STATE)
 
 
 def entry_events(rows: DataFrame) -> DataFrame:
     """(session_id, pos, event JSON) for ``replay`` from the entries of one branch a session
-    (``sources.jsonl.entries``). Entries that are no messages make none."""
+    (``sources.jsonl.entries``), row by row, so from a stream of them, too. Entries that are no messages make
+    none."""
     own = F.try_variant_get("v", "$.message.content", "variant")
     listed = F.coalesce(F.schema_of_variant(own).startswith("ARRAY"), F.lit(False))
     parts = F.when(listed, F.from_json(F.to_json(own), f"array<{PART}>"))
     m = as_messages(rows).withColumns({"content": F.when(~listed, F.col("content")), "parts": F.coalesce(parts, F.array().cast(f"array<{PART}>"))})
-    m = m.withColumns({"ordinal": F.row_number().over(Window.partitionBy("session_id").orderBy("pos")) - 1, "_made": F.filter("parts", lambda p: p["type"] == "toolCall")})
-    m = transcript.with_spans(m.withColumn("calls", F.transform("_made", lambda p: p["id"])))
-    turn = F.max(F.col("role").isin(*transcript.TURN_ROLES)).over(Window.partitionBy("session_id", "span_head"))
-    ref = F.when(F.col("role").isin(*transcript.REF_ROLES), F.count_if(F.col("role").isin(*transcript.REF_ROLES)).over(transcript.upto("session_id")))
     native = (F.col("type") == "compaction") & (F.try_variant_get("v", "$.details.source", "string") == NATIVE_SOURCE)
+    calls = F.transform(F.filter("parts", lambda p: p["type"] == "toolCall"), lambda p: F.struct(p["id"].alias("id"), p["name"].alias("name"), fingerprint(F.coalesce(p["name"], F.lit("")), p["arguments"]).alias("print"), F.when(p["name"] == COMPRESS, p["arguments"]).alias("arguments")))
     event = F.struct(
-        F.lit("message").alias("kind"), "role", message_estimate(F.col("content"), F.col("parts")).alias("tokens"), F.col("span_head").alias("head"), ((F.col("ordinal") == F.col("span_head")) & turn).alias("turn"), ref.alias("ref"),
-        F.transform(F.filter("_made", lambda p: p["name"] == COMPRESS), lambda p: F.struct(p["id"].alias("id"), p["arguments"].alias("arguments"))).alias("calls"), F.col("tool_call_id").alias("call"), "is_error",
-        F.when(native, F.try_variant_get("v", "$.details.representedBlockIds", "array<long>")).alias("represented"),
+        "role", message_estimate(F.col("content"), F.col("parts")).alias("tokens"), F.when(F.col("role") == "assistant", calls).alias("calls"), F.col("tool_call_id").alias("call"), F.col("tool_name").alias("tool"),
+        fingerprint(F.coalesce("tool_name", F.lit("")), F.lit(None).cast("string")).alias("print"), "is_error", F.when(native, F.try_variant_get("v", "$.details.representedBlockIds", "array<long>")).alias("represented"),
     )
-    return m.select(F.col("session_id").cast("string").alias("session_id"), "pos", F.to_json(event).alias("event"))
+    return m.select(F.col("session_id").cast("string").alias("session_id"), F.col("pos").cast("long").alias("pos"), F.to_json(event).alias("event"))
