@@ -94,21 +94,28 @@ class Replaying(StatefulProcessor):
         kept = {name: Kept(state, kind) for name, (state, kind) in self.maps.items()}
         numbers = Numbers(**json.loads(self.numbers.get()[0])) if self.numbers.exists() else Numbers()
         session, rules = Session(numbers, **kept), Rules(**self.given)
+        before = self._material(session)
         for event in events_of(pd.concat(list(rows)).sort_values("pos")):
             fold(session, event, rules)
         self.numbers.update((json.dumps(asdict(numbers)),))
         for m in kept.values():
             m.flush()
-        yield pd.DataFrame([observed(key[0], session, rules)])
+        yield pd.DataFrame([observed(key[0], session, rules) | {"pending_save": self._material(session) != before}])
+
+    @staticmethod
+    def _material(s: Session) -> tuple:
+        """What is worth a new snapshot when it changes: blocks, pruned results, compactions."""
+        return s.numbers.next_block_id, s.numbers.lifetime_saved, sorted(i for i, b in s.blocks.items() if b[2]), sorted(s.pruned)
 
     def close(self) -> None:
         pass
 
 
 def replay_stream(events: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """As ``operators.replay.replay``: after each batch the state of the sessions it touched."""
+    """As ``operators.replay.replay``: after each batch the state of the sessions it touched, and pending_save:
+    whether it has changed in what a snapshot is for."""
     use_keyed_state(events.sparkSession)
-    return events.groupBy("session_id").transformWithStateInPandas(statefulProcessor=Replaying(rules), outputStructType=STATE, outputMode="Update", timeMode="None")
+    return events.groupBy("session_id").transformWithStateInPandas(statefulProcessor=Replaying(rules), outputStructType=f"{STATE}, pending_save boolean", outputMode="Update", timeMode="None")
 
 
 SPANS = "session_id string, span_head long, lo long, hi long, n_rows long, kind string, is_turn boolean"
