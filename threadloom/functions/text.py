@@ -14,6 +14,11 @@ def utf16_length(s: Column) -> Column:
     return (F.length(F.encode(s, "UTF-16BE")) / 2).cast("int")
 
 
+def trimmed(s: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(s, rf"\A{SPACE}+|{SPACE}+\z", "")
+
+
 def normalize_inline(s: Column) -> Column:
     """Runs of white space become one blank; none at the ends."""
     return F.trim(F.regexp_replace(s, SPACE + "+", " "))
@@ -94,7 +99,7 @@ def is_metadata_only(s: Column) -> Column:
 
 
 def strip_envelope(s: Column) -> Column:
-    return F.trim(F.regexp_replace(s, r'<dcp-summary version="1">[\s\S]*?</dcp-summary>', ""))
+    return trimmed(F.regexp_replace(s, r'<dcp-summary version="1">[\s\S]*?</dcp-summary>', ""))
 
 
 def excerpt(s: Column, most: int = 420) -> Column:

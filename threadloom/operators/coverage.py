@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import normalize_inline, strip_metadata, truncate
+from threadloom.functions.text import normalize_inline, strip_metadata, trimmed, truncate
 from threadloom.functions.tokens import estimate
 from threadloom.sources.folders import shared_folder
 
@@ -74,13 +74,13 @@ def log_line(entry: Column) -> Column:
 def rendered(topic: Column, summary: Column, detail: Column, activity_log: Column | None = None) -> Column:
     """A block as text: header, summary in the given detail, and in full detail its activity log."""
     head, gap = F.concat(F.lit("[Compressed section: "), topic, F.lit("]")), F.lit("\n\n")
-    trimmed = F.trim(summary)
+    bare = trimmed(summary)
     tagged = lambda s: F.concat(F.lit("<agent-summary>\n"), s, F.lit("\n</agent-summary>"))
-    full = trimmed
+    full = bare
     if activity_log is not None:
         lines = F.array_join(F.transform(F.slice(activity_log, 1, LOG_LINES), log_line), "\n")
-        full = F.when(F.size(activity_log) > 0, F.concat(tagged(trimmed), gap, F.lit("<activity-log>\n"), lines, F.lit("\n</activity-log>"))).otherwise(trimmed)
-    body = F.when(detail == "minimal", truncate(normalize_inline(trimmed), MINIMAL_CHARS)).when(detail == "compact", tagged(truncate(trimmed, COMPACT_CHARS))).otherwise(full)
+        full = F.when(F.size(activity_log) > 0, F.concat(tagged(bare), gap, F.lit("<activity-log>\n"), lines, F.lit("\n</activity-log>"))).otherwise(bare)
+    body = F.when(detail == "minimal", truncate(normalize_inline(bare), MINIMAL_CHARS)).when(detail == "compact", tagged(truncate(bare, COMPACT_CHARS))).otherwise(full)
     return F.concat(head, gap, F.lit(""), gap, body, gap, F.lit(""))
 
 

@@ -326,11 +326,39 @@ def excerpt_budget(spark, sf_dir):
 
 @register("summary_demotion")
 def summary_demotion(spark, sf_dir):
-    rows = adapters.read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("session_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("block_id"), (F.col("l_quantity") * 8).cast("int").alias("full_tokens"))
-    rows = rows.withColumns({"compact_tokens": F.floor(F.col("full_tokens") / 3).cast("int"), "archived_tokens": F.floor(F.col("full_tokens") / 12).cast("int")})
+    """Lines of a part as blocks; times of creation run against ids, every fifth has none."""
+    k = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    rows = adapters.read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("session_id"), k.alias("block_id"), F.when(k % 5 > 0, -(k % 1000).cast("double")).alias("created_at"), (F.col("l_quantity") * 8 * (F.col("l_partkey") % 7 + 1)).cast("int").alias("full_length"))
+    rows = rows.withColumns({"compact_length": F.floor(F.col("full_length") / 3).cast("int"), "archived_length": F.floor(F.col("full_length") / 12).cast("int")})
     return compaction.demoted(rows, 1500)
 
 
+@register("native_summaries")
+def native_summaries(spark, sf_dir):
+    """Users' events as blocks of texts of all sorts: what their histories are summarised to within a small budget."""
+    e, k = adapters.read(spark, sf_dir, "events"), F.col("event_id")
+    log = F.when(k % 4 == 0, F.array(F.struct(F.lit("read").alias("kind"), F.concat(F.lit("f"), k.cast("string")).alias("text")))).otherwise(F.array().cast("array<struct<kind:string,text:string>>"))
+    summary = F.when(k % 11 == 0, " ").otherwise(F.concat(F.lit("Did "), "event_type", F.lit(" 😀. Then "), "props", F.repeat(F.lit(" more"), (k % 40).cast("int"))))
+    made = e.select(F.col("user_id").alias("session_id"), k.alias("block_id"), F.when(k % 6 > 0, (k * 7919 % 10007).cast("double")).alias("created_at"), F.concat(F.lit('a "b"  '), "event_type").alias("topic"), summary.alias("summary"), log.alias("activity_log"))
+    before = F.when(F.col("session_id") % 3 == 0, F.concat(F.lit("Notes of the user. "), F.repeat(F.lit("x y "), F.col("session_id").cast("int") * 3), F.lit('\n<dcp-summary version="1">\nold\n</dcp-summary>\n'))).when(F.col("session_id") % 3 == 1, '<dcp-summary version="1">old</dcp-summary>')
+    sessions = made.select("session_id").distinct().withColumn("previous_summary", before)
+    own = e.select(F.col("user_id").alias("session_id"), "event_type", F.concat(F.lit("f"), (k % 5).cast("string")).alias("path")).where("session_id % 2 = 0")
+    files = compaction.file_lists(own.where("event_type = 'view'"), own.where("event_type = 'purchase' and path <> 'f0'"))
+    config = {"compress": DEFAULTS["compress"], "nativeCompaction": DEFAULTS["nativeCompaction"] | {"maxSummaryTokens": 700, "maxPreviousSummaryTokens": 40}}
+    return compaction.native_summary(sessions, made, files, config=config)
+
+
+DETAILS = """d AS (SELECT session_id, ordinal, (session_id % 5 + 2) AS first, role, content, (SELECT min(block_id) FROM b WHERE b.session_id = m.session_id AND m.ordinal BETWEEN lo AND hi AND hi < m.session_id % 5 + 2) AS inside FROM m)"""
+
+
+@register("native_details", _with(M, B, DETAILS) + "SELECT g.session_id, coalesce(ids, []) AS represented_block_ids, hidden, uncovered, least(uncovered, 2) AS rendered, uncovered - least(uncovered, 2) AS truncated FROM (SELECT session_id, CAST(count(*) AS INT) AS hidden, CAST(count(*) FILTER (WHERE inside IS NULL) AS INT) AS uncovered FROM d WHERE ordinal < first GROUP BY 1) g LEFT JOIN (SELECT session_id, list(block_id ORDER BY block_id) AS ids FROM b WHERE hi < session_id % 5 + 2 GROUP BY 1) r ON r.session_id = g.session_id")
+def native_details(spark, sf_dir):
+    rows = _messages(spark, sf_dir)
+    made = adapters.blocks(rows)
+    kept = rows.select("session_id").distinct().withColumn("first_kept", F.col("session_id") % 5 + 2)
+    return compaction.native_details(rows, kept, coverage.covered_rows(rows, made), made, most_rows=2)
+
+
 @register("file_lists", "SELECT session_id, list_sort(list_filter(r, lambda x: NOT list_contains(w, x))) AS read_files, list_sort(w) AS modified_files FROM (SELECT user_id AS session_id, coalesce(list(DISTINCT props) FILTER (WHERE event_type = 'view'), []) AS r, coalesce(list(DISTINCT props) FILTER (WHERE event_type = 'purchase'), []) AS w FROM events WHERE event_type IN ('view', 'purchase') GROUP BY 1)")
 def file_lists(spark, sf_dir):
     e = adapters.read(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), "event_type", F.col("props").alias("path"))

@@ -276,8 +276,8 @@ def first_sentences(spark, sf_dir):
 
 @register("summary_sections", "WITH b AS (SELECT o_custkey AS session_id, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders), t AS (SELECT *, CASE WHEN n <= 4 THEN 2 WHEN n <= 12 THEN 1 ELSE 0 END AS f FROM b), p AS (SELECT session_id, string_agg(CASE WHEN f = 0 THEN '- q\"' || id || ' — Done.' END, chr(10) ORDER BY id) AS old, string_agg(CASE f WHEN 1 THEN '<section topic=\"q&quot;' || id || '\" tier=\"compact\">' || chr(10) || 'Done. More' || chr(10) || '</section>' WHEN 2 THEN '<section topic=\"q&quot;' || id || '\">' || chr(10) || 'Done. More' || chr(10) || '</section>' END, chr(10) || chr(10) ORDER BY f, id) AS new FROM t GROUP BY 1) SELECT session_id, coalesce('<archived-sections>' || chr(10) || old || chr(10) || '</archived-sections>' || chr(10) || chr(10), '') || new AS text FROM p")
 def summary_sections(spark, sf_dir):
-    made = adapters.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("block_id"), F.concat(F.lit('q"'), F.col("o_orderkey").cast("string")).alias("topic"), F.lit("Done. More").alias("summary"), *(F.lit(0).alias(f"{c}_tokens") for c in ("full", "compact", "archived")))
-    return compaction.summary_text(compaction.demoted(made, 1))
+    made = adapters.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("block_id"), F.concat(F.lit('q"'), F.col("o_orderkey").cast("string")).alias("topic"), F.lit("Done. More").alias("summary"), )
+    return compaction.summary_text(compaction.demoted(compaction.sized(made.withColumn("body", F.col("summary"))), 0))
 
 
 @register("compaction_instructions", "SELECT o_custkey AS session_id, '" + compaction.INSTRUCTIONS + "' || chr(10) || chr(10) || string_agg('<block id=\"b' || o_orderkey || '\" topic=\"t\">' || chr(10) || 'x' || chr(10) || '</block>', chr(10) || chr(10) ORDER BY o_orderkey) AS text FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1")
