@@ -157,11 +157,13 @@ def test_states_are_saved_once(spark, tmp_path):
     assert [s for _, s in seen] == [[("s", False), ("t", False)], [("s", True), ("t", False)], [("s", False)]]
     got = snapshots.saved(spark, folder).collect()
     assert [(r.session_id, r.type, r.custom_type) for r in got] == [("s", "custom", "dcp-state")]
-    assert {k: v for k, v in json.loads(got[0].data).items() if k != "savedAt"} == {"schemaVersion": 3, "currentTurn": 2, "lastNudgeTurn": 2, "lastCompressTurn": 2, "prunedToolIds": [], "lifetimeTokensSavedRealized": 0}
+    given = json.loads(got[0].data)
+    assert [(b["id"], b["topic"], b["summary"], b["active"], b["savedTokenEstimate"], b["compressCallId"]) for b in given.pop("blocks")] == [(1, "t", "s", True, 100, "k")]
+    assert {k: v for k, v in given.items() if k != "savedAt"} == {"schemaVersion": 5, "nextBlockId": 2, "currentTurn": 2, "lastNudgeTurn": 2, "lastCompressTurn": 2, "prunedToolIds": [], "lifetimeTokensSavedRealized": 0}
     # half a batch, without its mark, is written anew
     part = next(f"{folder}/{d}" for d in os.listdir(folder) if d.startswith("batch=") and os.listdir(f"{folder}/{d}") and any(f.startswith("part") for f in os.listdir(f"{folder}/{d}")))
     state = replay.replay(df)
     number = int(part.split("=")[1])
     os.remove(f"{part}/_SUCCESS")
-    sink(state.where("session_id = 's'").withColumn("pending_save", F.lit(True)), number)
+    sink(state.where("session_id = 's'").withColumn("pending_save", F.lit(True)), number)  # the state of a batch job will do
     assert os.path.exists(f"{part}/_SUCCESS") and snapshots.saved(spark, folder).count() == 1

@@ -269,3 +269,32 @@ def test_debug_lines_are_appended(spark, tmp_path):
 def test_bodies_that_do_not_decode_stay(spark):
     df = spark.createDataFrame([(bytearray(b"plain"), "gzip"), (bytearray(b"plain"), None), (None, "deflate")], "b binary, e string")
     assert [r[0] and bytes(r[0]) for r in df.select(jsonl.decoded(F.col("b"), F.col("e"))).collect()] == [b"plain", b"plain", None]
+
+
+def test_replay_equals_what_is_restored_from_it(spark, folder):
+    from threadloom.operators import equivalence
+
+    rows = jsonl.read_sessions(spark, folder)
+    forked = entries_of(spark, {"fork": [message("user", TEXT), message("user", TEXT), call("k", "compress", **ranges(("m0001", "m0001", "s"))), result("k", "done", "compress"), message("user", TEXT)], "legacy": [message("user", "x"), state_entry(schemaVersion=4)]})
+    other = forked.where("session_id = 'fork' and pos = 4").withColumns({"pos": F.lit(5).cast("long"), "id": F.lit("side"), "parent_id": F.lit("fork1")})
+    outcome, fields = equivalence.replay_check(rows.unionByName(forked).unionByName(other))
+    got = {(r.session_id.split("/")[-1], r.branch_id): (r.contract, r.status) for r in outcome.collect()}
+    assert got == {("one.jsonl", f"e{len(ENTRIES) - 1}"): ("v3", "equivalent"), ("two.jsonl", None): ("legacy", "skip"), ("fork", "fork4"): ("legacy", "equivalent"), ("fork", "side"): ("legacy", "skip"), ("legacy", "legacy1"): ("legacy", "skip")}
+    assert fields.count() == 0
+
+
+def test_mismatches_are_found(spark):
+    from threadloom.operators import equivalence
+
+    block = lambda i, **more: {**BLOCK, "id": i, **more}
+    same = [state_entry(schemaVersion=5, blocks=[block(1), block(2)], prunedToolIds=["b", "a"])]
+    before = {"same": same, "order": same, "one": same, "gone": same}
+    after = {
+        "same": same, "order": [state_entry(schemaVersion=5, blocks=[block(2), block(1)], prunedToolIds=["a", "b"])], "one": [state_entry(schemaVersion=5, blocks=[block(1), block(2, active=False)], prunedToolIds=["b", "a", "c"], nextBlockId=9)],
+        "gone": [message("user", "x")],
+    }
+    found = equivalence.restore_check(entries_of(spark, before), entries_of(spark, after))
+    got = {(r.session_id, r.field): (r.one, r.other) for r in found.collect()}
+    assert {k: v for k, v in got.items() if k[0] == "one"} == {("one", "activeBlockIds"): (["1", "2"], ["1"]), ("one", "tokensSaved"): (["80"], ["40"]), ("one", "prunedToolIds"): (["a", "b"], ["a", "b", "c"]), ("one", "nextBlockId"): (["3"], ["9"])}
+    assert {k for k in got if k[0] != "one"} == {("gone", f) for f in equivalence.FIELDS}
+    assert got["gone", "prunedToolIds"] == (["a", "b"], None)

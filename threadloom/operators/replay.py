@@ -28,7 +28,7 @@ from threadloom.sources.jsonl import as_messages
 
 STATE = (
     "session_id string, turns long, n_messages long, active_blocks array<long>, next_block_id long, tokens_saved double, lifetime_saved double, n_tool_calls long, "
-    "last_compress_turn long, last_nudge_turn long, pruned_tool_ids array<string>"
+    "last_compress_turn long, last_nudge_turn long, pruned_tool_ids array<string>, blocks array<struct<block_id:long,topic:string,summary:string,active:boolean,start_ts:double,end_ts:double,anchor_ts:double,summary_tokens:double,saved_tokens:double,created_at:double,compress_call_id:string,superseded_block_ids:array<long>>>"
 )
 PART = "struct<type:string,text:string,thinking:string,input:string,id:string,name:string,arguments:string>"
 #: Fixed value: the tool whose successful results make blocks.
@@ -59,10 +59,10 @@ class Numbers:
 
 @dataclass
 class Session:
-    """rows: place -> [tokens up to here, head of its exchange, whether it takes a reference]; refs: number -> place,
-    or a negative block id; calls: id -> [name, fingerprint, turn, ranges]; results: id -> [place, failed];
-    blocks: id -> [lo, hi, active, saved, place of its anchor or -1, whether it has a reference];
-    pruned: ids of results that a tombstone stands for, -> [turn]."""
+    """rows: place -> [tokens up to here, head of its exchange, whether it takes a reference, time]; refs: number ->
+    place, or a negative block id; calls: id -> [name, fingerprint, turn, ranges]; results: id -> [place, failed];
+    blocks: id -> lo, hi, active, saved, anchor (a place or -1), named (whether it has a reference), and what it
+    is made of; pruned: ids of results that a tombstone stands for, -> [turn]."""
 
     numbers: Numbers = field(default_factory=Numbers)
     rows: MutableMapping = field(default_factory=dict)
@@ -93,25 +93,25 @@ def asked_ranges(arguments: str | None) -> list[dict[str, Any]]:
     for r in whole:
         topic = r["topic"] if isinstance(r.get("topic"), str) else given.get("topic")
         size = len(r["summary"].encode("utf-16-le")) // 2
-        out.append({"start": r["startId"], "end": r["endId"], "topic": topic.strip() if isinstance(topic, str) else "", "tokens": math.floor(size / CHARS_A_TOKEN + 0.5)})
+        out.append({"start": r["startId"], "end": r["endId"], "topic": topic.strip() if isinstance(topic, str) else "", "summary": r["summary"], "tokens": math.floor(size / CHARS_A_TOKEN + 0.5)})
     return out
 
 
 def _covers(blocks: MutableMapping) -> list[tuple[int, int]]:
-    return [(b[0], b[1]) for b in blocks.values() if b[2]]
+    return [(b["lo"], b["hi"]) for b in blocks.values() if b["active"]]
 
 
 def name_rows(s: Session) -> None:
     """Rows shown for the first time take the next references, in the order in which they are shown: blocks
     stand before their anchor, those without one at the end."""
     n = s.numbers
-    fresh = sorted(((b[4], i) for i, b in s.blocks.items() if b[2] and not b[5]))
+    fresh = sorted((b["anchor"], i) for i, b in s.blocks.items() if b["active"] and not b["named"])
     shown = [(anchor, 0, -i) for anchor, i in fresh if anchor >= 0] + [(at, 1, at) for at in range(n.named, n.n_messages) if s.rows[at][2]] + [(n.n_messages, 0, -i) for anchor, i in fresh if anchor < 0]
     for _, _, what in sorted(shown, key=lambda x: x[:2]):
         s.refs[n.next_ref] = what
         n.next_ref += 1
         if what < 0:
-            s.blocks[-what] = [*s.blocks[-what][:5], True]
+            s.blocks[-what] = s.blocks[-what] | {"named": True}
     n.named = n.n_messages
 
 
@@ -140,9 +140,9 @@ def context_pass(s: Session, rules: Rules) -> None:
     s.numbers.pass_turn = s.numbers.turns
 
 
-def boundary(s: Session, ref: str, edge: int) -> int | None:
-    """The row that a reference stands for: a visible message, or the edge (0 or 1) of an active block, also by the
-    reference of the block's own row."""
+def boundary(s: Session, ref: str, edge: str) -> int | None:
+    """The row that a reference stands for: a visible message, or the edge (lo or hi) of an active block, also by
+    the reference of the block's own row."""
     found = re.fullmatch(r"([mb])(\d+)", ref.strip().lower())
     if not found:
         return None
@@ -152,34 +152,38 @@ def boundary(s: Session, ref: str, edge: int) -> int | None:
         return None
     if what < 0:
         block = s.blocks.get(-what)
-        return block[edge] if block and block[2] else None
+        return block[edge] if block and block["active"] else None
     return None if any(lo <= what <= hi for lo, hi in _covers(s.blocks)) else what
 
 
-def compressed(s: Session, ranges: list[dict[str, Any]]) -> None:
+def compressed(s: Session, ranges: list[dict[str, Any]], call: str | None = None) -> None:
     """Blocks of one call. A range without topic or known boundaries, from and to one same block, reversed,
     or over part of an active block makes none; exchanges are taken whole; whole blocks are superseded.
     Savings are the rows' tokens less those of the summary."""
     n, made, gone = s.numbers, [], set()
     for r in ranges:
-        lo, hi = boundary(s, r["start"], 0), boundary(s, r["end"], 1)
+        lo, hi = boundary(s, r["start"], "lo"), boundary(s, r["end"], "hi")
         same = r["start"].strip().lower() == r["end"].strip().lower() and r["start"].strip().lower().startswith("b")
         if not r["topic"] or lo is None or hi is None or lo > hi or same:
             continue
         lo, last = s.rows[lo][1], s.rows[hi][1]
         while hi + 1 < n.n_messages and s.rows[hi + 1][1] == last:
             hi += 1
-        live = [(i, b) for i, b in s.blocks.items() if b[2] and i not in gone] + [(None, b) for b in made]
-        met = [(i, b) for i, b in live if b[0] <= hi and lo <= b[1]]
-        if any(b[0] < lo or b[1] > hi for _, b in met):
+        live = [(i, b) for i, b in s.blocks.items() if b["active"] and i not in gone] + [(None, b) for b in made]
+        met = [(i, b) for i, b in live if b["lo"] <= hi and lo <= b["hi"]]
+        if any(b["lo"] < lo or b["hi"] > hi for _, b in met):
             continue
-        gone |= {i for i, _ in met if i is not None}
-        removed = s.rows[hi][0] - (s.rows[lo - 1][0] if lo else 0)
-        covered = _covers(s.blocks)
+        over = sorted(i for i, _ in met if i is not None)
+        gone |= set(over)
+        removed, covered = s.rows[hi][0] - (s.rows[lo - 1][0] if lo else 0), _covers(s.blocks)
         anchor = min((at for at in s.refs.values() if at > hi and not any(a <= at <= b for a, b in covered)), default=-1)
-        made.append([lo, hi, True, float(max(0, removed - r["tokens"])), anchor, False])
+        start, end = s.rows[lo][3], s.rows[hi][3]
+        made.append({
+            "lo": lo, "hi": hi, "active": True, "saved": float(max(0, removed - r["tokens"])), "anchor": anchor, "named": False, "topic": r["topic"], "summary": r["summary"], "tokens": r["tokens"],
+            "start": start, "end": end, "at": s.rows[anchor][3] if anchor >= 0 else end + 1, "created": s.rows[n.n_messages - 1][3], "call": call, "over": over,
+        })
     for i in gone:
-        s.blocks[i] = [*s.blocks[i][:2], False, *s.blocks[i][3:]]
+        s.blocks[i] = s.blocks[i] | {"active": False}
     for block in made:
         s.blocks[n.next_block_id] = block
         n.next_block_id += 1
@@ -191,9 +195,9 @@ def taken_over(s: Session, ids: list[int]) -> None:
     """A compaction takes over blocks: what they saved is realized, the turns of the last block and reminder forgotten."""
     for i in ids:
         b = s.blocks.get(i)
-        if b and b[2]:
-            s.blocks[i] = [*b[:2], False, *b[3:]]
-            s.numbers.lifetime_saved += b[3]
+        if b and b["active"]:
+            s.blocks[i] = b | {"active": False}
+            s.numbers.lifetime_saved += b["saved"]
     if ids:
         s.numbers.last_compress_turn = s.numbers.last_nudge_turn = -1
 
@@ -204,7 +208,7 @@ def placed(s: Session, event: dict[str, Any], at: int) -> tuple[int, bool]:
     if role in transcript.RESULT_ROLES and n.head >= 0 and event.get("call") in n.asked:
         if not n.met:
             for row in n.waiting:
-                s.rows[row] = [s.rows[row][0], n.head, s.rows[row][2]]
+                s.rows[row] = [s.rows[row][0], n.head, *s.rows[row][2:]]
             n.met, n.waiting = True, []
         return n.head, False
     if role in transcript.PASSTHROUGH and n.head >= 0:
@@ -229,10 +233,10 @@ def fold(s: Session, event: dict[str, Any], rules: Rules = Rules()) -> None:
         known = s.calls[call]
         if not event.get("is_error") and known[3] is not None:
             context_pass(s, rules)
-            compressed(s, asked_ranges(known[3]))
+            compressed(s, asked_ranges(known[3]), call)
     at = n.n_messages
     head, turn = placed(s, event, at)
-    s.rows[at] = [(s.rows[at - 1][0] if at else 0) + (event.get("tokens") or 0), head, role in transcript.REF_ROLES]
+    s.rows[at] = [(s.rows[at - 1][0] if at else 0) + (event.get("tokens") or 0), head, role in transcript.REF_ROLES, float(event.get("ts") or 0)]
     if role == "toolResult" and call:
         s.results[call] = [at, bool(event.get("is_error"))]
     n.n_messages += 1
@@ -243,10 +247,14 @@ def fold(s: Session, event: dict[str, Any], rules: Rules = Rules()) -> None:
 
 def observed(session_id: str, s: Session, rules: Rules = Rules()) -> dict[str, Any]:
     """What a last pass would leave; the state itself stays as it is."""
-    n, active = s.numbers, {i: b for i, b in s.blocks.items() if b[2]}
+    n, active = s.numbers, {i: b for i, b in s.blocks.items() if b["active"]}
+    block = lambda i, b: {
+        "block_id": i, "topic": b["topic"], "summary": b["summary"], "active": b["active"], "start_ts": b["start"], "end_ts": b["end"], "anchor_ts": b["at"], "summary_tokens": float(b["tokens"]), "saved_tokens": b["saved"], "created_at": b["created"],
+        "compress_call_id": b["call"], "superseded_block_ids": b["over"],
+    }
     return {
-        "session_id": session_id, "turns": n.turns, "n_messages": n.n_messages, "active_blocks": sorted(active), "next_block_id": n.next_block_id, "tokens_saved": float(sum(b[3] for b in active.values())), "lifetime_saved": float(n.lifetime_saved),
-        "n_tool_calls": n.n_tool_calls, "last_compress_turn": n.last_compress_turn, "last_nudge_turn": n.last_nudge_turn, "pruned_tool_ids": sorted([*s.pruned.keys(), *newly_pruned(s, rules)]),
+        "session_id": session_id, "turns": n.turns, "n_messages": n.n_messages, "active_blocks": sorted(active), "next_block_id": n.next_block_id, "tokens_saved": float(sum(b["saved"] for b in active.values())), "lifetime_saved": float(n.lifetime_saved),
+        "n_tool_calls": n.n_tool_calls, "last_compress_turn": n.last_compress_turn, "last_nudge_turn": n.last_nudge_turn, "pruned_tool_ids": sorted([*s.pruned.keys(), *newly_pruned(s, rules)]), "blocks": [block(i, s.blocks[i]) for i in sorted(s.blocks)],
     }
 
 
@@ -279,7 +287,7 @@ def entry_events(rows: DataFrame) -> DataFrame:
     native = (F.col("type") == "compaction") & (F.try_variant_get("v", "$.details.source", "string") == NATIVE_SOURCE)
     calls = F.transform(F.filter("parts", lambda p: p["type"] == "toolCall"), lambda p: F.struct(p["id"].alias("id"), p["name"].alias("name"), fingerprint(F.coalesce(p["name"], F.lit("")), p["arguments"]).alias("print"), F.when(p["name"] == COMPRESS, p["arguments"]).alias("arguments")))
     event = F.struct(
-        "role", message_estimate(F.col("content"), F.col("parts")).alias("tokens"), F.when(F.col("role") == "assistant", calls).alias("calls"), F.col("tool_call_id").alias("call"), F.col("tool_name").alias("tool"),
+        "role", message_estimate(F.col("content"), F.col("parts")).alias("tokens"), F.col("message_ts").alias("ts"), F.when(F.col("role") == "assistant", calls).alias("calls"), F.col("tool_call_id").alias("call"), F.col("tool_name").alias("tool"),
         fingerprint(F.coalesce("tool_name", F.lit("")), F.lit(None).cast("string")).alias("print"), "is_error", F.when(native, F.try_variant_get("v", "$.details.representedBlockIds", "array<long>")).alias("represented"),
     )
     return m.select(F.col("session_id").cast("string").alias("session_id"), F.col("pos").cast("long").alias("pos"), F.to_json(event).alias("event"))

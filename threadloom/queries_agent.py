@@ -381,3 +381,15 @@ def anchored_splice(spark, sf_dir):
     made = made.select("session_id", "block_id", key((c * k) % n).alias("start_key"), key((c + 2 * k) % n).alias("end_key"), anchor.alias("anchor_key"), (((c + 3 * k) % n + 1) * 1000).cast("double").alias("anchor_ts"), F.lit(True).alias("active"), F.lit("t").alias("topic"), F.concat(F.lit("Summary "), k.cast("string")).alias("summary"), F.lit(None).cast("double").alias("created_at"))
     shown, _ = splicing.spliced(rows, made, ("source_key",))
     return shown.select("session_id", "ordinal", F.coalesce(F.concat(F.lit("b"), F.col("block_id").cast("string")), "source_key").alias("item"))
+
+
+@register("corpus_summary", """WITH l AS (SELECT user_id % 7 AS folder, user_id AS session_id, props AS raw, event_type IN ('view', 'error') AS snap, event_type = 'error' AND lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) = 'view' AS marker FROM events),
+  o AS (SELECT folder, session_id, count(*) AS n_lines, count(*) FILTER (WHERE snap) AS n_snapshots, count(*) FILTER (WHERE marker AND raw <> 'm') AS n_changed, count(*) FILTER (WHERE marker) AS n_markers, CAST(sum(strlen(raw) + 1) AS BIGINT) AS bytes_before, CAST(sum(CASE WHEN marker THEN 2 ELSE strlen(raw) + 1 END) AS BIGINT) AS bytes_after FROM l GROUP BY 1, 2)
+  SELECT CASE GROUPING(folder, session_id) WHEN 0 THEN 'session' WHEN 1 THEN 'folder' ELSE 'corpus' END AS level, folder, session_id, count(*) AS n_sessions, CAST(sum(n_lines) AS BIGINT) AS n_lines, CAST(sum(n_snapshots) AS BIGINT) AS n_snapshots, CAST(sum(n_changed) AS BIGINT) AS n_changed, CAST(sum(n_markers) AS BIGINT) AS n_markers,
+    CAST(sum(bytes_before) AS BIGINT) AS bytes_before, CAST(sum(bytes_after) AS BIGINT) AS bytes_after, CAST((20000 * (sum(bytes_before) - sum(bytes_after)) + sum(bytes_before)) // (2 * sum(bytes_before)) AS DOUBLE) / 100 AS saved_percent FROM o GROUP BY ROLLUP (folder, session_id)""")
+def corpus_summary(spark, sf_dir):
+    """Events as lines; an error after a view becomes a marker."""
+    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    marker = F.coalesce((F.col("event_type") == "error") & (before == "view"), F.lit(False))
+    e = adapters.read(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("folder"), F.col("user_id").alias("session_id"), F.col("props").alias("raw"), F.when(marker, "m").otherwise(F.col("props")).alias("new_raw"), F.col("event_type").isin("view", "error").alias("is_snapshot"), marker.alias("is_marker"))
+    return persistence.corpus_summary(e)

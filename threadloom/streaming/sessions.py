@@ -105,7 +105,7 @@ class Replaying(StatefulProcessor):
     @staticmethod
     def _material(s: Session) -> tuple:
         """What is worth a new snapshot when it changes: blocks, pruned results, compactions."""
-        return s.numbers.next_block_id, s.numbers.lifetime_saved, sorted(i for i, b in s.blocks.items() if b[2]), sorted(s.pruned)
+        return s.numbers.next_block_id, s.numbers.lifetime_saved, sorted(i for i, b in s.blocks.items() if b["active"]), sorted(s.pruned)
 
     def close(self) -> None:
         pass

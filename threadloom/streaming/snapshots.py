@@ -11,11 +11,10 @@ from threadloom.operators.persistence import serialized
 
 
 def state_payloads(states: DataFrame) -> DataFrame:
-    """(session_id, schema_version, payload) of states as ``replay_stream`` gives them: turns, pruned results and
-    what was saved for good."""
+    """(session_id, schema_version, payload) of states as ``replay`` and ``replay_stream`` give them: turns, pruned
+    results, what was saved for good, and blocks."""
     s = states.select("session_id", F.unix_millis(F.current_timestamp()).alias("saved_at"), F.col("turns").alias("current_turn"), "last_nudge_turn", "last_compress_turn", "pruned_tool_ids", F.col("lifetime_saved").cast("long").alias("lifetime_saved"), "next_block_id")
-    none = s.select("session_id", F.lit(None).cast("long").alias("block_id")).where("false")
-    return serialized(s, none.withColumn("active", F.lit(True)))
+    return serialized(s, states.select("session_id", F.explode("blocks").alias("b")).select("session_id", "b.*"))
 
 
 def snapshot_sink(folder: str, payloads: Callable[[DataFrame], DataFrame] = state_payloads) -> Callable[[DataFrame, int], None]:
