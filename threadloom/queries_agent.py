@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from threadloom import sql
 from threadloom.config import DEFAULTS
 from threadloom.functions import refs, text, tokens, tools
 from threadloom.operators import artifacts, branches, compaction, coverage, payload, persistence, pruning, splicing, status, transaction, transcript
@@ -393,3 +394,29 @@ def corpus_summary(spark, sf_dir):
     marker = F.coalesce((F.col("event_type") == "error") & (before == "view"), F.lit(False))
     e = adapters.read(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("folder"), F.col("user_id").alias("session_id"), F.col("props").alias("raw"), F.when(marker, "m").otherwise(F.col("props")).alias("new_raw"), F.col("event_type").isin("view", "error").alias("is_snapshot"), marker.alias("is_marker"))
     return persistence.corpus_summary(e)
+
+
+@register("sql_spans", SQL["tool_spans"])
+def sql_spans(spark, sf_dir):
+    sql.register(spark)
+    return spark.sql("SELECT session_id, lo, hi, kind, is_turn FROM session_spans(TABLE({rows}))", rows=adapters.agent_rows(spark, sf_dir)[0])
+
+
+@register("sql_candidate_ranges", SQL["candidate_ranges_topk"])
+def sql_candidate_ranges(spark, sf_dir):
+    sql.register(spark)
+    rows = adapters.messages(spark, sf_dir)
+    return spark.sql(
+        """SELECT * FROM candidate_ranges(TABLE(SELECT session_id, ordinal, CASE role WHEN 'system' THEN 'F' WHEN 'user' THEN 'R' ELSE 'T' END AS kind, concat('s', ordinal) AS ref, estimate_tokens(content) AS tokens FROM {rows}), 3)""",
+        rows=rows,
+    )
+
+
+@register("sql_functions", f"SELECT event_id, {EST.format('props')} AS tokens, trim(event_type) || ' x' AS line, CASE WHEN length(props) > 9 THEN rtrim(substr(props, 1, 8)) || '…' ELSE props END AS short, 'm' || CASE WHEN event_id * 7 < 10000 THEN lpad(CAST(event_id * 7 AS VARCHAR), 4, '0') ELSE CAST(event_id * 7 AS VARCHAR) END AS ref, event_type || '::{{\"a\":' || event_id || ',\"b\":[1,{{\"y\":2,\"z\":1}}]}}' AS print, event_id // 8 * 8 AS bucket FROM events")
+def sql_functions(spark, sf_dir):
+    sql.register(spark)
+    return spark.sql(
+        """SELECT event_id, estimate_tokens(props) AS tokens, normalize_inline(concat('\t ', event_type, ' \n\u00A0 x ')) AS line, truncate_text(props, 9) AS short, format_ref(event_id * 7) AS ref,
+        call_fingerprint(event_type, concat('{{"b": [1, {{"z": 1, "y": 2}}], "a": ', event_id, '}}')) AS print, turn_bucket(event_id, 8) AS bucket FROM {e}""",
+        e=adapters.read(spark, sf_dir, "events"),
+    )
