@@ -49,13 +49,11 @@ def with_ref(role: Column, text: Column, ref: Column) -> Column:
 
 def expand_placeholders(text: Column, summaries: Column) -> Column:
     """(bN) replaced by the stored summary of block N from array<struct<id, topic, summary>>, once;
-    unknown ones stay."""
-    piece = F.regexp_extract_all(text, F.lit(r"(?s)(\(b\d+\)|.)"), F.lit(1))
+    unknown ones stay. The text is cut at its placeholders, so there are as many pieces as these and one more."""
+    pieces, tags = F.split(text, r"\(b\d+\)", -1), F.regexp_extract_all(text, F.lit(r"(\(b\d+\))"), F.lit(1))
 
-    def one(p: Column) -> Column:
-        own = F.filter(summaries, lambda s: p == F.concat(F.lit("(b"), s["id"].cast("string"), F.lit(")")))
-        body = F.element_at(own, 1)
-        known = F.concat(F.lit("[Previously compressed: "), body["topic"], F.lit("]\n"), body["summary"])
-        return F.when((F.length(p) > 1) & (F.size(own) > 0), known).otherwise(p)
+    def shown(tag: Column) -> Column:
+        body = F.get(F.filter(summaries, lambda s: tag == F.concat(F.lit("(b"), s["id"].cast("string"), F.lit(")"))), F.lit(0))
+        return F.when(body.isNotNull(), F.concat(F.lit("[Previously compressed: "), body["topic"], F.lit("]\n"), body["summary"])).otherwise(tag)
 
-    return F.array_join(F.transform(piece, one), "")
+    return F.array_join(F.zip_with(pieces, tags, lambda p, t: F.concat(p, F.when(t.isNotNull(), shown(t)).otherwise(""))), "")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.text import line_count, normalize_inline, strip_metadata, truncate
 from threadloom.functions.tokens import estimate
 from threadloom.functions.tools import EXCERPT_CHARS, argument_summary, command_kind, edit_stats, fingerprint, line_span, number_argument, shown_command, text_argument
+from threadloom.operators.coverage import within
 
 RESULT_ROLES = ("toolResult", "bashExecution")
 EDITS = "array<struct<oldText:string,newText:string>>"
@@ -109,9 +110,9 @@ def covered(rows: DataFrame, spans: DataFrame, ranges: DataFrame) -> DataFrame:
 
     Spans count if they lie in the range whole; ids and references are distinct, in order of first sight.
     ``rows``: session_id, ordinal, role, ts, source_key, tool_call_id; ``ranges``: session_id, range_id,
-    lo, hi, each exploded to its ordinals, so that rows are joined by equality.
+    lo, hi. Rows and ranges meet by stretches of ordinals.
     """
-    places = ranges.select("session_id", "range_id", F.explode(F.sequence("lo", "hi")).alias("ordinal"))
+    places = within(rows, ranges, "range_id")
     tool = F.when(F.col("role").isin(*RESULT_ROLES), F.col("tool_call_id"))
     own = rows.join(places, ["session_id", "ordinal"]).withColumn("_tool", tool)
     refs = F.array_compact(F.array(F.concat(F.lit("message:"), F.col("ts").cast("long").cast("string")), F.concat(F.lit("tool:"), F.col("_tool"))))

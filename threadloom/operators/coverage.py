@@ -21,11 +21,16 @@ def _blocked(ranges: DataFrame) -> DataFrame:
     return ranges.where("lo <= hi").withColumn("_s", F.explode(F.sequence(first, last)))
 
 
+def within(rows: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
+    """(session_id, key, ordinal) of the rows in each range (session_id, key, lo, hi); an equi-join on the session
+    and a stretch of ordinals, so a long session's rows meet only ranges nearby."""
+    b = _blocked(ranges.select("session_id", key, "lo", "hi"))
+    return rows.select("session_id", "ordinal", F.floor(F.col("ordinal") / STRETCH).alias("_s")).join(b, ["session_id", "_s"]).where(F.col("ordinal").between(F.col("lo"), F.col("hi"))).select("session_id", key, "ordinal")
+
+
 def covered_rows(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(session_id, block_id, ordinal) by ordinal range; an equi-join on the session and a stretch of
-    ordinals, so a long session's rows meet only blocks nearby."""
-    b = _blocked(blocks.select("session_id", "block_id", "lo", "hi"))
-    return rows.select("session_id", "ordinal", F.floor(F.col("ordinal") / STRETCH).alias("_s")).join(b, ["session_id", "_s"]).where(F.col("ordinal").between(F.col("lo"), F.col("hi"))).select("session_id", "block_id", "ordinal")
+    """(session_id, block_id, ordinal) by ordinal range."""
+    return within(rows, blocks, "block_id")
 
 
 def exact_coverage(rows: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -420,3 +420,29 @@ def sql_functions(spark, sf_dir):
         call_fingerprint(event_type, concat('{{"b": [1, {{"z": 1, "y": 2}}], "a": ', event_id, '}}')) AS print, turn_bucket(event_id, 8) AS bucket FROM {e}""",
         e=adapters.read(spark, sf_dir, "events"),
     )
+
+
+REQUESTS = """q AS (SELECT session_id, g AS range_id, 1 + 4 * g + session_id % 2 AS a, 3 + 4 * g - (session_id + g) % 2 AS b FROM (SELECT DISTINCT session_id FROM e), range(0, 3) t(g)),
+w AS (SELECT q.*, x.u AS xu, x.lost AS xl, y.u AS yu, CASE WHEN x.u THEN 2 * a WHEN x.lost THEN 2 * a + 1 ELSE 2 * a END AS lo, 2 * b + 1 AS hi, n.i AS next, n.u AS nu FROM q JOIN e x ON x.session_id = q.session_id AND x.i = a JOIN e y ON y.session_id = q.session_id AND y.i = b LEFT JOIN e n ON n.session_id = q.session_id AND n.i = b + 1 WHERE a <= b),
+z AS (SELECT w.session_id, range_id, CAST(2 * count(*) - any_value(w.lo % 2) AS INT) AS n_rows, CAST(count(*) FILTER (WHERE e.u OR NOT e.lost) AS INT) AS n_log, CAST(count(*) FILTER (WHERE NOT e.u) AS INT) AS n_tools, count(*) FILTER (WHERE tool = 'read' AND NOT e.u AND NOT e.lost) AS reads, CAST(count(*) FILTER (WHERE tool = 'bash') AS INT) AS n_commands,
+  CAST(coalesce(sum(CASE WHEN tool = 'edit' THEN 2 END), 0) AS BIGINT) AS edits FROM w JOIN e ON e.session_id = w.session_id AND e.i BETWEEN w.a AND w.b GROUP BY 1, 2)"""
+
+
+@register("compressed_blocks", _with(E, REQUESTS) + f"""SELECT w.session_id, range_id, CAST(6 + row_number() OVER (PARTITION BY w.session_id ORDER BY range_id) AS BIGINT) AS block_id, lo, hi, lo * 10.0::DOUBLE AS start_ts, hi * 10.0::DOUBLE AS end_ts, 's' || lo AS start_source_key,
+  CASE WHEN next IS NULL THEN 'tail:s' || hi ELSE 's' || (2 * next + CASE WHEN nu THEN 0 ELSE 1 END) END AS anchor_source_key, 'see [Previously compressed: old]' || chr(10) || 'before (b9)' AS summary, n_rows, n_log, n_tools, reads, n_commands, edits
+  FROM w JOIN z USING (session_id, range_id)""")
+def compressed_blocks(spark, sf_dir):
+    """Up to three ranges of events a user, each a request of its own; a block of id 6 stands before all of them."""
+    rows, calls = adapters.agent_rows(spark, sf_dir)
+    g, c = F.col("range_id"), F.col("session_id")
+    a, b = 1 + 4 * g + c % 2, 3 + 4 * g - (c + g) % 2
+    place = rows.where(F.col("role").isin(*transcript.REF_ROLES)).select("session_id", F.floor(F.col("ordinal") / 2).alias("i"), "ordinal")
+    asked = rows.select("session_id").distinct().withColumn("range_id", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumns({"a": a, "b": b}).where("a <= b")
+    for side, at in (("start", "a"), ("end", "b")):
+        asked = asked.join(place.select("session_id", F.col("i").alias(at), refs.format_ref(F.col("ordinal")).alias(f"{side}_ref")), ["session_id", at])
+    asked = asked.select("session_id", g.cast("string").alias("request_id"), "range_id", "start_ref", "end_ref", F.lit(" t ").alias("topic"), F.lit("see (b6) (b9)").alias("summary"), F.lit("k").alias("call_id"))
+    named = place.select("session_id", refs.format_ref(F.col("ordinal")).alias("ref"), "ordinal", F.lit(None).cast("long").alias("block_id"))
+    old = rows.where("ordinal = 0").select("session_id", F.lit(6).cast("long").alias("block_id"), F.lit(True).alias("active"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit("old").alias("topic"), F.lit("before").alias("summary"))
+    made, _, _ = transaction.compress(asked, rows, calls, named, old)
+    total = lambda c, f: F.aggregate(c, F.lit(0.0), lambda t, x: t + x[f]).cast("long")
+    return made.select("session_id", "range_id", "block_id", "lo", "hi", "start_ts", "end_ts", "start_source_key", "anchor_source_key", "summary", F.size("covered_source_keys").alias("n_rows"), F.size("activity_log").alias("n_log"), F.size("covered_tool_ids").alias("n_tools"), total("file_reads", "count").alias("reads"), F.size("commands").alias("n_commands"), total("file_writes", "edit_count").alias("edits"))
