@@ -235,3 +235,44 @@ def test_labels_of_one_class(spark, tmp_path, toxic):
     assert toxicity.train(spark.createDataFrame(rows, DOCS), labels) is None
     assert {(r.score, r.predicted) for r in queries.op7_toxicity(spark, str(tmp_path)).collect()} == {(0.0, 0)}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+# ---- columns of the user's own that are named like helpers
+
+
+def test_own_columns_stay(spark):
+    """Whatever a user's columns are called, they are carried along and change nothing."""
+    from pyspark.sql import functions as F
+
+    from threadloom.llm import kneserney, langid, mixing, pii, rules
+
+    names = ["_key", "_bit", "_tie", "_before", "_s", "_b", "_size", "_pass", "_own", "_id", "_hash", "_f", "_m", "_off", "_total", "lang_hint"]
+    rows = [(k, f"some words of text {k} and more {k % 3}", "en", f"s{k % 3}", k + 1) for k in range(30)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, size long")
+    own = plain.withColumns({n: F.concat(F.lit(n), F.lit(":"), F.col("doc_id")) for n in names})
+    made = {
+        "mixing": lambda d: mixing.plan(d.drop("text")), "stream": lambda d: mixing.stream(d), "kneserney": lambda d: kneserney.scored(d, kneserney.Model(kneserney.count(plain))).drop("text"),
+        "pii": lambda d: pii.find(d, pii.train(plain)).drop("text"), "rules": lambda d: rules.statistics(d).drop("text"), "langid": lambda d: langid.identify(d, langid.train(plain)).drop("text"),
+    }
+    for what, f in made.items():
+        want = f(plain)
+        got = f(own)
+        assert set(got.columns) == {*want.columns, *names}, what
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())), what
+        assert got.where(" OR ".join(f"`{n}` <> concat('{n}:', doc_id)" for n in names)).count() == 0, what
+
+
+def test_nothing_is_left_behind(spark, tmp_path):
+    """Fingerprints leave the session's settings as they were, the n-gram model no folders."""
+    import os
+
+    rows = [(k, f"line one of {k}\nand words " * (k % 5), "en", "s", 0) for k in range(40)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    assert queries.op1_iblt_fingerprints(spark, str(tmp_path)).count() == 40 and spark.conf.get(name) == before
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    held = {f for f in os.listdir(folder) if f.startswith("stored-")}
+    assert queries.op10_kneser_ney(spark, str(tmp_path)).count() == 40
+    assert {f for f in os.listdir(folder) if f.startswith("stored-")} == held

@@ -157,13 +157,26 @@ def with_next(docs: DataFrame, *, rows_a_range: int = ROWS_A_RANGE) -> DataFrame
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)."""
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
+
+    Written before it is returned: groupings and joins by document use a layout by range, for which a setting
+    of the session is changed until then.
+    """
+    conf, name = docs.sparkSession.conf, "spark.sql.requireAllClusterKeysForCoPartition"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return settle(_fingerprints(docs))
+    finally:
+        conf.set(name, before)
+
+
+def _fingerprints(docs: DataFrame) -> DataFrame:
     texts = with_next(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")))
     half = F.floor(F.char_length("text") / 2).cast("int")
     texts = texts.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.char_length("text") - half), F.substring("next_text", F.lit(1), half)))
     digest = {name: digests(F.col(t)).alias(name) for t, name in (("text", "a"), ("edited", "b"), ("next_text", "c"))}
     # what follows needs no text: digests are laid out by range, groupings and joins by document find them so
-    docs.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     pairs = settle(texts.select("_r", "_row", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("sha"), *digest.values()))
     parts = max(1, pairs.rdd.getNumPartitions())
     laid = lambda df: df.repartition(parts, "_r")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import settle, stored
+from threadloom.llm.common import discard, settle, stored
 
 ORDER = 2
 #: Width of a histogram bin of the log perplexity.
@@ -115,14 +115,15 @@ def discounts(level: DataFrame) -> Column:
 
 class Model:
     """Tables by order: seen[k] (g_k, p), rest[k] (c_k, gamma); unknown: the probability of a word that
-    trusted text lacks. None of them without trusted text."""
+    trusted text lacks. None of them without trusted text. They lie in folders, as do the joins of scoring, until
+    ``discard`` is called, once the scores are written."""
 
     def __init__(self, counts: DataFrame, order: int = ORDER):
-        self.order, self.seen, self.rest, self.unknown = order, {}, {}, None
-        levels = {order: stored(counts)[0]}
+        self.order, self.seen, self.rest, self.unknown, self.folders = order, {}, {}, None, []
+        levels = {order: self.keep(counts)}
         for k in range(order - 1, 0, -1):  # continuation counts: the words that an n-gram is seen after
             lower = names(k)
-            levels[k] = stored(levels[k + 1].groupBy(f"g{k}").agg(*(F.min(c).alias(c) for c in lower if c != f"g{k}"), F.count("*").alias("n")))[0]
+            levels[k] = self.keep(levels[k + 1].groupBy(f"g{k}").agg(*(F.min(c).alias(c) for c in lower if c != f"g{k}"), F.count("*").alias("n")))
         whole = levels[1].agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
         if not whole.v:
             return
@@ -131,13 +132,22 @@ class Model:
             if k == 1:
                 held = rows.agg(F.sum("_off").alias("off")).first().off / whole.n
                 self.unknown = held / (whole.v + 1)
-                self.seen[1] = stored(rows.select("g1", ((F.col("n") - F.col("_off")) / whole.n + self.unknown).alias("p")))[0]
+                self.seen[1] = self.keep(rows.select("g1", ((F.col("n") - F.col("_off")) / whole.n + self.unknown).alias("p")))
                 continue
             totals = rows.groupBy(f"c{k}").agg(F.sum("n").alias("_total"), F.sum("_off").alias("_held"))
-            self.rest[k] = stored(totals.select(f"c{k}", (F.col("_held") / F.col("_total")).alias("gamma"), "_total"))[0]
+            self.rest[k] = self.keep(totals.select(f"c{k}", (F.col("_held") / F.col("_total")).alias("gamma"), "_total"))
             below = self.seen[k - 1].withColumnRenamed("p", "_p")
             own = rows.join(self.rest[k], f"c{k}").join(below, f"g{k - 1}")
-            self.seen[k] = stored(own.select(f"g{k}", ((F.col("n") - F.col("_off")) / F.col("_total") + F.col("gamma") * F.col("_p")).alias("p")))[0]
+            self.seen[k] = self.keep(own.select(f"g{k}", ((F.col("n") - F.col("_off")) / F.col("_total") + F.col("gamma") * F.col("_p")).alias("p")))
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        held, folder = stored(df)
+        self.folders.append(folder)
+        return held
+
+    def discard(self) -> None:
+        while self.folders:
+            discard(self.folders.pop())
 
 
 def _own() -> Column:
@@ -183,11 +193,11 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
         if k == 1:
             sums.append(found.groupBy(*key).agg(F.sum(F.col("n") * F.log(F.coalesce("p", F.lit(model.unknown)))).alias("s"), words.alias("n")))
             break
-        found = stored(found)[0]
+        found = model.keep(found)
         sums.append(found.groupBy(*key).agg(F.sum(F.when(F.col("p").isNotNull(), F.col("n") * F.log("p"))).alias("s"), words.alias("n")))
         lower = names(k - 1)
         left = found.where("p is null").groupBy(*key, f"c{k}", *lower).agg(F.sum("n").alias("n"))
-        weighed = stored(left.join(model.rest[k].select(f"c{k}", "gamma"), f"c{k}", "left"))[0]
+        weighed = model.keep(left.join(model.rest[k].select(f"c{k}", "gamma"), f"c{k}", "left"))
         sums.append(weighed.groupBy(*key).agg(F.sum(F.col("n") * F.log(F.coalesce("gamma", F.lit(1.0)))).alias("s"), F.lit(0).cast("long").alias("n")))
         rest = weighed.drop("gamma", f"c{k}").select(*key, *lower, "n")
     every = sums[0]
@@ -199,9 +209,9 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without text, with perplexity."""
-    held = perplexities(docs, model).toDF("_id", "_hash", "perplexity")
-    rows = docs.drop("perplexity").withColumn("_own", _own()).drop("text")
-    return rows.join(held, rows["doc_id"].eqNullSafe(held["_id"]) & (rows["_own"] == held["_hash"]), "left").drop("_id", "_hash", "_own")
+    held = perplexities(docs, model).toDF("_kneserney_id_", "_kneserney_hash_", "perplexity")
+    rows = docs.drop("perplexity").withColumn("_kneserney_own_", _own()).drop("text")
+    return rows.join(held, rows["doc_id"].eqNullSafe(held["_kneserney_id_"]) & (rows["_kneserney_own_"] == held["_kneserney_hash_"]), "left").drop("_kneserney_id_", "_kneserney_hash_", "_kneserney_own_")
 
 
 def quantiles(scored_: DataFrame, low: float, high: float) -> DataFrame:

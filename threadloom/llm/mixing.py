@@ -35,17 +35,17 @@ def targets(sources: DataFrame, *, weights=WEIGHTS, ramps=RAMPS, share: float =
     further source is full; each step is one aggregate, its two sums are all the driver sees.
     """
     ranked = ordered(sources, F.col("source").asc_nulls_last(), name="_rank")
-    t = settle(ranked.withColumns({"weight": cycle(weights, F.col("_rank")), "ramp": cycle(ramps, F.col("_rank")), "_cap": most * F.col("source_size")}).drop("_rank"))
+    t = settle(ranked.withColumns({"weight": cycle(weights, F.col("_rank")), "ramp": cycle(ramps, F.col("_rank")), "_mixing_cap_": most * F.col("source_size")}).drop("_rank"))
     wanted = share * (t.agg(F.sum("source_size")).first()[0] or 0)
     level, full = 0.0, -1
     while True:
-        is_full = F.col("weight") * F.lit(level) >= F.col("_cap")
-        n, held, open_weight = t.agg(F.count_if(is_full), F.sum(F.when(is_full, F.col("_cap"))), F.sum(F.when(~is_full, F.col("weight")))).first()
+        is_full = F.col("weight") * F.lit(level) >= F.col("_mixing_cap_")
+        n, held, open_weight = t.agg(F.count_if(is_full), F.sum(F.when(is_full, F.col("_mixing_cap_"))), F.sum(F.when(~is_full, F.col("weight")))).first()
         if n == full or not open_weight:
             break
         full, level = n, (wanted - (held or 0.0)) / open_weight
-    target = F.when(F.col("weight") * F.lit(level) >= F.col("_cap"), F.col("_cap")).otherwise(F.col("weight") * F.lit(level))
-    return t.withColumn("target", target.cast("double")).drop("_cap")
+    target = F.when(F.col("weight") * F.lit(level) >= F.col("_mixing_cap_"), F.col("_mixing_cap_")).otherwise(F.col("weight") * F.lit(level))
+    return t.withColumn("target", target.cast("double")).drop("_mixing_cap_")
 
 
 def place_in_time(used: Column, ramp: Column) -> Column:
@@ -57,32 +57,32 @@ def place_in_time(used: Column, ramp: Column) -> Column:
 def plan(sized: DataFrame, **options) -> DataFrame:
     """Add source_size, target, ramp, ``start`` and ``taken`` to rows with doc_id, source and size.
 
-    Within a source, documents stand in the order of a hash of their id and size (and ``_tie``,
+    Within a source, documents stand in the order of a hash of their id and size (and ``_mixing_tie_``,
     if there is one, so that equal ids don't meet in one place). The order is cut into parts
     by that hash, so that a source of any size is summed by many tasks: the parts' sums are summed
     up first, then the rows within each part.
     """
-    tie = [F.col("_tie").cast("string")] if "_tie" in sized.columns else []
+    tie = [F.col("_mixing_tie_").cast("string")] if "_mixing_tie_" in sized.columns else []
     key = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"), *tie))
-    rows = sized.drop("source_size", "target", "weight", "ramp", "start", "taken").withColumn("_key", key)
+    rows = sized.drop("source_size", "target", "weight", "ramp", "start", "taken").withColumn("_mixing_key_", key)
     n = sized.count()
     digits = 1 if n <= 16 * ROWS_A_PART else len(f"{n // ROWS_A_PART:x}")
-    rows = rows.withColumn("_bit", F.substring("_key", 1, digits))
-    parts = settle(rows.groupBy("source", "_bit").agg(F.sum("size").alias("_size")))
-    goals = targets(parts.groupBy("source").agg(F.sum("_size").alias("source_size")), **options)
-    before = Window.partitionBy("source").orderBy("_bit").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    rows = rows.withColumn("_mixing_part_", F.substring("_mixing_key_", 1, digits))
+    parts = settle(rows.groupBy("source", "_mixing_part_").agg(F.sum("size").alias("_mixing_size_")))
+    goals = targets(parts.groupBy("source").agg(F.sum("_mixing_size_").alias("source_size")), **options)
+    before = Window.partitionBy("source").orderBy("_mixing_part_").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_mixing_before_", F.coalesce(F.sum("_mixing_size_").over(before), F.lit(0)))
     p, g = parts.alias("p"), goals.alias("g")
-    parts = p.join(g, F.col("p.source").eqNullSafe(F.col("g.source"))).select("p.source", "p._bit", "p._before", "g.source_size", "g.target", "g.ramp")
-    r, p = rows.alias("r"), parts.withColumnsRenamed({"source": "_s", "_bit": "_b"}).alias("p")
-    joined = r.join(p, (F.col("r._bit") == F.col("p._b")) & F.col("r.source").eqNullSafe(F.col("p._s")))
-    within = Window.partitionBy("_bit", "source").orderBy("_key", "doc_id", "size", *(["_tie"] if "_tie" in sized.columns else [])).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("_before") + F.coalesce(F.sum("size").over(within), F.lit(0))
+    parts = p.join(g, F.col("p.source").eqNullSafe(F.col("g.source"))).select("p.source", "p._mixing_part_", "p._mixing_before_", "g.source_size", "g.target", "g.ramp")
+    r, p = rows.alias("r"), parts.withColumnsRenamed({"source": "_mixing_source_", "_mixing_part_": "_mixing_of_part_"}).alias("p")
+    joined = r.join(p, (F.col("r._mixing_part_") == F.col("p._mixing_of_part_")) & F.col("r.source").eqNullSafe(F.col("p._mixing_source_")))
+    within = Window.partitionBy("_mixing_part_", "source").orderBy("_mixing_key_", "doc_id", "size", *(["_mixing_tie_"] if "_mixing_tie_" in sized.columns else [])).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("_mixing_before_") + F.coalesce(F.sum("size").over(within), F.lit(0))
     goal = F.floor("target")
     once = lambda at: F.greatest(F.lit(0), F.least(F.col("size"), goal - at))
     out = joined.withColumn("start", start)
     out = out.withColumn("taken", (once(F.col("start")) + once(F.col("start") + F.col("source_size"))).cast("long"))
-    return out.drop("_s", "_b", "_bit", "_key", "_before", "_tie")
+    return out.drop("_mixing_source_", "_mixing_of_part_", "_mixing_part_", "_mixing_key_", "_mixing_before_", "_mixing_tie_")
 
 
 def position(epoch: Column | int = 0) -> Column:
@@ -97,8 +97,8 @@ def stream(sized: DataFrame, **options) -> DataFrame:
     A copy is in if at least half of it lies before its source's target.
     """
     planned = plan(sized, **options)
-    copies = planned.withColumn("_pass", F.explode(F.array(F.lit(0), F.lit(1))))
-    begins = F.col("start") + F.col("source_size") * F.col("_pass")
-    kept = copies.where((begins + F.col("size") / 2 <= F.floor("target")) & ((F.col("_pass") == 0) | (F.col("size") > 0)))
+    copies = planned.withColumn("_mixing_pass_", F.explode(F.array(F.lit(0), F.lit(1))))
+    begins = F.col("start") + F.col("source_size") * F.col("_mixing_pass_")
+    kept = copies.where((begins + F.col("size") / 2 <= F.floor("target")) & ((F.col("_mixing_pass_") == 0) | (F.col("size") > 0)))
     used = F.least(F.lit(1.0), F.coalesce(F.try_divide(begins, F.floor("target")), F.lit(0.0)))
-    return kept.withColumn("position", place_in_time(used, F.col("ramp"))).drop("_pass").orderBy("position", "doc_id")
+    return kept.withColumn("position", place_in_time(used, F.col("ramp"))).drop("_mixing_pass_").orderBy("position", "doc_id")

@@ -79,7 +79,9 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels")
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("apart"))
     trusted = docs.join(good.where("not apart"), "doc_id", "left_semi")
-    scored = settle(kneserney.scored(docs, kneserney.Model(kneserney.count(trusted))))
+    model = kneserney.Model(kneserney.count(trusted))
+    scored = settle(kneserney.scored(docs, model))
+    model.discard()
     return kneserney.classify(scored, scored.join(good.where("apart"), "doc_id", "left_semi")).select("doc_id", "lang", "perplexity", "most", "kept")
 
 

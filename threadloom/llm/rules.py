@@ -89,7 +89,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         for batch in texts:
             yield pd.DataFrame([measure(t) for t in batch], columns=list(COUNTS), dtype="int64")
 
-    return docs.drop(*COUNTS).withColumn("_m", measured("text")).select("*", "_m.*").drop("_m")
+    return docs.drop(*COUNTS).withColumn("_rules_counts_", measured("text")).select("*", "_rules_counts_.*").drop("_rules_counts_")
 
 
 def base_failed() -> Column:
