@@ -54,7 +54,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources near their target weights, in curriculum order; documents taken twice stand twice."""
-    sized = columns(docs).withColumn("size", n_words()).withColumn("_tie", F.xxhash64("text"))
+    sized = columns(docs).withColumn("size", n_words()).withColumn("_mixing_tie_", F.xxhash64("text"))
     return columns(mixing.stream(sized))
 
 
