@@ -52,13 +52,26 @@ def clamp_ratio(r: Column) -> Column:
     return F.when(r.isNull() | F.isnan(r) | (F.abs(r) == float("inf")), 0.0).otherwise(F.least(F.greatest(r, F.lit(0.0)), F.lit(1.0)))
 
 
+def _tenths(n: Column, unit: int) -> Column:
+    """n / unit to one place, in tenths, as the nearest to that number in binary: 9.95 lies below its half.
+
+    Whether the number d reaches the half (2k + 1) / 20 is decided without rounding: 16 d and 4 d are exact,
+    and so are both differences, as their terms lie within a factor of two.
+    """
+    d, k = n.cast("double") / unit, F.floor(n * 10 / unit).cast("long")
+    beyond = (d * 16 - (2 * k + 1)) + d * 4
+    return k + F.when((k > 0) & (beyond >= 0), 1).otherwise(0)
+
+
+def _one_place(tenths: Column) -> Column:
+    return F.regexp_replace(F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string")), r"\.0$", "")
+
+
 def short_number(n: Column) -> Column:
     """950, 1.5k, 15k, 1.5M: one place below ten, none from ten on, without a zero at the end."""
 
     def scaled(unit: int, letter: str) -> Column:
-        tenths = F.floor((n * 10 + unit / 2) / unit).cast("long")
-        one = F.regexp_replace(F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string")), r"\.0$", "")
-        return F.concat(F.when(n >= 10 * unit, F.floor((n + unit / 2) / unit).cast("string")).otherwise(one), F.lit(letter))
+        return F.concat(F.when(n >= 10 * unit, F.floor((n + unit / 2) / unit).cast("string")).otherwise(_one_place(_tenths(n, unit))), F.lit(letter))
 
     return F.when(n >= 1_000_000, scaled(1_000_000, "M")).when(n >= 1_000, scaled(1_000, "k")).otherwise(n.cast("string"))
 
@@ -75,11 +88,11 @@ def truncate_by_tokens(s: Column, most: int) -> Column:
 
 def compact_number(n: Column) -> Column:
     """999, 1.8k, 269k, 1.012M, 1M: one place below a hundred thousand, three from a million on, without
-    zeros at the end. Halves go up (in integers: no binary fractions are involved)."""
+    zeros at the end; places are those nearest in binary, as in ``short_number``."""
     n = F.greatest(F.round(n).cast("long"), F.lit(0).cast("long"))
-    tenths = F.floor((n + 50) / 100).cast("long")
-    one = F.regexp_replace(F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string")), r"\.0$", "")
-    thousandths = F.floor((n + 500) / 1000).cast("long")
+    d, k = n.cast("double") / 1_000_000, F.floor(n / 1000).cast("long")
+    beyond = ((d * 2048 - (2 * k + 1)) - d * 32) - d * 16  # d against (2k + 1) / 2000, exactly
+    thousandths = k + F.when(beyond >= 0, 1).otherwise(0)
     three = F.regexp_replace(F.concat(F.floor(thousandths / 1000).cast("string"), F.lit("."), F.lpad((thousandths % 1000).cast("string"), 3, "0")), r"\.?0+$", "")
     whole = F.floor((n + 500) / 1000).cast("string")
-    return F.when(n < 1_000, n.cast("string")).when(n < 100_000, F.concat(one, F.lit("k"))).when(n < 999_500, F.concat(whole, F.lit("k"))).otherwise(F.concat(three, F.lit("M")))
+    return F.when(n < 1_000, n.cast("string")).when(n < 100_000, F.concat(_one_place(_tenths(n, 1000)), F.lit("k"))).when(n < 999_500, F.concat(whole, F.lit("k"))).when(n < 1_000_000, F.lit("1M")).otherwise(F.concat(three, F.lit("M")))

@@ -89,13 +89,13 @@ def rendered(topic: Column, summary: Column, detail: Column, activity_log: Colum
     return F.concat(head, gap, F.lit(""), gap, body, gap, F.lit(""))
 
 
-def spliced(rows: DataFrame, blocks: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+def spliced(rows: DataFrame, blocks: DataFrame, carried: tuple[str, ...] = (), *, full: int = 4, compact: int = 8) -> DataFrame:
     """Rows with each block's range replaced by one user row in its place, and a new dense ordinal.
     Columns ``carried`` along are null in rows of blocks.
 
     For blocks of a session that do not overlap (``overlapping`` finds the others).
     """
-    levels = detail_levels(blocks)
+    levels = detail_levels(blocks, full, compact)
     covered = covered_rows(rows, levels)
     left = rows.join(covered.select("session_id", "ordinal"), ["session_id", "ordinal"], "left_anti").select("session_id", F.col("ordinal").cast("double").alias("_at"), "role", "content", F.lit(None).cast("int").alias("block_id"), *carried)
     made = levels.select("session_id", F.col("lo").cast("double").alias("_at"), F.lit("user").alias("role"), rendered(F.col("topic"), F.col("summary"), F.col("detail")).alias("content"), "block_id")

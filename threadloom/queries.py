@@ -382,7 +382,12 @@ def marker_collapse(spark, sf_dir):
     return persistence.shrink_report(persistence.collapsed(rows)).select("session_id", "snapshots", "markers")
 
 
-@register("compact_numbers", "SELECT o_orderkey, CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) WHEN n < 100000 THEN CASE WHEN r % 10 = 0 THEN CAST(r // 10 AS VARCHAR) ELSE CAST(r // 10 AS VARCHAR) || '.' || CAST(r % 10 AS VARCHAR) END || 'k' ELSE CAST((n + 500) // 1000 AS VARCHAR) || 'k' END AS label FROM (SELECT o_orderkey, n, (n + 50) // 100 AS r FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS n FROM orders))")
+#: A half that binary holds goes up, others to the nearest double, as printf has them.
+PLACE = "regexp_replace(CASE WHEN n % 1000 IN (250, 750) THEN printf('%.1f', (n + 50) / 1000.0) ELSE printf('%.1f', n / 1000.0) END, '\\.0$', '')"
+
+
+@register("compact_numbers", "SELECT o_orderkey, CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) WHEN n < 100000 THEN " + PLACE + " || 'k' WHEN n < 999500 THEN CAST((n + 500) // 1000 AS VARCHAR) || 'k' ELSE '' END AS label FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey * 50 % 99000 ELSE CAST(floor(o_totalprice) AS BIGINT) END AS n FROM orders)")
 def compact_numbers(spark, sf_dir):
-    n = F.floor("o_totalprice").cast("long")
+    """Every third number ends in 50, the half of a place."""
+    n = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") * 50 % 99000).otherwise(F.floor("o_totalprice").cast("long"))
     return adapters.read(spark, sf_dir, "orders").select("o_orderkey", tokens.compact_number(n).alias("label"))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from threadloom import sql
 from threadloom.config import DEFAULTS
 from threadloom.functions import refs, text, tokens, tools
-from threadloom.operators import artifacts, branches, compaction, coverage, payload, persistence, pruning, splicing, status, transaction, transcript
-from threadloom.queries import EST, INLINE, M, QUERIES, SQL, _with, register
+from threadloom.operators import artifacts, branches, compaction, coverage, hints, nudge, payload, persistence, pruning, splicing, status, transaction, transcript
+from threadloom.queries import EST, INLINE, M, PLACE, QUERIES, SQL, _with, register
 from threadloom.sources import adapters, jsonl
 
 # ruff: noqa: E501 - queries are listed with their SQL
@@ -322,9 +322,9 @@ def id_lists(spark, sf_dir):
     return adapters.read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("session_id")).agg(ids.alias("i")).select("session_id", text.listed(F.col("i"), 8).alias("ids"))
 
 
-@register("short_numbers", "SELECT o_orderkey, CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) WHEN n < 10000 THEN CASE WHEN r % 10 = 0 THEN CAST(r // 10 AS VARCHAR) ELSE r // 10 || '.' || r % 10 END || 'k' WHEN n < 1000000 THEN (n + 500) // 1000 || 'k' ELSE '' END AS label FROM (SELECT *, (n + 50) // 100 AS r FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) % CASE WHEN o_orderkey % 2 = 0 THEN 12000 ELSE 1000000 END AS n FROM orders))")
+@register("short_numbers", "SELECT o_orderkey, CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) WHEN n < 10000 THEN " + PLACE + " || 'k' WHEN n < 1000000 THEN (n + 500) // 1000 || 'k' ELSE '' END AS label FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey * 50 % 12000 ELSE CAST(floor(o_totalprice) AS BIGINT) % 1000000 END AS n FROM orders)")
 def short_numbers(spark, sf_dir):
-    n = F.floor("o_totalprice").cast("long") % F.when(F.col("o_orderkey") % 2 == 0, 12000).otherwise(1000000)
+    n = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") * 50 % 12000).otherwise(F.floor("o_totalprice").cast("long") % 1000000)
     return adapters.read(spark, sf_dir, "orders").select("o_orderkey", tokens.short_number(n).alias("label"))
 
 
@@ -446,3 +446,31 @@ def compressed_blocks(spark, sf_dir):
     made, _, _ = transaction.compress(asked, rows, calls, named, old)
     total = lambda c, f: F.aggregate(c, F.lit(0.0), lambda t, x: t + x[f]).cast("long")
     return made.select("session_id", "range_id", "block_id", "lo", "hi", "start_ts", "end_ts", "start_source_key", "anchor_source_key", "summary", F.size("covered_source_keys").alias("n_rows"), F.size("activity_log").alias("n_log"), F.size("covered_tool_ids").alias("n_tools"), total("file_reads", "count").alias("reads"), F.size("commands").alias("n_commands"), total("file_writes", "edit_count").alias("edits"))
+
+
+@register("planning_hints", _with(M, "t AS (SELECT session_id, CASE WHEN count(*) >= 3 THEN list(ts ORDER BY ordinal DESC)[3] ELSE min(ts) END AS tail_start FROM m WHERE role IN ('user', 'assistant') GROUP BY 1)",
+  "p AS (SELECT t.session_id, list('m' || lpad(CAST(ordinal AS VARCHAR), 4, '0') ORDER BY ordinal) AS ids FROM t JOIN m ON m.session_id = t.session_id AND m.role = 'user' AND m.ts >= t.tail_start GROUP BY 1)",
+  f"k AS (SELECT m.session_id, ordinal, CASE WHEN role = 'system' OR ts >= tail_start THEN 'F' WHEN role = 'user' THEN 'R' ELSE 'T' END AS kind, {EST.format('content')} AS tokens FROM m JOIN t ON t.session_id = m.session_id)",
+  "i AS (SELECT *, sum(CASE WHEN kind = 'F' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ordinal) AS isle FROM k)", "h AS (SELECT *, min(CASE WHEN kind = 'R' THEN ordinal END) OVER (PARTITION BY session_id, isle) AS lo, max(CASE WHEN kind = 'R' THEN ordinal END) OVER (PARTITION BY session_id, isle) AS hi FROM i WHERE kind <> 'F')",
+  "g AS (SELECT session_id, lo, hi, CAST(sum(tokens) AS BIGINT) AS tokens FROM h WHERE ordinal BETWEEN lo AND hi GROUP BY session_id, isle, lo, hi)",
+  "r AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY session_id) AS BIGINT) AS total, count(*) OVER (PARTITION BY session_id) AS n, row_number() OVER (PARTITION BY session_id ORDER BY tokens DESC, lo) AS rank FROM g)",
+  "x AS (SELECT session_id, 'Stale and compressible now (~' || any_value(total) || ' tokens total across ' || any_value(n) || CASE WHEN any_value(n) = 1 THEN ' stretch' ELSE ' stretches' END || CASE WHEN any_value(n) > 1 THEN '; showing top 1 by size' ELSE '' END || '):' || chr(10) || string_agg('- m' || lpad(CAST(lo AS VARCHAR), 4, '0') || CASE WHEN lo = hi THEN '' ELSE '..m' || lpad(CAST(hi AS VARCHAR), 4, '0') END || ' (~' || tokens || ' tokens)', chr(10) ORDER BY rank) AS text FROM r WHERE rank <= 1 GROUP BY 1)")
+  + "SELECT t.session_id, concat_ws(chr(10), CASE WHEN ids IS NOT NULL THEN 'Protected hot tail starts at ' || ids[1] || '.' END, CASE WHEN ids IS NOT NULL THEN 'Do not use these as endId right now: messages ' || array_to_string(ids, ', ') || CASE WHEN t.session_id % 2 = 0 THEN '; blocks b2, b3' ELSE '' END || '.' WHEN t.session_id % 2 = 0 THEN 'Do not use these as endId right now: blocks b2, b3.' END, x.text) AS text FROM t LEFT JOIN p ON p.session_id = t.session_id LEFT JOIN x ON x.session_id = t.session_id")
+def planning_hints(spark, sf_dir):
+    """Users' rows have references; the last three turns are protected; in every second session two blocks end late."""
+    rows = adapters.messages(spark, sf_dir)
+    tails = transcript.tail_start(rows.where(F.col("role").isin(*transcript.TURN_ROLES)), 3)
+    named = rows.where("role = 'user'").select("session_id", "ordinal", "ts", refs.format_ref(F.col("ordinal")).alias("ref"))
+    old = tails.where("session_id % 2 = 0").select("session_id", F.explode(F.array(*map(F.lit, (3, 2, 1, 4)))).alias("block_id"), F.lit(1e9).alias("end_ts")).withColumns({"active": F.col("block_id") != 1, "end_ts": F.when(F.col("block_id") == 4, float("inf")).otherwise(F.col("end_ts"))})
+    kind = F.when((F.col("role") == "system") | (F.col("ts") >= F.col("tail_start")), "F").when(F.col("role") == "user", "R").otherwise("T")
+    stretches = rows.join(tails, "session_id").select("session_id", "ordinal", kind.alias("kind"), tokens.estimate(F.col("content")).alias("tokens"), refs.format_ref(F.col("ordinal")).alias("ref"))
+    return hints.rendered(hints.protected(tails, named, old), coverage.candidate_ranges(stretches, 1), protected_ids=True)
+
+
+@register("nudge_texts", "WITH n AS (SELECT event_id, event_id % 100 / 100.0 AS percent, event_id % 7 AS turn, event_id % 5 - 1 AS last_nudge, event_id % 3 - 1 AS last_compress FROM events), k AS (SELECT *, percent < 0.75 OR turn <= last_compress OR (last_nudge >= 0 AND turn - last_nudge < 2) AS quiet FROM n) SELECT event_id, CASE WHEN NOT quiet THEN 'emitted' WHEN percent < 0.75 THEN 'below_min_threshold' WHEN turn <= last_compress OR last_compress >= last_nudge THEN 'same_turn_or_post_compress_debounce' ELSE 'turn_debounce' END AS reason, CASE WHEN quiet THEN NULL WHEN percent > 0.9 THEN 80 WHEN event_id % 20 >= 15 THEN 60 ELSE 40 END AS priority, CASE WHEN NOT quiet THEN substr(CASE WHEN percent > 0.9 THEN 'Compress now: over DCP cleanup target (120k-9.9k tokens). Compress every' WHEN event_id % 20 >= 15 THEN 'DCP checkpoint (120k-9.9k tokens). After a long tool run, compress every' ELSE 'DCP checkpoint (120k-9.9k tokens). Compress every eligible stretch below — not' END, 1, 60) END AS head FROM k")
+def nudge_texts(spark, sf_dir):
+    k = F.col("event_id")
+    config = DEFAULTS["compress"] | {"minContextTokens": 120_000, "maxContextTokens": 9_950}
+    percent, turn, last_nudge, last_compress, none = k % 100 / 100.0, k % 7, k % 5 - 1, k % 3 - 1, F.lit(None).cast("double")
+    kind = nudge.nudge_type(percent, none, turn, last_nudge, last_compress, k % 20, config)
+    return adapters.read(spark, sf_dir, "events").select("event_id", nudge.nudge_reason(kind, percent, none, turn, last_nudge, last_compress, config).alias("reason"), nudge.priority(kind).alias("priority"), F.substring(nudge.header(kind, percent, none, config), 1, 60).alias("head"))
