@@ -37,6 +37,63 @@ def test_tool_calls_and_results(spark):
     assert early[4].content == "first\n<dcp-id>m0004</dcp-id>" and early[6].parts[0].text == "failed"
 
 
+def test_switches_of_the_configuration(spark):
+    """Strategies can be switched off, tools spared, and blocks found by keys and put at anchors."""
+    from threadloom.config import DEFAULTS, merged
+
+    rows = [("user", "go", None, None, None)] + [r for k in range(6) for r in (("assistant", None, None, None, call(f"c{k}")), ("toolResult", f"out {k}", f"c{k}", k == 0, None))] + [("user", f"turn {k}", None, None, None) for k in range(4)]
+    df = spark.createDataFrame([(1, k, r, c, t, e, p) for k, (r, c, t, e, p) in enumerate(rows)], ROWS)
+    none = spark.createDataFrame([], BLOCKS)
+    tools = spark.createDataFrame([(1, f"c{k}", "bash" if k == 0 else "read", '{"p": %d}' % (k % 2 if k else 9), k) for k in range(6)], "session_id int, tool_call_id string, tool_name string, arguments string, turn_index int")
+
+    def gone(**strategies):
+        out = context_pass(df, none, tools, config=merged(DEFAULTS, {"strategies": strategies}))
+        return {r.tool_call_id for r in out.collect() if r.tool_call_id and "removed" in r.content}
+
+    assert gone() == {"c0", "c1", "c2", "c3"}
+    assert gone(deduplication={"enabled": False}) == {"c0"} and gone(purgeErrors={"enabled": False}) == {"c1", "c2", "c3"}
+    assert gone(deduplication={"protectedTools": ["read"]}) == {"c0"} and gone(purgeErrors={"protectedTools": ["bash"]}) == {"c1", "c2", "c3"}
+    assert gone(purgeErrors={"turns": 99}) == {"c1", "c2", "c3"} and gone(pruneCadenceTurns=20) == set()
+    # a block from a result on takes in its call; its anchor is a later row
+    made = spark.createDataFrame([(1, 1, "s2", "s4", "s13", "topic", "summary", True, None)], "session_id int, block_id int, start_key string, end_key string, anchor_key string, topic string, summary string, active boolean, created_at double")
+    shown = context_pass(df, made, tools, config=DEFAULTS).orderBy("ordinal").collect()
+    assert [r.tool_call_id for r in shown if r.tool_call_id] == ["c2", "c3", "c4", "c5"]
+    assert [r.block_id for r in shown].index(1) == 9 and shown[10].content.startswith("turn 0")
+
+
+def test_layers_of_configuration(tmp_path):
+    from threadloom.config import config_paths, load_config
+
+    home, env, project = tmp_path / "home", tmp_path / "env", tmp_path / "a" / "b" / "c"
+    for folder in (home / "new", home / "old", env, project, tmp_path / "a" / ".x"):
+        folder.mkdir(parents=True)
+    (home / "old" / "f.jsonc").write_text('{"debug": true, /* both */ "compress": {"protectedTools": ["edit", "mine"], "protectRecentTurns": 9,},}')
+    (env / "f.jsonc").write_text('{"compress": {"protectRecentTurns": 2}} // the environment\n')
+    (tmp_path / "a" / ".x" / "f.jsonc").write_text('{"protectedFilePatterns": ["*.md"]}')
+    paths = lambda: config_paths(project, "f.jsonc", preferred="new", legacy="old", local=".x", home=str(home), env_dir=str(env))
+    got = load_config(paths())
+    assert got["debug"] and got["compress"]["protectRecentTurns"] == 2 and got["compress"]["protectedTools"] == ["compress", "write", "edit", "mine"] and got["protectedFilePatterns"] == ["*.md"]
+    (home / "new" / "f.jsonc").write_text("[1]")
+    assert [p.split("/")[-2] for p in paths()] == ["new", "env", ".x"] and not load_config(paths())["debug"]
+    (tmp_path / "a" / ".x" / "f.jsonc").unlink()
+    assert len(paths()) == 2 and load_config([*paths(), str(tmp_path / "none")])["compress"]["protectRecentTurns"] == 2
+
+
+def test_reminders_of_a_stream(spark, tmp_path):
+    from threadloom.operators import nudge
+    from threadloom.streaming import sessions
+
+    turns = {"a": [1, 2, 3, 6, 7, 12], "b": [5], "c": [0, 3, 4]}
+    df = spark.createDataFrame([(s, t) for s, own in turns.items() for t in own], "session_id string, turn long")
+    got = []
+    for cut in ("turn < 3", "turn between 3 and 6", "turn > 6"):
+        df.where(cut).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        sessions.debounce_stream(stream, 3).writeStream.outputMode("append").foreachBatch(lambda b, _: got.extend(map(tuple, b.collect()))).option("checkpointLocation", str(tmp_path / "s")).trigger(availableNow=True).start().awaitTermination()
+    want = nudge.debounced(df.selectExpr("*", "true AS wanted"), 3).selectExpr("session_id", "explode(turns)").collect()
+    assert sorted(got) == sorted(map(tuple, want)) == [("a", 1), ("a", 6), ("a", 12), ("b", 5), ("c", 0), ("c", 3)]
+
+
 def test_ranges_meet_as_in_a_plain_loop(spark):
     import random
 

@@ -346,7 +346,7 @@ def compress_receipts(spark, sf_dir):
     k = F.col("o_orderkey")
     made = adapters.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session_id"), k.alias("block_id"), F.lit(True).alias("active"), F.when(k % 2 == 0, "t").otherwise(" ").alias("topic"), F.concat(F.lit("k"), (k % 4).cast("string"), F.lit("|z")).alias("compress_call_id"))
     live = made.where("block_id % 3 <> 0").select("session_id", F.concat(F.lit("block:b"), F.col("block_id").cast("string")).alias("owner"))
-    return payload.receipts(made, live)
+    return payload.receipts(made, live).select("session_id", "call_id", "is_newest", "created")
 
 
 @register("edit_line_stats", _with(E) + f"SELECT session_id, i, 1 AS edit_count, greatest({DELTA}, 0) AS added_lines, greatest(-{DELTA}, 0) AS removed_lines FROM e")
@@ -474,3 +474,41 @@ def nudge_texts(spark, sf_dir):
     percent, turn, last_nudge, last_compress, none = k % 100 / 100.0, k % 7, k % 5 - 1, k % 3 - 1, F.lit(None).cast("double")
     kind = nudge.nudge_type(percent, none, turn, last_nudge, last_compress, k % 20, config)
     return adapters.read(spark, sf_dir, "events").select("event_id", nudge.nudge_reason(kind, percent, none, turn, last_nudge, last_compress, config).alias("reason"), nudge.priority(kind).alias("priority"), F.substring(nudge.header(kind, percent, none, config), 1, 60).alias("head"))
+
+
+CALLS = "b AS (SELECT o_custkey AS session_id, o_orderkey AS id, o_orderkey % 4 AS c, CASE WHEN o_orderkey % 2 = 0 THEN 't' ELSE 'untitled' END AS topic FROM orders), c AS (SELECT session_id, c, max(id) AS newest, string_agg('b' || id || ': ' || topic, ', ' ORDER BY id) AS created, string_agg('{\"id\":\"b' || id || '\",\"topic\":\"' || topic || '\"}', ',' ORDER BY id) AS listed FROM b WHERE id % 3 <> 0 GROUP BY 1, 2), n AS (SELECT *, newest = max(newest) OVER (PARTITION BY session_id) AS is_newest FROM c)"
+_BEFORE, _AFTER = payload.RECEIPT_TEXT.split("{0}")
+
+
+@register("compress_payloads", _with(CALLS) + f"""SELECT s.session_id, s.c * 2 + k AS idx, CASE WHEN is_newest AND k = 0 THEN '{{"receiptOnly":true,"status":"succeeded","createdBlocks":[' || listed || '],"note":"{payload.RECEIPT_NOTE}"}}' WHEN is_newest THEN '{_BEFORE}' || created || '{_AFTER}' END AS receipt
+  FROM (SELECT DISTINCT session_id, c FROM b) s, (VALUES (0), (1)) t(k) LEFT JOIN n ON n.session_id = s.session_id AND n.c = s.c WHERE coalesce(is_newest, true)""")
+def compress_payloads(spark, sf_dir):
+    """Each customer's compress calls and their outputs as a payload: of those whose blocks are live the newest stays, as receipts."""
+    k = F.col("o_orderkey")
+    made = adapters.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session_id"), k.alias("block_id"), F.lit(True).alias("active"), F.when(k % 2 == 0, "t").otherwise(" ").alias("topic"), F.concat(F.lit("k"), (k % 4).cast("string"), F.lit("|z")).alias("compress_call_id"))
+    live = made.where("block_id % 3 <> 0").select("session_id", F.concat(F.lit("block:b"), F.col("block_id").cast("string")).alias("owner"))
+    none = F.lit(None).cast("string")
+    call = F.struct((F.col("c") * 2).alias("idx"), F.lit("function_call").alias("type"), F.lit("compress").alias("name"))
+    out = F.struct((F.col("c") * 2 + 1).alias("idx"), F.lit("function_call_output").alias("type"), none.alias("name"))
+    asked = made.select("session_id", (F.col("block_id") % 4).alias("c")).distinct().select("session_id", F.concat(F.lit("k"), F.col("c").cast("string")).alias("call_id"), F.explode(F.array(call, out)).alias("i"))
+    items = asked.select("session_id", "i.*", "call_id", none.alias("role"), none.alias("text"), none.alias("internal_owner"))
+    names = made.select("session_id", F.lit("m0000").alias("ref"), none.alias("owner")).distinct()
+    return payload.filtered(items, live, names, made).select("session_id", "idx", "receipt")
+
+
+@register("event_streams", "SELECT event_id AS capture_id, CAST(s AS INT) AS seq, CASE s WHEN 0 THEN event_id ELSE user_id END AS n FROM events, (VALUES (0), (4)) t(s) WHERE s = 0 OR event_id % 3 <> 0")
+def event_streams(spark, sf_dir):
+    """Bodies of two data lines with others between them; every third ends before the second."""
+    body = F.concat(F.lit('data: {"n": '), F.col("event_id"), F.lit("}\r\n\r\nevent: x\ndata:  [DONE] \n"), F.when(F.col("event_id") % 3 == 0, F.lit('data: {"n": ')).otherwise(F.concat(F.lit('data:{"n":'), F.col("user_id"), F.lit("}\n: note"))))
+    found = jsonl.sse_payloads(adapters.read(spark, sf_dir, "events").select(F.col("event_id").alias("capture_id"), body.alias("body")))
+    return found.select("capture_id", "seq", F.try_variant_get("v", "$.n", "long").alias("n"))
+
+
+@register("effective_contexts", "SELECT event_id, greatest(CASE WHEN event_id % 3 = 0 OR event_id % 10 = 7 THEN 0 ELSE event_id % 900 END, user_id)::DOUBLE AS tokens, CASE WHEN event_id % 4 > 0 THEN greatest(CASE WHEN event_id % 3 = 0 OR event_id % 10 = 7 THEN 0 ELSE event_id % 900 END, user_id) / (event_id % 4 * 100.0) END AS percent, least(greatest(event_id % 7 - 2, 0), 1)::DOUBLE AS ratio, CASE WHEN greatest(event_id % 9, event_id % 5 + 1) < 7 THEN greatest(event_id % 9, event_id % 5 + 1) ELSE event_id % 9 END AS kept_from, 'x y' AS spoken FROM events")
+def effective_contexts(spark, sf_dir):
+    k = F.col("event_id")
+    host = F.when(k % 3 == 0, F.lit(None)).when(k % 10 == 7, float("nan")).otherwise((k % 900).cast("double"))
+    size, percent = tokens.effective_context(host, F.col("user_id"), k % 4 * 100)
+    part = lambda own, given: F.struct(own.cast("string").alias("text"), given.cast("string").alias("input"))
+    parts = F.array(part(F.lit("x"), F.lit("not this")), part(F.lit(None), F.lit("y")), part(F.lit(""), F.lit(None)))
+    return adapters.read(spark, sf_dir, "events").select("event_id", size.alias("tokens"), percent.alias("percent"), tokens.clamp_ratio((k % 7 - 2).cast("double")).alias("ratio"), compaction.first_kept(k % 9, k % 5, F.lit(7)).alias("kept_from"), text.spoken_text(parts).alias("spoken"))
