@@ -278,11 +278,17 @@ def excerpt_normalized(spark, sf_dir):
     return adapters.read(spark, sf_dir, "documents").select("doc_id", text.excerpt(F.col("text"), 80).alias("excerpt"))
 
 
-@register("text_stripped", "SELECT doc_id, text || '  ' || 'x  ' AS stripped, text || '' AS cleaned FROM documents")
+@register("text_stripped", "SELECT doc_id, CASE k WHEN 0 THEN ' ' WHEN 1 THEN '<dcp-id>a<b</dcp-id>' WHEN 2 THEN '  ' WHEN 3 THEN 'x ' WHEN 4 THEN '<DCP-ID>m1</DCP-ID>' ELSE '<dcp-owner></dcp-id>' END || substr(text, 1, n) || CASE WHEN k % 2 = 0 THEN ' ' ELSE '</dcp-lo>' END || substr(text, n + 1) AS stripped, CASE k WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN '' WHEN 3 THEN 'x' WHEN 4 THEN '' ELSE '' END || substr(text, 1, n) || substr(text, n + 1) AS cleaned FROM (SELECT doc_id, text, doc_id % 6 AS k, doc_id % 97 AS n FROM documents WHERE doc_id % 6 <> 3 OR doc_id % 2 = 1)")
 def text_stripped(spark, sf_dir):
-    tagged = F.concat("text", F.lit(" <dcp-id>m0001</dcp-id>x<agent-summary> "))
-    made_up = F.concat("text", F.lit("<dcp-x>secret</dcp-x></dcp-y>"))
-    return adapters.read(spark, sf_dir, "documents").select("doc_id", text.strip_metadata(tagged).alias("stripped"), text.strip_hallucinated(made_up).alias("cleaned"))
+    """Documents with tags of many sorts before and inside them: shown ones become blanks, whatever looks like a tag is made up."""
+    docs = adapters.read(spark, sf_dir, "documents")
+    k, n = F.col("doc_id") % 6, (F.col("doc_id") % 97).cast("int")
+    before = F.element_at(F.array(*map(F.lit, ("<dcp-id>m1</dcp-id>", "<dcp-id>a<b</dcp-id>", "<dcp-owner>s1</dcp-owner><dcp-block-id></dcp-block-id>", "x<agent-summary>", "<DCP-ID>m1</DCP-ID>", "<dcp-owner></dcp-id>"))), (k + 1).cast("int"))
+    inside = F.when(k % 2 == 0, "<dcp-log a>").otherwise("</dcp-lo>")
+    shown = F.concat(before, F.col("text").substr(F.lit(1), n), inside, F.col("text").substr(n + 1, F.length("text")))
+    # made-up tags hold no document text: pairs are closed before it begins
+    made_up = F.concat(F.regexp_replace(before, "<agent-summary>", ""), F.col("text").substr(F.lit(1), n), F.lit("</dcp-x>"), F.col("text").substr(n + 1, F.length("text")))
+    return docs.where("doc_id % 6 <> 3 or doc_id % 2 = 1").select("doc_id", text.strip_metadata(shown).alias("stripped"), text.strip_hallucinated(made_up).alias("cleaned"))
 
 
 @register("line_counts", "SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split_regex(text, '\\r?\\n')) END AS lines FROM documents")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from threadloom import sql
 from threadloom.config import DEFAULTS
 from threadloom.functions import refs, text, tokens, tools
-from threadloom.operators import artifacts, branches, compaction, coverage, hints, nudge, payload, persistence, pruning, splicing, status, transaction, transcript
+from threadloom.operators import artifacts, branches, compaction, coverage, hints, nudge, payload, persistence, pruning, replay, splicing, status, transaction, transcript
 from threadloom.queries import EST, INLINE, M, PLACE, QUERIES, SQL, _with, register
 from threadloom.sources import adapters, jsonl
 
@@ -281,9 +281,10 @@ def summary_sections(spark, sf_dir):
     return compaction.summary_text(compaction.demoted(compaction.sized(made.withColumn("body", F.col("summary"))), 0))
 
 
-@register("compaction_instructions", "SELECT o_custkey AS session_id, '" + compaction.INSTRUCTIONS + "' || chr(10) || chr(10) || string_agg('<block id=\"b' || o_orderkey || '\" topic=\"t\">' || chr(10) || 'x' || chr(10) || '</block>', chr(10) || chr(10) ORDER BY o_orderkey) AS text FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1")
+@register("compaction_instructions", "SELECT o_custkey AS session_id, '" + compaction.INSTRUCTIONS + "' || chr(10) || chr(10) || string_agg('<block id=\"b' || o_orderkey || '\" topic=\"' || replace(o_orderpriority || CASE WHEN o_orderkey % 3 = 0 THEN ' \"q\"' ELSE '' END, '\"', '&quot;') || '\">' || chr(10) || o_orderstatus || chr(10) || '</block>', chr(10) || chr(10) ORDER BY o_orderkey) AS text FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1")
 def compaction_instructions(spark, sf_dir):
-    return compaction.instructions(adapters.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("block_id"), (F.col("o_orderkey") % 2 == 0).alias("active"), F.lit("t").alias("topic"), F.lit("x").alias("body")))
+    topic = F.concat("o_orderpriority", F.when(F.col("o_orderkey") % 3 == 0, ' "q"').otherwise(""))
+    return compaction.instructions(adapters.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("block_id"), (F.col("o_orderkey") % 2 == 0).alias("active"), topic.alias("topic"), F.col("o_orderstatus").alias("body")))
 
 
 @register("status_lines", "SELECT o_orderkey, 'DCP' || CASE WHEN n % 4 > 0 THEN ' ' || n % 4 * 100 || ' saved' ELSE '' END || CASE WHEN n % 3 > 0 THEN ' ' || n % 3 || ' prunes' ELSE '' END || CASE WHEN n % 5 > 0 THEN ' b' || n % 5 ELSE '' END AS line FROM (SELECT o_orderkey, o_orderkey AS n FROM orders)")
@@ -309,10 +310,13 @@ def part_texts(spark, sf_dir):
     return docs.select("doc_id", text.plain_text(parts).alias("plain"), text.labelled_text(parts).alias("labelled"), tokens.message_estimate(F.lit(None).cast("string"), parts).alias("tokens"))
 
 
-@register("log_lines", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'u: ' WHEN 1 THEN 'a: ' WHEN 2 THEN 'cmd: ' ELSE 'read: ' END || 'a b ' || event_type || ' ' || repeat('x', 794 - length(event_type)) || '…' AS line FROM events")
+@register("log_lines", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'u: ' WHEN 1 THEN 'a: ' WHEN 2 THEN 'cmd: ' ELSE 'read: ' END || CASE WHEN length(t) > 800 THEN rtrim(substr(t, 1, 799)) || '…' ELSE t END AS line FROM (SELECT event_id, trim(event_type || CASE event_id % 5 WHEN 0 THEN '  ' WHEN 1 THEN ' ' WHEN 2 THEN ' <dcp-note> ' ELSE ' x' END || props || repeat(' y', CAST(event_id % 450 AS INT))) AS t0, regexp_replace(t0, ' +', ' ', 'g') AS t FROM events)")
 def log_lines(spark, sf_dir):
-    kind = F.element_at(F.array(*map(F.lit, ("user_excerpt", "assistant_excerpt", "command", "read"))), (F.col("event_id") % 4 + 1).cast("int"))
-    entry = F.struct(kind.alias("kind"), F.concat(F.lit(" a <dcp-id>m0001</dcp-id>\n b  "), "event_type", F.lit(" "), F.repeat(F.lit("x"), F.lit(900))).alias("text"))
+    """Rows of all kinds, short and long, with shown tags that go and others that stay."""
+    k = F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, ("user_excerpt", "assistant_excerpt", "command", "read"))), (k % 4 + 1).cast("int"))
+    tag = F.when(k % 5 == 0, F.concat(F.lit(" <dcp-id>m"), k.cast("string"), F.lit("</dcp-id>\n"))).when(k % 5 == 1, "<dcp-log a='b'>\t</dcp-log>").when(k % 5 == 2, " <dcp-note> ").otherwise("\r\n x")
+    entry = F.struct(kind.alias("kind"), F.concat(F.lit(" "), "event_type", tag, "props", F.repeat(F.lit("\ny"), (k % 450).cast("int"))).alias("text"))
     return adapters.read(spark, sf_dir, "events").select("event_id", coverage.log_line(entry).alias("line"))
 
 
@@ -328,10 +332,13 @@ def short_numbers(spark, sf_dir):
     return adapters.read(spark, sf_dir, "orders").select("o_orderkey", tokens.short_number(n).alias("label"))
 
 
-@register("placeholders", "SELECT event_id, 'a [Previously compressed: t]' || chr(10) || 's1 (b3) x' || event_id AS text FROM events")
+@register("placeholders", "SELECT event_id, event_type || ' ' || CASE WHEN event_id % 5 < 3 THEN '[Previously compressed: t' || event_id % 5 || ']' || chr(10) || props ELSE '(b' || event_id % 5 || ')' END || CASE WHEN event_id % 3 = 0 THEN '(b)' ELSE ' (b9' END || CASE WHEN event_id % 2 = 0 THEN '[Previously compressed: t' || event_id % 3 || ']' || chr(10) || CASE event_id % 3 WHEN event_id % 5 THEN props ELSE 's(b1)' END ELSE '(B1)' END AS text FROM events")
 def placeholders(spark, sf_dir):
-    summaries = F.array(F.struct(F.lit(1).alias("id"), F.lit("t").alias("topic"), F.lit("s1").alias("summary")), F.struct(F.lit(2).alias("id"), F.lit("u").alias("topic"), F.lit("s2").alias("summary")))
-    return adapters.read(spark, sf_dir, "events").select("event_id", refs.expand_placeholders(F.concat(F.lit("a (b1) (b3) x"), F.col("event_id").cast("string")), summaries).alias("text"))
+    """Blocks 0 to 2 are known; what a summary itself says stays as it is."""
+    k = F.col("event_id")
+    one = lambda i: F.struct(F.lit(i).alias("id"), F.lit(f"t{i}").alias("topic"), F.when(k % 5 == i, F.col("props")).otherwise("s(b1)").alias("summary"))
+    text_ = F.concat("event_type", F.lit(" (b"), (k % 5).cast("string"), F.lit(")"), F.when(k % 3 == 0, "(b)").otherwise(" (b9"), F.when(k % 2 == 0, F.concat(F.lit("(b"), (k % 3).cast("string"), F.lit(")"))).otherwise("(B1)"))
+    return adapters.read(spark, sf_dir, "events").select("event_id", refs.expand_placeholders(text_, F.array(*map(one, range(3)))).alias("text"))
 
 
 @register("parsed_refs", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id + 100 END AS message, CASE WHEN event_id % 3 = 1 THEN event_id END AS block FROM events")
@@ -512,3 +519,27 @@ def effective_contexts(spark, sf_dir):
     part = lambda own, given: F.struct(own.cast("string").alias("text"), given.cast("string").alias("input"))
     parts = F.array(part(F.lit("x"), F.lit("not this")), part(F.lit(None), F.lit("y")), part(F.lit(""), F.lit(None)))
     return adapters.read(spark, sf_dir, "events").select("event_id", size.alias("tokens"), percent.alias("percent"), tokens.clamp_ratio((k % 7 - 2).cast("double")).alias("ratio"), compaction.first_kept(k % 9, k % 5, F.lit(7)).alias("kept_from"), text.spoken_text(parts).alias("spoken"))
+
+
+def _entries(spark, sf_dir):
+    """The agent's transcript as lines of a session log."""
+    rows, calls = adapters.agent_rows(spark, sf_dir)
+    named = rows.join(calls.select("session_id", "ordinal", F.struct(F.lit("toolCall").alias("type"), F.col("tool_call_id").alias("id"), F.col("tool_name").alias("name"), F.parse_json("arguments").alias("arguments")).alias("_call")), ["session_id", "ordinal"], "left")
+    said = F.struct("role", F.col("content"), F.col("tool_call_id").alias("toolCallId"), F.col("is_error").alias("isError"), F.col("ts").alias("timestamp"))
+    asked = F.struct("role", F.array("_call").alias("content"), F.col("ts").alias("timestamp"))
+    own = F.when(F.col("role") == "custom_message", F.to_json(F.struct(F.lit("custom_message").alias("type"), "content"))).when(F.col("_call").isNotNull(), F.to_json(F.struct(F.lit("message").alias("type"), asked.alias("message")))).otherwise(F.to_json(F.struct(F.lit("message").alias("type"), said.alias("message"))))
+    return jsonl.entries(named.select("session_id", F.col("ordinal").alias("pos"), own.alias("raw")))
+
+
+#: Calls alike in name and arguments; without arguments those that have lost their call.
+PRINT = "CASE WHEN lost THEN 'lost' WHEN tool = 'read' AND k % 3 <> 0 THEN 'r' || k WHEN tool = 'read' THEN 'r' || k % 7 || '-' || k % 4 WHEN tool = 'bash' THEN 'b' || k % 6 WHEN tool = 'edit' THEN 'e' || event_id ELSE 'g' || k END"
+
+
+@register("replayed_states", _with(E, f"p AS (SELECT *, {PRINT} AS print, event_type = 'error' AS failed, count(*) OVER (PARTITION BY session_id) + count(*) FILTER (WHERE lost) OVER (PARTITION BY session_id) AS turns FROM e)",
+  "d AS (SELECT *, row_number() OVER (PARTITION BY session_id, print ORDER BY i DESC) > 1 AS old FROM p WHERE NOT u)",
+  "g AS (SELECT session_id, list(CASE WHEN lost THEN 'x' || call ELSE call END ORDER BY CASE WHEN lost THEN 'x' || call ELSE call END) AS ids FROM d WHERE (old AND tool <> 'edit') OR (failed AND turns >= 4) GROUP BY 1)")
+  + "SELECT CAST(p.session_id AS VARCHAR) AS session_id, any_value(turns) AS turns, 2 * count(*) AS n_messages, count(*) FILTER (WHERE NOT u) AS n_tool_calls, coalesce(any_value(ids), []) AS pruned_tool_ids FROM p LEFT JOIN g ON g.session_id = p.session_id GROUP BY p.session_id")
+def replayed_states(spark, sf_dir):
+    """Users' transcripts as session logs, replayed: without a compress call all calls are dated 0, so the last pass prunes
+    every repeated result but the last and, after four turns, all failed ones."""
+    return replay.replay(replay.entry_events(_entries(spark, sf_dir))).select("session_id", "turns", "n_messages", "n_tool_calls", "pruned_tool_ids")
