@@ -315,6 +315,7 @@ def test_pipeline_run(spark, tables, monkeypatch):
 def test_pipeline_of_nothing(spark, tables, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{tables[0]}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     for name, query in queries.QUERIES.items():
         assert query(spark, str(tmp_path)).count() == 0, name
