@@ -8,7 +8,6 @@ import sys
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 from threadloom import queries_agent as core
 

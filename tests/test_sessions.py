@@ -62,7 +62,10 @@ def test_reading(spark, folder):
     one = jsonl.as_messages(rows.where("session_id like '%one.jsonl'")).orderBy("pos").collect()
     assert [r.role for r in one][:4] == ["user", "assistant", "toolResult", "user"] and [r.role for r in one].count("compaction") == 1
     assert [r.pos for r in one] == [i + 2 * (i >= 3) for i, e in enumerate(ENTRIES) if e["type"] != "custom"]  # places count the lines left out
-    assert one[0].content == TEXT and one[2].tool_call_id == "a"
+    assert one[0].content == TEXT and one[0].parts == [] and one[2].tool_call_id == "a"
+    assert one[2].content is None and [(p.type, p.text) for p in one[2].parts] == [("text", TEXT)]
+    assert [(p.type, p.id, p.name) for p in one[1].parts] == [("toolCall", "a", "read")] and json.loads(one[1].parts[0].arguments) == {}
+    assert [[(p.type, p.text) for p in r.parts] for r in one if r.role == "compaction"] == [[("text", "all")]]
 
 
 def states(df):

@@ -30,7 +30,6 @@ STATE = (
     "session_id string, turns long, n_messages long, active_blocks array<long>, next_block_id long, tokens_saved double, lifetime_saved double, n_tool_calls long, "
     "last_compress_turn long, last_nudge_turn long, pruned_tool_ids array<string>, blocks array<struct<block_id:long,topic:string,summary:string,active:boolean,start_ts:double,end_ts:double,anchor_ts:double,summary_tokens:double,saved_tokens:double,created_at:double,compress_call_id:string,superseded_block_ids:array<long>>>"
 )
-PART = "struct<type:string,text:string,thinking:string,input:string,id:string,name:string,arguments:string>"
 #: Fixed value: the tool whose successful results make blocks.
 COMPRESS = "compress"
 
@@ -280,10 +279,7 @@ def entry_events(rows: DataFrame) -> DataFrame:
     """(session_id, pos, event JSON) for ``replay`` from the entries of one branch a session
     (``sources.jsonl.entries``), row by row, so from a stream of them, too. Entries that are no messages make
     none."""
-    own = F.try_variant_get("v", "$.message.content", "variant")
-    listed = F.coalesce(F.schema_of_variant(own).startswith("ARRAY"), F.lit(False))
-    parts = F.when(listed, F.from_json(F.to_json(own), f"array<{PART}>"))
-    m = as_messages(rows).withColumns({"content": F.when(~listed, F.col("content")), "parts": F.coalesce(parts, F.array().cast(f"array<{PART}>"))})
+    m = as_messages(rows)
     native = (F.col("type") == "compaction") & (F.try_variant_get("v", "$.details.source", "string") == NATIVE_SOURCE)
     calls = F.transform(F.filter("parts", lambda p: p["type"] == "toolCall"), lambda p: F.struct(p["id"].alias("id"), p["name"].alias("name"), fingerprint(F.coalesce(p["name"], F.lit("")), p["arguments"]).alias("print"), F.when(p["name"] == COMPRESS, p["arguments"]).alias("arguments")))
     event = F.struct(

@@ -10,9 +10,9 @@ from threadloom.functions.text import strip_hallucinated
 from threadloom.functions.tokens import estimate, message_estimate
 from threadloom.functions.tools import fingerprint
 from threadloom.operators import coverage, pruning, splicing, transcript
+from threadloom.sources.jsonl import PART
 
 STRIPPED_ROLES = ("assistant", "toolResult", "bashExecution")
-PART = "struct<type:string,text:string,thinking:string,input:string,id:string,name:string,arguments:string>"
 
 
 def source_turns(rows: DataFrame) -> DataFrame:

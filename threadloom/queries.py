@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.config import DEFAULTS
-from threadloom.functions import refs, text, tokens, tools
+from threadloom.functions import refs, text, tokens
 from threadloom.operators import branches, compaction, coverage, nudge, payload, persistence, pruning, transcript, usage
 from threadloom.plans.context import context_pass
 from threadloom.sources import adapters

@@ -47,14 +47,30 @@ def write_sessions(rows: DataFrame, path: str) -> None:
     ordered.select(F.regexp_replace("session_id", r"[^A-Za-z0-9._-]", "_").alias("session"), F.col("raw").alias("value")).write.partitionBy("session").mode("errorifexists").text(path)
 
 
+#: A part of a message's content.
+PART = "struct<type:string,text:string,thinking:string,input:string,id:string,name:string,arguments:string>"
+
+
 def as_messages(rows: DataFrame) -> DataFrame:
     """Message rows of a branch's entries: messages as they are, custom messages, branch summaries and
-    compactions under their own roles; other kinds are left out."""
+    compactions under their own roles; other kinds are left out.
+
+    Content that is text is in ``content``, content in parts in ``parts`` (in the form of ``PART``); a summary is
+    one part of text.
+    """
     m = lambda path, kind="string": F.try_variant_get("v", f"$.message.{path}", kind)
-    role = F.when(F.col("type") == "message", m("role")).when(F.col("type").isin("custom_message", "branch_summary", "compaction"), F.col("type"))
-    content = F.when(F.col("type") == "message", m("content")).otherwise(F.coalesce(field("v", "content"), field("v", "summary")))
-    ts = F.when(F.col("type") == "message", F.coalesce(m("timestamp", "double"), F.col("ts"))).otherwise(F.col("ts"))
-    return rows.withColumns({"role": role, "content": content, "message_ts": ts, "tool_call_id": m("toolCallId"), "tool_name": m("toolName"), "is_error": F.coalesce(m("isError", "boolean"), F.lit(False))}).where("role is not null")
+    said = F.col("type") == "message"
+    role = F.when(said, m("role")).when(F.col("type").isin("custom_message", "branch_summary", "compaction"), F.col("type"))
+    own = F.when(said, m("content", "variant")).when(F.col("type") == "custom_message", F.try_variant_get("v", "$.content", "variant"))
+    listed = F.coalesce(F.schema_of_variant(own).startswith("ARRAY"), F.lit(False))
+    summary = F.when(F.col("type").isin("branch_summary", "compaction"), field("v", "summary"))
+    none = F.lit(None).cast("string")
+    one = F.array(F.struct(F.lit("text").alias("type"), summary.alias("text"), *(none.alias(c) for c in ("thinking", "input", "id", "name", "arguments"))).cast(PART))
+    parts = F.when(summary.isNotNull(), one).when(listed, F.from_json(F.to_json(own), f"array<{PART}>"))
+    content = F.when(~listed, F.try_variant_get(own, "$", "string"))
+    ts = F.when(said, F.coalesce(m("timestamp", "double"), F.col("ts"))).otherwise(F.col("ts"))
+    more = {"message_ts": ts, "tool_call_id": m("toolCallId"), "tool_name": m("toolName"), "is_error": F.coalesce(m("isError", "boolean"), F.lit(False))}
+    return rows.withColumns({"role": role, "content": content, "parts": F.coalesce(parts, F.array().cast(f"array<{PART}>")), **more}).where("role is not null")
 
 
 def sse_payloads(bodies: DataFrame) -> DataFrame:
