@@ -325,7 +325,15 @@ def represented_blocks(spark, sf_dir):
     return compaction.represented(coverage.covered_rows(rows, adapters.blocks(rows)), rows.where("ordinal < 6"))
 
 
-@register("excerpt_budget")
+QUOTES = f"""t AS (SELECT session_id, ordinal, role, trim(regexp_replace({FLAT.format('content')}, ' +', ' ', 'g')) AS t FROM m),
+l AS (SELECT session_id, ordinal, row_number() OVER (PARTITION BY session_id ORDER BY ordinal) AS i, length('- ' || role || ': ' || CASE WHEN t = '' THEN '(no text content)' WHEN length(t) > 420 THEN rtrim(substr(t, 1, 419)) || '…' ELSE t END) AS n FROM t),
+s(session_id, i, kept, chars) AS (
+  SELECT DISTINCT session_id, 0::BIGINT, []::INTEGER[], 0::BIGINT FROM l
+  UNION ALL
+  SELECT s.session_id, s.i + 1, CASE WHEN len(kept) < 6 AND chars + n <= 900 THEN list_append(kept, CAST(ordinal AS INTEGER)) ELSE kept END, CASE WHEN len(kept) < 6 AND chars + n <= 900 THEN chars + n ELSE chars END FROM s JOIN l ON l.session_id = s.session_id AND l.i = s.i + 1)"""
+
+
+@register("excerpt_budget", "WITH RECURSIVE " + M + ", " + QUOTES + " SELECT session_id, kept, CAST(chars AS INTEGER) AS chars, CAST(i AS INTEGER) AS uncovered, CAST(len(kept) AS INTEGER) AS rendered, CAST(i - len(kept) AS INTEGER) AS truncated FROM s QUALIFY i = max(i) OVER (PARTITION BY session_id)")
 def excerpt_budget(spark, sf_dir):
     return compaction.excerpts(_messages(spark, sf_dir), most_rows=6, most_chars=900)
 
