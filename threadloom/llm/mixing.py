@@ -67,22 +67,24 @@ def plan(sized: DataFrame, **options) -> DataFrame:
     rows = sized.drop("source_size", "target", "weight", "ramp", "start", "taken").withColumn("_mixing_key_", key)
     n = sized.count()
     digits = 1 if n <= 16 * ROWS_A_PART else len(f"{n // ROWS_A_PART:x}")
-    rows = rows.withColumn("_mixing_part_", F.substring("_mixing_key_", 1, digits))
+    # a source's name that is never null: join and window then share one exchange of the rows
+    name_of = lambda t: F.coalesce(F.concat(F.lit("="), F.col(f"{t}.source")), F.lit(""))
+    rows = rows.alias("r").withColumns({"_mixing_part_": F.substring("_mixing_key_", 1, digits), "_mixing_source_": name_of("r")})
     parts = settle(rows.groupBy("source", "_mixing_part_").agg(F.sum("size").alias("_mixing_size_")))
     goals = targets(parts.groupBy("source").agg(F.sum("_mixing_size_").alias("source_size")), **options)
     before = Window.partitionBy("source").orderBy("_mixing_part_").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("_mixing_before_", F.coalesce(F.sum("_mixing_size_").over(before), F.lit(0)))
     p, g = parts.alias("p"), goals.alias("g")
-    parts = p.join(g, F.col("p.source").eqNullSafe(F.col("g.source"))).select("p.source", "p._mixing_part_", "p._mixing_before_", "g.source_size", "g.target", "g.ramp")
-    r, p = rows.alias("r"), parts.withColumnsRenamed({"source": "_mixing_source_", "_mixing_part_": "_mixing_of_part_"}).alias("p")
-    joined = r.join(p, (F.col("r._mixing_part_") == F.col("p._mixing_of_part_")) & F.col("r.source").eqNullSafe(F.col("p._mixing_source_")))
-    within = Window.partitionBy("_mixing_part_", "source").orderBy("_mixing_key_", "doc_id", "size", *(["_mixing_tie_"] if "_mixing_tie_" in sized.columns else [])).rowsBetween(Window.unboundedPreceding, -1)
+    parts = p.join(g, F.col("p.source").eqNullSafe(F.col("g.source"))).select(name_of("p").alias("_mixing_source_"), "p._mixing_part_", "p._mixing_before_", "g.source_size", "g.target", "g.ramp")
+    shared = ["_mixing_part_", "_mixing_source_"]
+    joined = rows.join(parts, shared)
+    within = Window.partitionBy(*shared).orderBy("_mixing_key_", "doc_id", "size", *(["_mixing_tie_"] if "_mixing_tie_" in sized.columns else [])).rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("_mixing_before_") + F.coalesce(F.sum("size").over(within), F.lit(0))
     goal = F.floor("target")
     once = lambda at: F.greatest(F.lit(0), F.least(F.col("size"), goal - at))
     out = joined.withColumn("start", start)
     out = out.withColumn("taken", (once(F.col("start")) + once(F.col("start") + F.col("source_size"))).cast("long"))
-    return out.drop("_mixing_source_", "_mixing_of_part_", "_mixing_part_", "_mixing_key_", "_mixing_before_", "_mixing_tie_")
+    return out.drop("_mixing_source_", "_mixing_part_", "_mixing_key_", "_mixing_before_", "_mixing_tie_")
 
 
 def position(epoch: Column | int = 0) -> Column:
