@@ -134,6 +134,25 @@ def test_pii_finds_planted_loose_kinds(spark):
         assert judge.extra(text, pii.base_spans(text)) == [], text
 
 
+def test_pii_fits_on_all_candidates_however_they_are_laid(spark, monkeypatch):
+    texts = [" ".join(f"u{i}.{k}@example.org" if (i + k) % 3 else f"call (212) 555-{i:04d} on 2019-04-{10 + k}" for i in range(100 + k)) for k in range(9)]
+    rows = [(k // 2 or None, t) for k, t in enumerate(texts)] + [(7, None), (8, texts[0])]  # ids and texts twice, and null ones
+    want = collections.Counter((kind, y) for _, t in rows if t for kind, _, _, y in pii.training_rows(t))
+    assert min(want["number", 1], want["number", 0]) > pii.SAMPLE_ROWS * 4
+    seen, judges = [], pii.judges
+
+    def held(passes, cuts):
+        seen.append(passes(pii.totals(len(cuts))).sum(1).tolist())  # kept apart or not
+        return judges(passes, cuts, rounds=3)
+
+    monkeypatch.setattr(pii, "judges", held)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = pii.train(df)
+    assert seen == [[[want[k, 0] + want[k, 1], want[k, 1]] for k in pii.LOOSE]]
+    monkeypatch.setattr(pii, "BLOCK", 3)
+    assert "number" in whole.kinds and pii.train(df.repartition(7)) == whole
+
+
 def test_pii_training_rows_come_from_the_whole_text():
     text = " ".join(f"u{i}@example.org" for i in range(500)) + " call (212) 555-0147 or password = 9f8e7d6c5b4a39281706f5e4"
     assert {r[0] for r in pii.sampled_rows(1, text)} == set(pii.LOOSE)

@@ -10,9 +10,11 @@ numbers, paths, checksums, names). Candidates with evidence for neither are not
 for each kind is calibrated on candidates kept apart; accepted spans that overlap no base span are added
 to the base ones. A kind with fewer than 20 candidates, or of one outcome only, accepts nothing.
 
-Fitting uses the candidates of at most ``SAMPLE_DOCS`` documents, those with the smallest id hashes, and
-of each at most ``SAMPLE_ROWS`` of a kind, those with the smallest hashes; the trees have a fixed size and
-are broadcast. Every scan is linear in the text.
+Fitting uses all candidates of all rows; a fifth of them, by a hash of text and place, is kept apart. Equal
+ones are counted, binned by exact quantiles and laid in blocks. Each level of a tree is one pass over the
+blocks that adds up gradients by node, feature and bin, as whole numbers, so that reruns agree; only these
+sums, of fixed size, reach the driver. The trees have a fixed size and are broadcast. Every scan is linear
+in the text.
 
 Defined cases: null and empty texts have no spans; rows with equal ids are judged each; empty tables
 give empty results; other columns are carried along, those named like the added ones are replaced.
@@ -24,22 +26,29 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import small_batches
+from threadloom.llm.common import settle, small_batches
 
 #: Kinds in the order in which spans with equal starts are listed: the base ones, then what is added.
 BASE = ("email", "ip", "card", "phone")
 LOOSE = ("secret", "number", "address")
 KINDS = (*BASE, *LOOSE)
-SAMPLE_DOCS, SAMPLE_ROWS = 6_000, 64
+#: Rows of a kind that ``sampled_rows`` shows of a text; nothing is fitted on these.
+SAMPLE_ROWS = 64
+#: Bins of a feature, and of scores for the threshold. Different rows of a block, which one task holds.
+BINS, STEPS, BLOCK = 24, 2_000, 20_000
+#: Gradients are added up in such units.
+UNIT = 2.0**-20
 
 Span = tuple[str, int, int]
 
@@ -154,62 +163,136 @@ def features(text: str, a: int, b: int) -> list[float]:
 
 @dataclass
 class Boosted:
-    """Gradient-boosted trees of depth ``depth`` on binned features, log loss."""
+    """Gradient-boosted trees of depth ``depth``, log loss."""
 
     depth: int = 3
     trees: list[list[tuple[int, float, float]]] = field(default_factory=list)  # heap of (feature, cut, value)
     start: float = 0.0
 
-    def fit(self, x: np.ndarray, y: np.ndarray, *, rounds: int = 40, rate: float = 0.2, bins: int = 24, least: float = 1.0) -> Boosted:
-        cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
-        binned = np.stack([np.searchsorted(c, v, side="left") for c, v in zip(cuts, x.T, strict=True)], 1)
-        mean = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
-        self.start = float(np.log(mean / (1 - mean)))
-        z = np.full(len(y), self.start)
-        for _ in range(rounds):
-            p = 1 / (1 + np.exp(-z))
-            g, h = y - p, p * (1 - p)
-            node, tree = np.zeros(len(y), np.int64), [(-1, 0.0, 0.0)] * (2 ** (self.depth + 1) - 1)
-            for at in range(len(tree)):
-                rows = node == at
-                if not rows.any():
-                    continue
-                gs, hs = g[rows].sum(), h[rows].sum()
-                best = (1e-6, -1, 0)
-                if at < 2**self.depth - 1:
-                    for j, c in enumerate(cuts):
-                        gl = np.cumsum(np.bincount(binned[rows, j], g[rows], len(c) + 1))[:-1]
-                        hl = np.cumsum(np.bincount(binned[rows, j], h[rows], len(c) + 1))[:-1]
-                        gain = gl**2 / (hl + least) + (gs - gl) ** 2 / (hs - hl + least) - gs**2 / (hs + least)
-                        if len(gain) and gain.max() > best[0]:
-                            best = (float(gain.max()), j, int(gain.argmax()))
-                value = float(rate * gs / (hs + least))
-                if best[1] < 0:
-                    tree[at] = (-1, 0.0, value)
-                    z[rows] += value
-                    node[rows] = -1
-                else:
-                    tree[at] = (best[1], float(cuts[best[1]][best[2]]), 0.0)
-                    right = rows & (binned[:, best[1]] > best[2])
-                    node[rows] = 2 * at + 1
-                    node[right] = 2 * at + 2
-            self.trees.append(tree)
-        return self
+    def places(self, tree: list[tuple[int, float, float]], x: np.ndarray, steps: int) -> np.ndarray:
+        """The node of a tree that each row has reached after some steps."""
+        node = np.zeros(len(x), np.int64)
+        feature, cut, _ = (np.array(c) for c in zip(*tree, strict=True))
+        for _ in range(steps):
+            f = feature[node]
+            node = np.where(f >= 0, 2 * node + 1 + (x[np.arange(len(x)), np.maximum(f, 0)] > cut[node]), node)
+        return node
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         z = np.full(len(x), self.start)
         for tree in self.trees:
-            node = np.zeros(len(x), np.int64)
-            feature, cut, value = (np.array(c) for c in zip(*tree, strict=True))
-            for _ in range(self.depth):
-                f = feature[node]
-                inner = f >= 0
-                step = 2 * node + 1 + (x[np.arange(len(x)), np.maximum(f, 0)] > cut[node])
-                node = np.where(inner, step, node)
-            z += value[node]
+            z += np.array([v for _, _, v in tree])[self.places(tree, x, self.depth)]
         return 1 / (1 + np.exp(-z))
 
 
+@dataclass
+class Block:
+    """Different rows: kind (by number), kept apart or not, features by bin, how many they are and with outcome 1."""
+
+    kind: np.ndarray
+    apart: np.ndarray
+    bins: np.ndarray
+    n: np.ndarray
+    ones: np.ndarray
+
+    def of(self, kind: int, apart: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = (self.kind == kind) & (self.apart == apart)
+        return self.bins[own], self.n[own], self.ones[own]
+
+
+#: Adds up what a function gives for each block: arrays of whole numbers, of one shape.
+Passes = Callable[[Callable[[Block], np.ndarray]], np.ndarray]
+
+
+def totals(kinds: int) -> Callable[[Block], np.ndarray]:
+    """By kind and kept apart or not: rows, those of outcome 1."""
+    return lambda b: np.array([[[part.sum() for part in b.of(k, apart)[1:]] for apart in (False, True)] for k in range(kinds)], np.int64)
+
+
+def gradients(models: dict[int, Boosted], trees: dict[int, list], level: int, width: int) -> Callable[[Block], np.ndarray]:
+    """By kind, node of a level, feature and bin: sums of first and second derivatives, in ``UNIT``s."""
+
+    def sums(block: Block) -> np.ndarray:
+        out = np.zeros((len(models), 2**level, width, BINS, 2), np.int64)
+        for at, (k, model) in enumerate(models.items()):
+            x, n, ones = block.of(k)
+            p = model.predict(x)
+            node = model.places(trees[k], x, level) - (2**level - 1)
+            here = node >= 0  # the others stand on a leaf above
+            for part, values in enumerate((ones - n * p, n * p * (1 - p))):
+                units = np.rint(values[here] / UNIT)
+                for j in range(width):
+                    out[at, :, j, :, part] += np.bincount(node[here] * BINS + x[here, j], units, 2**level * BINS).reshape(-1, BINS).astype(np.int64)
+        return out
+
+    return sums
+
+
+def scores_apart(models: dict[int, Boosted]) -> Callable[[Block], np.ndarray]:
+    """By kind and score, in ``STEPS`` bins: rows kept apart, those of outcome 1."""
+
+    def sums(block: Block) -> np.ndarray:
+        out = np.zeros((len(models), STEPS + 1, 2), np.int64)
+        for at, (k, model) in enumerate(models.items()):
+            x, n, ones = block.of(k, True)
+            score = np.floor(model.predict(x) * STEPS).astype(np.int64)
+            for part, values in enumerate((n, ones)):
+                out[at, :, part] += np.bincount(score, values, STEPS + 1).astype(np.int64)
+        return out
+
+    return sums
+
+
+def judges(passes: Passes, cuts: list[list[np.ndarray]], *, precision: float = 0.98, rounds: int = 40, rate: float = 0.2, least: float = 1.0) -> list[Judge]:
+    """One for each kind, from blocks and the cuts of its features: the threshold is the lowest with this precision
+    on the rows kept apart, 0.5 at least."""
+    width = len(cuts[0])
+    models = {}
+    for k, (own, apart) in enumerate(passes(totals(len(cuts))).tolist()):
+        if own[0] and own[0] + apart[0] >= 20 and 0 < own[1] + apart[1] < own[0] + apart[0]:
+            mean = float(np.clip(own[1] / own[0], 1e-3, 1 - 1e-3))
+            models[k] = Boosted(start=float(np.log(mean / (1 - mean))))
+    if not models:
+        return [Judge() for _ in cuts]
+    depth = Boosted.depth
+    for _ in range(rounds):
+        trees = {k: [(-1, 0.0, 0.0)] * (2 ** (depth + 1) - 1) for k in models}
+        reached: dict[int, dict[int, tuple[float, float]]] = {k: {} for k in models}  # node: its sums
+        for level in range(depth):
+            got = passes(gradients(models, trees, level, width)) * UNIT
+            for at, (k, tree) in enumerate(trees.items()):
+                if level == 0:
+                    reached[k][0] = tuple(got[at, 0, 0].sum(0))
+                for i in range(2**level):
+                    node = 2**level - 1 + i
+                    if node not in reached[k]:
+                        continue
+                    gs, hs = reached[k][node]
+                    best = (1e-6, -1, 0, 0.0, 0.0)
+                    for j, c in enumerate(cuts[k]):
+                        gl, hl = np.cumsum(got[at, i, j], 0)[: len(c)].T
+                        gain = gl**2 / (hl + least) + (gs - gl) ** 2 / (hs - hl + least) - gs**2 / (hs + least)
+                        if len(gain) and gain.max() > best[0]:
+                            b = int(gain.argmax())
+                            best = (float(gain[b]), j, b, float(gl[b]), float(hl[b]))
+                    tree[node] = (best[1], float(best[2]), 0.0) if best[1] >= 0 else (-1, 0.0, float(rate * gs / (hs + least)))
+                    if best[1] >= 0:
+                        reached[k][2 * node + 1], reached[k][2 * node + 2] = best[3:], (gs - best[3], hs - best[4])
+        for k, tree in trees.items():
+            for node in range(2**depth - 1, len(tree)):
+                if node in reached[k]:
+                    tree[node] = (-1, 0.0, float(rate * reached[k][node][0] / (reached[k][node][1] + least)))
+            models[k].trees.append(tree)
+    out = [Judge() for _ in cuts]
+    for (k, model), counts in zip(models.items(), passes(scores_apart(models)), strict=True):
+        n, ones = np.cumsum(counts[::-1], 0)[::-1].T
+        good = np.flatnonzero((counts[:, 0] > 0) & (ones >= precision * n))
+        if len(good):
+            trees = [[(f, float(cuts[k][f][int(cut)]) if f >= 0 else 0.0, value) for f, cut, value in tree] for tree in model.trees]
+            out[k] = Judge(Boosted(trees=trees, start=model.start), max(0.5, int(good[0]) / STEPS))
+    return out
+
+
 class Taken:
     """Disjoint spans; those given at the start may overlap and are merged."""
 
@@ -323,38 +406,87 @@ def training_rows(text: str) -> list[tuple[str, int, list[float], int]]:
 
 
 def sampled_rows(doc_id: int, text: str) -> list[tuple[str, int, list[float], int]]:
-    """Of each kind the ``SAMPLE_ROWS`` rows with the smallest hashes, wherever they stand."""
+    """Of each kind the ``SAMPLE_ROWS`` rows with the smallest hashes, wherever they stand: to look at, not to fit on."""
     rows = sorted(training_rows(text), key=lambda r: xxhash.xxh3_64_intdigest(f"{doc_id} {r[0]} {r[1]}".encode()))
     return [r for k in LOOSE for r in [r for r in rows if r[0] == k][:SAMPLE_ROWS]]
 
 
+def quantile_cuts(values: list[float]) -> np.ndarray:
+    return np.unique(np.array(values, float))
+
+
+def binned(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    return np.stack([np.searchsorted(c, v, side="left") for c, v in zip(cuts, x.T, strict=True)], 1).astype(np.uint8)
+
+
+SHARES = [k / BINS for k in range(1, BINS)]
+
+
 def calibrated(x: np.ndarray, y: np.ndarray, *, precision: float = 0.98) -> Judge:
-    """One kind: fit on four fifths; the threshold is the lowest with this precision on the rest, 0.5 at least."""
-    if not 0 < y.sum() < len(y) or len(y) < 20:
-        return Judge()
+    """One kind, from rows at hand; every fifth is kept apart."""
     apart = np.arange(len(y)) % 5 == 0
-    trees = Boosted().fit(x[~apart], y[~apart])
-    p, held = trees.predict(x[apart]), y[apart]
-    order = np.argsort(-p, kind="stable")
-    right = np.cumsum(held[order]) / np.arange(1, len(order) + 1)
-    good = np.flatnonzero(right >= precision)
-    return Judge(trees, max(0.5, float(p[order[good[-1]]]))) if len(good) else Judge()
+    cuts = [quantile_cuts(np.quantile(c, SHARES)) for c in x[~apart].T]
+    block = Block(np.zeros(len(y), np.int64), apart, binned(x, cuts), np.ones(len(y), np.int64), y.astype(np.int64))
+    return judges(lambda work: work(block), [cuts], precision=precision)[0]
 
 
-def train(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> Judge:
-    small_batches(docs.sparkSession)
-    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    sample = sample.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # one row an id
+def evidence(docs: DataFrame) -> DataFrame:
+    """(kind, apart, x, n, ones): the different candidates of all texts, how many they are and with outcome 1."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [(i, n, *r) for i, t in zip(pdf["doc_id"], pdf["text"], strict=True) if t for n, r in enumerate(sampled_rows(i, t))]
-            yield pd.DataFrame(got, columns=["doc_id", "n", "kind", "at", "x", "y"]).drop(columns="at")
+            n, ones = Counter(), Counter()
+            for t in pdf["text"]:
+                own = xxhash.xxh3_64_intdigest(t.encode())
+                for i, (kind, _, x, y) in enumerate(training_rows(t)):
+                    row = LOOSE.index(kind), xxhash.xxh3_64_intdigest(f"{own} {i}".encode()) % 5 == 0, tuple(map(float, x))
+                    n[row] += 1
+                    ones[row] += y
+            yield pd.DataFrame([(*row, n[row], ones[row]) for row in n], columns=["kind", "apart", "x", "n", "ones"])
+
+    found = docs.select("text").where("text is not null").mapInPandas(rows, "kind int, apart boolean, x array<double>, n long, ones long")
+    return found.groupBy("kind", "apart", "x").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
+
+
+def over_blocks(rows: DataFrame) -> Passes:
+    """Over rows (kind, apart, bins, n, ones), a block for each of its partitions."""
+
+    def passes(work: Callable[[Block], np.ndarray]) -> np.ndarray:
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = list(batches)
+            if sum(b.num_rows for b in held):
+                t = pa.Table.from_batches(held)
+                bins = np.frombuffer(b"".join(t["bins"].to_pylist()), np.uint8).reshape(t.num_rows, -1)
+                got = work(Block(t["kind"].to_numpy(), t["apart"].to_numpy(), bins, t["n"].to_numpy(), t["ones"].to_numpy()))
+                yield pa.RecordBatch.from_pydict({"shape": [list(got.shape)], "sums": [got.tobytes()]})
+
+        sums = rows.mapInArrow(summed, "shape array<long>, sums binary").rdd
+        return sums.map(lambda r: np.frombuffer(r["sums"], np.int64).reshape(r["shape"])).treeReduce(np.add)
+
+    return passes
+
+
+def train(docs: DataFrame) -> Judge:
+    small_batches(docs.sparkSession)
+    found = settle(evidence(docs))
+    values = found.where("not apart").select("kind", "n", F.posexplode("x").alias("feature", "value"))
+    quantiles = values.groupBy("kind", "feature").agg(F.percentile("value", SHARES, F.col("n")).alias("cuts")).collect()
+    if not quantiles:
+        return Judge()
+    by_place = {(r.kind, r.feature): quantile_cuts(r.cuts) for r in quantiles}
+    cuts = [[by_place.get((k, j), np.empty(0)) for j in range(len(FEATURES))] for k in range(len(LOOSE))]
+
+    @F.pandas_udf("binary")
+    def bins(kinds: pd.Series, x: pd.Series) -> pd.Series:
+        out = pd.Series([b""] * len(x))
+        for k in kinds.unique():
+            own = (kinds == k).to_numpy()
+            out[own] = [r.tobytes() for r in binned(np.array(x[own].tolist(), float), cuts[k])]
+        return out
 
-    pdf = sample.mapInPandas(rows, "doc_id long, n int, kind string, x array<double>, y int").toPandas().sort_values(["doc_id", "n"])
-    kinds = {k: calibrated(np.array(own["x"].tolist(), float), own["y"].to_numpy(float)) for k, own in pdf.groupby("kind")}
-    return Judge(kinds={k: j for k, j in kinds.items() if j.trees is not None})
+    rows = settle(found.select("kind", "apart", bins("kind", "x").alias("bins"), "n", "ones").groupBy("kind", "apart", "bins").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")))
+    blocks = settle(rows.repartition(-(-rows.count() // BLOCK)))
+    return Judge(kinds={k: j for k, j in zip(LOOSE, judges(over_blocks(blocks), cuts), strict=True) if j.trees is not None})
 
 
 def ordered(spans: list[Span]) -> list[Span]:
