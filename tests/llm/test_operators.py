@@ -77,6 +77,18 @@ def test_iblt(docs, none):
     assert iblt.fingerprints(none).count() == 0
 
 
+def test_iblt_holds_few_groupings_at_once(docs, monkeypatch):
+    plans, settle = [], iblt.settle
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().count("HashAggregate("))
+        return settle(df)
+
+    monkeypatch.setattr(iblt, "settle", seen)
+    iblt.fingerprints(docs)
+    assert len(plans) > 3 and max(plans) <= 2 * (1 + iblt.ROUNDS_A_STAGE)  # partial and final ones: each holds a page of memory
+
+
 def test_iblt_retries_when_a_sketch_is_too_small(docs, monkeypatch):
     want = rows(iblt.fingerprints(docs), "doc_id", "n_chars", "near_edited", "near_next")
     monkeypatch.setattr(iblt, "SCALES", (0, 8, 64))

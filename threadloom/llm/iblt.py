@@ -9,8 +9,9 @@ a fitting check gives one of them away, taking it out frees others (peeling), un
 Cells are rows of a DataFrame, and only those that hold something. They stay where their document's text
 was laid for its comparison, so building, subtracting and peeling need no further shuffle: each is an
 explode and a hash aggregate. A round of peeling takes the pure cells of one row of cells, where no digest
-stands twice; rows take turns. Documents that can't be peeled to nothing are tried again with a larger
-sketch. Rows of cells are powers of two wide, so that a sketch folds to a narrower one: ``fingerprint`` is
+stands twice; rows take turns. What is left is written after every ``ROUNDS_A_STAGE`` rounds: each grouping
+of a stage holds memory of its own, and little is left by then. Documents that can't be peeled to nothing
+are tried again with a larger sketch. Rows of cells are powers of two wide, so that a sketch folds to a narrower one: ``fingerprint`` is
 the one folded to ``CELLS`` cells a row. Likeness is the Jaccard index of the digest sets, known exactly
 from their sizes and the recovered difference.
 
@@ -33,7 +34,7 @@ PIECE = r"[^\n]{100}[^\n.!?,;:]*[.!?,;:]*|[^\n]+"
 CELLS = 4
 #: Cells a row for each digest of both texts: at first, and when a difference could not be peeled.
 SCALES = (8, 64, 512)
-ROUNDS = 9
+ROUNDS, ROUNDS_A_STAGE = 9, 3
 #: Rows that one range of ids should hold when documents are put in order.
 ROWS_A_RANGE = 500
 MOST_RANGES = 1 << 16
@@ -64,8 +65,13 @@ def gathered(rows: DataFrame) -> DataFrame:
     return cells.where((F.col("kind") >= OWN) | (F.col("n") != 0) | (F.col("key") != 0))
 
 
-def sketches(pairs: DataFrame, scale: int, fingerprints: bool = True) -> DataFrame:
-    """Both subtracted sketches and both fingerprints of rows with digests a (own), b (edited), c (next)."""
+def laid(rows: DataFrame, parts: int) -> DataFrame:
+    """By range, where groupings and joins by document find their rows."""
+    return rows.repartition(parts, "_r")
+
+
+def sketches(pairs: DataFrame, scale: int) -> DataFrame:
+    """Both subtracted sketches of rows with digests a (own), b (edited), c (next)."""
     sizes = pairs.withColumns({"_we": width_for(F.size("a") + F.size("b"), scale), "_wx": width_for(F.size("a") + F.size("c"), scale)})
     texts = sizes.select("_r", "_row", "_we", "_wx", F.explode(F.array(*(F.struct(F.lit(tag).alias("tag"), F.col(c).alias("keys")) for tag, c in enumerate("abc")))).alias("t"))
     keys = texts.select("_r", "_row", "_we", "_wx", F.col("t.tag").alias("tag"), F.explode("t.keys").alias("key"))
@@ -73,9 +79,8 @@ def sketches(pairs: DataFrame, scale: int, fingerprints: bool = True) -> DataFra
     def put(kind: int, n: int, width: Column) -> list[Column]:
         return [F.struct(F.lit(kind).alias("kind"), F.lit(n).cast("long").alias("n"), width.alias("width"), cell_of(F.col("key"), row, width).alias("cell")) for row in range(3)]
 
-    e, x, f = F.col("_we"), F.col("_wx"), F.lit(CELLS).cast("long")
-    own, other = (put(OWN, 1, f), put(OTHER, 1, f)) if fingerprints else ([], [])
-    puts = F.when(F.col("tag") == 0, F.array(*put(EDITED, 1, e), *put(NEXT, 1, x), *own)).when(F.col("tag") == 1, F.array(*put(EDITED, -1, e), *other)).otherwise(F.array(*put(NEXT, -1, x)))
+    e, x = F.col("_we"), F.col("_wx")
+    puts = F.when(F.col("tag") == 0, F.array(*put(EDITED, 1, e), *put(NEXT, 1, x))).when(F.col("tag") == 1, F.array(*put(EDITED, -1, e))).otherwise(F.array(*put(NEXT, -1, x)))
     return gathered(keys.select("_r", "_row", "key", F.hash("key").cast("long").alias("check"), F.explode(puts).alias("p")).select("_r", "_row", "p.*", "key", "check"))
 
 
@@ -108,9 +113,13 @@ def text_of(kind: int) -> Column:
     return F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, cell))), lambda c: F.concat_ws(":", c["cell"].cast("string"), c["t"])), ",")
 
 
-def differences(pairs: DataFrame, scale: int) -> DataFrame:
-    """(_r, _row, de, dx): sizes of both differences, null if not peeled to nothing."""
-    return peeled(sketches(pairs, scale, fingerprints=False)).groupBy("_r", "_row").agg(size_of(EDITED).alias("de"), size_of(NEXT).alias("dx"))
+def differences(pairs: DataFrame, scale: int, parts: int) -> DataFrame:
+    """(_r, _row, de, dx): sizes of both differences, null if not peeled to nothing; no row without digests that
+    differ."""
+    cells = sketches(laid(pairs, parts), scale)
+    for done in range(0, ROUNDS, ROUNDS_A_STAGE):
+        cells = laid(settle(peeled(cells, min(ROUNDS_A_STAGE, ROUNDS - done))), parts)
+    return settle(cells.groupBy("_r", "_row").agg(size_of(EDITED).alias("de"), size_of(NEXT).alias("dx")))
 
 
 def counted(pairs: DataFrame) -> DataFrame:
@@ -121,9 +130,13 @@ def counted(pairs: DataFrame) -> DataFrame:
     return held.groupBy("_r", "_row").agg(F.count_if(F.col("a") != F.col("b")).alias("de"), F.count_if(F.col("a") != F.col("c")).alias("dx"))
 
 
-def recovered(pairs: DataFrame, scale: int) -> DataFrame:
-    """As ``differences``, with both fingerprints."""
-    return peeled(sketches(pairs, scale)).groupBy("_r", "_row").agg(size_of(EDITED).alias("de"), size_of(NEXT).alias("dx"), text_of(OWN).alias("fa"), text_of(OTHER).alias("fb"))
+def written_cells(pairs: DataFrame) -> DataFrame:
+    """(_r, _row, fa, fb): both fingerprints."""
+    width, texts = F.lit(CELLS).cast("long"), pairs.select("_r", "_row", F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(c).alias("keys")) for kind, c in ((OWN, "a"), (OTHER, "b"))))).alias("t"))
+    keys = texts.select("_r", "_row", F.col("t.kind").alias("kind"), F.explode("t.keys").alias("key"))
+    puts = F.explode(F.array(*(cell_of(F.col("key"), row, width) for row in range(3)))).alias("cell")
+    cells = gathered(keys.select("_r", "_row", "kind", F.lit(1).cast("long").alias("n"), width.alias("width"), puts, "key", F.hash("key").cast("long").alias("check")))
+    return cells.groupBy("_r", "_row").agg(text_of(OWN).alias("fa"), text_of(OTHER).alias("fb"))
 
 
 def with_next(docs: DataFrame, *, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
@@ -179,26 +192,19 @@ def _fingerprints(docs: DataFrame) -> DataFrame:
     # what follows needs no text: digests are laid out by range, groupings and joins by document find them so
     pairs = settle(texts.select("_r", "_row", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("sha"), *digest.values()))
     parts = max(1, pairs.rdd.getNumPartitions())
-    laid = lambda df: df.repartition(parts, "_r")
-    failed = settle(differences(laid(pairs), SCALES[0]).where("de is null or dx is null"))
-    again = None
+    failing = "de is null or dx is null"
+    tried = differences(pairs, SCALES[0], parts)
+    found, failed = tried.where(f"not ({failing})"), tried.where(failing)
     for scale in SCALES[1:]:
         if not failed.take(1):
             break
-        tried = settle(differences(laid(pairs.join(failed, ["_r", "_row"], "left_semi")), scale))
-        failed = tried.where("de is null or dx is null")
-        tried = tried.where("de is not null and dx is not null")
-        again = tried if again is None else again.unionByName(tried)
+        tried = differences(pairs.join(failed, ["_r", "_row"], "left_semi"), scale, parts)
+        found, failed = found.unionByName(tried.where(f"not ({failing})")), tried.where(failing)
     if failed.take(1):
-        rest = counted(pairs.join(failed, ["_r", "_row"], "left_semi"))
-        again = rest if again is None else again.unionByName(rest)
-    pairs = laid(pairs)
-    found = recovered(pairs, SCALES[0])
-    if again is not None:
-        second = again.select("_r", "_row", F.col("de").alias("_de"), F.col("dx").alias("_dx"))
-        found = found.join(second, ["_r", "_row"], "left").withColumns({"de": F.coalesce("de", "_de"), "dx": F.coalesce("dx", "_dx")}).drop("_de", "_dx")
+        found = found.unionByName(counted(pairs.join(failed, ["_r", "_row"], "left_semi")))
+    pairs = laid(pairs, parts)
     sizes = pairs.select("_r", "_row", "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), *(F.size(c).cast("double").alias(f"n{c}") for c in "abc"))
-    out = sizes.join(found, ["_r", "_row"], "left")
+    out = sizes.join(written_cells(pairs), ["_r", "_row"], "left").join(laid(found, parts), ["_r", "_row"], "left")
 
     def likeness(other: str, differ: str) -> Column:
         n, d = F.col("na") + F.col(other), F.coalesce(F.col(differ), F.lit(0))
