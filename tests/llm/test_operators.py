@@ -508,6 +508,16 @@ def test_kneser_ney_edge_cases(spark, docs, none):
     assert all(r.kept == (r.perplexity is not None) for r in kneserney.classify(kneserney.scored(docs, nothing), scored.limit(0)).collect())
 
 
+def test_kneser_ney_keeps_no_table_that_is_used_up(docs):
+    model = kneserney.Model(kneserney.count(docs))
+    tables = len(model.seen) + len(model.rest)
+    assert len(model.folders) == tables  # not the counts
+    assert kneserney.scored(docs, model).count() == docs.count()
+    assert len(model.folders) == tables + 1  # what the last join reads
+    model.discard()
+    assert not model.folders
+
+
 def test_kneser_ney_quantiles_reject_on_both_sides(spark):
     rows = spark.createDataFrame([(i, "en", float(np.exp(1 + i / 100))) for i in range(200)], "doc_id long, lang string, perplexity double")
     kept = {r.doc_id for r in kneserney.classify(rows, rows, low=0.1, high=0.9, margin=0.0).where("kept").collect()}

@@ -115,8 +115,8 @@ def discounts(level: DataFrame) -> Column:
 
 class Model:
     """Tables by order: seen[k] (g_k, p), rest[k] (c_k, gamma); unknown: the probability of a word that
-    trusted text lacks. None of them without trusted text. They lie in folders, as do the joins of scoring, until
-    ``discard`` is called, once the scores are written."""
+    trusted text lacks. None of them without trusted text. They lie in folders until ``discard`` is called, once
+    the scores are written; counts and the joins of scoring go as soon as they are used."""
 
     def __init__(self, counts: DataFrame, order: int = ORDER):
         self.order, self.seen, self.rest, self.unknown, self.folders = order, {}, {}, None, []
@@ -139,15 +139,22 @@ class Model:
             below = self.seen[k - 1].withColumnRenamed("p", "_p")
             own = rows.join(self.rest[k], f"c{k}").join(below, f"g{k - 1}")
             self.seen[k] = self.keep(own.select(f"g{k}", ((F.col("n") - F.col("_off")) / F.col("_total") + F.col("gamma") * F.col("_p")).alias("p")))
+        for level in levels.values():
+            self.release(level)
 
     def keep(self, df: DataFrame) -> DataFrame:
         held, folder = stored(df)
-        self.folders.append(folder)
+        self.folders.append((held, folder))
         return held
 
+    def release(self, held: DataFrame) -> None:
+        for pair in [p for p in self.folders if p[0] is held]:
+            self.folders.remove(pair)
+            discard(pair[1])
+
     def discard(self) -> None:
         while self.folders:
-            discard(self.folders.pop())
+            discard(self.folders.pop()[1])
 
 
 def _own() -> Column:
@@ -193,11 +200,12 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
         if k == 1:
             sums.append(found.groupBy(*key).agg(F.sum(F.col("n") * F.log(F.coalesce("p", F.lit(model.unknown)))).alias("s"), words.alias("n")))
             break
-        found = model.keep(found)
-        sums.append(found.groupBy(*key).agg(F.sum(F.when(F.col("p").isNotNull(), F.col("n") * F.log("p"))).alias("s"), words.alias("n")))
-        lower = names(k - 1)
+        lower = names(k - 1)  # of what is seen no shorter n-gram is needed
+        found = model.keep(found.select(*key, "n", "p", *(F.when(F.col("p").isNull(), F.col(c)).alias(c) for c in (f"c{k}", *lower))))
+        sums.append(settle(found.groupBy(*key).agg(F.sum(F.when(F.col("p").isNotNull(), F.col("n") * F.log("p"))).alias("s"), words.alias("n"))))
         left = found.where("p is null").groupBy(*key, f"c{k}", *lower).agg(F.sum("n").alias("n"))
         weighed = model.keep(left.join(model.rest[k].select(f"c{k}", "gamma"), f"c{k}", "left"))
+        model.release(found)
         sums.append(weighed.groupBy(*key).agg(F.sum(F.col("n") * F.log(F.coalesce("gamma", F.lit(1.0)))).alias("s"), F.lit(0).cast("long").alias("n")))
         rest = weighed.drop("gamma", f"c{k}").select(*key, *lower, "n")
     every = sums[0]

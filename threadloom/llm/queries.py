@@ -79,8 +79,14 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels")
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("apart"))
     trusted = docs.join(good.where("not apart"), "doc_id", "left_semi")
-    model = kneserney.Model(kneserney.count(trusted))
-    scored = settle(kneserney.scored(docs, model))
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # shuffle files go with the step that wrote them
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        model = kneserney.Model(kneserney.count(trusted))
+        scored = settle(kneserney.scored(docs, model))
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
     model.discard()
     return kneserney.classify(scored, scored.join(good.where("apart"), "doc_id", "left_semi")).select("doc_id", "lang", "perplexity", "most", "kept")
 
