@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -518,6 +519,30 @@ def test_kneser_ney_keeps_no_table_that_is_used_up(docs):
     assert not model.folders
 
 
+@pytest.mark.parametrize("hot", [0, 20, 1 << 17])
+def test_kneser_ney_in_parts_is_that_of_the_definition(spark, monkeypatch, hot):
+    monkeypatch.setattr(kneserney, "PARTS", 2)
+    monkeypatch.setattr(kneserney, "PART_CHARS", 100)
+    monkeypatch.setattr(kneserney, "HOT", hot)
+    trusted = ["a b a c", "a b", "b a b", "c c c " * 30, "a fox\x0bsees an \u00e9" + "l" * 200, None, ""]
+    texts = [*trusted, "a b fox unknown a", "unknown", "c a b c", "l" * 200]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want, model = plain_kneser_ney(trusted, 2), kneserney.Model(kneserney.count(df.where(F.col("doc_id") < len(trusted))))
+    assert model.parts == 2  # one part's shuffle at a time
+    got = {r.doc_id: r.perplexity for r in kneserney.scored(df, model).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == (want(t) and pytest.approx(want(t), rel=1e-9)), t
+
+
+def test_kneser_ney_words_are_those_of_the_pattern():
+    texts = [None, "", " a b\x0b\x0cc\x1cd \u00e9 \r\n", "x", "abcdefgh abcdefghi " + " ".join("z" * n for n in (63, 64, 65, 300)), "  ", "a", "abcdefgh"]
+    for held in (pa.array(["cut", *texts, "off"]).slice(1, len(texts)), pa.array(texts, pa.large_string())):
+        rows, hashes = kneserney._words(held)
+        want = [(i, w) for i, t in enumerate(texts) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+        assert rows.tolist() == [i for i, _ in want]
+        assert len({(w, h) for (_, w), h in zip(want, hashes.tolist(), strict=True)}) == len({w for _, w in want}) == len(set(hashes.tolist()))
+
+
 def test_kneser_ney_quantiles_reject_on_both_sides(spark):
     rows = spark.createDataFrame([(i, "en", float(np.exp(1 + i / 100))) for i in range(200)], "doc_id long, lang string, perplexity double")
     kept = {r.doc_id for r in kneserney.classify(rows, rows, low=0.1, high=0.9, margin=0.0).where("kept").collect()}

@@ -2,12 +2,20 @@
 
 The model is over words (runs of anything but ASCII white space), order ``ORDER``, and has as many entries
 as trusted text has n-grams: nothing is cut off, nothing of it passes through the driver but the counts of
-counts. N-grams are 64-bit hashes. Tasks count them, the counts are summed by n-gram; continuation counts,
-discounts, context totals and interpolated probabilities follow by groupings and joins by n-gram.
-A document's n-grams, counted per document first, are joined with the probabilities order by order: what is
-seen adds its log probability, the rest adds the weight that its context leaves to the lower order and goes
-on one word shorter, down to the uniform probability of unknown words. Frequent n-grams are skewed join
-keys that Spark splits; both sides of these joins are plain exchanges.
+counts and its ``HOT`` most frequent entries. N-grams are 64-bit hashes. Tasks count them, the counts are summed
+by n-gram; continuation counts, discounts, context totals and interpolated probabilities follow by groupings
+and joins by n-gram.
+
+A word's log probability is that of the longest of its n-grams that is seen, and the log weights that the longer
+contexts leave to it. That is a sum over n-grams that are looked up apart from each other: log p of the word; for
+each context the log of the weight it leaves; and for each longer n-gram that is seen what it adds to its
+context's weight and the probability one word shorter. So a document's n-grams, counted per document first, meet
+the model's in one inner join, what is unseen drops out, and the sums are by document.
+
+N-grams that are frequent in trusted text would be skewed keys and most of the rows: they go to all tasks and are
+added up where the text is read. The others are joined in parts of the hashes, one after another, each of which
+reads all texts, so that only one part's shuffle files stand at a time: one part for ``PART_CHARS`` characters of
+trusted text, ``PARTS`` at most.
 A document is kept if its perplexity per word lies between two quantiles of trusted documents in its
 language, which should be kept out of the model; quantiles are read from histograms of fixed bin width. By default only high perplexity is
 rejected (``low`` = 0).
@@ -19,7 +27,8 @@ repeated rows are scored alike; other columns are carried along, those named lik
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,82 +36,108 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import discard, settle, stored
+from threadloom.llm.common import discard, settle, shared_folder
 
 ORDER = 2
 #: Width of a histogram bin of the log perplexity.
 BIN = 0.002
-#: N-grams that a task counts before it gives them on, words whose hashes it remembers.
-MERGED, WORD_CACHE = 1_000_000, 400_000
-_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-
-
-class Grams:
-    """The n-grams that end at each word of a text, and their contexts, as hashes."""
-
-    def __init__(self, order: int):
-        self.order, self.words = order, {}
-
-    def word(self, w: bytes) -> int:
-        h = self.words.get(w)
-        if h is None:
-            if len(self.words) >= WORD_CACHE:
-                self.words.clear()
-            self.words[w] = h = xxhash.xxh3_64_intdigest(w) or 1
-        return h
-
-    def __call__(self, text: str | None) -> list[np.ndarray]:
-        """[g1, g2, c2, g3, c3, ...]: g_k the last k words, c_k the k - 1 words before the last; 0 stands
-        for what lies before the text."""
-        own = text.encode().split() if text else []
-        words = np.zeros(len(own) + self.order - 1, np.uint64)
-        words[self.order - 1 :] = np.fromiter(map(self.word, own), np.uint64, len(own))
-        levels = [words]
-        for k in range(1, self.order):
-            g = np.zeros(len(words), np.uint64)
-            g[k:] = (levels[-1][k:] ^ (levels[-1][k:] >> np.uint64(31))) * _MIX[0] + words[: len(words) - k] * _MIX[1]
-            levels.append(g ^ (g >> np.uint64(29)))
-        at = self.order - 1
-        out = [levels[0][at:]]
-        for k in range(1, self.order):
-            out += [levels[k][at:], levels[k - 1][at - 1 : len(words) - 1]]
-        return [x.astype(np.int64) for x in out]
+#: N-grams that a task counts before it gives them on, texts whose n-grams it makes at a time.
+MERGED, TEXTS = 1_000_000, 500
+#: The most parts of the n-grams, a power of 2, and characters of trusted text for each; the most n-grams that all tasks hold.
+PARTS, PART_CHARS, HOT = 16, 1 << 22, 1 << 17
+#: Words up to this many bytes are hashed together.
+SHORT = 64
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), 0x165667B19E3779F9)
+_SPACE = np.isin(np.arange(256), list(b"\t\n\v\f\r "))
+#: The first k bytes of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The place of the text and a hash, not 0, of each word: MurmurHash64A's steps over eight bytes of all words at a time."""
+    texts = texts.fill_null("").cast("large_string")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.zeros(offsets[-1] - offsets[0] + 8, np.uint8)  # eight bytes can be read from each place
+    data[:-8] = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    solid, cut = ~_SPACE[data[:-7]], np.zeros(len(data) - 6, bool)
+    solid[-1] = False
+    cut[offsets] = True
+    starts = np.flatnonzero(solid & (cut[:-1] | ~np.append(False, solid[:-1])))
+    stops = np.flatnonzero(solid[:-1] & (cut[1:-1] | ~solid[1:])) + 1
+    rows = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, offsets)))
+    eight, size = np.ndarray(len(data) - 7, "<u8", data, strides=(1,)), stops - starts
+    m, r = np.uint64(0xC6A4A7935BD1E995), np.uint64(47)
+    h = size.astype(np.uint64) * m
+    for j in range(0, min(SHORT, int(size.max(initial=0))), 8):
+        own = np.flatnonzero(size > j) if j else slice(None)
+        k = (eight[starts[own] + j] & _FIRST[np.minimum(size[own] - j, 8)]) * m
+        h[own] = (h[own] ^ ((k ^ (k >> r)) * m)) * m
+    h = (h ^ (h >> r)) * m
+    h ^= h >> r
+    for i in np.flatnonzero(size > SHORT):
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : stops[i]])
+    return rows, np.maximum(h, np.uint64(1))
+
+
+def grams(texts: pa.Array, order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """For each word the place of its text, [g1, g2, ...] and [c2, c3, ...]: g_k the last k words, c_k the k - 1
+    words before the last; a word of 0 stands for what lies before the text."""
+    rows, words = _words(texts)
+    at = np.arange(len(words)) + (rows + 1) * (order - 1)
+    laid = np.zeros(len(words) + len(texts) * (order - 1), np.uint64)
+    laid[at] = words
+    levels = [laid]
+    for k in range(1, order):
+        g = np.zeros(len(laid), np.uint64)
+        g[k:] = (levels[-1][k:] ^ (levels[-1][k:] >> np.uint64(31))) * _MIX[0] + laid[: len(laid) - k] * _MIX[1] + np.uint64(k * _MIX[2] % 2**64)
+        levels.append(g ^ (g >> np.uint64(29)))
+    return rows, [x[at].view(np.int64) for x in levels], [x[at - 1].view(np.int64) for x in levels[:-1]]
 
 
 def names(order: int) -> list[str]:
     return ["g1", *(f"{c}{k}" for k in range(2, order + 1) for c in "gc")]
 
 
-def _first_of(top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    _, first, n = np.unique(top, return_index=True, return_counts=True)
-    return first, n
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(i, TEXTS) for i in range(0, len(batch), TEXTS))
 
 
-def count(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """The distinct n-grams of the highest order with all their parts (``names``) and n, over all rows."""
-    columns = names(order)
-    top = columns.index(f"g{order}")
+def _of_part(column: str, part: int, parts: int) -> Column:
+    return F.col(column).bitwiseAND(F.lit(parts - 1)) == part
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, held, size = Grams(order), [], 0
+
+def count(texts: DataFrame, order: int = ORDER) -> list[DataFrame]:
+    """The distinct n-grams of the highest order with all their parts (``names``) and n, over all rows; a table
+    for each part of them."""
+    columns, size = names(order), texts.agg(F.sum(F.length("text")).alias("n")).first().n or 0
+    parts = min(PARTS, 1 << (size // PART_CHARS).bit_length())
+    mask = parts - 1
+
+    def counted(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            parts = [np.concatenate(x) for x in zip(*held, strict=True)]
-            first, n = _first_of(parts[top])
-            return pa.RecordBatch.from_arrays([*(pa.array(p[first]) for p in parts), pa.array(n.astype(np.int64))], names=[*columns, "n"])
+            parts = dict(zip(columns, map(np.concatenate, zip(*held, strict=True)), strict=True))
+            _, first, n = np.unique(parts[f"g{order}"], return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([*(pa.array(p[first]) for p in parts.values()), pa.array(n.astype(np.int64))], names=[*columns, "n"])
 
         for batch in batches:
-            for text in batch["text"]:
-                held.append(make(text.as_py()))
+            for piece in _pieces(batch):
+                _, ends, contexts = grams(piece["text"], order)
+                own = (ends[-1] & mask) == part
+                made = {f"g{k + 1}": x for k, x in enumerate(ends)} | {f"c{k + 2}": x for k, x in enumerate(contexts)}
+                held.append([made[c][own] for c in columns])
                 size += len(held[-1][0])
                 if size > MERGED:
                     yield out()
                     held, size = [], 0
-        if held:
+        if size:
             yield out()
 
-    rows = texts.select("text").mapInArrow(counted, ", ".join(f"{c} long" for c in [*columns, "n"]))
-    return rows.groupBy(*columns).agg(F.sum("n").alias("n"))
+    schema = ", ".join(f"{c} long" for c in [*columns, "n"])
+    every = [texts.select("text").mapInArrow(lambda batches, part=part: counted(batches, part), schema) for part in range(parts)]
+    return [rows.groupBy(*columns).agg(F.sum("n").alias("n")).sortWithinPartitions(columns[-1]) for rows in every]
 
 
 def discounts(level: DataFrame) -> Column:
@@ -113,113 +148,180 @@ def discounts(level: DataFrame) -> Column:
     return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
 
 
+class Table:
+    """Rows in a shared folder, those of each part in a folder below it, written one after another."""
+
+    def __init__(self, parts: Iterable[DataFrame]):
+        self.folder, self.schema = None, None
+        for k, df in enumerate(parts):
+            self.spark, self.schema = df.sparkSession, df.schema
+            self.folder = self.folder or f"{shared_folder(self.spark)}/stored-{uuid.uuid4().hex}"
+            df.write.parquet(f"{self.folder}/{k}")
+        self.folders = [f"{self.folder}/{i}" for i in range(k + 1)]
+
+    def rows(self, part: int | None = None, by: str = "", parts: int = 1) -> DataFrame:
+        """All rows, or those of one of so many parts: where there is but one folder, by the column ``by``."""
+        whole = part is None or len(self.folders) == 1
+        read = self.spark.read.schema(self.schema).parquet(*(self.folders if whole else self.folders[part : part + 1]))
+        return read if part is None or not whole else read.where(_of_part(by, part, parts))
+
+
 class Model:
-    """Tables by order: seen[k] (g_k, p), rest[k] (c_k, gamma); unknown: the probability of a word that
-    trusted text lacks. None of them without trusted text. They lie in folders until ``discard`` is called, once
-    the scores are written; counts and the joins of scoring go as soon as they are used."""
+    """Tables by order: seen[k] (g_k, n, p, adds, free), rest[k] (c_k, gamma, total); unknown: the probability of a word that
+    trusted text lacks. None of them without trusted text. ``adds`` is what the n-gram adds to the log weight of its context and
+    the log probability one word shorter (for a word: to that of an unknown one), and ``free`` whether that weight is 0, for
+    which its log is taken as 0 and counted. They lie in folders until ``discard`` is called, once
+    the scores are written; counts go as soon as they are used."""
 
-    def __init__(self, counts: DataFrame, order: int = ORDER):
+    def __init__(self, counts: list[DataFrame], order: int = ORDER):
         self.order, self.seen, self.rest, self.unknown, self.folders = order, {}, {}, None, []
-        levels = {order: self.keep(counts)}
+        self.parts, levels = len(counts), {order: self.keep(counts)}
         for k in range(order - 1, 0, -1):  # continuation counts: the words that an n-gram is seen after
             lower = names(k)
-            levels[k] = self.keep(levels[k + 1].groupBy(f"g{k}").agg(*(F.min(c).alias(c) for c in lower if c != f"g{k}"), F.count("*").alias("n")))
-        whole = levels[1].agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
+            levels[k] = self.keep([levels[k + 1].rows().groupBy(f"g{k}").agg(*(F.min(c).alias(c) for c in lower if c != f"g{k}"), F.count("*").alias("n"))])
+        whole = levels[1].rows().agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
         if not whole.v:
             return
         for k in range(1, order + 1):
-            rows = levels[k].withColumn("_off", discounts(levels[k]))
+            off = discounts(levels[k].rows())
             if k == 1:
-                held = rows.agg(F.sum("_off").alias("off")).first().off / whole.n
+                held = levels[k].rows().agg(F.sum(off).alias("off")).first().off / whole.n
                 self.unknown = held / (whole.v + 1)
-                self.seen[1] = self.keep(rows.select("g1", ((F.col("n") - F.col("_off")) / whole.n + self.unknown).alias("p")))
-                continue
-            totals = rows.groupBy(f"c{k}").agg(F.sum("n").alias("_total"), F.sum("_off").alias("_held"))
-            self.rest[k] = self.keep(totals.select(f"c{k}", (F.col("_held") / F.col("_total")).alias("gamma"), "_total"))
-            below = self.seen[k - 1].withColumnRenamed("p", "_p")
-            own = rows.join(self.rest[k], f"c{k}").join(below, f"g{k - 1}")
-            self.seen[k] = self.keep(own.select(f"g{k}", ((F.col("n") - F.col("_off")) / F.col("_total") + F.col("gamma") * F.col("_p")).alias("p")))
-        for level in levels.values():
-            self.release(level)
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        held, folder = stored(df)
-        self.folders.append((held, folder))
+                p = (F.col("n") - off) / whole.n + self.unknown
+                self.seen[1] = self.keep([levels[1].rows().select("g1", "n", p.alias("p"), F.log(p / self.unknown if self.unknown else p).alias("adds"), F.lit(False).alias("free"))])
+            else:
+                totals = levels[k].rows().groupBy(f"c{k}").agg(F.sum("n").alias("total"), F.sum(off).alias("_held"))
+                self.rest[k] = self.keep([totals.select(f"c{k}", (F.col("_held") / F.col("total")).alias("gamma"), "total")])
+                self.seen[k] = self.keep(self.interpolated(k, levels[k], off))
+            self.release(levels[k])
+
+    def interpolated(self, k: int, level: Table, off: Column) -> Iterator[DataFrame]:
+        below, left = self.seen[k - 1].rows().select(f"g{k - 1}", F.col("p").alias("_p")), self.rest[k].rows()
+        p = (F.col("n") - off) / F.col("total") + F.col("gamma") * F.col("_p")
+        adds = F.log(F.col("p") / F.col("_p") / F.when(F.col("gamma") > 0, F.col("gamma")).otherwise(1.0))
+        for part in range(self.parts):
+            own = level.rows(part, f"g{k}", self.parts).join(left.hint("shuffle_hash"), f"c{k}").join(below.hint("shuffle_hash"), f"g{k - 1}").withColumn("p", p)
+            yield own.select(f"g{k}", "n", *["p"][: k < self.order], adds.alias("adds"), (F.col("gamma") == 0).alias("free"))
+            if len(level.folders) > 1:
+                discard(level.folders[part])
+
+    def entries(self, part: int | None = None) -> DataFrame:
+        """(gram, often, adds, free, log_gamma, none): what an n-gram adds where it ends at a word, and the log of what it
+        leaves as a context, where ``none`` counts weights of 0; a row for each, the other's columns 0."""
+        zero = F.lit(0.0)
+        out = [t.rows(part, f"g{k}", self.parts).select(F.col(f"g{k}").alias("gram"), F.col("n").alias("often"), "adds", F.col("free").cast("int").alias("free"), zero.alias("log_gamma"), F.lit(0).alias("none")) for k, t in self.seen.items()]
+        some = F.col("gamma") > 0
+        out += [t.rows(part, f"c{k}", self.parts).select(F.col(f"c{k}").alias("gram"), F.col("total").alias("often"), zero.alias("adds"), F.lit(0).alias("free"), F.when(some, F.log("gamma")).otherwise(zero).alias("log_gamma"), F.when(some, 0).otherwise(1).alias("none")) for k, t in self.rest.items()]
+        every = out[0]
+        for more in out[1:]:
+            every = every.unionByName(more)
+        return every
+
+    def frequent(self) -> list[np.ndarray]:
+        """gram (ascending), adds, free, log_gamma, none of the most frequent n-grams, ``HOT`` at most."""
+        every = self.entries().withColumn("_bin", F.floor(16 * F.log2("often")))
+        most, taken = None, 0
+        for r in sorted(every.groupBy("_bin").agg(F.count("*").alias("n")).collect(), reverse=True):
+            taken += r.n
+            if taken > HOT:
+                break
+            most = r._bin
+        keys = every.where(F.col("_bin") >= F.lit(most)).select("gram").distinct()
+        values = ["adds", "free", "log_gamma", "none"]
+        rows = every.join(F.broadcast(keys), "gram").groupBy("gram").agg(*(F.sum(c).alias(c) for c in values)).toArrow()
+        by = np.argsort(rows["gram"].to_numpy())
+        return [rows[c].to_numpy()[by] for c in ["gram", *values]]
+
+    def keep(self, parts: Iterable[DataFrame]) -> Table:
+        held = Table(parts)
+        self.folders.append(held)
         return held
 
-    def release(self, held: DataFrame) -> None:
-        for pair in [p for p in self.folders if p[0] is held]:
-            self.folders.remove(pair)
-            discard(pair[1])
+    def release(self, held: Table) -> None:
+        self.folders.remove(held)
+        discard(held.folder)
 
     def discard(self) -> None:
         while self.folders:
-            discard(self.folders.pop()[1])
+            self.release(self.folders[-1])
 
 
 def _own() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def perplexities(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, _own, perplexity) of each document with words: id, and a hash of id and text."""
-    order, columns = model.order, names(model.order)
-    top = columns.index(f"g{order}")
+def _looked_up(keys: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each is among the keys, and where."""
+    if not len(keys):
+        return np.zeros(len(sought), bool), np.zeros(len(sought), np.int64)
+    at = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
+    return keys[at] == sought, at
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Grams(order)
+
+def _added(sums: DataFrame) -> DataFrame:
+    return sums.groupBy("_own").agg(*(F.sum(c).alias(c) for c in "nsz"))
+
+
+def perplexities(docs: DataFrame, model: Model) -> DataFrame:
+    """(_own, perplexity) of each document with words, by a hash of id and text."""
+    order, mask = model.order, model.parts - 1
+    texts = docs.select(_own().alias("_own"), "text")
+    hot = docs.sparkSession.sparkContext.broadcast(model.frequent() if model.unknown is not None else [np.zeros(0, np.int64)] * 5)
+
+    def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """n, and the sums of frequent n-grams."""
+        keys, adds, free, log_gamma, none = hot.value
         for batch in batches:
-            ids, own = batch["doc_id"], batch["_own"]
-            held, at, ns = [], [], []
-
-            def out() -> pa.RecordBatch:
-                rows = pa.array(np.concatenate(at))
-                return pa.RecordBatch.from_arrays([ids.take(rows), own.take(rows), *(pa.array(np.concatenate(x)) for x in zip(*held, strict=True)), pa.array(np.concatenate(ns))], names=["doc_id", "_own", *columns, "n"])
-
-            for i, text in enumerate(batch["text"]):
-                parts = make(text.as_py())
-                first, n = _first_of(parts[top])
-                held.append([p[first] for p in parts])
-                at.append(np.full(len(first), i))
-                ns.append(n.astype(np.int64))
-                if sum(map(len, ns[-50:])) > 100_000:
-                    yield out()
-                    held, at, ns = [], [], []
-            if held:
-                yield out()
-
-    key = ["doc_id", "_own"]
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rest = docs.select("doc_id", _own().alias("_own"), "text").mapInArrow(grams, f"doc_id {kind}, _own long, " + ", ".join(f"{c} long" for c in [*columns, "n"]))
-    sums = []
+            for piece in _pieces(batch):
+                rows, ends, contexts = grams(piece["text"], order)
+                n = np.bincount(rows, minlength=len(piece))
+                s, z = np.zeros(len(piece)), np.zeros(len(piece))
+                for sought, value, zeros in [*((x, adds, -free) for x in ends), *((x, log_gamma, none) for x in contexts)]:
+                    found, at = _looked_up(keys, sought)
+                    rows_, at = rows[found], at[found]
+                    s += np.bincount(rows_, value[at], len(piece))
+                    z += np.bincount(rows_, zeros[at], len(piece))
+                yield pa.RecordBatch.from_arrays([piece["_own"], pa.array(n), pa.array(s), pa.array(z.astype(np.int64))], names=["_own", "n", "s", "z"]).filter(pa.array(n > 0))
+
+    def rare(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
+        """The part's other n-grams of each document: how often they end at a word and are a context."""
+        for batch in batches:
+            for piece in _pieces(batch):
+                rows, ends, contexts = grams(piece["text"], order)
+                own = [(x & mask) == part for x in (*ends, *contexts)]
+                gram, row = np.concatenate([x[o] for x, o in zip((*ends, *contexts), own, strict=True)]), np.concatenate([rows[o] for o in own])
+                end = np.arange(len(gram)) < sum(np.count_nonzero(o) for o in own[:order])
+                left = np.flatnonzero(~_looked_up(hot.value[0], gram)[0])
+                by = left[np.lexsort((gram[left], row[left]))]
+                gram, row, end = gram[by], row[by], end[by]
+                first = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (row[1:] != row[:-1]))[: len(gram)])
+                if len(first):
+                    n, e = np.diff(np.append(first, len(gram))), np.add.reduceat(end.astype(np.int32), first)
+                    yield pa.RecordBatch.from_arrays([piece["_own"].take(pa.array(row[first])), pa.array(gram[first]), pa.array(e.astype(np.int32)), pa.array((n - e).astype(np.int32))], names=["_own", "gram", "ends", "contexts"])
+
+    total = model.keep([texts.mapInArrow(base, "_own long, n long, s double, z long")])
+    for part in range(model.parts if model.unknown is not None else 0):
+        rows = texts.mapInArrow(lambda batches, part=part: rare(batches, part), "_own long, gram long, ends int, contexts int")
+        found = rows.join(model.entries(part).drop("often").hint("shuffle_hash"), "gram").select(
+            "_own",
+            F.lit(0).cast("long").alias("n"),
+            (F.col("ends") * F.col("adds") + F.col("contexts") * F.col("log_gamma")).alias("s"),
+            (F.col("contexts") * F.col("none") - F.col("ends") * F.col("free")).cast("long").alias("z"),
+        )
+        before, total = total, model.keep([_added(found.unionByName(total.rows()))])
+        model.release(before)
+    total = _added(total.rows())
     if model.unknown is None:
-        return rest.groupBy(*key).agg(F.lit(1.0).alias("perplexity"))
-    for k in range(order, 0, -1):
-        found = rest.join(model.seen[k], f"g{k}", "left")
-        words = F.sum("n") if k == order else F.lit(0).cast("long")
-        if k == 1:
-            sums.append(found.groupBy(*key).agg(F.sum(F.col("n") * F.log(F.coalesce("p", F.lit(model.unknown)))).alias("s"), words.alias("n")))
-            break
-        lower = names(k - 1)  # of what is seen no shorter n-gram is needed
-        found = model.keep(found.select(*key, "n", "p", *(F.when(F.col("p").isNull(), F.col(c)).alias(c) for c in (f"c{k}", *lower))))
-        sums.append(settle(found.groupBy(*key).agg(F.sum(F.when(F.col("p").isNotNull(), F.col("n") * F.log("p"))).alias("s"), words.alias("n"))))
-        left = found.where("p is null").groupBy(*key, f"c{k}", *lower).agg(F.sum("n").alias("n"))
-        weighed = model.keep(left.join(model.rest[k].select(f"c{k}", "gamma"), f"c{k}", "left"))
-        model.release(found)
-        sums.append(weighed.groupBy(*key).agg(F.sum(F.col("n") * F.log(F.coalesce("gamma", F.lit(1.0)))).alias("s"), F.lit(0).cast("long").alias("n")))
-        rest = weighed.drop("gamma", f"c{k}").select(*key, *lower, "n")
-    every = sums[0]
-    for more in sums[1:]:
-        every = every.unionByName(more)
-    total = every.groupBy(*key).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    return total.select(*key, F.exp(-F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("perplexity"))
+        return total.select("_own", F.lit(1.0).alias("perplexity"))
+    mean = F.col("s") / F.col("n") + F.lit(float(np.log(model.unknown or 1.0)))
+    return total.select("_own", F.when(F.col("z") > 0, float("inf")).otherwise(F.exp(-mean)).alias("perplexity"))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without text, with perplexity."""
-    held = perplexities(docs, model).toDF("_kneserney_id_", "_kneserney_hash_", "perplexity")
+    held = perplexities(docs, model).toDF("_kneserney_hash_", "perplexity")
     rows = docs.drop("perplexity").withColumn("_kneserney_own_", _own()).drop("text")
-    return rows.join(held, rows["doc_id"].eqNullSafe(held["_kneserney_id_"]) & (rows["_kneserney_own_"] == held["_kneserney_hash_"]), "left").drop("_kneserney_id_", "_kneserney_hash_", "_kneserney_own_")
+    return rows.join(held, rows["_kneserney_own_"] == held["_kneserney_hash_"], "left").drop("_kneserney_hash_", "_kneserney_own_")
 
 
 def quantiles(scored_: DataFrame, low: float, high: float) -> DataFrame:

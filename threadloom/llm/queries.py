@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import bwtdedup, divergence, iblt, kneserney, langid, linededup, mixing, packing, pii, prefixtrie, rules, setjoin, toxicity
-from threadloom.llm.common import n_words, settle, table
+from threadloom.llm.common import discard, n_words, settle, stored, table
 
 
 def op1_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,9 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = spark.conf.get(name, None)
     spark.conf.set(name, "true")
     try:
-        model = kneserney.Model(kneserney.count(trusted))
+        texts, folder = stored(trusted.select("text"))  # read once for each part
+        model = kneserney.Model(kneserney.count(texts))
+        discard(folder)
         scored = settle(kneserney.scored(docs, model))
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
