@@ -534,6 +534,49 @@ def test_kneser_ney_in_parts_is_that_of_the_definition(spark, monkeypatch, hot):
         assert got[i] == (want(t) and pytest.approx(want(t), rel=1e-9)), t
 
 
+def test_kneser_ney_deals_blocks_and_reads_texts_once_a_part(spark, monkeypatch):
+    """No row for each n-gram and document goes through a shuffle, no further reading of the texts beside the parts'."""
+    monkeypatch.setattr(kneserney, "PARTS", 2)
+    monkeypatch.setattr(kneserney, "PART_CHARS", 100)
+    monkeypatch.setattr(kneserney, "HOT", 0)
+    texts = [" ".join(f"w{(i * j) % 97}" for j in range(i % 7, 60)) for i in range(1, 200)] + ["b b " * 3000, None, " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).cache()
+    model, read = kneserney.Model(kneserney.count(df)), spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    want = plain_kneser_ney(texts, 2)
+    got = {r.doc_id: r.perplexity for r in kneserney.scored(df, model).collect()}
+    assert all(got[i] == (want(t) and pytest.approx(want(t), rel=1e-9)) for i, t in enumerate(texts))
+    kneserney.perplexities(df.mapInArrow(seen, df.schema), model).count()
+    assert read.value == model.parts * len(texts)
+
+
+@pytest.mark.parametrize("bits", [6, 28])
+def test_kneser_ney_marks_lose_no_ngram(spark, monkeypatch, bits):
+    monkeypatch.setattr(kneserney, "MARKS", bits)
+    texts = [" ".join(f"w{(i * j) % 97}" for j in range(60)) for i in range(50)]
+    model = kneserney.Model(kneserney.count(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    model.frequent()
+    _, ends, contexts = kneserney.grams(pa.array(texts), 2)
+    assert all(kneserney._marked(model.marks(0), x.view(np.uint64)).all() for x in (*ends, *contexts))
+    other = np.random.default_rng(1).integers(0, 1 << 64, 1000, np.uint64)
+    assert bits == 6 or kneserney._marked(model.marks(0), other).mean() < 0.3
+
+
+def test_kneser_ney_packed_columns_come_back():
+    columns = [np.arange(5, dtype="u8") << np.uint64(50), np.arange(5, dtype="u2"), np.linspace(-1, 1, 5), np.array([1, 0, 1, 0, 1], "u1")]
+    assert all((a == b).all() for a, b in zip(kneserney._unpacked(memoryview(kneserney._packed(*columns)), "u8", "u2", "f8", "u1"), columns, strict=True))
+    gram = np.random.default_rng(2).integers(0, 1 << 64, 5000, np.uint64) & ~np.uint64(3)
+    for ranges in (1, 7, 70_000):
+        dealt = list(kneserney._dealt(gram, ranges, 2))
+        assert sorted(np.concatenate([own for _, own, _ in dealt]).tolist()) == list(range(5000))
+        assert all(((np.uint64(-(-(r << 32) // ranges) << 32) + (key << np.uint64(2))) == gram[own]).all() for r, own, key in dealt)
+
+
 def test_kneser_ney_words_are_those_of_the_pattern():
     texts = [None, "", " a b\x0b\x0cc\x1cd \u00e9 \r\n", "x", "abcdefgh abcdefghi " + " ".join("z" * n for n in (63, 64, 65, 300)), "  ", "a", "abcdefgh"]
     for held in (pa.array(["cut", *texts, "off"]).slice(1, len(texts)), pa.array(texts, pa.large_string())):

@@ -15,7 +15,10 @@ the model's in one inner join, what is unseen drops out, and the sums are by doc
 N-grams that are frequent in trusted text would be skewed keys and most of the rows: they go to all tasks and are
 added up where the text is read. The others are joined in parts of the hashes, one after another, each of which
 reads all texts, so that only one part's shuffle files stand at a time: one part for ``PART_CHARS`` characters of
-trusted text, ``PARTS`` at most.
+trusted text, ``PARTS`` at most. A part's n-grams are dealt to tasks by ranges of the hashes, those of a block of
+documents in one row as packed columns, and meet the range of the model there; what a range adds to a block's
+documents goes back in one row, too, to where the block is added up. Bits by leading bits of the part's n-grams tell
+most of the unseen ones where texts are read; those that pass drop out in the join.
 A document is kept if its perplexity per word lies between two quantiles of trusted documents in its
 language, which should be kept out of the model; quantiles are read from histograms of fixed bin width. By default only high perplexity is
 rejected (``low`` = 0).
@@ -33,6 +36,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +48,13 @@ BIN = 0.002
 #: N-grams that a task counts before it gives them on, texts whose n-grams it makes at a time.
 MERGED, TEXTS = 1_000_000, 500
 #: The most parts of the n-grams, a power of 2, and characters of trusted text for each; the most n-grams that all tasks hold.
-PARTS, PART_CHARS, HOT = 16, 1 << 22, 1 << 17
+PARTS, PART_CHARS, HOT = 8, 1 << 22, 1 << 17
+#: Leading bits of a frequent n-gram that give its place; documents in a block, two bytes for each.
+PLACE, BLOCK = 20, 1 << 16
+#: The logarithm of the most bits that mark a part's n-grams, about eight for each.
+MARKS = 28
+#: Kinds of packed rows: a range's part of the model, n-grams of a block's documents, those documents, and what they add up to.
+_MODEL, _GRAMS, _DOCS, _SUMS = range(4)
 #: Words up to this many bytes are hashed together.
 SHORT = 64
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), 0x165667B19E3779F9)
@@ -80,9 +90,9 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.maximum(h, np.uint64(1))
 
 
-def grams(texts: pa.Array, order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """For each word the place of its text, [g1, g2, ...] and [c2, c3, ...]: g_k the last k words, c_k the k - 1
-    words before the last; a word of 0 stands for what lies before the text."""
+def _laid(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """For each word the places of its text and among all words laid out with order - 1 zeros before each text; the
+    n-grams that end at each place, for n up to the order."""
     rows, words = _words(texts)
     at = np.arange(len(words)) + (rows + 1) * (order - 1)
     laid = np.zeros(len(words) + len(texts) * (order - 1), np.uint64)
@@ -92,6 +102,13 @@ def grams(texts: pa.Array, order: int) -> tuple[np.ndarray, list[np.ndarray], li
         g = np.zeros(len(laid), np.uint64)
         g[k:] = (levels[-1][k:] ^ (levels[-1][k:] >> np.uint64(31))) * _MIX[0] + laid[: len(laid) - k] * _MIX[1] + np.uint64(k * _MIX[2] % 2**64)
         levels.append(g ^ (g >> np.uint64(29)))
+    return rows, at, levels
+
+
+def grams(texts: pa.Array, order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """For each word the place of its text, [g1, g2, ...] and [c2, c3, ...]: g_k the last k words, c_k the k - 1
+    words before the last; a word of 0 stands for what lies before the text."""
+    rows, at, levels = _laid(texts, order)
     return rows, [x[at].view(np.int64) for x in levels], [x[at - 1].view(np.int64) for x in levels[:-1]]
 
 
@@ -218,19 +235,33 @@ class Model:
         return every
 
     def frequent(self) -> list[np.ndarray]:
-        """gram (ascending), adds, free, log_gamma, none of the most frequent n-grams, ``HOT`` at most."""
+        """gram (ascending), adds, free, log_gamma, none of the most frequent n-grams, ``HOT`` at most, and of those
+        with the same ``PLACE`` leading bits the most frequent one."""
         every = self.entries().withColumn("_bin", F.floor(16 * F.log2("often")))
-        most, taken = None, 0
-        for r in sorted(every.groupBy("_bin").agg(F.count("*").alias("n")).collect(), reverse=True):
+        bins, most, taken = every.groupBy("_bin").agg(F.count("*").alias("n")).collect(), None, 0
+        self.size = sum(r.n for r in bins)
+        for r in sorted(bins, reverse=True):
             taken += r.n
             if taken > HOT:
                 break
             most = r._bin
         keys = every.where(F.col("_bin") >= F.lit(most)).select("gram").distinct()
         values = ["adds", "free", "log_gamma", "none"]
-        rows = every.join(F.broadcast(keys), "gram").groupBy("gram").agg(*(F.sum(c).alias(c) for c in values)).toArrow()
-        by = np.argsort(rows["gram"].to_numpy())
-        return [rows[c].to_numpy()[by] for c in ["gram", *values]]
+        rows = every.join(F.broadcast(keys), "gram").groupBy("gram").agg(F.max("often").alias("often"), *(F.sum(c).alias(c) for c in values)).toArrow()
+        gram, often = rows["gram"].to_numpy(), rows["often"].to_numpy()
+        place = gram.view(np.uint64) >> np.uint64(64 - PLACE)
+        by = np.lexsort((-often, place))
+        by = by[np.append(True, place[by][1:] != place[by][:-1])[: len(by)]]
+        return [gram[by].view(np.uint64), *(rows[c].to_numpy()[by] for c in values)]
+
+    def marks(self, part: int) -> np.ndarray:
+        """A bit for each value of the leading bits: whether an n-gram of the part has it; 64 to a number."""
+        bits = min(MARKS, max(6, (8 * self.size // self.parts).bit_length()))
+        at = f"shiftrightunsigned(gram, {64 - bits})"
+        words = self.entries(part).groupBy(F.expr(f"{at} div 64").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, int({at} & 63)))").alias("bits")).toArrow()
+        marks = np.zeros(1 << bits - 6, np.int64)
+        marks[words["word"].to_numpy()] = words["bits"].to_numpy()
+        return marks.view(np.uint64)
 
     def keep(self, parts: Iterable[DataFrame]) -> Table:
         held = Table(parts)
@@ -250,69 +281,241 @@ def _own() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def _looked_up(keys: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _places(keys: np.ndarray) -> np.ndarray:
+    """By the leading bits: where among the keys the one with these bits is; elsewhere 0."""
+    places = np.zeros(1 << PLACE, np.int32)
+    places[keys >> np.uint64(64 - PLACE)] = np.arange(len(keys))
+    return places
+
+
+def _looked_up(keys: np.ndarray, places: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether each is among the keys, and where."""
     if not len(keys):
-        return np.zeros(len(sought), bool), np.zeros(len(sought), np.int64)
-    at = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
+        return np.zeros(len(sought), bool), np.zeros(len(sought), np.int32)
+    at = places[sought >> np.uint64(64 - PLACE)]
     return keys[at] == sought, at
 
 
+def _marked(marks: np.ndarray, sought: np.ndarray) -> np.ndarray:
+    at = sought >> np.uint64(64 - (len(marks).bit_length() + 5))
+    return (marks[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of equal length as bytes: all first ones of a column, all second ones and so on, which compress."""
+    return b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns if len(c))
+
+
+def _unpacked(data: memoryview, *types: str) -> list[np.ndarray]:
+    sizes = [np.dtype(t).itemsize for t in types]
+    n, start, out = len(data) // sum(sizes), 0, []
+    for t, size in zip(types, sizes, strict=True):
+        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, start).reshape(size, n).T).view(t).ravel())
+        start += n * size
+    return out
+
+
+_ROW = "range int, kind int, block long, data binary"
+_OF = {_MODEL: ("u8", "f8", "u1", "f8", "u1"), _GRAMS: ("u8", "u2", "u4", "u4"), _DOCS: ("i8", "i8", "f8", "i8"), _SUMS: ("u2", "f8", "i8")}
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = {"range": pa.int32(), "kind": pa.int32(), "block": pa.int64(), "data": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types.values(), strict=True)], names=list(types))
+
+
+def _each(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(batch[c].to_pylist() for c in ("range", "kind", "block")), (memoryview(x.as_buffer()) for x in batch["data"]), strict=True)
+
+
+def _dealt(gram: np.ndarray, ranges: int, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each range that has some: its number, where they are, and the n-grams less what all of the range's part share."""
+    n, half = np.uint64(ranges), np.uint64(32)
+    of = ((gram >> half) * n >> half).astype(np.uint16 if ranges <= 1 << 16 else np.int64)
+    by = np.argsort(of, kind="stable")
+    stops = np.cumsum(np.bincount(of, minlength=ranges))
+    for r in np.flatnonzero(np.diff(stops, prepend=0)).tolist():
+        own = by[stops[r - 1] if r else 0 : stops[r]]
+        least = np.uint64(-(-(r << 32) // ranges) << 32)
+        yield r, own, (gram[own] - least) >> np.uint64(bits)
+
+
+def _firsts(*columns: np.ndarray) -> np.ndarray:
+    """Where rows begin that differ from the one before."""
+    return np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in columns], axis=0))[: len(columns[0])])
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """From each to the next, modulo 65,536: sums of two bytes are the numbers."""
+    return np.diff(x, prepend=0).astype(np.uint16)
+
+
 def _added(sums: DataFrame) -> DataFrame:
     return sums.groupBy("_own").agg(*(F.sum(c).alias(c) for c in "nsz"))
 
 
 def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     """(_own, perplexity) of each document with words, by a hash of id and text."""
-    order, mask = model.order, model.parts - 1
-    texts = docs.select(_own().alias("_own"), "text")
-    hot = docs.sparkSession.sparkContext.broadcast(model.frequent() if model.unknown is not None else [np.zeros(0, np.int64)] * 5)
+    order, mask, bits, spark = model.order, np.uint64(model.parts - 1), model.parts.bit_length() - 1, docs.sparkSession
+    texts, sums = docs.select(_own().alias("_own"), "text"), "_own long, n long, s double, z long"
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """n, and the sums of frequent n-grams."""
-        keys, adds, free, log_gamma, none = hot.value
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in _pieces(batch):
-                rows, ends, contexts = grams(piece["text"], order)
-                n = np.bincount(rows, minlength=len(piece))
-                s, z = np.zeros(len(piece)), np.zeros(len(piece))
-                for sought, value, zeros in [*((x, adds, -free) for x in ends), *((x, log_gamma, none) for x in contexts)]:
-                    found, at = _looked_up(keys, sought)
-                    rows_, at = rows[found], at[found]
-                    s += np.bincount(rows_, value[at], len(piece))
-                    z += np.bincount(rows_, zeros[at], len(piece))
-                yield pa.RecordBatch.from_arrays([piece["_own"], pa.array(n), pa.array(s), pa.array(z.astype(np.int64))], names=["_own", "n", "s", "z"]).filter(pa.array(n > 0))
-
-    def rare(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
-        """The part's other n-grams of each document: how often they end at a word and are a context."""
+                n = np.bincount(_words(piece["text"])[0], minlength=len(piece))
+                zero = np.zeros(len(piece), np.int64)
+                yield pa.RecordBatch.from_arrays([piece["_own"], pa.array(n), pa.array(zero.astype(float)), pa.array(zero)], names=["_own", "n", "s", "z"]).filter(pa.array(n > 0))
+
+    if model.unknown is None:
+        return _added(texts.mapInArrow(words, sums)).select("_own", F.lit(1.0).alias("perplexity"))
+    hot = spark.sparkContext.broadcast(model.frequent())
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The part's model by ranges."""
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            gram, adds, free, log_gamma, none = map(np.concatenate, zip(*held, strict=True))
+            return _batch([(r, _MODEL, 0, _packed(key, adds[own], free[own], log_gamma[own], none[own])) for r, own, key in _dealt(gram, ranges, bits)])
+
+        for batch in batches:
+            held.append([batch[c].to_numpy().astype(t) for c, t in zip(("gram", "adds", "free", "log_gamma", "none"), _OF[_MODEL], strict=True)])
+            size += len(batch)
+            if size > MERGED:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    def rare(batches: Iterator[pa.RecordBatch], part: int, marks: Broadcast) -> Iterator[pa.RecordBatch]:
+        """The part's n-grams that are not frequent by ranges: for each document how often they end at a word and are a
+        context. With the first part go numbers of words and sums of frequent n-grams."""
+        keys, adds, free, log_gamma, none = hot.value
+        places, held, made, size = _places(keys), [], [], 0
+
+        def out() -> pa.RecordBatch:
+            own, n, s, z = map(np.concatenate, zip(*held, strict=True))
+            data = _packed(own, n, s, z)
+            block = xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)  # the same documents, should the task run again
+            rows, most = [(block % ranges, _DOCS, block, data)], 4 * size // ranges + 1000
+            gram, doc, end, context = map(np.concatenate, zip(*made, strict=True))
+            for r, at, key in _dealt(gram, ranges, bits):
+                doc_, end_, context_ = doc[at], end[at].astype(np.uint32), context[at].astype(np.uint32)
+                if len(at) > most:  # one that is frequent in these documents only
+                    by = np.lexsort((key, doc_))
+                    first = _firsts(key[by], doc_[by])
+                    key, doc_, end_, context_ = key[by][first], doc_[by][first], np.add.reduceat(end_[by], first), np.add.reduceat(context_[by], first)
+                rows.append((r, _GRAMS, block, _packed(key, _steps(doc_), end_, context_)))
+            return _batch(rows)
+
+        docs_ = 0
         for batch in batches:
             for piece in _pieces(batch):
-                rows, ends, contexts = grams(piece["text"], order)
-                own = [(x & mask) == part for x in (*ends, *contexts)]
-                gram, row = np.concatenate([x[o] for x, o in zip((*ends, *contexts), own, strict=True)]), np.concatenate([rows[o] for o in own])
-                end = np.arange(len(gram)) < sum(np.count_nonzero(o) for o in own[:order])
-                left = np.flatnonzero(~_looked_up(hot.value[0], gram)[0])
-                by = left[np.lexsort((gram[left], row[left]))]
-                gram, row, end = gram[by], row[by], end[by]
-                first = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (row[1:] != row[:-1]))[: len(gram)])
-                if len(first):
-                    n, e = np.diff(np.append(first, len(gram))), np.add.reduceat(end.astype(np.int32), first)
-                    yield pa.RecordBatch.from_arrays([piece["_own"].take(pa.array(row[first])), pa.array(gram[first]), pa.array(e.astype(np.int32)), pa.array((n - e).astype(np.int32))], names=["_own", "gram", "ends", "contexts"])
-
-    total = model.keep([texts.mapInArrow(base, "_own long, n long, s double, z long")])
-    for part in range(model.parts if model.unknown is not None else 0):
-        rows = texts.mapInArrow(lambda batches, part=part: rare(batches, part), "_own long, gram long, ends int, contexts int")
-        found = rows.join(model.entries(part).drop("often").hint("shuffle_hash"), "gram").select(
-            "_own",
-            F.lit(0).cast("long").alias("n"),
-            (F.col("ends") * F.col("adds") + F.col("contexts") * F.col("log_gamma")).alias("s"),
-            (F.col("contexts") * F.col("none") - F.col("ends") * F.col("free")).cast("long").alias("z"),
-        )
-        before, total = total, model.keep([_added(found.unionByName(total.rows()))])
-        model.release(before)
-    total = _added(total.rows())
-    if model.unknown is None:
-        return total.select("_own", F.lit(1.0).alias("perplexity"))
+                rows, at, levels = _laid(piece["text"], order)
+                n = np.bincount(rows, minlength=len(piece))
+                row = np.repeat(np.arange(len(piece)), n + order - 1)
+                ends = np.zeros(len(row) + 1, np.uint8)
+                ends[at] = 1
+                ends, contexts = ends[:-1], ends[1:]  # a context is where the next place has a word; zeros stand between texts
+                s, z = np.zeros(len(piece)), np.zeros(len(piece), np.int64)
+                for k, gram in enumerate(levels):
+                    leaves = contexts if k < order - 1 else np.zeros_like(contexts)
+                    counts = (ends | leaves).view(bool)
+                    sought = np.flatnonzero(counts if part == 0 else counts & ((gram & mask) == np.uint64(part)))
+                    x = gram[sought]
+                    found, place = _looked_up(keys, places, x)
+                    if part == 0:
+                        w, place = sought[found], place[found]
+                        e, c = ends[w].astype(np.int64), leaves[w].astype(np.int64)
+                        s += np.bincount(row[w], e * adds[place] + c * log_gamma[place], len(piece))
+                        z += np.bincount(row[w], c * none[place] - e * free[place], len(piece)).astype(np.int64)
+                        found |= (x & mask) != 0
+                    left = sought[~found]
+                    left = left[_marked(marks.value, gram[left])]
+                    made.append((gram[left], row[left] + docs_, ends[left], leaves[left]))
+                    size += len(left)
+                held.append((piece["_own"].to_numpy(), n if part == 0 else np.zeros_like(n), s, z))
+                docs_ += len(piece)
+                if size > MERGED or docs_ + TEXTS > BLOCK:
+                    yield out()
+                    held, made, size, docs_ = [], [], 0, 0
+        if docs_:
+            yield out()
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What a range adds to the documents of each block; the model's rows of a range come first."""
+        at_range, held, model_ = None, [], None
+        for range_, kind, block, data in _each(batches):
+            if range_ != at_range:
+                at_range, held, model_ = range_, [], None
+            if kind == _MODEL:
+                held.append(_unpacked(data, *_OF[kind]))
+                continue
+            if kind == _DOCS:
+                yield _batch([(0, kind, block, bytes(data))])
+                continue
+            if not held:
+                continue
+            if model_ is None:
+                model_ = [np.concatenate(c) for c in zip(*held, strict=True)]
+                by = np.argsort(model_[0])
+                first = _firsts(model_[0][by])
+                model_ = [model_[0][by][first], *(np.add.reduceat(c[by].astype("f8"), first) for c in model_[1:])]
+            key, doc, end, context = _unpacked(data, *_OF[kind])
+            keys, adds, free, log_gamma, none = model_
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = np.flatnonzero(keys[at] == key)
+            if len(hit):
+                doc = np.cumsum(doc, dtype=np.uint16)[hit]
+                by = np.argsort(doc, kind="stable")
+                hit, doc = hit[by], doc[by]
+                at, end, context = at[hit], end[hit].astype("f8"), context[hit].astype("f8")
+                first = _firsts(doc)
+                s, z = np.add.reduceat(end * adds[at] + context * log_gamma[at], first), np.add.reduceat(context * none[at] - end * free[at], first)
+                yield _batch([(0, _SUMS, block, _packed(_steps(doc[first]), s, z.astype(np.int64)))])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each block's documents with what all ranges add; the documents' rows of a block come first."""
+        block, columns = None, None
+
+        def out() -> pa.RecordBatch:
+            own, n, s, z, some = columns
+            return pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (own, n, s, z)], names=["_own", "n", "s", "z"])
+
+        for _, kind, block_, data in _each(batches):
+            if block_ != block:
+                if columns:
+                    yield out()
+                block, columns = block_, None
+            if kind == _DOCS:
+                own, n, s, z = _unpacked(data, *_OF[kind])
+                if columns:  # other rows of the same documents
+                    n, s, z = n + columns[1], s + columns[2], z + columns[3]
+                columns = [own, n, s, z, n > 0]
+                continue
+            if not columns:
+                raise ValueError("the rows of a task came in another order when it ran again")
+            doc, s, z = _unpacked(data, *_OF[kind])
+            at = np.cumsum(doc, dtype=np.uint16)
+            columns[2][at] += s
+            columns[3][at] += z
+            columns[4][at] = True
+        if columns:
+            yield out()
+
+    total = None
+    for part in range(model.parts):
+        marks = spark.sparkContext.broadcast(model.marks(part))
+        dealt = texts.mapInArrow(lambda batches, part=part, marks=marks: rare(batches, part, marks), _ROW).unionByName(model.entries(part).drop("often").mapInArrow(entries, _ROW))
+        back = dealt.repartitionById(ranges, "range").sortWithinPartitions("range", "kind").mapInArrow(met, _ROW)
+        found = back.repartition(ranges, "block").sortWithinPartitions("block", "kind").mapInArrow(summed, sums)
+        before, total = total, model.keep([_added(found if total is None else found.unionByName(total.rows()))])
+        marks.destroy()
+        if before:
+            model.release(before)
+    total = total.rows()
     mean = F.col("s") / F.col("n") + F.lit(float(np.log(model.unknown or 1.0)))
     return total.select("_own", F.when(F.col("z") > 0, float("inf")).otherwise(F.exp(-mean)).alias("perplexity"))
 
